@@ -58,7 +58,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long") for k in pii.KINDS}
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s.startswith(f"{k}:"))).cast("long")
+    counts = {f"n_{k}": of_kind(k) for k in pii.KINDS}
     out = found.withColumns(counts | {"base_sha256": F.sha2(F.concat_ws(",", "base"), 256)})
     return out.select("doc_id", *counts, "base_sha256", F.concat_ws(",", "spans").alias("spans"))
 
