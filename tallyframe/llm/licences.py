@@ -144,8 +144,8 @@ parts AS (
 ),
 w AS (SELECT doc_id, kind, segment, list_filter(regexp_split_to_array(lower(body), '[^0-9a-z]+'), lambda v: v <> '') AS ws FROM parts),
 g AS (SELECT doc_id, kind, segment, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gs FROM w WHERE len(ws) > 1),
-s AS (SELECT doc_id, kind, segment, template, licence, len(list_intersect(gs, tg)) AS shared, len(gs) + len(tg) AS both FROM g, t)
+s AS (SELECT doc_id, kind, segment, template, licence, len(list_intersect(gs, tg)) AS shared, len(gs) + len(tg) AS total FROM g, t)
 SELECT doc_id, kind, CAST(segment AS BIGINT) AS segment, CAST(template AS INTEGER) AS template, licence, CAST(shared AS BIGINT) AS shared,
-       2.0 * shared / both AS dice
-FROM s WHERE 2.0 * shared / both >= {threshold}
+       2.0 * shared / total AS dice
+FROM s WHERE 2.0 * shared / total >= {threshold}
 """
