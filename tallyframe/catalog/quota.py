@@ -17,9 +17,9 @@ N = f"({NOW} / 1000000.0)"
 
 def inst(keys: str = "account_uuid") -> str:
     k = f"{keys}, " if keys else ""
-    return f"""inst AS (SELECT *, peak - opening AS rise, round((peak_us - first_us) / 1000000.0, 3) AS fill_s, round_even(peak, 0) >= 100 AS hit,
+    return f"""inst AS (SELECT *, peak - opening AS rise, round((peak_us - first_us) / 1000000.0, 6) AS fill_s, round_even(peak, 0) >= 100 AS hit,
   CASE WHEN peak > opening AND peak_us > first_us THEN round((peak - opening) / ((peak_us / 1000000.0) - (first_us / 1000000.0)) * 3600, 6) END AS pp_per_hour,
-  round(greatest(first_us / 1000000.0 - (reset_min - span_s), 0.0), 3) AS unseen_s, opening >= 5 AS partial, reset_min > {N} AS open
+  round(greatest(first_us / 1000000.0 - (reset_min - span_s), 0.0), 6) AS unseen_s, opening >= 5 AS partial, reset_min > {N} AS open
  FROM (SELECT {k}s.win, model, CAST(round_even(resets_at / 60, 0) * 60 AS BIGINT) AS reset_min, max(used_pct) AS peak, min(ts_us) AS first_us, max(ts_us) AS last_us,
    arg_min(ts_us, (-used_pct, ts_us)) AS peak_us, arg_min(used_pct, (ts_us, event_id)) AS opening, arg_max(used_pct, (ts_us, event_id)) AS latest, count(*) AS n_samples,
    any_value(w.span_s) AS span_s, any_value(w.ord) AS ord, any_value(w.family) AS family
@@ -182,8 +182,8 @@ FRESH = {"stdin": 900 * 24, "api": 3600 * 24}
 WARN, STOP = 80, 95
 
 
-@query(f"""WITH f AS (SELECT account_uuid, win, source, arg_max(CASE WHEN resets_at <= {N} THEN 0 ELSE used_pct END, (ts_us, event_id)) AS pct, max(ts_us) AS at FROM samples WHERE ts_us <= {NOW} GROUP BY 1, 2, 3),
-w AS (SELECT account_uuid, win, max(pct) FILTER (at >= {NOW} - CASE source WHEN 'stdin' THEN {FRESH['stdin']} ELSE {FRESH['api']} END * 1000000) AS pct FROM f GROUP BY 1, 2)
+@query(f"""WITH f AS (SELECT account_uuid, win, source, arg_max(CASE WHEN resets_at <= {N} THEN 0 ELSE used_pct END, (ts_us, event_id)) AS pct, max(ts_us) AS seen FROM samples WHERE ts_us <= {NOW} GROUP BY 1, 2, 3),
+w AS (SELECT account_uuid, win, max(pct) FILTER (seen >= {NOW} - CASE source WHEN 'stdin' THEN {FRESH['stdin']} ELSE {FRESH['api']} END * CAST(1000000 AS BIGINT)) AS pct FROM f GROUP BY 1, 2)
 SELECT account_uuid, max(pct) AS pct, CASE WHEN max(pct) >= {STOP} THEN 'stop' WHEN bool_or(pct IS NULL) THEN 'unknown' WHEN max(pct) >= {WARN} THEN 'warn' ELSE 'ok' END AS verdict FROM w GROUP BY 1""")
 def quota_verdict(t):
     """Stop before unknown before warn before ok, over each window's fresh readings. A day stands for an hour here."""

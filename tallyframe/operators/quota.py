@@ -59,9 +59,9 @@ def window_instances(samples: DataFrame, spans: DataFrame, now_us: int, keys: tu
     fill = seconds("peak_us") - seconds("first_us")
     start = F.col("reset_min") - F.col("span_s")
     return own.withColumns({
-        "rise": rise, "fill_s": F.round(fill, 3), "hit": F.rint("peak") >= 100,
+        "rise": rise, "fill_s": F.round(fill, 6), "hit": F.rint("peak") >= 100,
         "pp_per_hour": F.when((rise > 0) & (fill > 0), F.round(rise / fill * 3600, 6)),
-        "unseen_s": F.round(F.greatest(seconds("first_us") - start, F.lit(0.0)), 3),
+        "unseen_s": F.round(F.greatest(seconds("first_us") - start, F.lit(0.0)), 6),
         "partial": F.col("opening") >= PARTIAL_PP,
         "open": F.col("reset_min") > now_us / 1e6,
     })
