@@ -42,9 +42,9 @@ def _targets(state: DataFrame, n_shards: int) -> DataFrame:
 def _round(state: DataFrame, n_shards: int, turn: int) -> DataFrame:
     """One exchange. ``state``: node, hub, shard and payload columns; returns the same columns."""
     columns = state.columns
-    asked = state.join(_targets(state, n_shards), "hub", "left")
-    # what a document would cross to; documents without a hub can stand in for any missing partner
-    asked = materialize(asked.withColumn("wish", F.when(F.col("target") != F.col("shard"), F.col("target"))).drop("target"), "asked")
+    # what a document would cross to; documents without a hub (null would be one hot key) can stand in for any partner
+    linked = state.where(F.col("hub").isNotNull()).join(_targets(state, n_shards), "hub").select(*columns, F.when(F.col("target") != F.col("shard"), F.col("target")).alias("wish"))
+    asked = materialize(linked.unionByName(state.where(F.col("hub").isNull()).withColumn("wish", F.lit(None).cast("int"))), "asked")
     flows = asked.where(F.col("wish").isNotNull()).groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where(F.col("hub").isNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
     back = flows.select(F.col("shard").alias("wish"), F.col("wish").alias("shard"), F.col("n").alias("back"))
