@@ -142,10 +142,12 @@ def learn_rules(
     both = cuts_of(labelled.where(F.col(bad))).unionByName(cuts_of(labelled.where(~F.col(bad)))).collect()
     cuts = {f: sorted({float(x) for r in both for x in (r[f] or [])}) for f in features}
     marked = labelled.withColumn("__grow", F.pmod(F.xxhash64(*features), F.lit(3)) < 2)
-    bins = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("f"), F.size(F.filter(F.array(*[F.lit(x) for x in cuts[f]]).cast("array<double>"), lambda t, c=F.col(f): t < c)).alias("b"))
-        for f in features
-    ])).alias("fb")
+    def bin_of(f: str) -> Column:
+        """How many of the feature's thresholds lie below its value."""
+        value = F.col(f)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in cuts[f]]).cast("array<double>"), lambda t: t < value))
+
+    bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), bin_of(f).alias("b")) for f in features])).alias("fb")
     rules: list[Rule] = []
     left = F.lit(True)
     while len(rules) < max_rules:
