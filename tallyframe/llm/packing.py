@@ -14,11 +14,14 @@ no sequences.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,35 +32,79 @@ from .common import gapless_rank, materialize
 CAPACITY = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker keeps; the table starts afresh beyond it.
-KEPT_CHUNKS = 400_000
-_LOADED: dict[str, tuple] = {}
+KEPT_CHUNKS = 1_000_000
+_LOADED: dict[str, ChunkEncoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
+class ChunkEncoder:
+    """Ids of texts, 4 little-endian bytes each, by way of the distinct chunks between spaces.
+
+    No token of this kind of vocabulary crosses a space, so a chunk has the same ids wherever it
+    stands. The vocabulary lower-cases, so A-Z are lowered first; a full stop or comma after a
+    letter at a chunk's end is a chunk of its own, as it is a token of its own. Texts with a
+    special string are left as they are: special strings are told apart by case.
+    """
+
+    _END = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
+    _MARK = "\x01"  # stands between chunks that are encoded in one go
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = json.dumps(spec["normalizer"])
+        split = json.dumps(spec["pre_tokenizer"])
+        if '"Lowercase"' not in steps or '"Removed"' not in split or "[^\\\\s\\\\p{L}\\\\p{N}]+" not in split:
+            raise ValueError("a lower-casing vocabulary that drops white space and parts letters from signs is needed")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [x["content"].encode() for x in spec["added_tokens"]]
+        self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def chunks(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        if any(s in raw for s in self.specials) or any(s in raw.lower() for s in self.specials):
+            return raw.split()
+        return self._END.sub(rb" \g<0>", raw.lower()).split()
+
+    def _ids(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, missing: list[bytes], at_once: int = 2000) -> None:
+        plain = [c for c in missing if self.mark is not None and b"\x01" not in c and not any(s in c for s in self.specials)]
+        for c in set(missing).difference(plain):
+            self.known[c] = self._ids(c)
+        for k in range(0, len(plain), at_once):
+            part = plain[k : k + at_once]
+            joined = f" {self._MARK} ".join(c.decode() for c in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, first = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            for c, a, z in zip(part, first, [*(4 * cuts).tolist(), len(raw)], strict=True):
+                self.known[c] = raw[a:z]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        known = self.known
+        for text in texts:
+            chunks = self.chunks(text)
+            missing = [c for c in dict.fromkeys(chunks) if c not in known]
+            if missing:
+                if len(known) + len(missing) > KEPT_CHUNKS:
+                    known.clear()
+                    missing = list(dict.fromkeys(chunks))
+                self.learn(missing)
+            yield b"".join(map(known.__getitem__, chunks))
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One a worker process, with what it has learned from earlier tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = ChunkEncoder(path)
     return _LOADED[path]
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of each text, 4 little-endian bytes each. No token of this vocabulary crosses a space, so each
-    distinct chunk between spaces is handed to the tokenizer once."""
-    tokenizer, known = _tokenizer(path)
-    for text in texts:
-        chunks = (text or "").encode().split()
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > KEPT_CHUNKS:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            for c, e in zip(missing, tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)):
-                known[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        yield b"".join(map(known.__getitem__, chunks))
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only beyond ``capacity``."""
     long = T.LongType()
@@ -70,7 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(encode(batch.column(1).to_pylist(), path)):
+            for k, ids in enumerate(encoder(path).encode(batch.column(1).to_pylist())):
                 ids += end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
