@@ -20,8 +20,8 @@ def account_event_labels(t):
     return attribution.event_labels(t.account_events).select("ts_us", "account_uuid", "label")
 
 
-@query(f"""WITH {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab)
-SELECT rid, coalesce(i.account_uuid, 'unknown') AS login_uuid, coalesce(label, 'unknown') AS login_label FROM rec r LEFT JOIN iv i ON r.ts_us >= i.ts_us AND r.ts_us < i.to_us""")
+@query(f"""WITH {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (PARTITION BY machine_id ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab)
+SELECT rid, coalesce(i.account_uuid, 'unknown') AS login_uuid, coalesce(label, 'unknown') AS login_label FROM rec r LEFT JOIN iv i ON r.machine_id = i.machine_id AND r.ts_us >= i.ts_us AND r.ts_us < i.to_us""")
 def asof_account(t):
     return attribution.asof_account(t.rec, t.account_events).select("rid", "login_uuid", "login_label")
 
@@ -79,16 +79,12 @@ def join_display_names(t):
     return x.select("rid", "account", "machine", "shown_project")
 
 
-DECLARED = "(SELECT * FROM (VALUES ('acct-0', NULL, 1), (NULL, 'b@x.example', 2), (NULL, 'a@x.example', 3), ('nobody', NULL, 4)) AS d(uuid, mail, n))"
-
-
-@query(f"""WITH known AS (SELECT DISTINCT account_uuid, email FROM account_events), one AS (SELECT email, min(account_uuid) AS u FROM known WHERE email IS NOT NULL GROUP BY 1 HAVING count(DISTINCT account_uuid) = 1)
-SELECT n, coalesce((SELECT min(account_uuid) FROM known WHERE account_uuid = uuid), u) AS account_uuid FROM {DECLARED} d LEFT JOIN one ON one.email = d.mail""")
+@query("""WITH known AS (SELECT DISTINCT account_uuid, email FROM account_events), one AS (SELECT email, min(account_uuid) AS u FROM known WHERE email IS NOT NULL GROUP BY 1 HAVING count(DISTINCT account_uuid) = 1)
+SELECT n, coalesce((SELECT min(account_uuid) FROM known WHERE account_uuid = uuid), u) AS account_uuid FROM declared_accounts d LEFT JOIN one ON one.email = d.mail""")
 def join_declared_accounts(t):
     """A declared entry finds its account by uuid, or by an email that only one account has; null is skipped and reported."""
-    declared = t.spark.createDataFrame([("acct-0", None, 1), (None, "b@x.example", 2), (None, "a@x.example", 3), ("nobody", None, 4)], "uuid string, mail string, n int")
     known = t.account_events.select("account_uuid", "email").distinct()
     one = known.where("email IS NOT NULL").groupBy("email").agg(F.count_distinct("account_uuid").alias("k"), F.min("account_uuid").alias("by_mail")).where("k = 1")
     ids = known.select(F.col("account_uuid").alias("by_uuid")).distinct()
-    x = declared.join(F.broadcast(ids), F.col("uuid") == F.col("by_uuid"), "left").join(F.broadcast(one), F.col("mail") == F.col("email"), "left")
+    x = t.declared_accounts.join(F.broadcast(ids), F.col("uuid") == F.col("by_uuid"), "left").join(F.broadcast(one), F.col("mail") == F.col("email"), "left")
     return x.select("n", F.coalesce("by_uuid", "by_mail").alias("account_uuid"))

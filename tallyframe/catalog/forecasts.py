@@ -91,11 +91,12 @@ def plan_prorated_cost(t):
     return forecast.prorated(t.account_tiers, t.plan_prices, S0, S1).withColumn("usd", F.round("usd", 6))
 
 
-@query("SELECT round(31.0 / 31 * (20.0 / 31) + 29.0 / 29 + 10.0 / 31, 6) AS months, CAST(count(*) AS BIGINT) AS n_accounts FROM (SELECT DISTINCT account_uuid FROM kept)")
+@query("""WITH s AS (SELECT sid, min(ts_us) AS a, max(ts_us) + 86400000000 * 40 AS z FROM rec WHERE ts_us >= 1705708800000000 GROUP BY 1)
+SELECT sid, round((1706745600000000 - a) / 2678400000000.0 + (least(z, 1709251200000000) - 1706745600000000) / 2505600000000.0 + greatest(z - 1709251200000000, 0) / 2678400000000.0, 6) AS months FROM s""")
 def plan_months_in_span(t):
-    """2024-01-12 to 2024-03-11, in calendar months, beside the accounts it is for."""
-    ids = t.rec.agg(F.count_distinct("account_uuid").alias("n_accounts")).withColumns({"from_us": F.lit(1705017600000000), "to_us": F.lit(1710115200000000)})
-    return forecast.month_shares(ids).groupBy("n_accounts").agg(F.round(F.sum("share"), 6).alias("months"))
+    """Calendar months, in parts, from a session's first call to forty days after its last: January's part, February, March's part."""
+    spans = t.rec.where(F.col("ts_us") >= 1705708800000000).groupBy("sid").agg(F.min("ts_us").alias("from_us"), (F.max("ts_us") + F.lit(86_400_000_000 * 40)).alias("to_us"))
+    return forecast.month_shares(spans).groupBy("sid").agg(F.round(F.sum("share"), 6).alias("months"))
 
 
 _VALUE = f"""{_STRETCH}, plan AS (SELECT account_uuid, sum(CAST(usd AS DOUBLE) * (to_us - from_us) / ({S1} - {S0})) AS usd FROM priced GROUP BY 1),

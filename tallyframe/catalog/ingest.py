@@ -90,29 +90,26 @@ def delta_new_samples(t):
     return t.samples.where(F.col("ts_us") > NOW - DAY).select("event_id", "win", "ts_us", "used_pct")
 
 
-@query(f"""WITH {TARGET}, {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab)
-SELECT rid, target AS project, coalesce(i.account_uuid, 'unknown') AS account_uuid, CASE machine_id WHEN 'm1' THEN 3600 WHEN 'm2' THEN -18000 ELSE 0 END AS utc_offset FROM tgt r LEFT JOIN iv i ON r.ts_us >= i.ts_us AND r.ts_us < i.to_us""")
+@query(f"""WITH {TARGET}, {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (PARTITION BY machine_id ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab)
+SELECT rid, target AS project, coalesce(i.account_uuid, 'unknown') AS account_uuid, CASE r.machine_id WHEN 'm1' THEN 3600 WHEN 'm2' THEN -18000 ELSE 0 END AS utc_offset FROM tgt r LEFT JOIN iv i ON r.machine_id = i.machine_id AND r.ts_us >= i.ts_us AND r.ts_us < i.to_us""")
 def delta_payload_records(t):
     x = asof_account(apply_rules(t.rec, t.project_rules), t.account_events)
     offset = F.when(F.col("machine_id") == "m1", 3600).when(F.col("machine_id") == "m2", -18000).otherwise(0)
     return x.select("rid", F.col("target").alias("project"), F.col("login_uuid").alias("account_uuid"), offset.alias("utc_offset"))
 
 
-@query("SELECT date, CAST(rate AS DOUBLE) AS rate, true AS kept FROM fx_rates UNION ALL SELECT date, CAST(rate AS DOUBLE) * 3, false FROM fx_rates WHERE date < '2023-12-25'")
+@query("SELECT event_id, date, rate, rate BETWEEN 5 AND 20 AS kept FROM fx_observations")
 def src_fx_clean(t):
-    raw = t.fx_rates.select("date", F.col("rate").cast("double").alias("rate"))
-    noisy = raw.unionByName(raw.where("date < '2023-12-25'").withColumn("rate", F.col("rate") * 3))
-    good, bad = logs.clean_rates(noisy)
+    """Observations in the plausible band, and those outside it apart."""
+    good, bad = logs.clean_rates(t.fx_observations)
     return good.withColumn("kept", F.lit(True)).unionByName(bad.withColumn("kept", F.lit(False)))
 
 
-@query("SELECT * FROM account_events WHERE NOT (source = 'backfill' AND account_uuid = 'acct-2') UNION ALL SELECT 1705190400000000, 'acct-2', NULL, NULL, NULL, NULL, 'max_5x', NULL, 'backfill'")
+@query("""WITH kept_rows AS (SELECT * FROM account_events WHERE NOT (source = 'backfill' AND account_uuid = 'acct-2'))
+SELECT * FROM kept_rows UNION ALL SELECT * FROM declared_timeline WHERE ts_us NOT IN (SELECT ts_us FROM kept_rows)""")
 def ingest_replace_timeline(t):
-    """Two rows are declared; one falls on a capture's time and gives way."""
-    new = t.spark.createDataFrame(
-        [(1704844800000000, "acct-2", None, None, None, None, "max_5x", None, "backfill"), (1705190400000000, "acct-2", None, None, None, None, "max_5x", None, "backfill")], t.account_events.schema
-    )
-    return ingest.replace_timeline(t.account_events, new, "acct-2")
+    """One account's declared rows anew; those at a capture's time give way."""
+    return ingest.replace_timeline(t.account_events, t.declared_timeline, "acct-2")
 
 
 @query("""SELECT rid, round(CAST(cost AS DOUBLE), 6) AS cost, tokens, model FROM calls""")

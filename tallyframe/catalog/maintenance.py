@@ -64,12 +64,12 @@ def archive_fold(t):
     return _folded(t).withColumn("cost", usd(F.col("cost")))
 
 
-@query(f"""WITH {_FOLD}, {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab)
+@query(f"""WITH {_FOLD}, {LABELS}, iv AS (SELECT *, coalesce(lead(ts_us) OVER (ORDER BY ts_us), 9223372036854775807) AS to_us FROM lab WHERE machine_id = 'm0')
 SELECT f.day, f.sid, f.model, coalesce(i.account_uuid, 'unknown') AS login_uuid, coalesce((SELECT arg_min(target, id) FROM project_rules p WHERE match_kind = 'name' AND project = match_value OR match_kind = 'remote' AND 'host.example/team/' || project = match_value AND repo IS NOT NULL
  OR match_kind = 'cwd_prefix' AND (cwd = match_value OR starts_with(cwd, match_value || '/'))), project) AS target, f.cost, f.n_calls FROM folded f LEFT JOIN iv i ON f.min_ts >= i.ts_us AND f.min_ts < i.to_us""")
 def archive_read(t):
     """Archived rows attributed at read: account by first time, rules on the raw project."""
-    x = _folded(t).withColumn("ts_us", F.col("min_ts"))
+    x = _folded(t).withColumns({"ts_us": F.col("min_ts"), "machine_id": F.lit("m0")})  # the archive is one machine's
     x = asof_account(apply_rules(x, t.project_rules), t.account_events)
     return x.select("day", "sid", "model", "login_uuid", "target", usd(F.col("cost")).alias("cost"), "n_calls")
 

@@ -71,15 +71,21 @@ def _tables(d: dict, events: str = "events") -> dict[str, str]:
             ('seats', 'team', 1704067200000000, CAST(30 AS DECIMAL(10,2))), ('plans', 'pro', 1704067200000000, CAST(20 AS DECIMAL(10,2))),
             ('plans', 'max_5x', 1704067200000000, CAST(100 AS DECIMAL(10,2))), ('plans', 'max_20x', 1704067200000000, CAST(200 AS DECIMAL(10,2))),
             ('plans', 'max_5x', 1705708800000000, CAST(110 AS DECIMAL(10,2))), ('seats', 'team', 1705708800000000, CAST(35 AS DECIMAL(10,2)))"""),
-        "account_events": _values("a", "ts_us, account_uuid, email, organization_uuid, organization_name, seat_tier, user_tier, org_tier, source", """
-            (1704240000000000, 'acct-0', 'a@x.example', 'org-1', 'Org One', NULL, NULL, 'pro', 'capture'),
-            (1704844800000000, 'acct-1', 'b@x.example', 'org-2', 'Org Two', NULL, 'max_5x', 'pro', 'capture'),
-            (1705104000000000, 'acct-2', 'a@x.example', 'org-3', 'Org Three', NULL, NULL, NULL, 'backfill'),
-            (1705536000000000, 'acct-0', 'a@x.example', 'org-1', 'Org One', NULL, NULL, NULL, 'capture'),
-            (1705968000000000, 'acct-3', NULL, NULL, NULL, 'team', NULL, 'tier_team', 'capture')"""),
-        "account_tiers": _values("t", "account_uuid, from_us, seat_tier, user_tier, org_tier", """
-            ('acct-0', 1704153600000000, NULL, NULL, 'pro'), ('acct-0', 1704240000000000, NULL, 'max_5x', 'pro'),
-            ('acct-0', 1705708800000000, NULL, 'max_20x', 'pro'), ('acct-1', 1705363200000000, 'team', 'max_5x', NULL)"""),
+        "account_events": """SELECT concat('m', CAST(event_id % 3 AS STRING)) AS machine_id, ts_us, concat('acct-', CAST(user_id % 4 AS STRING)) AS account_uuid,
+            CASE WHEN k = 4 THEN NULL WHEN user_id % 4 = 1 THEN 'b@x.example' WHEN user_id % 4 = 3 THEN 'c@x.example' ELSE 'a@x.example' END AS email,
+            CASE WHEN k <> 4 THEN concat('org-', CAST(user_id % 4 AS STRING)) END AS organization_uuid,
+            CASE WHEN k <> 4 THEN concat('Org ', CAST(user_id % 4 AS STRING)) END AS organization_name,
+            CASE WHEN k = 1 THEN 'team' END AS seat_tier, CASE WHEN k = 2 THEN 'max_5x' END AS user_tier, CASE WHEN k <> 3 THEN 'pro' END AS org_tier,
+            CASE WHEN k = 0 THEN 'backfill' ELSE 'capture' END AS source FROM e WHERE event_type = 'signup' AND k < 5""",
+        "account_tiers": """SELECT concat('acct-', CAST(user_id % 4 AS STRING)) AS account_uuid, ts_us AS from_us, CASE WHEN k = 0 THEN 'team' END AS seat_tier,
+            CASE WHEN k = 1 THEN 'max_5x' WHEN k = 2 THEN 'max_20x' END AS user_tier, CASE WHEN k <> 2 THEN 'pro' END AS org_tier
+            FROM e WHERE event_type = 'purchase' AND k < 3""",
+        "declared_timeline": """SELECT concat('m', CAST(event_id % 3 AS STRING)) AS machine_id, ts_us, 'acct-2' AS account_uuid, CAST(NULL AS STRING) AS email, CAST(NULL AS STRING) AS organization_uuid,
+            CAST(NULL AS STRING) AS organization_name, CAST(NULL AS STRING) AS seat_tier, 'max_5x' AS user_tier, CAST(NULL AS STRING) AS org_tier, 'backfill' AS source
+            FROM e WHERE event_type = 'signup' AND user_id % 4 = 2 AND k < 10""",
+        "declared_accounts": """SELECT event_id AS n, CASE WHEN k % 3 = 0 THEN concat('acct-', CAST(user_id % 6 AS STRING)) END AS uuid,
+            CASE WHEN k % 3 = 1 THEN CASE user_id % 4 WHEN 1 THEN 'b@x.example' WHEN 3 THEN 'c@x.example' ELSE 'a@x.example' END END AS mail FROM e WHERE event_type = 'signup'""",
+        "fx_observations": """SELECT event_id, CAST(day_utc AS STRING) AS date, CAST(4 + cents % 2000 AS DOUBLE) / 50 AS rate FROM e""",
         "project_rules": _values("r", "id, match_kind, match_value, target", """
             (1, 'name', 'proj1', 'merged'), (2, 'name', 'proj2', 'merged'), (3, 'cwd_prefix', '/w/proj3', 'merged'),
             (4, 'remote', 'host.example/team/proj5', 'remote-five'), (5, 'name', 'proj3', 'never-reached')"""),

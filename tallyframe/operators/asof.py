@@ -17,33 +17,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def intervals(log: DataFrame, keys: list[str], at: str = "from_us", end: str = "to_us") -> DataFrame:
     """[at, next at) per key."""
-    later = F.lead(at).over(Window.partitionBy(*keys).orderBy(at)) if keys else F.lead(at).over(Window.partitionBy(F.lit(0)).orderBy(at))
+    later = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
     return log.withColumn(end, F.coalesce(later, F.lit(FOREVER)))
 
 
 def asof_join(facts: DataFrame, spans: DataFrame, keys: list[str], ts: str = "ts_us", at: str = "from_us", end: str = "to_us") -> DataFrame:
-    """Left join to the interval that holds ``ts``: an equi-join on the keys with a range left over.
-
-    Without keys the log is one timeline; its time is cut into days so that there is a key.
-    """
-    if keys:
-        s = spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns])
-        cond = (facts[ts] >= s[at]) & (facts[ts] < s[end])
-        for k in keys:
-            cond = cond & (facts[k] == s[f"__{k}"])
-        return facts.join(small(s), cond, "left").drop(*[f"__{k}" for k in keys])
-    return _single_timeline(facts, spans, ts, at, end)
-
-
-def _single_timeline(facts: DataFrame, spans: DataFrame, ts: str, at: str, end: str) -> DataFrame:
-    """One timeline has no key to join on; each day that has facts gets the intervals that meet it."""
-    day = 86_400_000_000
-    bin_of = lambda c: F.floor(c / day).cast("long")
-    days = facts.select(bin_of(F.col(ts)).alias("__bin")).distinct()
-    met = days.join(small(spans), (F.col(at) < (F.col("__bin") + 1) * day) & (F.col(end) > F.col("__bin") * day))
-    marked = facts.withColumn("__bin", bin_of(F.col(ts)))
-    m = small(met.withColumnRenamed("__bin", "__day"))
-    return marked.join(m, (marked["__bin"] == m["__day"]) & (marked[ts] >= m[at]) & (marked[ts] < m[end]), "left").drop("__bin", "__day")
+    """Left join to the interval that holds ``ts``: an equi-join on the keys with a range left over."""
+    s = spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns])
+    cond = (facts[ts] >= s[at]) & (facts[ts] < s[end])
+    for k in keys:
+        cond = cond & (facts[k] == s[f"__{k}"])
+    return facts.join(small(s), cond, "left").drop(*[f"__{k}" for k in keys])
 
 
 def carried_forward(log: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_remote
@@ -11,17 +11,18 @@ from .asof import asof_join, carried_forward, intervals, small
 
 def event_labels(events: DataFrame) -> DataFrame:
     """Email; email and organization where one email has several; uuid without an email."""
-    several = F.size(F.collect_set("organization_uuid").over(Window.partitionBy("email"))) > 1
+    orgs = events.where(F.col("email").isNotNull()).groupBy("email").agg((F.count_distinct("organization_uuid") > 1).alias("__several"))
+    several = F.coalesce("__several", F.lit(False))
     label = F.when(F.col("email").isNull(), F.col("account_uuid")).when(
         several & F.col("organization_name").isNotNull(), F.concat("email", F.lit(" ("), "organization_name", F.lit(")"))
     ).otherwise(F.col("email"))
-    return events.withColumn("label", label)
+    return events.join(small(orgs), "email", "left").withColumn("label", label).drop("__several")
 
 
 def asof_account(records: DataFrame, events: DataFrame) -> DataFrame:
-    """``login_uuid`` and ``login_label`` of the newest event up to the call; unknown before the first."""
-    spans = intervals(event_labels(events).select(F.col("account_uuid").alias("login_uuid"), F.col("label").alias("login_label"), F.col("ts_us").alias("from_us")), [])
-    joined = asof_join(records, spans, []).drop("from_us", "to_us")
+    """``login_uuid`` and ``login_label`` of the machine's newest event up to the call; unknown before the first."""
+    log = event_labels(events).select("machine_id", F.col("account_uuid").alias("login_uuid"), F.col("label").alias("login_label"), F.col("ts_us").alias("from_us"))
+    joined = asof_join(records, intervals(log, ["machine_id"]), ["machine_id"]).drop("from_us", "to_us")
     return joined.fillna("unknown", ["login_uuid", "login_label"])
 
 
