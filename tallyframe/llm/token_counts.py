@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks that a worker keeps; the table starts afresh beyond it.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 800_000
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 2_000_000
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -54,44 +54,84 @@ class PrefixCounter:
         self.ids = {as_bytes(s): i for s, i in spec["model"]["vocab"].items() if s not in self.specials}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        # a merged token's id grows with its rank, bytes come before all of them
+        self.merged: dict[int, int] = {}
+        self.halves = {i: (i, i) for i in self.bytes_of}
+        for pair in spec["model"]["merges"]:
             a, b = (as_bytes(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.pairs: dict[tuple[int, int], bool] = {}
+            whole = self.ids[a + b]
+            self.merged[self.ids[a] << 20 | self.ids[b]] = whole
+            self.halves[whole] = (self.ids[a], self.ids[b])
+        ranks = list(self.merged.values())
+        if ranks != sorted(ranks) or any(len(self.bytes_of[i]) == 1 and i > ranks[0] for i in self.bytes_of):
+            raise ValueError("token ids have to follow the ranks of their merges")
+        self.pairs: dict[int, bool] = {}
+        self.pieces: dict[bytes, int] = {}
         self.totals: dict[str, int] = {}
 
-    def encode_bytes(self, piece: bytes) -> list[int]:
-        """Byte-pair merging by rank; only short pairs of tokens come here."""
-        ids = [self.ids[piece[k : k + 1]] for k in range(len(piece))]
-        while len(ids) > 1:
-            best = min(((self.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merges), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
-        return ids
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of two tokens gives the two tokens again.
+
+        The merges that made the tokens are undone from the youngest on. Where the tokens that
+        face each other at the seam have a merge older than what was undone last, that merge
+        would have come first, and the tokens would not have formed.
+        """
+        merged, halves = self.merged, self.halves
+        before = 1 << 30
+        while True:
+            whole = merged.get(a << 20 | b)
+            if whole is not None and whole < before:
+                return False
+            left, right = halves[a][1], halves[b][0]
+            # undo the younger of the two; on a tie the left one merged first
+            if a > b and left != a or right == b:
+                if left == a:
+                    return True
+                before, a = a, left
+            else:
+                before, b = b + 1, right
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 20 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.encode_bytes(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[key] = self._stay_apart(a, b)
         return known
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Tokens of piece[:i] for i = 0 .. len, where the piece is one pre-token."""
-        counts, last, ids = [0], [-1], self.ids
-        for i in range(1, len(piece) + 1):
-            for k in range(max(0, i - self.longest), i):
-                token = ids.get(piece[k:i])
-                if token is not None and (k == 0 or self.compatible(last[k], token)):
-                    counts.append(counts[k] + 1)
-                    last.append(token)
-                    break
+        n, get, pairs, longest = len(piece), self.ids.get, self.pairs, self.longest
+        counts, last = [0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            for k in range(i - longest if i > longest else 0, i):
+                token = get(piece[k:i])
+                if token is None:
+                    continue
+                if k:
+                    known = pairs.get(last[k] << 20 | token)
+                    if not (self.compatible(last[k], token) if known is None else known):
+                        continue
+                counts[i], last[i] = counts[k] + 1, token
+                break
         return counts
 
+    def piece_total(self, piece: bytes) -> int:
+        """The last of a pre-token's counts, kept."""
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) >= KEPT_CHUNKS:
+                self.pieces.clear()
+            known = self.pieces[piece] = self.piece_counts(piece)[-1]
+        return known
+
+    def chunk_total(self, chunk: str) -> int:
+        """The last of a chunk's counts: its pre-tokens' last counts together."""
+        if self.special and self.special.search(chunk):
+            return self.chunk_counts(chunk)[-1]
+        return sum(self.piece_total(m.encode()) for m in _PRE.findall(chunk))
+
     def _plain_counts(self, text: str) -> list[int]:
         out = [0]
         for m in _PRE.finditer(text):
@@ -138,7 +178,7 @@ class PrefixCounter:
         if known is None:
             if len(self.totals) >= KEPT_CHUNKS:
                 self.totals.clear()
-            known = self.totals[chunk] = self.chunk_counts(chunk)[-1]
+            known = self.totals[chunk] = self.chunk_total(chunk)
         return known
 
     def total(self, text: str) -> int:
@@ -156,7 +196,7 @@ class PrefixCounter:
             for part in set(parts).difference(totals):
                 if len(totals) >= KEPT_CHUNKS:
                     totals.clear()
-                totals[part] = sum(self.chunk_counts(c)[-1] for c in _CHUNK.findall(" " + part))
+                totals[part] = sum(map(self.chunk_total, _CHUNK.findall(" " + part)))
             return first + sum(totals[p] if p in totals else self.total(" " + p) for p in parts)
 
     @property
