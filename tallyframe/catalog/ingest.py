@@ -128,30 +128,31 @@ def sink_report_nested(t):
     return b.select("day", F.to_json(F.struct("day", "tokens", usd(F.col("cost")).alias("cost"), "n_calls", "models")).alias("object"))
 
 
-def _log_lines(t):
-    """Log lines as the tool writes them, from the records, with bad and other lines among them."""
+def _log_files(t) -> str:
+    """Log files as the tool writes them, from the records, with bad and other lines among them; returns their root."""
     iso = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_create").alias("cache_creation_input_tokens"), F.when(F.col("cache_read") > 0, F.col("cache_read")).alias("cache_read_input_tokens"))
     line = F.to_json(F.struct(
         F.lit("assistant").alias("type"), iso.alias("timestamp"), F.col("sid").alias("sessionId"), "cwd", F.element_at(F.split("dk", ":"), 2).alias("requestId"),
         F.col("log_cost").cast("string").alias("costUSD"), F.struct(F.col("mid").alias("id"), "model", usage.alias("usage")).alias("message")))
     other = F.when(F.col("rid") % 50 == 0, F.lit("{broken")).when(F.col("rid") % 50 == 2, F.lit('{"type":"user","cwd":"/w/user"}'))
-    return t.rec.select("file_path", F.explode(F.array_compact(F.array(line, other))).alias("value"))
+    root = shared_path(t.spark, "logs")
+    lines = t.rec.select(F.regexp_extract("file_path", "([0-9]+)", 1).alias("log"), F.explode(F.array_compact(F.array(line, other))).alias("value"))
+    lines.write.partitionBy("log").text(root)
+    return root
 
 
 @query(f"SELECT ts_us, sid, mid, model, dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read FROM rec")
 def src_parse_session_logs(t):
-    calls = logs.parse_lines(_log_lines(t))
+    calls = logs.parse_lines(logs.read_lines(t.spark, _log_files(t), "*.txt"))
     return calls.select("ts_us", "sid", "mid", "model", "dk", usd(F.col("log_cost")).alias("log_cost"), "input_tokens", "output_tokens", "cache_create", "cache_read")
 
 
 @query(None)
 def src_log_inventory(t):
-    """Writes the log lines as files and lists them."""
-    root = shared_path(t.spark, "logs")
-    _log_lines(t).select("value").repartition(4).write.text(root, lineSep="\n")
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    """The bytes of each log folder, from the listing alone."""
+    files = logs.inventory(t.spark, _log_files(t), "*.txt")
+    return files.groupBy(F.regexp_extract("file_path", "log=([0-9]+)", 1).alias("log")).agg(F.sum("size").alias("size"))
 
 
 @query("""SELECT ts_us, CAST(floor(used_pct) AS INTEGER) AS session_pct, CASE WHEN model IS NOT NULL THEN model END AS scoped_model, CASE WHEN model IS NOT NULL THEN CAST(floor(used_pct) AS INTEGER) END AS scoped_pct FROM samples""")
@@ -174,6 +175,6 @@ def union_all_sources(t):
 def report_from_stored_flag(t):
     """The calls by way of the stored flag: no dedup shuffle at read."""
     kept = dedup_flag(t.rec).where(~F.col("is_dup")).drop("is_dup")
-    return price_calls(kept, t.price_periods).select("rid", usd(F.col("cost")).alias("cost"))
+    return price_calls(kept, t.price_periods, t.base).select("rid", usd(F.col("cost")).alias("cost"))
 
 

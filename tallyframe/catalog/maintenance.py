@@ -94,7 +94,7 @@ def _rest_sql():
 def _rest(t):
     from ..operators.pricing import price_calls
 
-    return price_calls(m.anti_remainder(t.rec, "m0"), t.price_periods)
+    return price_calls(m.anti_remainder(t.rec, "m0"), t.price_periods, t.base)
 
 
 @query(f"WITH {_rest_sql()} SELECT rid, machine_id, {_u('cost')} AS cost FROM rp")

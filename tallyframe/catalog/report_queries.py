@@ -183,7 +183,7 @@ SELECT CAST(sum(tokens) AS BIGINT) AS processed, round(CAST(sum(cache_read) AS D
 def agg_tiles(t):
     from ..operators.pricing import asof_price
 
-    x = asof_price(t.calls.drop("effective"), t.price_periods)
+    x = asof_price(t.calls.drop("effective"), t.price_periods, t.base)
     fresh = F.col("cache_read").cast("decimal(15,0)") * F.coalesce("ri", F.lit(0).cast("decimal(14,10)"))
     return x.agg(
         F.sum("tokens").alias("processed"), ratio(F.sum("cache_read"), F.sum(F.col("input_tokens") + F.col("cache_create") + F.col("cache_read"))).alias("cached_share"),

@@ -150,7 +150,7 @@ class Tables:
         from .operators.dedup import dedup_merged
         from .operators.pricing import price_calls
 
-        return price_calls(dedup_merged(self.rec), self.price_periods)
+        return price_calls(dedup_merged(self.rec), self.price_periods, self.base)
 
 
 _COST = " + ".join(

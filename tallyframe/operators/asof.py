@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOREVER = 9223372036854775807
-#: Rows of an interval table up to which it is broadcast; a larger one is joined by key with a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a dimension up to which it is broadcast; a larger one is joined by key with a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension whose size was checked; any larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A dimension of at most ``rows`` rows, worked out once and broadcast; any larger one stays as it is, for a shuffled join."""
+    got = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= rows else df
 
 
 def intervals(log: DataFrame, keys: list[str], at: str = "from_us", end: str = "to_us") -> DataFrame:

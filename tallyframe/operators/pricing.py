@@ -25,9 +25,13 @@ def price_intervals(models: DataFrame, periods: DataFrame) -> DataFrame:
     return intervals(one, ["model"])
 
 
-def asof_price(records: DataFrame, periods: DataFrame) -> DataFrame:
-    """Records with the rates in force at their time, null where none names the model."""
-    dim = price_intervals(records.select("model").distinct(), periods)
+def asof_price(records: DataFrame, periods: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Records with the rates in force at their time, null where none names the model.
+
+    ``models``: a frame with at least the records' models, where a plainer one than the records is
+    at hand, such as the table they were deduplicated from.
+    """
+    dim = price_intervals((models or records).select("model").distinct(), periods)
     return asof_join(records, dim.select("model", "from_us", "to_us", *RATE_COLUMNS), ["model"]).drop("from_us", "to_us")
 
 
@@ -42,7 +46,7 @@ def effective_cost() -> Column:
     return F.coalesce(F.col("log_cost").cast(MONEY), F.col("computed"))
 
 
-def price_calls(records: DataFrame, periods: DataFrame) -> DataFrame:
+def price_calls(records: DataFrame, periods: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Records with ``computed``, ``cost`` and ``tokens``; rate columns dropped but for ``effective``."""
-    priced = asof_price(records, periods).withColumn("computed", computed_cost())
+    priced = asof_price(records, periods, models).withColumn("computed", computed_cost())
     return priced.withColumn("cost", effective_cost()).withColumn("tokens", tokens()).drop(*RATE_COLUMNS[1:])

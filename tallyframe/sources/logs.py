@@ -11,14 +11,16 @@ QUOTA = """five_hour struct<utilization:double, resets_at:string>, seven_day str
  limits array<struct<kind:string, model:string, utilization:double, resets_at:string>>, extra_usage struct<used_cents:bigint, limit_cents:bigint>"""
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, mtime, size) of every *.jsonl below the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
+def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(file_path, mtime_us, size) of every log below the root; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select(F.col("path").alias("file_path"), F.unix_micros("modificationTime").alias("mtime_us"), F.col("length").alias("size"))
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"))
+def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(value, file_path) of every line below the root."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    return lines.select("value", F.col("_metadata.file_path").alias("file_path"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
