@@ -24,11 +24,11 @@ def intervals(log: DataFrame, keys: list[str], at: str = "from_us", end: str = "
 
 def asof_join(facts: DataFrame, spans: DataFrame, keys: list[str], ts: str = "ts_us", at: str = "from_us", end: str = "to_us") -> DataFrame:
     """Left join to the interval that holds ``ts``: an equi-join on the keys with a range left over."""
-    s = spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns])
+    s = small(spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns]))
     cond = (facts[ts] >= s[at]) & (facts[ts] < s[end])
     for k in keys:
         cond = cond & (facts[k] == s[f"__{k}"])
-    return facts.join(small(s), cond, "left").drop(*[f"__{k}" for k in keys])
+    return facts.join(s, cond, "left").drop(*[f"__{k}" for k in keys])
 
 
 def carried_forward(log: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:
