@@ -116,12 +116,12 @@ def plan_value_by_month(t):
     return x.select("account_uuid", "month", F.round("cost", 6).alias("cost"), F.round("usd", 6).alias("plan_usd"), F.round(F.try_divide("cost", "usd"), 6).alias("multiple"), F.round(saved, 6).alias("saved"), F.round(saved * F.col("rate"), 4).alias("saved_nok"))
 
 
-@query(f"""WITH {_STRETCH}, span AS (SELECT account_uuid, min(ts_us) AS a, max(ts_us) AS z FROM calls WHERE project = 'proj4' GROUP BY 1),
+@query(f"""WITH {_STRETCH}, span AS (SELECT account_uuid, min(ts_us) AS a, max(ts_us) AS z FROM calls WHERE machine_id = 'm1' GROUP BY 1),
 m AS (SELECT p.account_uuid, sum(CAST(usd AS DOUBLE) * greatest(least(to_us, z) - greatest(from_us, a), 0) / ({S1} - {S0})) AS plan_usd FROM priced p JOIN span USING (account_uuid) GROUP BY 1)
 SELECT account_uuid, round(plan_usd, 6) AS plan_usd FROM m""")
 def plan_value_scope(t):
-    """The plan's cost over the span that a project's records cover."""
-    span = t.calls.where("project = 'proj4'").groupBy("account_uuid").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
+    """The plan's cost over the span that a scope's records cover, here a machine's."""
+    span = t.calls.where("machine_id = 'm1'").groupBy("account_uuid").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
     pieces = forecast.stretch_prices(forecast.stretches(t.account_tiers, S0, S1), t.plan_prices).join(F.broadcast(span), "account_uuid")
     cut = pieces.withColumns({"from_us": F.greatest("from_us", "a"), "to_us": F.least("to_us", "z")})
     empty = F.col("to_us") <= F.col("from_us")
