@@ -53,6 +53,10 @@ TEMPLATES = [
 ]
 
 
+# Words too frequent in running text to spare any text as cover words.
+COMMON = frozenset("a all and any as at be by can copy for from have if in into is it may no not of on or out provided subject such that the this to under use v version was with without work you".split())
+
+
 def normal_words(text: str) -> list[str]:
     return re.findall("[0-9a-z]+", text.lower())
 
@@ -77,7 +81,7 @@ def cover_words(templates: list[tuple[str, str]], threshold: float) -> list[str]
             for g in open_[k]:
                 for w in g.split():
                     # long words are rare in running text, and a rare cover word spares more texts
-                    gains[w] = gains.get(w, 0) + (len(w) ** 2 if len(w) > 2 else 0.01)
+                    gains[w] = gains.get(w, 0) + (len(w) ** 2 if len(w) > 1 and w not in COMMON else 0.01)
         chosen.append(max(sorted(gains), key=gains.get))
 
 
@@ -96,11 +100,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     """(doc_id, kind, segment, template, licence, shared, dice) of every segment that matches a template."""
     templates = templates or TEMPLATES
     cover = cover_words(templates, threshold)
+    cover = [w for w in cover if not any(u != w and u in w for u in cover)]  # a text with the longer word holds the shorter one
     rows = prepared(templates)
     known = F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,licence:string,grams:array<string>>>")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     text = F.col("text")
-    held = lambda c: _any(F.lower(c), cover)
+    held = lambda c: bind(F.lower(c), lambda x: _any(x, cover))
     segments = F.concat(
         F.transform(F.split(text, "\n"), lambda x, k: F.struct(F.lit("line").alias("kind"), k.cast("long").alias("segment"), x.alias("body"))),
         F.filter(
