@@ -7,10 +7,13 @@ preceding bytes, and the estimates of all depths are mixed with the weights that
 text gave them: at a node, half the estimate of its own counts, half the product of its
 children's. Where a context was never seen the deepest known one decides alone.
 
-Counting is a Spark job over all training documents: byte (depth + 1)-grams and word counts.
-The model broadcast holds one row of 256 probabilities a context, ``max_contexts`` contexts a
-depth at most (the most frequent ones; what falls away counts as never seen), so its size is
-bounded by (depth + 1) x max_contexts KiB, whatever the corpus.
+Counting is a Spark job over all documents: byte (depth + 1)-grams, where held-out documents
+count 0, and word counts. Every context counted is kept, in tables. The tree is cut at suffixes:
+all contexts with one ending of depth - 2 bytes (65,792 at most) meet in one group, and the depths
+above go through groups of one depth each, up to 2 bytes, which the driver takes (65,536 contexts
+at most). Groups hand up the counts and estimates of their topmost nodes, and get back what the
+depths above left to mix. So each (depth + 1)-gram gets its log probability, and grams and words
+are joined to the blocks of text that use them; no model is broadcast.
 
 Null texts are empty: one end token. Without training documents every byte has probability
 1/256 and the base score is that of an empty count table. Repeated rows count each time.
@@ -19,7 +22,6 @@ Null texts are empty: one end token. Without training documents every byte has p
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,11 +35,12 @@ from pyspark.sql import types as T
 from .common import materialize
 
 DEPTH = 5
-MAX_CONTEXTS = 24_576
 END = b"\n"
 #: Bytes of text that are joined with their counts in one group.
 BLOCK_BYTES = 8 << 20
 KEPT_WORDS = 300_000
+#: Grams or nodes of the tree in one group, about; one suffix stays whole.
+GROUP_ROWS = 50_000
 
 
 def held_out(doc_id) -> bool:
@@ -62,8 +65,14 @@ def _codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return context[keep], a[keep], np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and byte as one number for every byte, and the first position of each text."""
+    context, byte, starts = _codes(texts, depth)
+    return ((context << np.uint64(8)) | byte).astype(np.int64), starts
+
+
 def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, gram, n): per task, words and byte grams of training documents; gram -1 has the bytes of all documents."""
+    """(word, gram, n): per task, words of training documents and byte grams, at 0 where only others hold them; gram -1 has the bytes of all documents."""
     schema = "word binary, gram long, n long"
 
     def words_out(c: Counter) -> pa.RecordBatch:
@@ -82,12 +91,13 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         return keys[at], np.add.reduceat(n, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, texts, size, total = Counter(), [], [], 0, 0
+        words, grams, total = Counter(), [], 0
+        texts, size = {False: [], True: []}, {False: 0, True: 0}
 
-        def count() -> None:
-            context, byte, _ = _codes(texts, depth)
-            keys, n = np.unique((context << np.uint64(8)) | byte, return_counts=True)
-            grams.append((keys, n))
+        def count(held: bool) -> None:
+            keys, n = np.unique(_grams(texts[held], depth)[0], return_counts=True)
+            grams.append((keys, n * (not held)))
+            texts[held], size[held] = [], 0
             if len(grams) == 8:
                 grams[:] = [merged(grams)]
 
@@ -95,21 +105,21 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 raw = (text.as_py() or b"").lower()
                 total += len(raw)
-                if held_out(doc_id.as_py()):
+                own, held = raw.split(), held_out(doc_id.as_py())
+                texts[held].append(canonical(own))
+                size[held] += len(texts[held][-1])
+                if size[held] > 2 << 20:
+                    count(held)
+                if held:
                     continue
-                own = raw.split()
                 words.update(own)
                 words[END] += 1
-                texts.append(canonical(own))
-                size += len(texts[-1])
-                if size > 2 << 20:
-                    count()
-                    texts, size = [], 0
                 if len(words) > KEPT_WORDS:
                     yield words_out(words)
                     words.clear()
-        if texts:
-            count()
+        for held in texts:
+            if texts[held]:
+                count(held)
         if words:
             yield words_out(words)
         if grams:
@@ -130,6 +140,11 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return out - shift
 
 
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov estimate of so many zeros and ones."""
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - _lgamma(zeros + ones + 1)
+
+
 class Level:
     """Contexts of one depth, sorted, and their symbol counts: dense 256-wide only a stretch at a time."""
 
@@ -151,7 +166,7 @@ STRETCH = 2048
 
 
 class ContextTree:
-    """Rows of log10 probabilities by context, from the levels of depth 0 to the full depth."""
+    """Rows of log10 probabilities by context, from the levels of depth 0 to the full depth: a small tree as a whole, to compare with."""
 
     def __init__(self, levels: list[Level]):
         self.depth = len(levels) - 1
@@ -212,8 +227,7 @@ class ContextTree:
 
     @staticmethod
     def _estimate(nodes: np.ndarray) -> np.ndarray:
-        zeros, ones = nodes[:, 0::2], nodes[:, 1::2]
-        out = _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - _lgamma(zeros + ones + 1)
+        out = _kt(nodes[:, 0::2], nodes[:, 1::2])
         out[:, 0] = 0
         return out
 
@@ -278,49 +292,127 @@ class Lookup:
         return out
 
 
-def train(stats: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> ContextTree:
-    """The tree from the summed grams; the driver gets max_contexts rows of symbol counts a depth at most."""
-    grams = stats.where(F.col("gram") >= 0).groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
-    levels: list[Level] = []
-    for d in range(depth + 1):
-        context = F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1)
-        each = grams.select(context.alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        each = materialize(each, "level")
-        most = each.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(max_contexts)
-        own = each.join(F.broadcast(most), "context").select("context", "byte", "n").toArrow()
-        c, b, n = (own.column(k).to_numpy() for k in range(3))
-        contexts = np.unique(c).astype(np.int64) if len(c) or d else np.zeros(1, np.int64)
-        if d:  # an ending that fell away takes its longer contexts along
-            contexts = contexts[np.isin(contexts & ((1 << 8 * (d - 1)) - 1), levels[d - 1].contexts)]
-        inside = np.isin(c, contexts)
-        levels.append(Level(contexts, np.searchsorted(contexts, c[inside]), b[inside], n[inside]))
-    return ContextTree(levels)
-
-
-_MODEL: dict[str, tuple] = {}
-
-
-def _rows(tag: str, model) -> tuple[Lookup, np.ndarray]:
-    """The lookup table and the rows, made once a worker process."""
-    if tag not in _MODEL:
-        _MODEL.clear()
-        table, contexts, base = model.value
-        _MODEL[tag] = (Lookup(contexts, base), table)
-    return _MODEL[tag]
-
-
-def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+# A node of the tree is a context and one of the 255 places in a byte's decisions: context << 8 | place.
+NODES = "key long, zeros double, ones double, kids double"
+STATE = "key long, mix double, rest double, own double"
+
+
+def _sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, x, n).astype(float)  # of nothing, bincount makes integers
+
+
+def _leaves(grams: np.ndarray, n: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """The nodes of full depth; for each gram (columns) the nodes of its eight decisions and the decisions."""
+    k = np.arange(8)[:, None]
+    byte = grams & 255
+    bit = (byte >> (7 - k)) & 1
+    key, at = np.unique((grams & ~255) | (1 << k) | (byte >> (8 - k)), return_inverse=True)
+    at = at.reshape(bit.shape)
+    zeros, ones = (_sums(at.ravel(), (n * (bit == b)).ravel(), len(key)) for b in (0, 1))
+    return (key, zeros, ones, np.zeros(len(key))), at, bit
+
+
+def _climb(nodes: tuple, depth: int, to: int) -> list[tuple]:
+    """From nodes of ``depth`` up to depth ``to``: each depth's (key, zeros, ones, kids) and the parents' places in the next."""
+    levels = []
+    for d in range(depth - 1, to - 1, -1):
+        key, zeros, ones, kids = nodes
+        own = _kt(zeros, ones)
+        # nothing counted has probability 1; a leaf has no children to mix with
+        inside = np.where(zeros + ones == 0, 0.0, np.where(kids == 0, own, math.log(0.5) + np.logaddexp(own, kids)))
+        above, parent = np.unique(((key >> 8 & ((1 << 8 * d) - 1)) << 8) | (key & 255), return_inverse=True)
+        levels.append((*nodes, parent))
+        nodes = (above, *(_sums(parent, x, len(above)) for x in (zeros, ones, inside)))
+    return [*levels, (*nodes, None)]
+
+
+def _mix(level: tuple, upper: tuple | None) -> tuple:
+    """Of each node: the mixture so far of a 1, the part not given out yet, the last estimate."""
+    _, zeros, ones, kids, _ = level
+    known, estimate = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
+    share = np.where(kids == 0, 1.0, 1 / (1 + np.exp(-np.clip(_kt(zeros, ones) - kids, -80, 80))))
+    before, room, last = upper or (np.zeros(len(zeros)), np.ones(len(zeros)), estimate)
+    # a decision never met here leaves its part to the estimate of the level above
+    taken = np.where(known, share, 0.0)
+    return before + room * taken * estimate, room * (1 - taken), np.where(known, estimate, last)
+
+
+def _descend(levels: list[tuple], state: tuple) -> tuple:
+    """The state of the first of the levels from that of the last."""
+    for level in levels[-2::-1]:
+        state = _mix(level, tuple(x[level[4]] for x in state))
+    return state
+
+
+def _columns(t: pa.Table, *names: str) -> tuple:
+    """Columns as arrays, in the order of the first."""
+    columns = [t.column(c).to_numpy() for c in names]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
+
+
+def gram_scores(grams: DataFrame, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(gram, value): log10 of the probability of each gram's byte after its context, from rows (gram, n), one a gram."""
+    spark = grams.sparkSession
+    size = grams.count()
+    cuts = [max(depth - 2, min(depth - 1, 2))]
+    cuts += range(cuts[0] - 1, 1, -1)
+    names, state_names = ("key", "zeros", "ones", "kids"), ("key", "mix", "rest", "own")
+
+    def dealt(rows: DataFrame, column: str, to: int, n_rows: int) -> DataFrame:
+        suffix = F.shiftright(column, 8).bitwiseAND((1 << 8 * to) - 1)
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(suffix), F.lit(max(1, -(-n_rows // group_rows)))))
+
+    def table_of(names: tuple, columns: tuple) -> pa.Table:
+        return pa.table(dict(zip(names, columns)))
+
+    def leaves_up(rows: pa.Table) -> pa.Table:
+        return table_of(names, _climb(_leaves(*_columns(rows, "gram", "n"))[0], depth, cuts[0])[-1][:4])
+
+    def leaves_down(rows: pa.Table, state: pa.Table) -> pa.Table:
+        grams, n = _columns(rows, "gram", "n")
+        nodes, at, bit = _leaves(grams, n)
+        mix, rest, own = _descend(_climb(nodes, depth, cuts[0]), _columns(state, *state_names)[1:])
+        p = np.clip(mix + rest * own, 1e-9, 1 - 1e-9)
+        return pa.table({"gram": grams, "value": np.log10(np.where(bit == 1, p[at], 1 - p[at])).sum(0)})
+
+    def up(depth: int, to: int):
+        return lambda rows: table_of(names, _climb(_columns(rows, *names), depth, to)[-1][:4])
+
+    def down(depth: int, to: int):
+        def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+            nodes = _columns(rows, *names)
+            return table_of(state_names, (nodes[0], *_descend(_climb(nodes, depth, to), _columns(state, *state_names)[1:])))
+
+        return run
+
+    steps = [(dealt(grams, "gram", cuts[0], size), cuts[0], size, leaves_down, "gram long, value double")]
+    nodes = materialize(steps[0][0].groupBy("bucket").applyInArrow(leaves_up, NODES), "nodes")
+    for d, to in zip(cuts, cuts[1:]):
+        n = nodes.count()
+        rows = dealt(nodes, "key", to, n)
+        steps.append((rows, to, n, down(d, to), STATE))
+        nodes = materialize(rows.groupBy("bucket").applyInArrow(up(d, to), NODES), "nodes")
+    levels = _climb(_columns(nodes.toArrow(), *names), cuts[-1], 0)  # the nodes of 2 bytes of context at most
+    top = _descend(levels, _mix(levels[-1], None))
+    state = spark.createDataFrame(table_of(state_names, (levels[0][0], *top)), STATE)
+    for rows, to, n, run, schema in steps[::-1]:
+        both = rows.groupBy("bucket").cogroup(dealt(state, "key", to, n).groupBy("bucket"))
+        state = materialize(both.applyInArrow(run, schema), "state")
+    return state
+
+
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     if not 0 < depth <= 6:
         raise ValueError("contexts of 1 to 6 bytes are supported: a context and its byte are one long")
     stats = materialize(corpus_counts(docs, depth), "counts")
-    tree = train(stats, depth, max_contexts)
+    grams = materialize(stats.where(F.col("gram") >= 0).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    values = gram_scores(grams, depth)
     words = materialize(stats.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size = stats.where(F.col("gram") == -1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model, tag = spark.sparkContext.broadcast((tree.table, tree.contexts, tree.base)), uuid.uuid4().hex
     blocks = max(1, -(-size // BLOCK_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 200_000))
@@ -331,21 +423,40 @@ def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
     ])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block; in a batch that holds several blocks, of each."""
+        """The distinct words and grams of each block; in a batch that holds several blocks, of each."""
         for batch in batches:
-            seen: dict[int, set[bytes]] = {}
+            seen: dict[int, tuple[set, list, list, list]] = {}
             for block, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                seen.setdefault(block, {END}).update((text.as_py() or b"").lower().split())
-            for block, own in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(list(own), pa.binary())], names=["block", "word"])
-
-    requests = dealt.mapInArrow(asked, "block long, word binary").join(words, "word").select("block", "word", "c")
+                own, texts, size, parts = seen.setdefault(block, ({END}, [], [0], []))
+                w = (text.as_py() or b"").lower().split()
+                own.update(w)
+                texts.append(canonical(w))
+                size[0] += len(texts[-1])
+                if size[0] > 2 << 20:
+                    parts.append(np.unique(_grams(texts, depth)[0]))
+                    texts.clear()
+                    size[0] = 0
+            for block, (own, texts, _, parts) in seen.items():
+                if texts:
+                    parts.append(np.unique(_grams(texts, depth)[0]))
+                grams = np.unique(np.concatenate(parts))
+                n = len(own) + len(grams)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, block)), pa.concat_arrays([pa.array(list(own), pa.binary()), pa.nulls(len(grams), pa.binary())]),
+                    pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(grams)]),
+                ], names=["block", "word", "gram"])
+
+    requests = dealt.mapInArrow(asked, "block long, word binary, gram long")
+    of_words = requests.where(F.col("gram").isNull()).select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
+    of_grams = requests.where(F.col("gram").isNotNull()).select("block", "gram").join(values, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
+    answers = of_words.unionByName(of_grams)
     log_all = math.log10(n + 0.5 * (v + 1))
     log_none = math.log10(0.5)
 
     def answer(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
-        rows, table = _rows(tag, model)
-        logs = dict(zip(known.column("word").to_pylist(), np.log10(known.column("c").to_numpy() + 0.5).tolist()))
+        words = known.filter(known.column("gram").is_null())
+        logs = dict(zip(words.column("word").to_pylist(), np.log10(words.column("value").to_numpy() + 0.5).tolist()))
+        table = _columns(known.filter(known.column("gram").is_valid()), "gram", "value")
         get = logs.get
         ids, sizes, hits, bases, scores, texts, held = own.column("doc_id"), [], [], [], [], [], 0
         for text in own.column("text"):
@@ -358,17 +469,17 @@ def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
             hits.append(len(found))
             bases.append(math.fsum(found) + (len(w) - len(found)) * log_none - len(w) * log_all)
             if held > 2 << 20:
-                scores.append(_log10(texts, rows, table, depth))
+                scores.append(_log10(texts, table, depth))
                 texts, held = [], 0
         if texts:
-            scores.append(_log10(texts, rows, table, depth))
+            scores.append(_log10(texts, table, depth))
         return pa.table({
             "doc_id": ids, "held_out": pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()),
             "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([n] * len(sizes), pa.int64()),
             "base_score": pa.array(bases, pa.float64()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
         }).cast(_arrow(schema, own.schema.field("doc_id")))
 
-    return dealt.groupBy("block").cogroup(requests.groupBy("block")).applyInArrow(answer, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
 
 
 def _arrow(schema: T.StructType, id_field: pa.Field) -> pa.Schema:
@@ -376,6 +487,6 @@ def _arrow(schema: T.StructType, id_field: pa.Field) -> pa.Schema:
     return pa.schema([pa.field("doc_id", id_field.type), *(pa.field(f.name, kinds[type(f.dataType)]) for f in schema.fields[1:])])
 
 
-def _log10(texts: list[bytes], rows: Lookup, table: np.ndarray, depth: int) -> np.ndarray:
-    context, byte, starts = _codes(texts, depth)
-    return np.add.reduceat(table[rows(context), byte].astype(np.float64), starts)
+def _log10(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    grams, starts = _grams(texts, depth)
+    return np.add.reduceat(table[1][np.searchsorted(table[0], grams)], starts)

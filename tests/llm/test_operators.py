@@ -223,6 +223,26 @@ def test_context_tree_is_a_distribution():
     assert (rows(context) >= tree.base[3]).all()
 
 
+def test_context_tree_keeps_every_context(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, "".join(rng.choice(list("abcdefgh"), 2000))) for k in range(60)]
+    train = [t.encode() + b"\n" for k, t in rows if not ctw.held_out(k)]
+    context, byte, _ = ctw._codes(train, 5)
+    levels = []
+    for d in range(6):
+        own = context.astype(np.int64) & ((1 << 8 * d) - 1)
+        pairs, n = np.unique(np.stack([own, byte.astype(np.int64)]), axis=1, return_counts=True)
+        contexts = np.unique(pairs[0])
+        levels.append(ctw.Level(contexts, np.searchsorted(contexts, pairs[0]), pairs[1], n))
+    assert len(levels[5]) > 24_576
+    tree = ctw.ContextTree(levels)
+    lookup = ctw.Lookup(tree.contexts, tree.base)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        context, byte, _ = ctw._codes([text.encode() + b"\n"], 5)
+        assert math.isclose(got[k], tree.table[lookup(context), byte].astype(float).sum(), rel_tol=1e-4)
+
+
 def test_context_tree_awkward(spark, docs, empty):
     got = ctw.score(docs, depth=4).collect()
     assert len(got) == len(AWKWARD) and sum(r["n_tokens"] == 1 for r in got) == 4
