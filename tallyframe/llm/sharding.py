@@ -8,8 +8,8 @@ without links, so no round changes a shard's size. Links are given as (document,
 memberships, which keeps a group of m copies at m rows instead of m^2 edges.
 
 Null texts have size 1 and are alike; repeated rows are copies like any other. Hubs larger
-than a quarter of a shard are split by hash before they count as one neighbourhood. An empty
-table gives an empty result; ties go to the shard that the hub's hash names first.
+than a shard are split by hash before they count as one neighbourhood; others stay whole, and
+the join on hubs is salted for large ones. An empty table gives an empty result; ties go to the shard that the hub's hash names first.
 """
 
 from __future__ import annotations
@@ -20,30 +20,38 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, materialize
 
 N_SHARDS = 16
+#: Members of a hub over this part of a shard are spread over several join keys.
+SALTED = 16
 
 
 def _split_hubs(nodes: DataFrame, n_shards: int) -> DataFrame:
-    """Hubs of at least two members; a hub over a quarter of a shard becomes several."""
+    """Hubs of at least two members, with a salt and how many its hub has; a hub over a shard becomes several."""
     counts = nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    total = nodes.agg(F.greatest(F.count(F.lit(1)) / F.lit(4 * n_shards), F.lit(1.0)).alias("most"))
-    parts = counts.crossJoin(F.broadcast(total)).select("hub", F.ceil(F.col("members") / F.col("most")).cast("long").alias("parts"))
-    joined = nodes.join(parts, "hub", "left")
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.coalesce("parts", F.lit(1)))
-    return joined.withColumn("hub", F.when(F.col("parts").isNotNull(), F.xxhash64("hub", part))).drop("parts")
+    total = nodes.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(n_shards)), F.lit(1)).alias("most"))
+    sized = materialize(counts.crossJoin(F.broadcast(total)).withColumn("large", F.col("members") * SALTED > F.col("most")), "hubs")
+    # at most n_shards x SALTED hubs are large; without their rows no key of the other join is hot
+    large = sized.where("large").select("hub", F.ceil(F.col("members") / F.col("most")).cast("long").alias("parts"), F.ceil(SALTED * F.col("members") / F.col("most")).cast("long").alias("salts"))
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    spread = nodes.join(F.broadcast(large), "hub").withColumn("hub", F.xxhash64("hub", part)).drop("parts")
+    spread = spread.withColumn("salt", F.pmod(F.xxhash64("node", "copy", F.lit("salt")), F.col("salts")))
+    others = nodes.join(F.broadcast(large.select("hub")), "hub", "left_anti").join(sized.where("not large").select("hub", F.lit(0).alias("part")), "hub", "left")
+    others = others.withColumn("hub", F.when(F.col("part").isNotNull(), F.xxhash64("hub", F.lit(0).cast("long")))).drop("part")
+    return spread.unionByName(others.withColumns({"salts": F.lit(1).cast("long"), "salt": F.lit(0).cast("long")}))
 
 
 def _targets(state: DataFrame, n_shards: int) -> DataFrame:
-    """(hub, target): the shard with most of a hub's members; ties by the hub's own order of shards."""
-    held = state.where(F.col("hub").isNotNull()).groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    """(hub, salt, target): the shard with most of a hub's members; ties by the hub's own order of shards."""
+    held = state.where(F.col("hub").isNotNull()).groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
     order = F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 30))
-    return held.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("n"), order)).alias("target"))
+    best = held.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("n"), order)).alias("target"), F.max("salts").alias("salts"))
+    return best.select("hub", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
 
 def _round(state: DataFrame, n_shards: int, turn: int) -> DataFrame:
     """One exchange. ``state``: node, hub, shard and payload columns; returns the same columns."""
     columns = state.columns
     # what a document would cross to; documents without a hub (null would be one hot key) can stand in for any partner
-    linked = state.where(F.col("hub").isNotNull()).join(_targets(state, n_shards), "hub").select(*columns, F.when(F.col("target") != F.col("shard"), F.col("target")).alias("wish"))
+    linked = state.where(F.col("hub").isNotNull()).join(_targets(state, n_shards), ["hub", "salt"]).select(*columns, F.when(F.col("target") != F.col("shard"), F.col("target")).alias("wish"))
     asked = materialize(linked.unionByName(state.where(F.col("hub").isNull()).withColumn("wish", F.lit(None).cast("int"))), "asked")
     flows = asked.where(F.col("wish").isNotNull()).groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where(F.col("hub").isNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
@@ -78,13 +86,13 @@ def balanced_labels(nodes: DataFrame, n_shards: int = N_SHARDS, rounds: int = 3)
 
     (node, copy) tells rows apart. Each round is written to the shared folder.
     """
-    split = materialize(_split_hubs(nodes.where(F.col("hub").isNotNull()), n_shards).unionByName(nodes.where(F.col("hub").isNull())), "nodes")
+    split = materialize(_split_hubs(nodes.where(F.col("hub").isNotNull()), n_shards).unionByName(nodes.where(F.col("hub").isNull()), allowMissingColumns=True), "nodes")
     start = gapless_rank(split.withColumn("__all", F.lit(0)), ["__all"], ["node", "copy"], "rank").drop("__all")
     state = start.withColumn("shard", F.pmod("rank", F.lit(n_shards)).cast("int")).drop("rank")
     state = materialize(state, "state")
     for turn in range(rounds):
         state = materialize(_round(state, n_shards, turn), "state")
-    return state
+    return state.drop("salt", "salts")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = 3) -> DataFrame:

@@ -122,6 +122,14 @@ def test_sharding_splits_a_hot_group(spark):
     assert sorted(r["count"] for r in got) == [150] * 8
 
 
+def test_sharding_keeps_a_group_that_fits(spark):
+    rows = [(k, f"group {k // 60}" if k < 120 else f"text {k}") for k in range(1600)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 120").collect()
+    for group in (0, 1):
+        shards = [r["shard"] for r in got if r["doc_id"] // 60 == group]
+        assert max(map(shards.count, shards)) == 60
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 
