@@ -4,8 +4,12 @@ The base rules (fixed patterns with their checks) always stand. Beside them, gen
 propose overlapping spans that the greedy patterns miss: numbers inside longer runs of
 digits, groups of four, addresses with spelled-out signs. Boosted trees over format and
 context features score them; per kind, the lowest threshold that keeps ``min_precision`` on
-held-back candidates selects. Trees are fitted on a bounded sample of documents, where the
-base rules' verdict is the label and candidates inside a longer failed match are left out.
+held-back candidates selects; a candidate of a wrong format is never added. Trees are fitted on a bounded sample of documents. What the base
+rules found is positive, and so is each of these once more in the forms that only the generators
+know (no plus sign, dots between groups, spelled-out signs). Other candidates are positive with
+a right check digit or spelled-out signs, or in a right format after a fitting word; negative where
+the format is wrong; and left out where only the format speaks for them or they lie inside a
+longer failed match.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows are
 handled one by one. A corpus without candidates gives a model that adds nothing.
@@ -34,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_SPELLED = re.compile(r"\(at\)|\[at\]")
 
 
 def _digits(s: str) -> str:
@@ -92,9 +97,10 @@ _NEAR = re.compile(r"(tel|phone|call|fax|mobile)|(card|visa|credit|pay)|(mail|co
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping spans that might be personal data."""
-    if not _ANY.search(text):
+    signs = "@" in text or _SPELLED.search(text) is not None
+    if not signs and not _ANY.search(text):
         return []
-    found = dict.fromkeys((kind, *m.span()) for kind, g in _GENERATORS for m in g.finditer(text))
+    found = dict.fromkeys((kind, *m.span()) for kind, g in _GENERATORS if signs or kind != "email" for m in g.finditer(text))
     found |= dict.fromkeys(base_spans(text))
     return list(found)
 
@@ -117,8 +123,47 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     ]
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}")
+_GROUPS = re.compile(r"\+?\(?[0-9]{1,4}\)?(?:[\x20.\-/]\(?[0-9]{2,5}\)?){2,4}|\([0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.\-/][0-9]{3,4}")
+
+
+def _format(text: str, kind: str, a: int, b: int) -> int | None:
+    """1 where check digit, signs or a word before it settle a candidate, 0 where its format is wrong, else None."""
+    s = text[a:b]
+    d = _digits(s)
+    near = any(KINDS.index(kind) == (3, 2, 0, 1)[m.lastindex - 1] for m in _NEAR.finditer(text[max(0, a - 24) : a]))
+    if kind == "card":
+        return int(13 <= len(d) <= 19 and luhn(d))
+    if kind == "email":
+        right = re.search(r"[A-Za-z]{2,63}$", s) is not None
+        return int(right) if _SPELLED.search(s) or not right else 1 if near else None
+    if kind == "ip":
+        right = all(int(x) <= 255 for x in s.split("."))
+    else:
+        right = 9 <= len(d) <= 15 and not _DATE.match(s)
+        if right and not near and not _GROUPS.fullmatch(s):
+            return 0  # a bare number
+    return (1 if near else None) if right else 0
+
+
+def _forms(text: str, span: tuple[str, int, int]) -> list[str]:
+    """A found span in the forms that only the generators know."""
+    kind, a, b = span
+    s = text[a:b]
+    d = _digits(s)
+    if kind == "email":
+        local, domain = s.split("@")
+        return [f"{local} (at) {domain.replace('.', ' (dot) ')}", f"{local}[at]{domain.replace('.', '[dot]')}"]
+    if kind == "card":
+        return [".".join(d[k : k + 4] for k in range(0, len(d), 4))] if len(d) % 4 != 1 or len(d) == 13 else []
+    if kind == "phone" and len(d) >= 10:
+        d = d[-10:]
+        return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}"]
+    return []
+
+
 def _weak_labels(text: str) -> list[tuple[tuple[str, int, int], int]]:
-    """Candidates that the base rules settle: found (1), or touching no match of any pattern (0)."""
+    """Candidates that the base rules or their own format settle."""
     base = base_spans(text)
     kept = set(base)
     wide = [m.span() for p in (_IP, _CARD, _PHONE) for m in p.finditer(text)]
@@ -129,8 +174,19 @@ def _weak_labels(text: str) -> list[tuple[tuple[str, int, int], int]]:
             out.append((c, 1))
         elif any(x < b and a < y for _, x, y in base):
             out.append((c, 0)) if not any(x <= a and b <= y for k, x, y in base if k == kind) else None
-        elif not any((x < a or y > b) and x < b and a < y for x, y in wide):
-            out.append((c, 0))
+        elif not any((x < a or y > b) and x < b and a < y for x, y in wide) and (label := _format(text, *c)) is not None:
+            out.append((c, label))
+    return out
+
+
+def _examples(text: str) -> list[tuple[str, int, list[float]]]:
+    """(kind, label, features) of the settled candidates and of the other forms of found spans."""
+    out = [(c[0], y, features(text, *c)) for c, y in _weak_labels(text)]
+    for kind, a, b in base_spans(text):
+        for form in _forms(text, (kind, a, b)):
+            # what stands next to a span is as far as features look
+            before = text[max(0, a - 24) : a]
+            out.append((kind, 1, features(before + form + text[b : b + 12], kind, len(before), len(before) + len(form))))
     return out
 
 
@@ -206,16 +262,16 @@ def learn(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS) -> Boosted:
     """Fit on the candidates of about ``max_documents`` documents, drawn by hash of the id."""
     n = docs.count()
     share = min(1.0, max_documents / max(1, n))
-    sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col("text").rlike("[0-9@]"))
+    sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                own = _weak_labels(x.as_py())
+                own = _examples(x.as_py())
                 if own:
-                    text = x.as_py()
+                    kinds, y, rows = zip(*own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([c[0] for c, _ in own]), pa.array([y for _, y in own], pa.int32()), pa.array([features(text, *c) for c, _ in own], pa.list_(pa.float64()))],
+                        [pa.array(kinds), pa.array(y, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
                         names=["kind", "y", "x"],
                     )
 
@@ -230,7 +286,7 @@ def learn(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS) -> Boosted:
 def all_spans(text: str, model: Boosted) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base, all): the base rules' spans and those with the chosen candidates, non-overlapping ones, added."""
     base = base_spans(text)
-    others = [c for c in candidates(text) if not any(x < c[2] and c[1] < y for _, x, y in base)] if model.trees and _ANY.search(text) else []
+    others = [c for c in candidates(text) if not any(x < c[2] and c[1] < y for _, x, y in base) and _format(text, *c) != 0] if model.trees else []
     if not others:
         return base, base
     odds = model.odds(np.array([features(text, *c) for c in others], float))

@@ -308,6 +308,15 @@ def test_pii(spark, small, docs, empty):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_pii_finds_what_only_generators_propose(spark):
+    model = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))  # SMALL has too few for thresholds
+    planted = [("phone", "(555) 123-4567"), ("phone", "555-123-4567"), ("card", "4111.1111.1111.1111"), ("email", "name (at) host (dot) com")]
+    for kind, value in planted:
+        text = f"please note {value} for later"
+        assert (kind, 12, 12 + len(value)) in pii.all_spans(text, model)[1], value
+    assert pii.all_spans("order 2024-01-15 12:30 of 123456789012 pieces", model)[1] == []
+
+
 @pytest.mark.parametrize("text", ["a@b@c.d.e@f.g", "x" * 5000 + "@", "1.2.3.4.5.6.7.8", "1.2.3", "256.1.1.1 1.1.1.255", "4111 1111 1111 1111 4111-1111-1111-1111", "+1 22 33 44 55 66 +", "0" * 40, "a@b a@b.c. é@é.com é1@x.y"])
 def test_base_spans(text):
     assert pii.base_spans(text) == brute.op8_base(text)
