@@ -377,6 +377,14 @@ def test_licences(spark, duck, docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_know_the_bsd_text(spark):
+    parts = [licences._BSD_OPEN, licences._BSD_ONE, licences._BSD_TWO, licences._BSD_THREE, licences._BSD_END]
+    wrap = lambda t: "\n".join(" ".join(t.split()[k : k + 10]) for k in range(0, len(t.split()), 10))
+    rows = [(1, "\n\n".join(map(wrap, parts))), (2, "\n".join("# " + x for x in "\n\n".join(map(wrap, parts)).split("\n")))]
+    found = {(r["doc_id"], r["licence"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["dice"] == 1}
+    assert {(1, "BSD"), (1, "BSD-3-Clause"), (2, "BSD-3-Clause")} <= found
+
+
 def test_cover_words_lose_nothing():
     cover = licences.cover_words(licences.TEMPLATES, licences.THRESHOLD)
     for _, text in licences.TEMPLATES:
