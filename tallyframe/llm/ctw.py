@@ -7,13 +7,16 @@ preceding bytes, and the estimates of all depths are mixed with the weights that
 text gave them: at a node, half the estimate of its own counts, half the product of its
 children's. Where a context was never seen the deepest known one decides alone.
 
-Counting is a Spark job over all documents: byte (depth + 1)-grams, where held-out documents
-count 0, and word counts. Every context counted is kept, in tables. The tree is cut at suffixes:
-all contexts with one ending of depth - 2 bytes (65,792 at most) meet in one group, and the depths
-above go through groups of one depth each, up to 2 bytes, which the driver takes (65,536 contexts
-at most). Groups hand up the counts and estimates of their topmost nodes, and get back what the
-depths above left to mix. So each (depth + 1)-gram gets its log probability, and grams and words
-are joined to the blocks of text that use them; no model is broadcast.
+Rows are dealt once to blocks of about ``BLOCK_BYTES`` and written as a bucketed table, so that
+counting and scoring both find a block's texts together. A block states its distinct words and
+(depth + 1)-byte grams with their training counts (0 where only held-out documents hold them), packed
+into one row for each part of the keys; parts of ``_FAN`` blocks at a time are merged until one row a
+part is left. The tree is cut at suffixes: contexts with one ending of depth - 2 bytes (65,792 at
+most) meet in one part, and the depths above go through groups of one depth each, up to 1 byte,
+which the driver takes (256 contexts). Groups hand up the counts and estimates of their topmost
+nodes, and get back what the depths above left to mix. So each gram gets its log probability, and
+each block gets the values of its own grams and words. Every counted context is kept and no model
+is broadcast. Values travel as 32-bit floats: a score is right to about seven digits.
 
 Null texts are empty: one end token. Without training documents every byte has probability
 1/256 and the base score is that of an empty count table. Repeated rows count each time.
@@ -22,25 +25,30 @@ Null texts are empty: one end token. Without training documents every byte has p
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 DEPTH = 5
 END = b"\n"
-#: Bytes of text that are joined with their counts in one group.
-BLOCK_BYTES = 8 << 20
-KEPT_WORDS = 300_000
-#: Grams or nodes of the tree in one group, about; one suffix stays whole.
+#: Bytes of text whose distinct words and grams are stated, and answered, together.
+BLOCK_BYTES = 16 << 20
+#: Texts are turned into grams so many bytes at a time.
+_STRETCH = 4 << 20
+#: Blocks merged in one step.
+_FAN = 64
+#: Grams or nodes of the tree worked on at once, about; one suffix stays whole.
 GROUP_ROWS = 50_000
+_SPREAD = 641_336_489
 
 
 def held_out(doc_id) -> bool:
@@ -51,82 +59,131 @@ def canonical(words: list[bytes]) -> bytes:
     return b" ".join(words) + END
 
 
-def _codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, byte, first position of each text) for every byte; a text begins after ``depth`` line feeds."""
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and byte as one number for every byte, and the first position of each text, which begins after ``depth`` line feeds."""
     pad = END * depth
     a = np.frombuffer(pad + pad.join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + depth)[:-1]))
     keep = np.ones(len(a), bool)
     keep[(starts[:, None] + np.arange(depth)).ravel()] = False
-    context = np.zeros(len(a), np.uint64)
-    for d in range(depth, 0, -1):
-        context[depth:] = (context[depth:] << np.uint64(8)) | a[depth - d : len(a) - d]
-    return context[keep], a[keep], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    gram = np.zeros(len(a), np.int64)
+    for d in range(depth, -1, -1):
+        gram[depth:] = (gram[depth:] << 8) | a[depth - d : len(a) - d]
+    return gram[keep], np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and byte as one number for every byte, and the first position of each text."""
-    context, byte, starts = _codes(texts, depth)
-    return ((context << np.uint64(8)) | byte).astype(np.int64), starts
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at], np.add.reduceat(n, at)
 
 
-def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, gram, n): per task, words of training documents and byte grams, at 0 where only others hold them; gram -1 has the bytes of all documents."""
-    schema = "word binary, gram long, n long"
+# Sorted grams are packed as differences, words joined by spaces, counts as they are.
 
-    def words_out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.binary()), pa.nulls(len(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["word", "gram", "n"]
-        )
 
-    def grams_out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "gram", "n"])
+def _pack(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[at], np.add.reduceat(n, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, total = Counter(), [], 0
-        texts, size = {False: [], True: []}, {False: 0, True: 0}
+def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), kind)
 
-        def count(held: bool) -> None:
-            keys, n = np.unique(_grams(texts[held], depth)[0], return_counts=True)
-            grams.append((keys, n * (not held)))
-            texts[held], size[held] = [], 0
-            if len(grams) == 8:
-                grams[:] = [merged(grams)]
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                raw = (text.as_py() or b"").lower()
-                total += len(raw)
-                own, held = raw.split(), held_out(doc_id.as_py())
-                texts[held].append(canonical(own))
-                size[held] += len(texts[held][-1])
-                if size[held] > 2 << 20:
-                    count(held)
-                if held:
-                    continue
-                words.update(own)
-                words[END] += 1
-                if len(words) > KEPT_WORDS:
-                    yield words_out(words)
-                    words.clear()
-        for held in texts:
-            if texts[held]:
-                count(held)
-        if words:
-            yield words_out(words)
-        if grams:
-            yield grams_out(*merged(grams))
-        yield grams_out(np.array([-1]), np.array([total]))
-
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, schema)
+def _pack_keys(grams: np.ndarray) -> bytes:
+    return _pack(np.diff(grams, prepend=0))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b))
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
+
+
+def _unpack_words(b: bytes) -> list[bytes]:
+    return zlib.decompress(b).split(b" ")
+
+
+def _part_of(suffix: np.ndarray, parts: int) -> np.ndarray:
+    return ((suffix * _SPREAD) & 0xFFFFFFFF) * parts >> 32
+
+
+def _part_column(key: str, to: int, parts: int) -> Column:
+    """The same of a node's key, by the last ``to`` bytes of its context."""
+    suffix = F.shiftright(key, 8).bitwiseAND((1 << 8 * to) - 1)
+    return F.shiftright((suffix * _SPREAD).bitwiseAND(0xFFFFFFFF) * parts, 32)
+
+
+PACKED = "part long, block long, keys binary, n binary, size long"
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+    return pa.table({name: pa.array(list(x), kind) for name, kind, x in zip(("part", "block", "keys", "n", "size"), kinds, zip(*rows) if rows else [()] * 5)})
+
+
+def _counts(texts: pa.Table, depth: int, cut: int, parts: int) -> pa.Table:
+    """What a block holds, a row for each part: words in parts from 0, grams in parts from ``parts``."""
+    block = texts.column("block")[0].as_py()
+    words, others, grams = Counter(), set(), []
+    waiting, size = {False: [], True: []}, {False: 0, True: 0}
+
+    def take(held: bool) -> None:
+        keys, n = np.unique(_grams(waiting[held], depth)[0], return_counts=True)
+        grams.append((keys, n * (not held)))
+        waiting[held], size[held] = [], 0
+
+    for doc_id, text in zip(texts.column("doc_id"), texts.column("text")):
+        own, held = _words(text.as_py()), held_out(doc_id.as_py())
+        waiting[held].append(canonical(own))
+        size[held] += len(waiting[held][-1])
+        if held:
+            others.update(own)
+        else:
+            words.update(own)
+            words[END] += 1
+        if size[held] > _STRETCH:
+            take(held)
+    for held in waiting:
+        if waiting[held]:
+            take(held)
+    words.update(dict.fromkeys(others | {END}, 0))
+    by: dict[int, list] = defaultdict(list)
+    for w in words:
+        by[zlib.crc32(w) % parts].append(w)
+    rows = [(p, block, _pack_words(own), _pack(np.array([words[w] for w in own], np.int64)), len(own)) for p, own in by.items()]
+    keys, n = _merged(grams)
+    part = _part_of((keys >> 8) & ((1 << 8 * cut) - 1), parts)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)):
+        at = order[bounds[p] : bounds[p + 1]]
+        rows.append((parts + int(p), block, _pack_keys(keys[at]), _pack(n[at]), len(at)))
+    return _packed(rows)
+
+
+def _merge(parts: int) -> Callable:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part, block = (x.as_py() for x in key)
+        packed = list(zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist()))
+        if part >= parts:
+            keys, n = _merged([(_unpack_keys(k), _unpack(c)) for k, c in packed])
+            return _packed([(part, block, _pack_keys(keys), _pack(n), len(keys))])
+        words: Counter = Counter()
+        for k, c in packed:
+            words.update(dict(zip(_unpack_words(k), _unpack(c).tolist())))
+        return _packed([(part, block, _pack_words(list(words)), _pack(np.array(list(words.values()), np.int64)), len(words))])
+
+    return run
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -134,10 +191,12 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     low = x < 8
     y = np.where(low, x + 8, x)
     out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    shift = np.zeros_like(x)
+    small = x[low]
+    shift = np.ones_like(small)
     for k in range(8):
-        shift += np.log(np.where(low, x + k, 1.0))
-    return out - shift
+        shift *= small + k
+    out[low] -= np.log(shift)
+    return out
 
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -145,156 +204,10 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - _lgamma(zeros + ones + 1)
 
 
-class Level:
-    """Contexts of one depth, sorted, and their symbol counts: dense 256-wide only a stretch at a time."""
-
-    def __init__(self, contexts: np.ndarray, row: np.ndarray, byte: np.ndarray, n: np.ndarray):
-        order = np.argsort(row, kind="stable")
-        self.contexts, self.row, self.byte, self.n = contexts, row[order], byte[order], n[order]
-
-    def __len__(self) -> int:
-        return len(self.contexts)
-
-    def dense(self, first: int, end: int) -> np.ndarray:
-        at = slice(*np.searchsorted(self.row, (first, end)))
-        out = np.zeros((min(end, len(self)) - first, 256), np.int64)
-        out[self.row[at] - first, self.byte[at]] = self.n[at]
-        return out
-
-
-STRETCH = 2048
-
-
-class ContextTree:
-    """Rows of log10 probabilities by context, from the levels of depth 0 to the full depth: a small tree as a whole, to compare with."""
-
-    def __init__(self, levels: list[Level]):
-        self.depth = len(levels) - 1
-        self.contexts = [x.contexts for x in levels]
-        self.base = np.concatenate(([0], np.cumsum([len(x) for x in levels])[:-1]))
-        weights = self._weights(levels)
-        self.table = np.zeros((sum(map(len, levels)), 256), np.float32)
-        # of the level above: mixture so far of a 1 at every node, the part not given out yet, the last estimate
-        upper: list[np.ndarray] | None = None
-        for d, level in enumerate(levels):
-            new = [np.zeros((len(level), 256), np.float32) for _ in range(3)]
-            for at in range(0, len(level), STRETCH):
-                part = slice(at, at + STRETCH)
-                nodes = self._nodes(level.dense(at, at + STRETCH))
-                estimate, known = (nodes[:, 1::2] + 0.5) / (nodes[:, :256] + 1.0), nodes[:, :256] > 0
-                share = 1 / (1 + np.exp(-np.clip(weights[d][part], -80, 80)))
-                if upper is None:
-                    before, room, last = 0.0, 1.0, estimate
-                else:
-                    parent = np.searchsorted(self.contexts[d - 1], level.contexts[part] & ((1 << 8 * (d - 1)) - 1))
-                    before, room, last = (x[parent] for x in upper)
-                    known = known & (room > 0)
-                # a decision never met here leaves its part to the estimate of the level above
-                taken = np.where(known, share, 0.0)
-                own, mix, rest = np.where(known, estimate, last), before + room * taken * estimate, room * (1 - taken)
-                for x, y in zip(new, (mix, rest, own)):
-                    x[part] = y
-                self.table[self.base[d] + at : self.base[d] + at + len(own)] = self._bytes(np.clip(mix + rest * own, 1e-9, 1 - 1e-9))
-            upper, weights[d] = new, None
-
-    def _weights(self, levels: list[Level]) -> list[np.ndarray | None]:
-        """Per level, the log of a node's own estimate against the product of its children's; infinite at leaves."""
-        weights: list[np.ndarray | None] = [None] * len(levels)
-        inside = None
-        for d in range(self.depth, -1, -1):
-            level = levels[d]
-            weights[d] = np.full((len(level), 256), np.inf, np.float32)
-            above = np.zeros((len(levels[d - 1]) if d else 0, 256))
-            for at in range(0, len(level), STRETCH):
-                own = self._estimate(self._nodes(level.dense(at, at + STRETCH)))
-                kids = inside[at : at + STRETCH] if inside is not None else np.zeros_like(own)
-                leaf = kids == 0
-                weights[d][at : at + STRETCH] = np.where(leaf, np.inf, own - kids)
-                if d:
-                    parent = np.searchsorted(self.contexts[d - 1], level.contexts[at : at + STRETCH] & ((1 << 8 * (d - 1)) - 1))
-                    np.add.at(above, parent, np.where(leaf, own, math.log(0.5) + np.logaddexp(own, kids)))
-            inside = above
-        return weights
-
-    @staticmethod
-    def _nodes(counts: np.ndarray) -> np.ndarray:
-        """Occurrences by node: 1 is the root of the byte's eight decisions, 2k and 2k + 1 follow k."""
-        out = np.zeros((len(counts), 512))
-        out[:, 256:] = counts
-        for k in range(7, -1, -1):
-            out[:, 1 << k : 2 << k] = out[:, 2 << k : 4 << k].reshape(len(counts), 1 << k, 2).sum(2)
-        return out
-
-    @staticmethod
-    def _estimate(nodes: np.ndarray) -> np.ndarray:
-        out = _kt(nodes[:, 0::2], nodes[:, 1::2])
-        out[:, 0] = 0
-        return out
-
-    @staticmethod
-    def _bytes(p1: np.ndarray) -> np.ndarray:
-        """log10 of each byte's probability from the probability of a 1 at each node."""
-        out = np.zeros((len(p1), 1))
-        for k in range(8):
-            p = p1[:, 1 << k : 2 << k].astype(np.float64)
-            out = (out[:, :, None] + np.log10(np.stack([1 - p, p], 2))).reshape(len(p1), -1)
-        return out.astype(np.float32)
-
-
-class Lookup:
-    """Row of the deepest known ending of a context: a place for each ending of up to 2 bytes, hashing beyond."""
-
-    def __init__(self, contexts: list[np.ndarray], base: np.ndarray):
-        shallow = min(2, len(contexts) - 1)
-        self.rows = np.zeros(1 << 8 * shallow, np.int32)
-        for d in range(1, shallow + 1):
-            self.rows.reshape(-1, 1 << 8 * d)[:, contexts[d]] = base[d] + np.arange(len(contexts[d]), dtype=np.int32)
-        self.mask = np.uint64((1 << 8 * shallow) - 1)
-        self.deep = []
-        for d in range(shallow + 1, len(contexts)):
-            keys, values = contexts[d].astype(np.uint64), (base[d] + np.arange(len(contexts[d]))).astype(np.int32)
-            if len(keys):
-                self.deep.append((np.uint64((1 << 8 * d) - 1), self._tables(keys, values)))
-
-    @staticmethod
-    def _tables(keys: np.ndarray, values: np.ndarray) -> list[tuple]:
-        """Hash tables, each holding what collided in those before, until nothing is left."""
-        tables, bits = [], max(10, int(len(keys) * 8).bit_length())
-        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD):
-            shift = np.uint64(64 - bits)
-            slot = (keys * np.uint64(factor)) >> shift
-            held, rows = np.full(1 << bits, np.uint64(2**64 - 1)), np.zeros(1 << bits, np.int32)
-            _, first = np.unique(slot, return_index=True)
-            held[slot[first]], rows[slot[first]] = keys[first], values[first]
-            tables.append((np.uint64(factor), shift, held, rows))
-            left = np.ones(len(keys), bool)
-            left[first] = False
-            keys, values = keys[left], values[left]
-            if not len(keys):
-                return tables
-        raise RuntimeError("contexts collide in every table")
-
-    def __call__(self, context: np.ndarray) -> np.ndarray:
-        out = self.rows[context & self.mask]
-        for mask, tables in self.deep:
-            ending = context & mask
-            for k, (factor, shift, held, rows) in enumerate(tables):
-                at = slice(None) if k == 0 else missed
-                own = ending[at]
-                slot = (own * factor) >> shift
-                found = held[slot] == own
-                if k == 0:
-                    np.copyto(out, rows[slot], where=found)
-                    missed = np.flatnonzero(~found)
-                else:
-                    out[missed[found]] = rows[slot[found]]
-                    missed = missed[~found]
-        return out
-
-
 # A node of the tree is a context and one of the 255 places in a byte's decisions: context << 8 | place.
 NODES = "key long, zeros double, ones double, kids double"
 STATE = "key long, mix double, rest double, own double"
+_NODE, _STATE = ("key", "zeros", "ones", "kids"), ("key", "mix", "rest", "own")
 
 
 def _sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -338,155 +251,211 @@ def _mix(level: tuple, upper: tuple | None) -> tuple:
 
 
 def _descend(levels: list[tuple], state: tuple) -> tuple:
-    """The state of the first of the levels from that of the last."""
+    """The state of the first of the levels from the table of states that holds those of the last."""
+    at = np.searchsorted(state[0], levels[-1][0])
+    out = tuple(x[at] for x in state[1:])
     for level in levels[-2::-1]:
-        state = _mix(level, tuple(x[level[4]] for x in state))
-    return state
+        out = _mix(level, tuple(x[level[4]] for x in out))
+    return out
 
 
-def _columns(t: pa.Table, *names: str) -> tuple:
+def _columns(t: pa.Table, names: tuple) -> tuple:
     """Columns as arrays, in the order of the first."""
     columns = [t.column(c).to_numpy() for c in names]
     order = np.argsort(columns[0], kind="stable")
     return tuple(c[order] for c in columns)
 
 
-def gram_scores(grams: DataFrame, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(gram, value): log10 of the probability of each gram's byte after its context, from rows (gram, n), one a gram."""
-    spark = grams.sparkSession
-    size = grams.count()
-    cuts = [max(depth - 2, min(depth - 1, 2))]
-    cuts += range(cuts[0] - 1, 1, -1)
-    names, state_names = ("key", "zeros", "ones", "kids"), ("key", "mix", "rest", "own")
+def _table(names: tuple, columns: tuple) -> pa.Table:
+    return pa.table(dict(zip(names, columns)))
+
 
-    def dealt(rows: DataFrame, column: str, to: int, n_rows: int) -> DataFrame:
-        suffix = F.shiftright(column, 8).bitwiseAND((1 << 8 * to) - 1)
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(suffix), F.lit(max(1, -(-n_rows // group_rows)))))
+def _stretches(grams: np.ndarray, cut: int, group_rows: int) -> list[np.ndarray]:
+    """Places of the grams by their contexts' endings, about ``group_rows`` at a time, an ending never parted."""
+    suffix = (grams >> 8) & ((1 << 8 * cut) - 1)
+    order = np.argsort(suffix, kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(suffix[order]) != 0)))
+    _, at = np.unique(firsts // group_rows, return_index=True)
+    return np.split(order, firsts[at][1:])
 
-    def table_of(names: tuple, columns: tuple) -> pa.Table:
-        return pa.table(dict(zip(names, columns)))
+
+def gram_scores(grams: DataFrame, parts: int, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The grams' rows, one a part, with log10 of the probability of each one's byte after its context in ``n``."""
+    spark = grams.sparkSession
+    cut = max(depth - 2, 1)
 
     def leaves_up(rows: pa.Table) -> pa.Table:
-        return table_of(names, _climb(_leaves(*_columns(rows, "gram", "n"))[0], depth, cuts[0])[-1][:4])
+        tops = []
+        for keys, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist()):
+            keys, n = _unpack_keys(keys), _unpack(n)
+            tops += [_climb(_leaves(keys[at], n[at])[0], depth, cut)[-1][:4] for at in _stretches(keys, cut, group_rows)]
+        return _table(_NODE, tuple(map(np.concatenate, zip(*tops))))
 
     def leaves_down(rows: pa.Table, state: pa.Table) -> pa.Table:
-        grams, n = _columns(rows, "gram", "n")
-        nodes, at, bit = _leaves(grams, n)
-        mix, rest, own = _descend(_climb(nodes, depth, cuts[0]), _columns(state, *state_names)[1:])
-        p = np.clip(mix + rest * own, 1e-9, 1 - 1e-9)
-        return pa.table({"gram": grams, "value": np.log10(np.where(bit == 1, p[at], 1 - p[at])).sum(0)})
+        state, out = _columns(state, _STATE), []
+        for part, packed, n in zip(*(rows.column(c).to_pylist() for c in ("part", "keys", "n"))):
+            keys, n = _unpack_keys(packed), _unpack(n)
+            values = np.empty(len(keys), np.float32)
+            for at in _stretches(keys, cut, group_rows):
+                nodes, place, bit = _leaves(keys[at], n[at])
+                mix, rest, own = _descend(_climb(nodes, depth, cut), state)
+                p = np.clip(mix + rest * own, 1e-9, 1 - 1e-9)
+                values[at] = np.log10(np.where(bit == 1, p[place], 1 - p[place])).sum(0)
+            out.append((part, None, packed, _pack(values), len(keys)))
+        return _packed(out)
 
     def up(depth: int, to: int):
-        return lambda rows: table_of(names, _climb(_columns(rows, *names), depth, to)[-1][:4])
+        return lambda rows: _table(_NODE, _climb(_columns(rows, _NODE), depth, to)[-1][:4])
 
     def down(depth: int, to: int):
         def run(rows: pa.Table, state: pa.Table) -> pa.Table:
-            nodes = _columns(rows, *names)
-            return table_of(state_names, (nodes[0], *_descend(_climb(nodes, depth, to), _columns(state, *state_names)[1:])))
+            nodes = _columns(rows, _NODE)
+            return _table(_STATE, (nodes[0], *_descend(_climb(nodes, depth, to), _columns(state, _STATE))))
 
         return run
 
-    steps = [(dealt(grams, "gram", cuts[0], size), cuts[0], size, leaves_down, "gram long, value double")]
-    nodes = materialize(steps[0][0].groupBy("bucket").applyInArrow(leaves_up, NODES), "nodes")
-    for d, to in zip(cuts, cuts[1:]):
-        n = nodes.count()
-        rows = dealt(nodes, "key", to, n)
-        steps.append((rows, to, n, down(d, to), STATE))
-        nodes = materialize(rows.groupBy("bucket").applyInArrow(up(d, to), NODES), "nodes")
-    levels = _climb(_columns(nodes.toArrow(), *names), cuts[-1], 0)  # the nodes of 2 bytes of context at most
-    top = _descend(levels, _mix(levels[-1], None))
-    state = spark.createDataFrame(table_of(state_names, (levels[0][0], *top)), STATE)
+    def dealt(rows: DataFrame, to: int, n: int) -> DataFrame:
+        return rows.withColumn("bucket", _part_column("key", to, n))
+
+    leaves = grams.withColumn("bucket", F.col("part") - parts)
+    steps = [(leaves, cut, parts, leaves_down, PACKED)]
+    nodes = materialize(leaves.repartition(parts, "bucket").groupBy("bucket").applyInArrow(leaves_up, NODES), "nodes")
+    for d in range(cut, 1, -1):
+        n = max(1, -(-nodes.count() // group_rows))
+        rows = dealt(nodes, d - 1, n)
+        steps.append((rows, d - 1, n, down(d, d - 1), STATE))
+        nodes = materialize(rows.groupBy("bucket").applyInArrow(up(d, d - 1), NODES), "nodes")
+    levels = _climb(_columns(nodes.toArrow(), _NODE), 1, 0)  # at most 256 contexts
+    top = _mix(levels[0], tuple(x[levels[0][4]] for x in _mix(levels[-1], None)))
+    state = spark.createDataFrame(_table(_STATE, (levels[0][0], *top)), STATE)
     for rows, to, n, run, schema in steps[::-1]:
-        both = rows.groupBy("bucket").cogroup(dealt(state, "key", to, n).groupBy("bucket"))
+        both = rows.groupBy("bucket").cogroup(dealt(state, to, n).groupBy("bucket"))
         state = materialize(both.applyInArrow(run, schema), "state")
     return state
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+def _answers(rows: pa.Table, known: pa.Table, parts: int) -> pa.Table:
+    """The rows asked, with the values of a part's keys in place of the counts."""
+    if not len(rows):
+        return _packed([])
+    part, keys, values = (known.column(c)[0].as_py() for c in ("part", "keys", "n"))
+    out = []
+    if part >= parts:
+        keys, values = _unpack_keys(keys), _unpack(values, np.float32)
+        get = lambda packed: _pack(values[np.searchsorted(keys, _unpack_keys(packed))])
+    else:
+        counts = dict(zip(_unpack_words(keys), _unpack(values).tolist()))
+        get = lambda packed: _pack(np.array([counts[w] for w in _unpack_words(packed)], np.int64))
+    for block, packed, size in zip(*(rows.column(c).to_pylist() for c in ("block", "keys", "size"))):
+        out.append((part, block, packed, get(packed), size))
+    return _packed(out)
+
+
+def _look_up(grams: np.ndarray, keys: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
+    """Values of grams that are all among the sorted keys: sorted 65,536 at a time, with their places, so that equal ones are sought once."""
+    if depth > 5:  # no room for a place
+        return values[np.searchsorted(keys, grams)]
+    out = np.empty(len(grams), np.float32)
+    place = np.arange(1 << 16)
+    for at in range(0, len(grams), 1 << 16):
+        own = grams[at : at + (1 << 16)]
+        both = ((own << 16) | place[: len(own)]).view(np.uint64)
+        both.sort()
+        key = (both >> np.uint64(16)).view(np.int64)
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        out[at + (both & np.uint64(0xFFFF)).view(np.int64)] = values[np.searchsorted(keys, key[new])][np.cumsum(new) - 1]
+    return out
+
+
+def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """(block, doc_id, text) bucketed by block: repeated rows spread too, and nothing deals them again."""
     spark = docs.sparkSession
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    # as many buckets as a shuffle has partitions at least, so that no reader shuffles for more of them
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 100_000))
+    name = f"blocks_{uuid.uuid4().hex}"
+    spread = rows.repartition(buckets, "block").write.bucketBy(buckets, "block").option("compression", "zstd")
+    spread.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document."""
     if not 0 < depth <= 6:
         raise ValueError("contexts of 1 to 6 bytes are supported: a context and its byte are one long")
-    stats = materialize(corpus_counts(docs, depth), "counts")
-    grams = materialize(stats.where(F.col("gram") >= 0).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    values = gram_scores(grams, depth)
-    words = materialize(stats.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    size = stats.where(F.col("gram") == -1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 200_000))
-    dealt = docs.select(key, "doc_id", F.encode("text", "UTF-8").alias("text")).repartition(parts, "block")
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    # about as many keys in a part as a block has rows of parts: both grow as the root of the input
+    parts = max(8, math.ceil(math.sqrt(size) / 2000))
+    cut = max(depth - 2, 1)
+    texts = _dealt(docs, blocks)
+    counts = materialize(texts.groupBy("block").applyInArrow(lambda t: _counts(t, depth, cut, parts), PACKED), "counts")
+    whole, left = counts, None
+    while left != 1:
+        left = -(-(left or blocks) // _FAN)
+        whole = whole.withColumn("block", F.floor(F.col("block") / _FAN))
+        whole = materialize(whole.groupBy("part", "block").applyInArrow(_merge(parts), PACKED), "merged")
+    words, grams = whole.where(F.col("part") < parts), whole.where(F.col("part") >= parts)
+
+    def totals(batches):
+        for batch in batches:
+            c = [_unpack(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([int((x > 0).sum()) for x in c], pa.int64())], names=["n", "v"])
+
+    n, v = words.select("n").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    known = words.unionByName(gram_scores(grams, parts, depth)).drop("block")
+    # a part is handed out once for so many blocks as together ask for as much as all parts hold, 256 at least
+    asked, held = (x.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for x in (counts, whole))
+    fan = max(256, -(-held * blocks // max(1, asked)))
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // fan).cast("long"))).alias("turn")
+    asking = counts.drop("n").withColumn("turn", F.floor(F.col("block") / fan)).groupBy("part", "turn")
+    answers = asking.cogroup(known.select("*", turns).groupBy("part", "turn")).applyInArrow(lambda a, b: _answers(a, b, parts), PACKED)
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
-        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
+        *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "bits_per_byte")),
     ])
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words and grams of each block; in a batch that holds several blocks, of each."""
-        for batch in batches:
-            seen: dict[int, tuple[set, list, list, list]] = {}
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                own, texts, size, parts = seen.setdefault(block, ({END}, [], [0], []))
-                w = (text.as_py() or b"").lower().split()
-                own.update(w)
-                texts.append(canonical(w))
-                size[0] += len(texts[-1])
-                if size[0] > 2 << 20:
-                    parts.append(np.unique(_grams(texts, depth)[0]))
-                    texts.clear()
-                    size[0] = 0
-            for block, (own, texts, _, parts) in seen.items():
-                if texts:
-                    parts.append(np.unique(_grams(texts, depth)[0]))
-                grams = np.unique(np.concatenate(parts))
-                n = len(own) + len(grams)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, block)), pa.concat_arrays([pa.array(list(own), pa.binary()), pa.nulls(len(grams), pa.binary())]),
-                    pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(grams)]),
-                ], names=["block", "word", "gram"])
-
-    requests = dealt.mapInArrow(asked, "block long, word binary, gram long")
-    of_words = requests.where(F.col("gram").isNull()).select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    of_grams = requests.where(F.col("gram").isNotNull()).select("block", "gram").join(values, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
-    answers = of_words.unionByName(of_grams)
     log_all = math.log10(n + 0.5 * (v + 1))
     log_none = math.log10(0.5)
 
-    def answer(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.filter(known.column("gram").is_null())
-        logs = dict(zip(words.column("word").to_pylist(), np.log10(words.column("value").to_numpy() + 0.5).tolist()))
-        table = _columns(known.filter(known.column("gram").is_valid()), "gram", "value")
-        get = logs.get
-        ids, sizes, hits, bases, scores, texts, held = own.column("doc_id"), [], [], [], [], [], 0
+    def answer(own: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(own):
+            return own.select([])
+        logs, tables = {}, []
+        for part, keys, values in zip(*(known.column(c).to_pylist() for c in ("part", "keys", "n"))):
+            if part >= parts:
+                tables.append((_unpack_keys(keys), _unpack(values, np.float32)))
+            else:
+                c = _unpack(values)
+                logs.update((w, x) for w, k, x in zip(_unpack_words(keys), c.tolist(), np.log10(c + 0.5).tolist()) if k)
+        keys, values = (np.concatenate(x) for x in zip(*tables))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        ids, sizes, hits, bases, scores, lengths, texts, waiting = own.column("doc_id"), [], [], [], [], [], [], 0
+
+        def take() -> None:
+            grams, starts = _grams(texts, depth)
+            scores.append(np.add.reduceat(_look_up(grams, keys, values, depth).astype(float), starts))
+
         for text in own.column("text"):
-            w = (text.as_py() or b"").lower().split()
+            w = _words(text.as_py())
             texts.append(canonical(w))
-            held += len(texts[-1])
+            lengths.append(len(texts[-1]))
+            waiting += lengths[-1]
             w.append(END)
-            found = [x for x in map(get, w) if x is not None]
+            found = [x for x in map(logs.get, w) if x is not None]
             sizes.append(len(w))
             hits.append(len(found))
             bases.append(math.fsum(found) + (len(w) - len(found)) * log_none - len(w) * log_all)
-            if held > 2 << 20:
-                scores.append(_log10(texts, table, depth))
-                texts, held = [], 0
+            if waiting > _STRETCH:
+                take()
+                texts, waiting = [], 0
         if texts:
-            scores.append(_log10(texts, table, depth))
+            take()
+        score = np.concatenate(scores)
         return pa.table({
             "doc_id": ids, "held_out": pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()),
             "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([n] * len(sizes), pa.int64()),
-            "base_score": pa.array(bases, pa.float64()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
-        }).cast(_arrow(schema, own.schema.field("doc_id")))
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
-
-
-def _arrow(schema: T.StructType, id_field: pa.Field) -> pa.Schema:
-    kinds = {T.BooleanType: pa.bool_(), T.LongType: pa.int64(), T.DoubleType: pa.float64()}
-    return pa.schema([pa.field("doc_id", id_field.type), *(pa.field(f.name, kinds[type(f.dataType)]) for f in schema.fields[1:])])
-
+            "base_score": pa.array(bases, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score * math.log2(10) / np.array(lengths)),
+        })
 
-def _log10(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    grams, starts = _grams(texts, depth)
-    return np.add.reduceat(table[1][np.searchsorted(table[0], grams)], starts)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)

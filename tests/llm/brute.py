@@ -112,3 +112,77 @@ def op6_base(docs):
         i: (held[i], len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t))
         for i, t in tokens.items()
     }
+
+
+def op6_next(train, depth):
+    """Probability of a byte after a context, by context-tree weighting over dicts, from its definition."""
+    from collections import defaultdict
+    from functools import cache
+    from math import exp, lgamma, log
+
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def decisions(byte):
+        place = 1
+        for k in range(7, -1, -1):
+            bit = byte >> k & 1
+            yield place, bit
+            place = 2 * place + bit
+
+    for text in train:
+        padded = b"\n" * depth + text
+        for at in range(depth, len(padded)):
+            for place, bit in decisions(padded[at]):
+                for d in range(depth + 1):
+                    node = padded[at - d : at], place
+                    counts[node][bit] += 1
+                    if d < depth:
+                        kids[node].add((padded[at - d - 1 : at], place))
+
+    @cache
+    def own(node):
+        a, b = counts[node]
+        return lgamma(a + 0.5) + lgamma(b + 0.5) - 2 * lgamma(0.5) - lgamma(a + b + 1)
+
+    def lower(node):
+        return sum(map(inside, kids[node]))
+
+    @cache
+    def inside(node):
+        if len(node[0]) == depth:
+            return own(node)
+        x, y = own(node), lower(node)
+        top = max(x, y)
+        return log(0.5) + top + log(exp(x - top) + exp(y - top))
+
+    def one(context, place):
+        mix, left, last = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            node = context[len(context) - d :], place
+            if node not in counts:
+                break
+            a, b = counts[node]
+            last = (b + 0.5) / (a + b + 1)
+            share = 1.0 if d == depth else 1 / (1 + exp(min(700.0, lower(node) - own(node))))
+            mix, left = mix + left * share * last, left * (1 - share)
+        return mix + left * last
+
+    def probability(context, byte):
+        p = 1.0
+        for place, bit in decisions(byte):
+            x = one(context, place)
+            p *= x if bit else 1 - x
+        return p
+
+    return probability
+
+
+def op6_score(train, texts, depth):
+    from math import log10
+
+    p = op6_next(train, depth)
+    out = {}
+    for k, text in texts.items():
+        padded = b"\n" * depth + text
+        out[k] = sum(log10(p(padded[at - depth : at], padded[at])) for at in range(depth, len(padded)))
+    return out

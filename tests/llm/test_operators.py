@@ -215,40 +215,39 @@ def test_context_tree(spark, small):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
-def test_context_tree_is_a_distribution():
-    texts = [b"the cat sat on the mat\n", b"the dog sat\n"]
-    levels = []
-    for d in range(4):
-        context, byte, _ = ctw._codes(texts, 3)
-        context = context.astype(np.int64) & ((1 << 8 * d) - 1)
-        pairs, n = np.unique(np.stack([context, byte.astype(np.int64)]), axis=1, return_counts=True)
-        contexts = np.unique(pairs[0])
-        levels.append(ctw.Level(contexts, np.searchsorted(contexts, pairs[0]), pairs[1], n))
-    tree = ctw.ContextTree(levels)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
-    rows = ctw.Lookup(tree.contexts, tree.base)
-    context, byte, _ = ctw._codes(texts, 3)
-    assert (rows(context) >= tree.base[3]).all()
-
-
-def test_context_tree_keeps_every_context(spark):
-    rng = np.random.default_rng(3)
-    rows = [(k, "".join(rng.choice(list("abcdefgh"), 2000))) for k in range(60)]
-    train = [t.encode() + b"\n" for k, t in rows if not ctw.held_out(k)]
-    context, byte, _ = ctw._codes(train, 5)
-    levels = []
-    for d in range(6):
-        own = context.astype(np.int64) & ((1 << 8 * d) - 1)
-        pairs, n = np.unique(np.stack([own, byte.astype(np.int64)]), axis=1, return_counts=True)
-        contexts = np.unique(pairs[0])
-        levels.append(ctw.Level(contexts, np.searchsorted(contexts, pairs[0]), pairs[1], n))
-    assert len(levels[5]) > 24_576
-    tree = ctw.ContextTree(levels)
-    lookup = ctw.Lookup(tree.contexts, tree.base)
-    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, text in rows:
-        context, byte, _ = ctw._codes([text.encode() + b"\n"], 5)
-        assert math.isclose(got[k], tree.table[lookup(context), byte].astype(float).sum(), rel_tol=1e-4)
+@pytest.mark.parametrize("depth", [3, 5])
+def test_context_tree_equals_the_definition(spark, depth):
+    rng = np.random.default_rng(depth)
+    rows = [(k, " ".join("".join(rng.choice(list("abcé"), rng.integers(1, 4))) for _ in range(rng.integers(0, 60)))) for k in range(24)] + [(24, None), (25, "Zz zz")]
+    canon = {k: (t or "").lower().encode() + b"\n" for k, t in rows}
+    want = brute.op6_score([t for k, t in canon.items() if not ctw.held_out(k)], canon, depth)
+    # one block and many, whose parts are merged and answered apart
+    for size in (ctw.BLOCK_BYTES, 400):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = ctw.score(frame, depth, size).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-5)
+            assert math.isclose(r["bits_per_byte"], -r["score"] * math.log2(10) / len(canon[r["doc_id"]]), rel_tol=1e-9)
+
+
+def test_context_tree_is_a_distribution(spark):
+    rows = [(k, f"{a}{b}") for k, (a, b) in enumerate((a, b) for a in "abcdx" for b in "abcdx")]
+    every = spark.createDataFrame([*rows, (100, "ab ab ab cab")], "doc_id long, text string")
+    # the probabilities of all 256 bytes after one context add up to 1: here by the definition that the scores agree with
+    train = [t.encode() + b"\n" for k, t in [*rows, (100, "ab ab ab cab")] if not ctw.held_out(k)]
+    p = brute.op6_next(train, 3)
+    for before in (b"\n\n\n", b" ab", b"zzz"):
+        assert math.isclose(sum(p(before, byte) for byte in range(256)), 1, rel_tol=1e-9)
+    assert ctw.score(every, 3).where("score >= 0").count() == 0
+
+
+def test_context_tree_values_of_deep_grams():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    values, asked = rng.random(len(keys)).astype(np.float32), rng.integers(0, len(keys), 200_000)
+    for depth in (5, 6):
+        assert (ctw._look_up(keys[asked], keys, values, depth) == values[asked]).all()
 
 
 def test_context_tree_awkward(spark, docs, empty):
