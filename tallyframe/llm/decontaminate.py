@@ -35,7 +35,7 @@ def split_words(text: Column) -> Column:
 @dataclass
 class Index:
     postings: DataFrame  # term, doc_id, h, pos; terms -1 and -2 carry each text's length
-    items: DataFrame  # item, item_id, n, ipos, term
+    items: DataFrame  # item, item_id, n, ipos, term, word
 
 
 def build_index(docs: DataFrame, bench: DataFrame) -> Index:
@@ -52,7 +52,7 @@ def build_index(docs: DataFrame, bench: DataFrame) -> Index:
     postings = source.select("doc_id", "h", F.posexplode(every).alias("pos", "word")).join(bounded(vocabulary, BROADCAST_ROWS), "word")
     return Index(
         materialize(postings.select("term", "doc_id", "h", "pos"), "postings"),
-        tokens.join(bounded(vocabulary, BROADCAST_ROWS), "word").select("item", "item_id", "n", "ipos", "term"),
+        tokens.join(bounded(vocabulary, BROADCAST_ROWS), "word").select("item", "item_id", "n", "ipos", "term", "word"),
     )
 
 
@@ -108,22 +108,25 @@ def phrase_matches(index: Index, span: int = SPAN) -> DataFrame:
 
 
 def proximity_matches(index: Index, distance: int = 8, n_terms: int = 2, min_words: int = 3) -> DataFrame:
-    """(doc_id, h, item_id, first_pos): items whose rarest terms all stand within ``distance`` positions.
+    """(doc_id, h, item, item_id, end_pos): items whose rarest terms all stand within ``distance`` positions.
 
-    The item's rarest ``n_terms`` distinct terms are looked up; a document matches where each of
-    them has a posting in the same stretch. Stretches overlap by ``distance``, so none is missed;
-    each posting counts in the two stretches of twice that length that hold it.
+    The item's rarest ``n_terms`` distinct terms are looked up, of equally rare ones the first by
+    spelling; a term that no document holds is the rarest of all, and its item then matches nothing.
+    A document matches where each of them has a posting in the same stretch. Stretches overlap by
+    ``distance``, so none is missed; each posting counts in the two stretches of twice that length that hold it.
     """
-    rare = Window.partitionBy("item").orderBy("cf", "term")
-    terms = index.items.where(F.col("n") >= min_words).select("item", "item_id", "term").distinct().join(_frequencies(index), "term")
+    rare = Window.partitionBy("item").orderBy("cf", "word")
+    terms = index.items.where(F.col("n") >= min_words).select("item", "item_id", "term", "word").distinct().join(_frequencies(index), "term", "left").fillna(0, ["cf"])
     terms = terms.withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= n_terms)
-    need = terms.groupBy("item").agg(F.count(F.lit(1)).alias("need"))
+    need = terms.groupBy("item").agg(F.count(F.lit(1)).alias("need"), F.min("cf").alias("least")).where(F.col("least") > 0)
     terms = materialize(terms.join(need, "item").select("item", "item_id", "term", "need"), "near")
     cell = F.floor(F.col("pos") / distance).cast("long")
     hits = index.postings.join(bounded(terms, BROADCAST_ROWS), "term").withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    met = hits.groupBy("doc_id", "h", "item", "item_id", "need", "cell").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("at")
-    ).where(F.size("at") >= F.col("need"))
+    # a stretch without all of the terms goes before its positions are gathered
+    counted = hits.groupBy("doc_id", "h", "item", "item_id", "need", "cell").agg(
+        F.collect_set(F.struct("pos", "term")).alias("at"), F.count_distinct("term").alias("kinds")
+    ).where(F.col("kinds") == F.col("need"))
+    met = counted.withColumn("at", F.sort_array("at"))
     kinds = lambda at, end: F.size(F.array_distinct(F.transform(
         F.filter(at, lambda q: (q["pos"] <= end) & (q["pos"] >= end - distance)), lambda q: q["term"])))
     ends = F.filter(F.transform(F.col("at"), lambda p: F.when(kinds(F.col("at"), p["pos"]) == F.col("need"), p["pos"])), lambda x: x.isNotNull())
@@ -132,17 +135,22 @@ def proximity_matches(index: Index, distance: int = 8, n_terms: int = 2, min_wor
     )
 
 
-def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per distinct (doc_id, text): n_words, n_hit, items, contaminated, and how many rows share it."""
+def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN, proximity: bool = False) -> DataFrame:
+    """Per distinct (doc_id, text): n_words, n_hit, items, contaminated, and how many rows share it; with ``proximity`` n_near, the items near."""
     index = build_index(docs, bench)
     hits = phrase_matches(index, span)
     per = hits.groupBy("doc_id", "h").agg(
         F.count_distinct("pos").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("items")
     )
     out = null_safe(lengths(index), per, ["doc_id", "h"], "left")
+    more = []
+    if proximity:
+        near = proximity_matches(index).groupBy("doc_id", "h").agg(F.count_distinct("item_id").alias("n_near"))
+        out = null_safe(out, near, ["doc_id", "h"], "left")
+        more = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id", "h", "n_words", hit.alias("n_hit"),
         F.coalesce(F.sort_array("items"), F.array().cast("array<string>")).alias("items"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), "copies",
+        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), "copies", *more,
     )

@@ -1,15 +1,15 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Texts are cut into lines and into blocks (runs of lines between blank ones, where a block has
-several). A segment's bigrams, as a set, are compared with a template's only if their numbers
+several). Of 2 to ``RUN`` blocks in a row each run is a segment too, and so is the whole text
+where it has more blocks: a licence of many paragraphs is met as a whole. A segment's bigrams, as a set, are compared with a template's only if their numbers
 allow the threshold at all: Dice >= t needs |A| between t / (2 - t) and (2 - t) / t times |B|.
 Before that, a text must hold one of a few cover words. They are chosen so that the
 bigrams of a template without any of them are too few for the threshold, so a text without
 cover words can't match and nothing is lost.
 
 Null and empty texts match nothing. A repeated row gives its matches again. Templates are
-rows (licence, text) given by the caller or the list below, which is bounded and read as a
-constant.
+rows (licence, text) given by the caller, a list that fits a constant; without one, those below.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bind
 
 THRESHOLD = 0.8
+#: Blocks in a row that are compared together.
+RUN = 6
 
 # Notices and short licence texts as published.
 TEMPLATES = [
@@ -77,6 +79,37 @@ TEMPLATES += [
     ("ISC", " ".join((next(t for n, t in TEMPLATES if n == "ISC"), _ISC_END))),
     ("ISC", _ISC_END),
 ]
+_UNLICENSE = [
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "For more information, please refer to <https://unlicense.org>",
+]
+_APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+_GPL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+]
+_ZLIB = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "3. This notice may not be removed or altered from any source distribution.",
+]
+TEMPLATES += [
+    ("Unlicense", " ".join(_UNLICENSE)),
+    ("Apache-2.0", " ".join(_APACHE)),
+    ("GPL-3.0-or-later", " ".join(_GPL)),
+    ("Zlib", " ".join(_ZLIB)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END),
+]
 
 # Words too frequent in running text to spare any text as cover words.
 COMMON = frozenset("a all and any as at be by can copy for from have if in into is it may no not of on or out provided subject such that the this to under use v version was with without work you".split())
@@ -123,7 +156,9 @@ def _grams(segment: Column) -> Column:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kind, segment, template, licence, shared, dice) of every segment that matches a template."""
-    templates = templates or TEMPLATES
+    templates = TEMPLATES if templates is None else templates
+    if not prepared(templates):
+        docs = docs.where(F.lit(False))
     cover = cover_words(templates, threshold)
     cover = [w for w in cover if not any(u != w and u in w for u in cover)]  # a text with the longer word holds the shorter one
     rows = prepared(templates)
@@ -131,13 +166,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     text = F.col("text")
     held = lambda c: bind(F.lower(c), lambda x: _any(x, cover))
-    segments = F.concat(
-        F.transform(F.split(text, "\n"), lambda x, k: F.struct(F.lit("line").alias("kind"), k.cast("long").alias("segment"), x.alias("body"))),
-        F.filter(
-            F.transform(F.split(text, "\n[\\x20\\x09-\\x0D]*\n"), lambda x, k: F.struct(F.lit("block").alias("kind"), k.cast("long").alias("segment"), x.alias("body"))),
-            lambda s: F.btrim(s["body"], F.lit("\n")).contains("\n"),
-        ),
-    )
+    segment = lambda kind, k, body: F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("segment"), body.alias("body"))
+
+    def of_blocks(blocks: Column) -> Column:
+        n = F.size(blocks)
+        # a run has its first block's number times RUN plus how many blocks follow
+        runs = lambda k: F.transform(
+            F.sequence(F.lit(1), F.least(n - k, F.lit(RUN)) - 1), lambda j: segment("run", k * RUN + j, F.array_join(F.slice(blocks, k + 1, j + 1), "\n"))
+        )
+        starts = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+        return F.concat(
+            F.filter(F.transform(blocks, lambda x, k: segment("block", k, x)), lambda s: F.btrim(s["body"], F.lit("\n")).contains("\n")),
+            F.flatten(F.transform(starts, runs)),
+            F.when(n > RUN, F.array(segment("text", F.lit(0), F.array_join(blocks, "\n")))).otherwise(F.array().cast("array<struct<kind:string,segment:bigint,body:string>>")),
+        )
+
+    lines = F.transform(F.split(text, "\n"), lambda x, k: segment("line", k, x))
+    segments = F.concat(lines, bind(F.split(text, "\n[\\x20\\x09-\\x0D]*\n"), of_blocks))
     suspects = docs.where(held(text)).select("doc_id", F.explode(segments).alias("s")).where(held(F.col("s.body")))
     grams = suspects.select("doc_id", "s.kind", "s.segment", _grams(F.col("s.body")).alias("grams"))
     size = F.size("grams")
@@ -163,14 +208,18 @@ def oracle(threshold: float = THRESHOLD) -> str:
     quoted = ", ".join(f"({r['template']}, '{r['licence']}', [{', '.join(repr(g) for g in r['grams'])}])" for r in prepared(TEMPLATES))
     return f"""
 WITH t(template, licence, tg) AS (VALUES {quoted}),
+blocks AS (SELECT doc_id, regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n') AS x FROM documents WHERE text IS NOT NULL),
 parts AS (
   SELECT doc_id, 'line' AS kind, unnest(range(len(x))) AS segment, unnest(x) AS body
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
   UNION ALL
-  SELECT doc_id, kind, segment, body FROM (
-    SELECT doc_id, 'block' AS kind, unnest(range(len(x))) AS segment, unnest(x) AS body
-    FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n') AS x FROM documents WHERE text IS NOT NULL)
-  ) WHERE contains(trim(body, chr(10)), chr(10))
+  SELECT doc_id, kind, segment, body FROM (SELECT doc_id, 'block' AS kind, unnest(range(len(x))) AS segment, unnest(x) AS body FROM blocks)
+  WHERE contains(trim(body, chr(10)), chr(10))
+  UNION ALL
+  SELECT doc_id, 'run', k * {RUN} + j, array_to_string(x[k + 1 : k + 1 + j], chr(10))
+  FROM (SELECT doc_id, x, k, unnest(range(1, least(len(x) - k, {RUN}))) AS j FROM (SELECT doc_id, x, unnest(range(len(x) - 1)) AS k FROM blocks))
+  UNION ALL
+  SELECT doc_id, 'text', 0, array_to_string(x, chr(10)) FROM blocks WHERE len(x) > {RUN}
 ),
 w AS (SELECT doc_id, kind, segment, list_filter(regexp_split_to_array(lower(body), '[^0-9a-z]+'), lambda v: v <> '') AS ws FROM parts),
 g AS (SELECT doc_id, kind, segment, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gs FROM w WHERE len(ws) > 1),

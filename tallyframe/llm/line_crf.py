@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled documents (about) that the field is fitted on.
 SAMPLE_DOCUMENTS = 4_000
+#: Bytes of their texts that the driver takes at most.
+SAMPLE_BYTES = 64 << 20
 #: A longer document trains as several chains; scoring always takes it whole.
 TRAIN_LINES = 48
 N_LINE = 14
@@ -195,13 +197,18 @@ def fit(texts: list[str | None], quality: np.ndarray, steps: int = 250, rate: fl
     return LineField(theta, pair, float(max(a, 1e-3)), float(b))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_documents: int = SAMPLE_DOCUMENTS) -> LineField:
-    """Fit on about ``max_documents`` labelled documents that aren't held out, drawn by hash of the id."""
+def learn(docs: DataFrame, labels: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_bytes: int = SAMPLE_BYTES) -> LineField:
+    """Fit on at most ``max_documents`` labelled documents that aren't held out, of ``max_bytes`` together, drawn by hash."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 != 0))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "quality")
-    got = texts.toArrow()  # a bounded sample: max_documents labelled documents
+    # of repeated ids and long texts as many as the two bounds allow, chosen by their sizes alone
+    drawn = F.xxhash64("doc_id", "h")
+    sizes = texts.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().orderBy(drawn, "doc_id", "h").limit(max_documents)
+    upto = F.sum("size").over(Window.orderBy(drawn, "doc_id", "h"))
+    kept = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "h")
+    got = texts.join(F.broadcast(kept), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got["doc_id"][k].as_py(), got["h"][k].as_py()))
     t, q = got["text"].to_pylist(), got["quality"].to_numpy()
     return fit([t[k] for k in order], np.array([q[k] for k in order], float))

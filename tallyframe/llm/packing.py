@@ -4,7 +4,8 @@ Only the counts of each length, of which there are at most ``capacity``, go to t
 There the large lengths are sorted into groups of equal cardinality and rounded up to each
 group's largest, configurations of these few sizes are chosen by a knapsack over what is
 left, the actual documents take the rounded ones' places, and the small lengths go best-fit
-into what remains. The plan is a table of lots: ranks a .. b of a length fill sequences from
+into what remains. Where large begins and how many groups there are is tried out on the counts,
+and the plan with the fewest sequences stays. The plan is a table of lots: ranks a .. b of a length fill sequences from
 s on. Documents get their rank among equals of a length in Spark and look up their lot, so
 neither plan nor broadcast grows with the number of documents.
 
@@ -31,6 +32,8 @@ from .common import gapless_rank, materialize
 
 CAPACITY = 4096
 END_ID = 1
+#: Tried out: (lengths up to this part of the capacity are small, groups).
+SCHEMES = ((1 / 8, 64), (1 / 4, 128), (1 / 3, 200), (1 / 2, 300))
 #: Chunks of text whose ids a worker keeps; the table starts afresh beyond it.
 KEPT_CHUNKS = 1_000_000
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -228,14 +231,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = 512, n_g
     return lots
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan of fewest sequences over ``SCHEMES``; of equal ones the first."""
+    plans = [plan(counts, capacity, int(capacity * small), n_groups) for small, n_groups in SCHEMES]
+    return min(plans, key=lambda lots: max((s - (a - b) // each for _, a, b, s, _, each in lots), default=0))
+
+
 LOT = "length long, first long, last long, sequence long, at long, each long"
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, small: int = 512, n_groups: int = 64) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (length, and columns that tell rows apart) with sequence_id and offset."""
     spark, columns = parts.sparkSession, parts.columns
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    lots = spark.createDataFrame(plan(counts, capacity, small, n_groups), LOT)
+    lots = spark.createDataFrame(best_plan(counts, capacity), LOT)
     ranked = gapless_rank(parts, ["length"], [c for c in columns if c != "length"], "__rank")
     r = F.col("__rank")
     placed = ranked.join(F.broadcast(lots), (ranked["length"] == lots["length"]) & (r >= lots["first"]) & (r < lots["last"]))

@@ -3,10 +3,13 @@
 The base rules (fixed patterns with their checks) always stand. Beside them, generators
 propose overlapping spans that the greedy patterns miss: numbers inside longer runs of
 digits, groups of four, addresses with spelled-out signs. Boosted trees over format and
-context features score them; per kind, the lowest threshold that keeps ``min_precision`` on
-held-back candidates selects; a candidate of a wrong format is never added. Trees are fitted on a bounded sample of documents. What the base
+context features score them. On the third of the candidates that is held back, isotonic regression
+makes probabilities of the scores, kind by kind, and a candidate is chosen whose probability is
+``min_precision`` or more; one of a wrong format is never added. Trees are fitted on at most
+``max_examples`` candidates of a sample of documents, drawn by hash. What the base
 rules found is positive, and so is each of these once more in the forms that only the generators
-know (no plus sign, dots between groups, spelled-out signs). Other candidates are positive with
+know (no plus sign, dots between groups, spelled-out signs); with a wrong check digit, octet or
+domain in the same place it is negative. Other candidates are positive with
 a right check digit or spelled-out signs, or in a right format after a fitting word; negative where
 the format is wrong; and left out where only the format speaks for them or they lie inside a
 longer failed match.
@@ -18,8 +21,9 @@ handled one by one. A corpus without candidates gives a model that adds nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 #: Documents (about) whose candidates the trees are fitted on.
 SAMPLE_DOCUMENTS = 8_000
+#: Candidates that they are fitted on at most, so that the driver's part is bounded whatever the documents hold.
+SAMPLE_EXAMPLES = 60_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -162,6 +168,17 @@ def _forms(text: str, span: tuple[str, int, int]) -> list[str]:
     return []
 
 
+def _decoys(text: str, span: tuple[str, int, int]) -> list[str]:
+    """A found span made wrong: what stands in the same place and looks alike, but isn't personal data."""
+    kind, a, b = span
+    s = text[a:b]
+    if kind == "card":
+        return [s[:-1] + str((int(s[-1]) + 1 + len(s) % 8) % 10)]
+    if kind == "ip":
+        return ["399" + s[s.index(".") :]]
+    return [s.replace(".", "")] if kind == "email" else []
+
+
 def _weak_labels(text: str) -> list[tuple[tuple[str, int, int], int]]:
     """Candidates that the base rules or their own format settle."""
     base = base_spans(text)
@@ -179,24 +196,40 @@ def _weak_labels(text: str) -> list[tuple[tuple[str, int, int], int]]:
     return out
 
 
-def _examples(text: str) -> list[tuple[str, int, list[float]]]:
-    """(kind, label, features) of the settled candidates and of the other forms of found spans."""
-    out = [(c[0], y, features(text, *c)) for c, y in _weak_labels(text)]
+def _examples(text: str) -> list[tuple[int, str, int, list[float]]]:
+    """(rank, kind, label, features) of the settled candidates and of found spans in other forms; the rank is a hash of what features see."""
+    out = []
+
+    def add(text: str, kind: str, a: int, b: int, y: int) -> None:
+        out.append((zlib.crc32(text[max(0, a - 24) : b + 12].encode(errors="replace")), kind, y, features(text, kind, a, b)))
+
+    for c, y in _weak_labels(text):
+        add(text, *c, y)
     for kind, a, b in base_spans(text):
-        for form in _forms(text, (kind, a, b)):
-            # what stands next to a span is as far as features look
-            before = text[max(0, a - 24) : a]
-            out.append((kind, 1, features(before + form + text[b : b + 12], kind, len(before), len(before) + len(form))))
+        # what stands next to a span is as far as features look
+        before, after = text[max(0, a - 24) : a], text[b : b + 12]
+        for y, forms in ((1, _forms(text, (kind, a, b))), (0, _decoys(text, (kind, a, b)))):
+            for form in forms:
+                add(before + form + after, kind, len(before), len(before) + len(form), y)
     return out
 
 
 @dataclass
 class Boosted:
-    """Depth-limited trees for log odds: arrays of (feature, threshold, leaves)."""
+    """Depth-limited trees for log odds: arrays of (feature, threshold, leaves).
+
+    ``calibration`` has for each kind the odds from which on a probability holds, rising.
+    """
 
     base: float
     trees: list
     thresholds: dict[str, float]
+    calibration: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def probability(self, kind: str, odds: np.ndarray) -> np.ndarray:
+        """Calibrated; 0 below all held-back candidates of the kind and where there are none."""
+        start, p = self.calibration.get(kind, (np.empty(0), np.empty(0)))
+        return np.concatenate(([0.0], p))[np.searchsorted(start, odds, "right")]
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -208,6 +241,20 @@ class Boosted:
         return out
 
 
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising step function nearest to y (least squares): where each step starts and its value."""
+    start, n = np.unique(score, return_counts=True)
+    total = np.bincount(np.searchsorted(start, score), y, len(start))
+    steps: list[list[float]] = []  # start, sum, size: neighbours out of order are pooled
+    for step in zip(start.tolist(), total.tolist(), n.tolist()):
+        steps.append(list(step))
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            _, add, size = steps.pop()
+            steps[-1][1] += add
+            steps[-1][2] += size
+    return np.array([s[0] for s in steps]), np.array([s[1] / s[2] for s in steps])
+
+
 def fit(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, min_precision: float = 0.99, min_support: int = 5) -> Boosted:
     """Newton boosting on logistic loss; a third of the rows is held back to set the thresholds."""
     never = dict.fromkeys(KINDS, np.inf)
@@ -250,37 +297,38 @@ def fit(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, rounds: int = 40, depth
     odds = model.odds(x[hold])
     for k in KINDS:
         own = kinds[hold] == k
-        order = np.argsort(-odds[own])
-        hits = np.cumsum(y[hold][own][order])
-        good = np.flatnonzero((hits >= min_precision * np.arange(1, len(hits) + 1)) & (hits >= min_support))
-        if len(good):
-            model.thresholds[k] = max(0.0, float(odds[own][order][good[-1]]))
+        if not own.any():
+            continue
+        start, p = model.calibration[k] = isotonic(odds[own], y[hold][own])
+        good = np.flatnonzero(p >= min_precision)
+        if len(good) and (odds[own] >= start[good[0]]).sum() >= min_support:
+            model.thresholds[k] = float(start[good[0]])
     return model
 
 
-def learn(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS) -> Boosted:
-    """Fit on the candidates of about ``max_documents`` documents, drawn by hash of the id."""
-    n = docs.count()
-    share = min(1.0, max_documents / max(1, n))
-    sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))
+def learn(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_examples: int = SAMPLE_EXAMPLES) -> Boosted:
+    """Fit on at most ``max_examples`` candidates of about ``max_documents`` documents, both drawn by hash."""
+    share = min(1.0, max_documents / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 52)) < int(share * (1 << 52))
+    sample = docs.where(drawn & F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 own = _examples(x.as_py())
                 if own:
-                    kinds, y, rows = zip(*own)
+                    ranks, kinds, y, rows = zip(*own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(kinds), pa.array(y, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
-                        names=["kind", "y", "x"],
+                        [pa.array(ranks, pa.int64()), pa.array(kinds), pa.array(y, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
+                        names=["rank", "kind", "y", "x"],
                     )
 
-    rows = sample.select("text").mapInArrow(run, "kind string, y int, x array<double>").toArrow()
+    examples = sample.select("text").mapInArrow(run, "rank long, kind string, y int, x array<double>")
+    rows = examples.distinct().orderBy("rank", "kind", "y", "x").limit(max_examples).toArrow()  # copies count once
     kinds, y = np.array(rows.column("kind").to_pylist(), object), rows.column("y").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
-    order = np.lexsort((kinds.astype(str), y, *x.T))  # whatever order the rows came in
     mix = np.random.default_rng(7).permutation(len(y))
-    return fit(x[order][mix], y[order][mix], kinds[order][mix])
+    return fit(x[mix], y[mix], kinds[mix])
 
 
 def all_spans(text: str, model: Boosted) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

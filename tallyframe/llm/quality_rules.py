@@ -5,9 +5,8 @@
 Spark aggregations; ``verdict`` writes the list as one ordered conditional expression.
 
 Null and empty texts: all statistics 0. Repeated rows count as often as they occur. An empty
-label table gives an empty list, which keeps every document. Columns other than the named
-ones are carried along untouched; the statistics are new columns, which callers rename as
-they like through ``prefix``.
+label table gives an empty list, which keeps every document. ``text_statistics`` carries other
+columns along untouched; ``apply_rules`` returns the id, the statistics and the verdict.
 """
 
 from __future__ import annotations

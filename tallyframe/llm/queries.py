@@ -24,9 +24,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True)
     return found.select(
-        "doc_id", "n_words", "n_hit",
+        "doc_id", "n_words", "n_hit", "n_near",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
@@ -96,9 +96,19 @@ grams AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM words, sizes WHERE len(w) >= n)
 ), found AS (SELECT doc_id, item_id, grams.n, s FROM grams JOIN spans ON grams.g = spans.g AND grams.n = spans.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY 1),
+freq AS (SELECT u AS term, count(*) AS cf FROM (SELECT unnest(w) AS u FROM words) GROUP BY 1),
+terms AS (
+  SELECT item_id, term, coalesce(cf, 0) AS cf FROM (SELECT DISTINCT item_id, unnest(w) AS term FROM items WHERE len(w) >= 3) LEFT JOIN freq USING (term)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY coalesce(cf, 0), term) <= 2
+),
+rare AS (SELECT item_id, min(term) AS a, max(term) AS b FROM terms GROUP BY 1),
+post AS (SELECT doc_id, u, p FROM (SELECT doc_id, unnest(w) AS u, unnest(range(len(w))) AS p FROM words) WHERE u IN (SELECT term FROM terms)),
+nearby AS (
+  SELECT x.doc_id, count(DISTINCT item_id) AS n_near FROM rare JOIN post x ON x.u = a JOIN post y ON y.u = b AND y.doc_id = x.doc_id AND abs(x.p - y.p) <= 8 GROUP BY 1
+),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY 1)
-SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
        sha256(coalesce(i, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """,
 }

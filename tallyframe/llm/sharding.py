@@ -8,20 +8,26 @@ without links, so no round changes a shard's size. Links are given as (document,
 memberships, which keeps a group of m copies at m rows instead of m^2 edges.
 
 Null texts have size 1 and are alike; repeated rows are copies like any other. Hubs larger
-than a shard are split by hash before they count as one neighbourhood; others stay whole, and
-the join on hubs is salted for large ones. An empty table gives an empty result; ties go to the shard that the hub's hash names first.
+than a shard are split by hash before they count as one neighbourhood; others stay whole. For the
+work, hubs with more than a 4,096th of all rows are spread over several join keys, so no key holds
+more than that. Rounds go on until no round brings more rows to their hub's shard, or ``rounds``
+are over; the rows outside are logged. An empty table gives an empty result; ties go to the shard
+that the hub's hash names first.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, materialize
 
 N_SHARDS = 16
-#: Members of a hub over this part of a shard are spread over several join keys.
-SALTED = 16
+#: Rows of a hub over this part of a shard are spread over several join keys; at most N_SHARDS x SALTED hubs are so large.
+SALTED = 256
+log = logging.getLogger(__name__)
 
 
 def _split_hubs(nodes: DataFrame, n_shards: int) -> DataFrame:
@@ -47,12 +53,17 @@ def _targets(state: DataFrame, n_shards: int) -> DataFrame:
     return best.select("hub", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
 
-def _round(state: DataFrame, n_shards: int, turn: int) -> DataFrame:
-    """One exchange. ``state``: node, hub, shard and payload columns; returns the same columns."""
+def _asked(state: DataFrame, n_shards: int) -> DataFrame:
+    """The state with a ``wish``: the shard a document would cross to, null where it has none or is there."""
     columns = state.columns
-    # what a document would cross to; documents without a hub (null would be one hot key) can stand in for any partner
+    # documents without a hub (null would be one hot key) can stand in for any partner
     linked = state.where(F.col("hub").isNotNull()).join(_targets(state, n_shards), ["hub", "salt"]).select(*columns, F.when(F.col("target") != F.col("shard"), F.col("target")).alias("wish"))
-    asked = materialize(linked.unionByName(state.where(F.col("hub").isNull()).withColumn("wish", F.lit(None).cast("int"))), "asked")
+    return materialize(linked.unionByName(state.where(F.col("hub").isNull()).withColumn("wish", F.lit(None).cast("int"))), "asked")
+
+
+def _exchange(asked: DataFrame) -> DataFrame:
+    """One exchange of the rows asked: node, hub, shard and payload columns."""
+    columns = [c for c in asked.columns if c != "wish"]
     flows = asked.where(F.col("wish").isNotNull()).groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where(F.col("hub").isNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
     back = flows.select(F.col("shard").alias("wish"), F.col("wish").alias("shard"), F.col("n").alias("back"))
@@ -81,7 +92,7 @@ def _round(state: DataFrame, n_shards: int, turn: int) -> DataFrame:
     return moved.withColumn("shard", F.coalesce("moved", "shard")).select(*columns)
 
 
-def balanced_labels(nodes: DataFrame, n_shards: int = N_SHARDS, rounds: int = 3) -> DataFrame:
+def balanced_labels(nodes: DataFrame, n_shards: int = N_SHARDS, rounds: int = 8) -> DataFrame:
     """``nodes`` (node, copy, hub, ...) with a ``shard``: row counts at most one apart.
 
     (node, copy) tells rows apart. Each round is written to the shared folder.
@@ -89,13 +100,18 @@ def balanced_labels(nodes: DataFrame, n_shards: int = N_SHARDS, rounds: int = 3)
     split = materialize(_split_hubs(nodes.where(F.col("hub").isNotNull()), n_shards).unionByName(nodes.where(F.col("hub").isNull()), allowMissingColumns=True), "nodes")
     start = gapless_rank(split.withColumn("__all", F.lit(0)), ["__all"], ["node", "copy"], "rank").drop("__all")
     state = start.withColumn("shard", F.pmod("rank", F.lit(n_shards)).cast("int")).drop("rank")
-    state = materialize(state, "state")
+    state, outside = materialize(state, "state"), None
     for turn in range(rounds):
-        state = materialize(_round(state, n_shards, turn), "state")
+        asked = _asked(state, n_shards)
+        before, outside = outside, asked.where(F.col("wish").isNotNull()).count()
+        log.info("round %d: %d rows outside their hub's shard", turn, outside)
+        if not outside or before is not None and outside >= before:
+            break
+        state = materialize(_exchange(asked), "state")
     return state.drop("salt", "salts")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = 3) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): equal texts are linked, shards hold equal counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(

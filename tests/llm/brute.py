@@ -186,3 +186,48 @@ def op6_score(train, texts, depth):
         padded = b"\n" * depth + text
         out[k] = sum(log10(p(padded[at - depth : at], padded[at])) for at in range(depth, len(padded)))
     return out
+
+
+def best_fit_decreasing(lengths, capacity):
+    """How many sequences plain best-fit needs, longest first."""
+    from bisect import bisect_left, insort
+
+    rooms: list[int] = []
+    n = 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect_left(rooms, x)
+        if at == len(rooms):
+            n, room = n + 1, capacity
+        else:
+            room = rooms.pop(at)
+        insort(rooms, room - x)
+    return n
+
+
+def near(docs, bench, distance=8, n_terms=2, min_words=3):
+    """doc_id -> number of items whose rarest terms all stand within ``distance`` positions."""
+    from collections import Counter
+    from itertools import product
+
+    words = {i: _words(t) for i, t in docs}
+    count = Counter(w for own in words.values() for w in own)
+    out = {}
+    for i, own in words.items():
+        found = set()
+        for item, text in bench:
+            w = _words(text)
+            if len(w) < min_words:
+                continue
+            rare = sorted(set(w), key=lambda x: (count[x], x))[:n_terms]
+            places = [[k for k, x in enumerate(own) if x == r] for r in rare]
+            if any(max(p) - min(p) <= distance for p in product(*places)):
+                found.add(item)
+        out[i] = len(found)
+    return out
+
+
+def _words(text):
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
