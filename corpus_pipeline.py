@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, line_crf, packing, pii, queries, simhash
-from tallyframe.llm.common import materialize, null_safe, table
+from tallyframe.llm.common import materialize, null_safe, table, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +25,19 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the document of smallest doc_id of each component; of repeated rows, one."""
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h")
     first = simhash.near_duplicates(docs).groupBy("root").agg(F.min(rank).alias("first"))
-    first = materialize(first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h__text")), "first")
-    kept = null_safe(docs.withColumn("h__text", F.xxhash64("text")), first, ["doc_id", "h__text"], "left_semi")
-    one = Window.partitionBy("doc_id", "h__text").orderBy("text")
-    return kept.withColumn("n__copy", F.row_number().over(one)).where(F.col("n__copy") == 1).select(*docs.columns)
+    h, copy = unused(docs, "text_hash"), unused(docs, "copy_number")
+    first = materialize(first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias(h)), "first")
+    kept = null_safe(docs.withColumn(h, F.xxhash64("text")), first, ["doc_id", h], "left_semi")
+    one = Window.partitionBy("doc_id", h).orderBy("text")
+    return kept.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = materialize(found.where("contaminated").select("doc_id", "h"), "contaminated")
-    marked = docs.withColumn("h__text", F.xxhash64("text"))
-    return null_safe(marked, bad.withColumnRenamed("h", "h__text"), ["doc_id", "h__text"], "left_anti").select(*docs.columns)
+    h = unused(docs, "text_hash")
+    return null_safe(docs.withColumn(h, F.xxhash64("text")), bad.withColumnRenamed("h", h), ["doc_id", h], "left_anti").select(*docs.columns)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
