@@ -47,3 +47,10 @@ def test_awkward_rows_pass_through(spark):
     assert corpus_pipeline.benchmark_decontamination(spark, docs, SMALL).count() == 4
     assert corpus_pipeline.pii_redaction(spark, docs, SMALL).count() == 4
     assert corpus_pipeline.quality_classifier(spark, docs, SMALL).columns == docs.columns
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = [(1, "some plain words here", 5, 6, 7, "a"), (2, "other plain words there", 8, 9, 10, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, copy_number int, h long, item string")
+    for stage in (corpus_pipeline.simhash_near_dedup, corpus_pipeline.benchmark_decontamination, corpus_pipeline.pii_redaction):
+        assert sorted(map(tuple, stage(spark, docs, SMALL).collect())) == rows
