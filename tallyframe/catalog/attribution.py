@@ -86,5 +86,5 @@ def join_declared_accounts(t):
     known = t.account_events.select("account_uuid", "email").distinct()
     one = known.where("email IS NOT NULL").groupBy("email").agg(F.count_distinct("account_uuid").alias("k"), F.min("account_uuid").alias("by_mail")).where("k = 1")
     ids = known.select(F.col("account_uuid").alias("by_uuid")).distinct()
-    x = t.declared_accounts.join(F.broadcast(ids), F.col("uuid") == F.col("by_uuid"), "left").join(F.broadcast(one), F.col("mail") == F.col("email"), "left")
+    x = t.declared_accounts.join(ids, F.col("uuid") == F.col("by_uuid"), "left").join(one, F.col("mail") == F.col("email"), "left")
     return x.select("n", F.coalesce("by_uuid", "by_mail").alias("account_uuid"))

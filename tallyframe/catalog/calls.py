@@ -8,6 +8,7 @@ from ..fixtures import DAY, NOW
 from ..functions.money import usd
 from ..functions.names import is_free, is_pseudo
 from ..operators import dedup, pricing
+from ..operators.asof import small
 from ..registry import query
 
 IDENT = """CASE WHEN dk IS NOT NULL AND dk <> '' THEN 'k|' || dk
@@ -32,27 +33,27 @@ def dedup_merged(t):
     return dedup.dedup_merged(t.rec).select(*SLIM)
 
 
-@query("SELECT rid, dk IS NOT NULL AND rid <> min(rid) OVER (PARTITION BY account_uuid, dk) AS is_dup FROM rec")
+@query("SELECT rid, coalesce(dk, '') <> '' AND rid <> min(rid) OVER (PARTITION BY account_uuid, dk) AS is_dup FROM rec")
 def dedup_flag_full(t):
     return dedup.dedup_flag(t.rec).select("rid", "is_dup")
 
 
-@query("SELECT rid, dk IS NOT NULL AND rid <> min(rid) OVER (PARTITION BY account_uuid, dk) AS is_dup FROM rec")
+@query("SELECT rid, coalesce(dk, '') <> '' AND rid <> min(rid) OVER (PARTITION BY account_uuid, dk) AS is_dup FROM rec")
 def dedup_flag_incremental(t):
     stored = dedup.dedup_flag(t.rec.where("machine_id <> 'm2'"))
     return dedup.dedup_flag_incremental(stored, t.rec.where("machine_id = 'm2'")).select("rid", "is_dup")
 
 
 @query(f"""WITH m AS (SELECT * FROM rec WHERE machine_id = 'm1')
-SELECT {SLIM_SQL} FROM m WHERE dk IS NULL UNION ALL
-SELECT {SLIM_SQL} FROM m WHERE dk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1""")
+SELECT {SLIM_SQL} FROM m WHERE coalesce(dk, '') = '' UNION ALL
+SELECT {SLIM_SQL} FROM m WHERE dk <> '' QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1""")
 def dedup_machine_scope(t):
     return dedup.dedup_merged(t.rec.where("machine_id = 'm1'")).select(*SLIM)
 
 
 @query("SELECT rid, effective, round(CAST(ri AS DOUBLE) * 1000000, 6) AS input_per_million, round(CAST(ri2 AS DOUBLE) * 1000000, 6) AS tier_per_million FROM rec LEFT JOIN price_dim d ON rec.model = d.model AND ts_us >= d.from_us AND ts_us < d.to_us")
 def asof_price(t):
-    p = pricing.asof_price(t.rec, t.price_periods)
+    p = pricing.asof_price(t.rec, t.price_dim)
     return p.select("rid", "effective", F.round(F.col("ri").cast("double") * 1000000, 6).alias("input_per_million"), F.round(F.col("ri2").cast("double") * 1000000, 6).alias("tier_per_million"))
 
 
@@ -71,7 +72,7 @@ FROM rec JOIN price_dim d ON rec.model = d.model AND ts_us >= d.from_us AND ts_u
 def fn_tiered_cost(t):
     from ..functions.money import tiered_cost
 
-    p = pricing.asof_price(t.rec, t.price_periods).where("ri IS NOT NULL")
+    p = pricing.asof_price(t.rec, t.price_dim).where("ri IS NOT NULL")
     return p.select("rid", usd(tiered_cost(F.col("input_tokens"), F.col("ri"), F.col("ri2"))).alias("input_cost"))
 
 
@@ -106,10 +107,10 @@ def filter_substring(t):
 @query(f"""SELECT {SLIM_SQL} FROM kept k WHERE EXISTS (SELECT 1 FROM project_aliases a WHERE a.alias = 'team' AND a.machine_id = k.machine_id AND a.project = k.project)
    OR (project = 'team')""")
 def filter_by_alias(t):
-    named = t.project_aliases.where("alias = 'team'").select("machine_id", "project")
-    kept = dedup.dedup_merged(t.rec)
-    own = kept.where("project = 'team'")
-    return kept.join(F.broadcast(named), ["machine_id", "project"], "left_semi").unionByName(own).select(*SLIM)
+    """By alias or by name; a row that matches both ways comes once."""
+    named = t.project_aliases.where("alias = 'team'").select("machine_id", "project", F.lit(True).alias("named")).distinct()
+    kept = dedup.dedup_merged(t.rec).join(small(named), ["machine_id", "project"], "left")
+    return kept.where(F.col("named") | (F.col("project") == "team")).select(*SLIM)
 
 
 @query(f"SELECT {SLIM_SQL} FROM kept WHERE project IS NOT NULL")
@@ -126,8 +127,7 @@ def filter_entity_scope(t):
 UNION ALL SELECT model, count(*) FROM rec WHERE starts_with(model, '<') GROUP BY 1""")
 def filter_unpriced_models(t):
     """Models that no period names; free ones have no price and need none."""
-    priced = pricing.price_intervals(t.rec.select("model").distinct(), t.price_periods).select("model").distinct()
-    rest = t.rec.join(F.broadcast(priced), "model", "left_anti").where(~is_free(F.col("model")) | is_pseudo(F.col("model")))
+    rest = t.rec.join(small(t.price_dim.select("model").distinct()), "model", "left_anti").where(~is_free(F.col("model")) | is_pseudo(F.col("model")))
     return rest.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,8 +140,6 @@ def filter_period_records(t):
 
 @query("SELECT r.rid, i.file_path, i.archived FROM rec r JOIN inventory i USING (file_path)")
 def join_record_file(t):
-    from ..operators.asof import small
-
     return t.rec.join(small(t.inventory.select("file_path", "archived")), "file_path").select("rid", "file_path", "archived")
 
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import NOW
+from ..operators.asof import small
 from ..plans import forecast
 from ..registry import query
 from .report_queries import _fx
 
 TODAY = "2024-01-25"
-RATE = f"""day_cost AS (SELECT account_uuid, day, sum(cost) AS cost FROM calls WHERE day <= '{TODAY}' GROUP BY ALL),
-rate AS (SELECT account_uuid, count(*) AS active, CASE WHEN count(*) >= 3 THEN sum(CAST(cost AS DOUBLE) * power(2.0, -(DATE '{TODAY}' - CAST(day AS DATE)) / 7.0)) /
-  (SELECT sum(power(2.0, -a / 7.0)) FROM range(1, CAST(max(DATE '{TODAY}' - CAST(day AS DATE)) AS BIGINT) + 1) r(a)) END AS rate FROM day_cost WHERE day < '{TODAY}' GROUP BY 1)"""
+DAYS = f"day_cost AS (SELECT account_uuid, CAST(day AS DATE) AS d, CAST(sum(cost) AS DOUBLE) AS c FROM calls WHERE day <= '{TODAY}' GROUP BY ALL)"
+
+
+def _mean(prefix: str = "") -> str:
+    """An account's decayed mean over its active days; exp and ln as the rule states it."""
+    w = f"exp(-greatest(DATE '{TODAY}' - {prefix}d, 0) * ln(2) / 7)"
+    return f"CASE WHEN count(*) FILTER ({prefix}c > 0) >= 3 THEN sum({w} * {prefix}c) FILTER ({prefix}c > 0) / sum({w}) FILTER ({prefix}c > 0) END"
 
 
 @query("SELECT account_uuid, day, round(CAST(sum(cost) AS DOUBLE), 6) AS cost FROM calls GROUP BY ALL")
@@ -20,31 +25,30 @@ def forecast_daily_costs(t):
     return forecast.daily_costs(t.calls).withColumn("cost", F.round(F.col("cost").cast("double"), 6))
 
 
-@query(f"WITH {RATE} SELECT account_uuid, active, round(rate, 6) AS rate FROM rate")
+@query(f"WITH {DAYS} SELECT account_uuid, count(*) FILTER (c > 0) AS active, round({_mean()}, 6) AS rate FROM day_cost GROUP BY 1")
 def forecast_daily_rate(t):
     return forecast.daily_rate(forecast.daily_costs(t.calls, TODAY), TODAY).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"""WITH {RATE} SELECT d.account_uuid, round(CAST(sum(cost) AS DOUBLE), 6) AS spent, round(CAST(sum(cost) AS DOUBLE) + any_value(rate) * 6, 6) AS forecast, CAST(any_value(ceiling_usd) AS DOUBLE) AS ceiling
-FROM day_cost d LEFT JOIN rate USING (account_uuid) LEFT JOIN budgets b ON b.account_uuid = d.account_uuid WHERE day >= '2024-01-01' GROUP BY 1""")
+@query(f"""WITH {DAYS}, p AS (SELECT account_uuid, sum(c) AS spent, {_mean()} AS rate FROM day_cost WHERE d >= DATE '2024-01-01' AND d < DATE '2024-02-01' GROUP BY 1)
+SELECT p.account_uuid, round(spent, 6) AS spent, round(spent + rate * (31 - 25), 6) AS forecast, CAST(25 AS INTEGER) AS elapsed, CAST(31 AS INTEGER) AS total, CAST(ceiling_usd AS DOUBLE) AS ceiling,
+ round((spent + rate * (31 - 25)) / CAST(ceiling_usd AS DOUBLE), 6) AS share FROM p LEFT JOIN budgets b ON b.account_uuid = p.account_uuid WHERE rate IS NOT NULL""")
 def forecast_calendar_month(t):
-    daily = forecast.daily_costs(t.calls, TODAY)
     now = F.to_date(F.lit(TODAY))
-    x = forecast.period_forecast(daily, forecast.daily_rate(daily, TODAY), F.trunc(now, "month"), F.add_months(F.trunc(now, "month"), 1), TODAY)
+    x = forecast.period_forecast(forecast.daily_costs(t.calls, TODAY), F.trunc(now, "month"), F.add_months(F.trunc(now, "month"), 1), TODAY)
     b = t.budgets.select("account_uuid", F.col("ceiling_usd").cast("double").alias("ceiling"))
-    return x.join(F.broadcast(b), "account_uuid", "left").select("account_uuid", F.round("spent", 6).alias("spent"), F.round("forecast", 6).alias("forecast"), "ceiling")
+    share = F.round(F.try_divide("forecast", "ceiling"), 6)
+    return x.join(small(b), "account_uuid", "left").select("account_uuid", F.round("spent", 6).alias("spent"), F.round("forecast", 6).alias("forecast"), "elapsed", "total", "ceiling", share.alias("share"))
 
 
-@query(f"""WITH {RATE}, bs AS (SELECT *, CASE WHEN renewal_day = 31 THEN DATE '2023-12-31' ELSE DATE '2024-01-15' END AS a, CASE WHEN renewal_day = 31 THEN DATE '2024-01-31' ELSE DATE '2024-02-15' END AS z FROM budgets)
-SELECT d.account_uuid, strftime(any_value(a), '%Y-%m-%d') AS starts, round(CAST(sum(cost) AS DOUBLE), 6) AS spent, round(CAST(sum(cost) AS DOUBLE) + any_value(rate) * (any_value(z) - DATE '{TODAY}' - 1), 6) AS forecast
-FROM day_cost d JOIN bs USING (account_uuid) LEFT JOIN rate USING (account_uuid) WHERE CAST(day AS DATE) >= a GROUP BY 1""")
+@query(f"""WITH {DAYS}, bs AS (SELECT *, CASE WHEN renewal_day = 31 THEN DATE '2023-12-31' ELSE DATE '2024-01-15' END AS a, CASE WHEN renewal_day = 31 THEN DATE '2024-01-31' ELSE DATE '2024-02-15' END AS z FROM budgets),
+p AS (SELECT x.account_uuid, any_value(a) AS a, any_value(z) AS z, sum(c) AS spent, {_mean('x.')} AS rate FROM day_cost x JOIN bs USING (account_uuid) WHERE d >= a AND d < z GROUP BY 1)
+SELECT account_uuid, strftime(a, '%Y-%m-%d') AS starts, round(spent, 6) AS spent, round(spent + rate * greatest((z - a) - (DATE '{TODAY}' - a + 1), 0), 6) AS forecast FROM p WHERE rate IS NOT NULL""")
 def forecast_billing_month(t):
-    daily = forecast.daily_costs(t.calls, TODAY)
     start = forecast.billing_start(F.to_date(F.lit(TODAY)), F.col("renewal_day"))
-    b = t.budgets.withColumn("starts", start).withColumn("ends", forecast.billing_end(F.col("starts"), F.col("renewal_day")))
-    x = forecast.period_forecast(daily.join(F.broadcast(b), "account_uuid"), forecast.daily_rate(daily, TODAY), F.col("starts"), F.col("ends"), TODAY)
-    names = b.select("account_uuid", F.date_format("starts", "yyyy-MM-dd").alias("starts"))
-    return x.join(F.broadcast(names), "account_uuid").select("account_uuid", "starts", F.round("spent", 6).alias("spent"), F.round("forecast", 6).alias("forecast"))
+    b = small(t.budgets.withColumn("starts", start).withColumn("ends", forecast.billing_end(F.col("starts"), F.col("renewal_day"))))
+    x = forecast.period_forecast(forecast.daily_costs(t.calls, TODAY).join(b, "account_uuid"), F.col("starts"), F.col("ends"), TODAY)
+    return x.join(b.select("account_uuid", F.date_format("starts", "yyyy-MM-dd").alias("starts")), "account_uuid").select("account_uuid", "starts", F.round("spent", 6).alias("spent"), F.round("forecast", 6).alias("forecast"))
 
 
 _W0, _W1 = NOW - 4 * 86_400_000_000, NOW + 3 * 86_400_000_000
@@ -59,16 +63,12 @@ def forecast_window(t):
     return x.select("account_uuid", F.round("c", 6).alias("cost"), F.when(known, F.round(F.col("c") / gone, 6)).alias("at_reset"))
 
 
-@query(f"""SELECT round(CAST(sum(cost) FILTER (day >= '2024-01-01') AS DOUBLE), 6) AS spent, round(CAST(sum(cost) FILTER (day >= '2024-01-01') AS DOUBLE) / 25 * 31, 6) AS by_month,
- round(CAST(sum(cost) FILTER (day >= '2024-01-12') AS DOUBLE) / 14 * 31, 6) AS by_fortnight FROM calls WHERE day <= '{TODAY}'""")
+@query(f"""WITH x AS (SELECT CAST(day AS DATE) AS d, cost FROM calls WHERE day <= '{TODAY}'), s AS (SELECT max(d) AS newest, CAST(sum(cost) FILTER (d >= DATE '2024-01-01') AS DOUBLE) AS m,
+ CAST(sum(cost) FILTER (d BETWEEN DATE '2024-01-11' AND DATE '2024-01-24') AS DOUBLE) AS f FROM x)
+SELECT round(m, 6) AS spent, round(m / 25 * 31, 6) AS by_month, CASE WHEN f > 0 THEN round(f / 14 * 31, 6) END AS by_fortnight FROM s WHERE newest >= DATE '2024-01-01'""")
 def forecast_month_projection(t):
-    """Month to date over its days, and the last fourteen days' average, both times the month's length."""
-    now = F.to_date(F.lit(TODAY))
-    day = F.to_date("day")
-    length, gone = F.dayofmonth(F.last_day(now)), F.dayofmonth(now)
-    x = t.calls.where(day <= now)
-    s = x.agg(F.sum(F.when(day >= F.trunc(now, "month"), F.col("cost"))).cast("double").alias("m"), F.sum(F.when(day > F.date_sub(now, 14), F.col("cost"))).cast("double").alias("f"))
-    return s.select(F.round("m", 6).alias("spent"), F.round(F.col("m") / gone * length, 6).alias("by_month"), F.round(F.col("f") / 14 * length, 6).alias("by_fortnight"))
+    x = forecast.month_projection(t.calls.where(F.col("day") <= TODAY), TODAY)
+    return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
 
 
 S0, S1 = 1704067200000000, 1706745600000000  # January 2024
@@ -110,7 +110,7 @@ def plan_value_by_month(t):
     plan = forecast.prorated(t.account_tiers, t.plan_prices, S0, S1)
     use = t.calls.groupBy("account_uuid", F.substring("day", 1, 7).alias("month")).agg(F.sum("cost").cast("double").alias("cost")).where("month = '2024-01'")
     fx = _fx(t).select(F.col("date").alias("last"), F.col("rate").cast("double").alias("rate"))
-    x = use.join(F.broadcast(plan), ["account_uuid", "month"], "left").withColumn("last", F.date_format(F.last_day(F.to_date(F.concat("month", F.lit("-01")))), "yyyy-MM-dd"))
+    x = use.join(plan, ["account_uuid", "month"], "left").withColumn("last", F.date_format(F.last_day(F.to_date(F.concat("month", F.lit("-01")))), "yyyy-MM-dd"))
     x = x.join(F.broadcast(fx), "last", "left")
     saved = F.col("cost") - F.col("usd")
     return x.select("account_uuid", "month", F.round("cost", 6).alias("cost"), F.round("usd", 6).alias("plan_usd"), F.round(F.try_divide("cost", "usd"), 6).alias("multiple"), F.round(saved, 6).alias("saved"), F.round(saved * F.col("rate"), 4).alias("saved_nok"))
@@ -122,7 +122,7 @@ SELECT account_uuid, round(plan_usd, 6) AS plan_usd FROM m""")
 def plan_value_scope(t):
     """The plan's cost over the span that a scope's records cover, here a machine's."""
     span = t.calls.where("machine_id = 'm1'").groupBy("account_uuid").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
-    pieces = forecast.stretch_prices(forecast.stretches(t.account_tiers, S0, S1), t.plan_prices).join(F.broadcast(span), "account_uuid")
+    pieces = forecast.stretch_prices(forecast.stretches(t.account_tiers, S0, S1), t.plan_prices).join(span, "account_uuid")
     cut = pieces.withColumns({"from_us": F.greatest("from_us", "a"), "to_us": F.least("to_us", "z")})
     empty = F.col("to_us") <= F.col("from_us")
     shares = forecast.month_shares(cut.where(~empty)).select("account_uuid", (F.col("usd").cast("double") * F.col("share")).alias("v"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..fixtures import DAY, NOW
 from ..functions.money import usd
 from ..operators.attribution import apply_rules, asof_account
-from ..operators.dedup import dedup_flag
-from ..operators.maintenance import shared_path
-from ..operators.pricing import asof_price, price_calls
-from ..operators.reports import with_models
+from ..operators.pricing import asof_price
+from ..operators.reports import bucket, shown, with_models
+from ..operators.stored import shared_path
 from ..registry import query
 from ..sources import ingest, logs
 from .attribution import LABELS, TARGET
 from .calls import SLIM, SLIM_SQL
+from .report_queries import SUMS
 
 _TEN = 1704844800000000
 #: What arrives: machine m2's files, early calls only of two of them.
@@ -25,7 +25,7 @@ ver AS (SELECT machine_id, file_path, CASE WHEN {STORED} THEN 'skipped' WHEN boo
 
 
 def _batch(t):
-    return asof_price(t.rec.where(BATCH), t.price_periods)
+    return asof_price(t.rec.where(BATCH), t.price_dim)
 
 
 def _verdicts(t):
@@ -133,7 +133,7 @@ def _log_files(t) -> str:
     iso = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_create").alias("cache_creation_input_tokens"), F.when(F.col("cache_read") > 0, F.col("cache_read")).alias("cache_read_input_tokens"))
     line = F.to_json(F.struct(
-        F.lit("assistant").alias("type"), iso.alias("timestamp"), F.col("sid").alias("sessionId"), "cwd", F.element_at(F.split("dk", ":"), 2).alias("requestId"),
+        F.lit("assistant").alias("type"), iso.alias("timestamp"), F.col("sid").alias("sessionId"), "cwd", F.try_element_at(F.split("dk", ":"), F.lit(2)).alias("requestId"),
         F.col("log_cost").cast("string").alias("costUSD"), F.struct(F.col("mid").alias("id"), "model", usage.alias("usage")).alias("message")))
     other = F.when(F.col("rid") % 50 == 0, F.lit("{broken")).when(F.col("rid") % 50 == 2, F.lit('{"type":"user","cwd":"/w/user"}'))
     root = shared_path(t.spark, "logs")
@@ -142,7 +142,7 @@ def _log_files(t) -> str:
     return root
 
 
-@query(f"SELECT ts_us, sid, mid, model, dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read FROM rec")
+@query(f"SELECT ts_us, sid, mid, model, nullif(dk, '') AS dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read FROM rec")
 def src_parse_session_logs(t):
     calls = logs.parse_lines(logs.read_lines(t.spark, _log_files(t), "*.txt"))
     return calls.select("ts_us", "sid", "mid", "model", "dk", usd(F.col("log_cost")).alias("log_cost"), "input_tokens", "output_tokens", "cache_create", "cache_read")
@@ -171,10 +171,7 @@ def union_all_sources(t):
     return live.unionByName(orphan).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"))
 
 
-@query("SELECT rid, round(CAST(cost AS DOUBLE), 6) AS cost FROM calls", name="report_from_stored_flag")
+@query(f"SELECT day, {SUMS} FROM calls GROUP BY day")
 def report_from_stored_flag(t):
-    """The calls by way of the stored flag: no dedup shuffle at read."""
-    kept = dedup_flag(t.rec).where(~F.col("is_dup")).drop("is_dup")
-    return price_calls(kept, t.price_periods, t.base).select("rid", usd(F.col("cost")).alias("cost"))
-
-
+    """The daily report by way of the stored flag: no dedup shuffle and no pricing at read."""
+    return shown(bucket(t.flagged.where(~F.col("is_dup")), "day"), "day")

@@ -25,15 +25,15 @@ def rollup_build(t):
 
 @query(f"SELECT day, {SUMS} FROM calls GROUP BY day")
 def rollup_served_report(t):
-    """The daily report from rolled-up days and recent calls: equal to the full path."""
-    x = m.served(m.rollup(t.calls.where(F.col("day") < CUTOFF)), t.calls, CUTOFF)
+    """The daily report from the stored rollup and the stored verdicts on recent calls: equal to the full path."""
+    x = m.served(t.rolled(CUTOFF), t.flagged.where(~F.col("is_dup")), CUTOFF)
     out = x.groupBy("day").agg(*[F.sum(c).alias(c) for c in m.SUMS])
     return out.withColumn("cost", usd(F.col("cost")))
 
 
-PLAN = f"""purged AS (SELECT * FROM rec WHERE {GONE}), live AS (SELECT dk FROM rec WHERE NOT {GONE}),
+PLAN = f"""purged AS (SELECT * FROM rec WHERE {GONE}), live AS (SELECT dk FROM rec WHERE NOT {GONE} AND dk <> ''),
 plan AS (SELECT file_path, count(*) AS n, CASE WHEN max(ts_us) >= {FOLD_US} THEN 'newer' WHEN count(DISTINCT account_uuid) > 1 THEN 'account change'
- WHEN count(*) FILTER (dk IS NOT NULL AND dk IN (SELECT dk FROM live WHERE dk IS NOT NULL)) > 0 THEN 'live copy' ELSE 'fold' END AS plan FROM purged WHERE ts_us < {FOLD_US} OR file_path = '/p/16.jsonl' GROUP BY 1)"""
+ WHEN count(*) FILTER (dk <> '' AND dk IN (SELECT dk FROM live)) > 0 THEN 'live copy' ELSE 'fold' END AS plan FROM purged WHERE ts_us < {FOLD_US} OR file_path = '/p/16.jsonl' GROUP BY 1)"""
 
 
 def _purgeable(t):
@@ -79,8 +79,8 @@ def agg_orphan_alltime(t):
     return t.calls.where(GONE).groupBy("project", "cwd", "repo").agg(usd(F.sum("cost")).alias("cost"), F.sum("n_calls").alias("n_calls"))
 
 
-REST = """oth AS (SELECT * FROM rec r WHERE machine_id <> 'm0' AND (dk IS NULL OR NOT EXISTS (SELECT 1 FROM rec o WHERE o.machine_id = 'm0' AND o.dk = r.dk AND o.account_uuid = r.account_uuid))),
-rest AS (SELECT * FROM oth WHERE dk IS NULL UNION ALL SELECT * FROM oth WHERE dk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1),
+REST = """oth AS (SELECT * FROM rec r WHERE machine_id <> 'm0' AND (coalesce(dk, '') = '' OR NOT EXISTS (SELECT 1 FROM rec o WHERE o.machine_id = 'm0' AND o.dk = r.dk AND o.account_uuid = r.account_uuid))),
+rest AS (SELECT * FROM oth WHERE coalesce(dk, '') = '' UNION ALL SELECT * FROM oth WHERE dk <> '' QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1),
 rc AS (SELECT k.*, CASE WHEN contains(k.model, ':') THEN CAST(0 AS DECIMAL(30,10)) ELSE coalesce(CAST({cost} AS DECIMAL(30,10)), CAST(0 AS DECIMAL(30,10))) END AS computed FROM rest k LEFT JOIN price_dim d ON k.model = d.model AND k.ts_us >= d.from_us AND k.ts_us < d.to_us),
 rp AS (SELECT *, coalesce(log_cost, computed) AS cost FROM rc)"""
 
@@ -94,7 +94,7 @@ def _rest_sql():
 def _rest(t):
     from ..operators.pricing import price_calls
 
-    return price_calls(m.anti_remainder(t.rec, "m0"), t.price_periods, t.base)
+    return price_calls(m.anti_remainder(t.rec, "m0"), t.price_dim)
 
 
 @query(f"WITH {_rest_sql()} SELECT rid, machine_id, {_u('cost')} AS cost FROM rp")

@@ -9,6 +9,7 @@ from ..fixtures import NOW
 from ..functions.money import ratio, usd
 from ..functions.names import model_family
 from ..operators import quota
+from ..operators.asof import small
 from ..registry import query
 from .report_queries import FAMILY
 
@@ -108,9 +109,14 @@ def sink_limits_export(t):
 
 @query(f"WITH {inst()} SELECT account_uuid, win, model, reset_min, CAST(row_number() OVER (ORDER BY ord, reset_min DESC, coalesce(model, ''), account_uuid) AS INTEGER) AS place FROM inst")
 def sort_window_rows(t):
-    """Known window types first, newest reset first. The listing is small: one row per window instance."""
-    w = Window.partitionBy(F.lit(0)).orderBy("ord", F.desc("reset_min"), F.coalesce("model", F.lit("")), "account_uuid")
-    return _inst(t, "account_uuid").select("account_uuid", "win", "model", "reset_min", F.row_number().over(w).alias("place"))
+    """Known window types first, newest reset first: numbered within a type, after the counts of the types before."""
+    x = _inst(t, "account_uuid").select("account_uuid", "win", "model", "reset_min", "ord", F.floor(F.col("reset_min") / 2_592_000).alias("month"))
+    # a type and a month of resets at a time, so that no task takes all
+    counts = x.groupBy("ord", "month").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("ord", "month", F.coalesce(F.sum("n").over(Window.orderBy("ord", F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy("ord", "month").orderBy(F.desc("reset_min"), F.coalesce("model", F.lit("")), "account_uuid")
+    placed = x.withColumn("at", F.row_number().over(w)).join(starts, ["ord", "month"])
+    return placed.select("account_uuid", "win", "model", "reset_min", (F.col("before") + F.col("at")).cast("int").alias("place"))
 
 
 @query("SELECT account_uuid, win, arg_max(used_pct, (ts_us, event_id)) AS used_pct, arg_max(resets_at, (ts_us, event_id)) AS resets_at, max(ts_us) AS ts_us FROM samples GROUP BY 1, 2")
@@ -121,35 +127,32 @@ def latest_per_window(t):
 @query(f"WITH {inst()} SELECT i.account_uuid, win, model, reset_min, tier FROM inst i JOIN (SELECT account_uuid, arg_max(coalesce(user_tier, org_tier), from_us) AS tier FROM account_tiers WHERE from_us <= {NOW} GROUP BY 1) t ON t.account_uuid = i.account_uuid WHERE tier IS NOT NULL")
 def filter_tiered_windows(t):
     tiers = t.account_tiers.where(F.col("from_us") <= NOW).groupBy("account_uuid").agg(F.max_by(F.coalesce("user_tier", "org_tier"), "from_us").alias("tier"))
-    return _inst(t, "account_uuid").select(*_KEYS).join(F.broadcast(tiers.where("tier IS NOT NULL")), "account_uuid")
+    return _inst(t, "account_uuid").select(*_KEYS).join(small(tiers.where("tier IS NOT NULL")), "account_uuid")
 
 
-@query("""WITH x AS (SELECT *, CASE WHEN lag(spent_cents) OVER w IS NULL THEN NULL WHEN spent_cents < lag(spent_cents) OVER w THEN spent_cents ELSE spent_cents - lag(spent_cents) OVER w END AS added
- FROM extra WINDOW w AS (PARTITION BY account_uuid, machine_id ORDER BY ts_us, event_id)), """ + inst() + """, sp AS (
- SELECT i.account_uuid, i.win, i.model, i.reset_min, x.machine_id, CAST(sum(added) AS BIGINT) AS added, count(*) AS n_inside FROM inst i JOIN x ON x.account_uuid = i.account_uuid AND x.ts_us > i.first_us AND x.ts_us <= i.peak_us
- WHERE i.win = 'session' GROUP BY ALL) SELECT * FROM sp""")
-def span_extra_spend(t):
-    """Cents added inside each session window, per machine's series; null where no reading bounds it."""
-    return _extra_spend(t)
+# from the rule: number the readings of a series, find the baseline and the last one inside, add up what lies between
+_EXTRA = inst() + f""", win AS (SELECT account_uuid, win, model, reset_min, CAST((reset_min - span_s) * 1000000 AS BIGINT) AS a, CAST(least(reset_min * 1000000, {NOW}) AS BIGINT) AS z FROM inst),
+series AS (SELECT account_uuid, machine_id, ts_us, spent_cents, row_number() OVER (PARTITION BY account_uuid, machine_id ORDER BY ts_us, event_id) AS i FROM extra),
+cand AS (SELECT w.*, s.machine_id, max(i) FILTER (ts_us <= a) AS base0, max(i) FILTER (ts_us <= z) AS final, min(i) FILTER (ts_us >= a) AS opening, count(*) FILTER (ts_us BETWEEN a AND z) AS n_inside
+ FROM win w JOIN series s USING (account_uuid) GROUP BY ALL),
+based AS (SELECT c.*, CASE WHEN base0 IS NOT NULL THEN base0 WHEN opening <= final AND o.spent_cents = 0 THEN opening END AS base FROM cand c LEFT JOIN series o ON o.account_uuid = c.account_uuid AND o.machine_id = c.machine_id AND o.i = c.opening),
+added AS (SELECT b.account_uuid, b.win, b.model, b.reset_min, b.machine_id, b.n_inside, CAST(sum(CASE WHEN n.spent_cents >= p.spent_cents THEN n.spent_cents - p.spent_cents ELSE n.spent_cents END) AS BIGINT) AS added
+ FROM based b LEFT JOIN series n ON n.account_uuid = b.account_uuid AND n.machine_id = b.machine_id AND n.i > b.base AND n.i <= b.final
+ LEFT JOIN series p ON p.account_uuid = n.account_uuid AND p.machine_id = n.machine_id AND p.i = n.i - 1 WHERE b.n_inside > 0 GROUP BY ALL)"""
 
 
-def _extra_spend(t):
-    added = quota.extra_increments(t.extra, ("account_uuid", "machine_id")).select("account_uuid", "machine_id", "ts_us", "added")
-    size = 21_600_000_000
-    spans = _inst(t, "account_uuid").where("win = 'session'").select(*_KEYS, "first_us", "peak_us", F.explode(F.sequence(F.floor(F.col("first_us") / size), F.floor(F.col("peak_us") / size))).alias("bin"))
-    e = added.select(F.col("account_uuid").alias("k"), F.floor(F.col("ts_us") / size).alias("b"), F.col("ts_us").alias("at"), "machine_id", "added")
-    met = spans.join(e, (spans["account_uuid"] == e["k"]) & (spans["bin"] == e["b"]) & (e["at"] > spans["first_us"]) & (e["at"] <= spans["peak_us"]))
-    return met.groupBy(*_KEYS, "machine_id").agg(F.sum("added").alias("added"), F.count(F.lit(1)).alias("n_inside"))
+@query(f"""WITH {_EXTRA} SELECT w.account_uuid, w.win, w.model, w.reset_min, machine_id, added, coalesce(n_inside, 0) AS n_inside FROM win w
+ LEFT JOIN added x ON x.account_uuid = w.account_uuid AND x.win = w.win AND x.model IS NOT DISTINCT FROM w.model AND x.reset_min = w.reset_min""")
+def span_extra_spend(t):
+    """Cents added while each window ran, per machine's series; null where no reading bounds it."""
+    return quota.extra_spans(_inst(t, "account_uuid"), t.extra, NOW)
 
 
-@query("""WITH x AS (SELECT *, CASE WHEN lag(spent_cents) OVER w IS NULL THEN NULL WHEN spent_cents < lag(spent_cents) OVER w THEN spent_cents ELSE spent_cents - lag(spent_cents) OVER w END AS added
- FROM extra WINDOW w AS (PARTITION BY account_uuid, machine_id ORDER BY ts_us, event_id)), """ + inst() + """, sp AS (
- SELECT i.account_uuid, i.win, i.model, i.reset_min, x.machine_id, CAST(sum(added) AS BIGINT) AS added, count(*) AS n_inside FROM inst i JOIN x ON x.account_uuid = i.account_uuid AND x.ts_us > i.first_us AND x.ts_us <= i.peak_us
- WHERE i.win = 'session' GROUP BY ALL) SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY account_uuid, win, model, reset_min ORDER BY n_inside DESC, machine_id) = 1""")
+@query(f"""WITH {_EXTRA}, best AS (SELECT * FROM added WHERE added IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_uuid, win, model, reset_min ORDER BY n_inside DESC, machine_id) = 1)
+SELECT w.account_uuid, w.win, w.model, w.reset_min, machine_id, added FROM win w LEFT JOIN best x ON x.account_uuid = w.account_uuid AND x.win = w.win AND x.model IS NOT DISTINCT FROM w.model AND x.reset_min = w.reset_min""")
 def span_extra_best_machine(t):
-    """The series with most readings inside, the lower machine on a tie."""
-    w = Window.partitionBy(*_KEYS).orderBy(F.desc("n_inside"), "machine_id")
-    return _extra_spend(t).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """What the machine that watched the window most closely says."""
+    return quota.closest_series(quota.extra_spans(_inst(t, "account_uuid"), t.extra, NOW), list(_KEYS))
 
 
 _START = NOW - 7 * 86_400_000_000

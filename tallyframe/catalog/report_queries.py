@@ -8,11 +8,12 @@ from ..fixtures import DAY, HOUR, NOW
 from ..functions.money import KINDS, ratio, usd
 from ..functions.names import model_family, short_model
 from ..operators import reports
+from ..operators.asof import small
 from ..registry import query
 
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*KINDS, "tokens")) + ", round(CAST(sum(cost) AS DOUBLE), 6) AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls"
 SHORT = "regexp_replace(regexp_replace(model, '^claude-', ''), '-[0-9]{8}$', '')"
-FAMILY = "CASE WHEN contains(lower(model), 'opus') THEN 'opus' WHEN contains(lower(model), 'sonnet') THEN 'sonnet' WHEN contains(lower(model), 'haiku') THEN 'haiku' WHEN contains(lower(model), 'fable') THEN 'fable' ELSE 'other' END"
+FAMILY = "CASE WHEN contains(lower(model), 'haiku') THEN 'haiku' WHEN contains(lower(model), 'sonnet') THEN 'sonnet' WHEN contains(lower(model), 'opus') THEN 'opus' WHEN contains(lower(model), 'fable') THEN 'fable' ELSE 'other' END"
 
 
 def _u(x):
@@ -149,7 +150,7 @@ SELECT c.account_uuid, n, {_u('c')} AS cost, label, alias, tier, coalesce(declar
 def overview_accounts(t):
     each = t.calls.groupBy("account_uuid").agg(F.count(F.lit(1)).alias("n"), usd(F.sum("cost")).alias("cost"), F.max_by("account_label", F.struct("ts_us", "rid")).alias("label"))
     tiers = t.account_tiers.where(F.col("from_us") <= NOW).groupBy("account_uuid").agg(F.max_by(F.coalesce("user_tier", "org_tier"), "from_us").alias("tier"), F.count(F.lit(1)).alias("declared"))
-    return each.join(F.broadcast(t.account_aliases), "account_uuid", "left").join(F.broadcast(tiers), "account_uuid", "left").fillna(0, ["declared"])
+    return each.join(small(t.account_aliases), "account_uuid", "left").join(tiers, "account_uuid", "left").fillna(0, ["declared"])
 
 
 @query("SELECT account_uuid, arg_max(account_label, (ts_us, rid)) AS label FROM rec GROUP BY 1")
@@ -161,14 +162,14 @@ def overview_account_names(t):
 FROM calls c LEFT JOIN project_aliases a ON a.machine_id = c.machine_id AND a.project = c.project WHERE c.project IS NOT NULL GROUP BY 1, 2""")
 def overview_projects(t):
     each = t.calls.where("project IS NOT NULL").groupBy("machine_id", "project").agg(F.count(F.lit(1)).alias("n"), usd(F.sum("cost")).alias("cost"), F.max("ts_us").alias("last_us"))
-    return each.join(F.broadcast(t.project_aliases), ["machine_id", "project"], "left")
+    return each.join(small(t.project_aliases), ["machine_id", "project"], "left")
 
 
 @query("SELECT r.machine_id, any_value(coalesce(label, m.machine_id)) AS label, count(*) AS n, max(ts_us) AS last_us FROM rec r LEFT JOIN machines m USING (machine_id) GROUP BY 1")
 def overview_machines(t):
     """Raw counts, before dedup."""
     each = t.rec.groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("last_us"))
-    return each.join(F.broadcast(t.machines), "machine_id", "left").withColumn("label", F.coalesce("label", "machine_id"))
+    return each.join(small(t.machines), "machine_id", "left").withColumn("label", F.coalesce("label", "machine_id"))
 
 
 @query("SELECT count(DISTINCT account_uuid) FILTER (account_uuid <> 'unknown') > 1 AS worth_showing FROM calls")
@@ -178,16 +179,18 @@ def agg_account_split_flag(t):
 
 @query(f"""WITH x AS (SELECT c.*, d.ri FROM calls c LEFT JOIN price_dim d ON c.model = d.model AND c.ts_us >= d.from_us AND c.ts_us < d.to_us)
 SELECT CAST(sum(tokens) AS BIGINT) AS processed, round(CAST(sum(cache_read) AS DOUBLE) / CAST(sum(input_tokens + cache_create + cache_read) AS DOUBLE), 6) AS cached_share,
- CAST(sum(input_tokens) AS BIGINT) AS uncached, round(CAST(sum(output_tokens) AS DOUBLE) / count(DISTINCT day), 6) AS output_per_day,
- {_u('sum(CAST(cache_read AS DECIMAL(15,0)) * coalesce(ri, CAST(0 AS DECIMAL(14,10))))')} AS reads_at_input_price FROM x""")
+ CAST(sum(input_tokens + cache_create) AS BIGINT) AS uncached, round(CAST(sum(output_tokens) AS DOUBLE) / count(DISTINCT day), 6) AS output_per_day,
+ {_u('sum(CAST(cache_read AS DECIMAL(15,0)) * coalesce(ri, CAST(0 AS DECIMAL(14,10))))')} AS reads_at_input_price,
+ round(CAST(sum(CAST(cache_read AS DECIMAL(15,0)) * coalesce(ri, CAST(0 AS DECIMAL(14,10)))) AS DOUBLE) / nullif(CAST(sum(cost) AS DOUBLE), 0), 6) AS read_multiple FROM x""")
 def agg_tiles(t):
     from ..operators.pricing import asof_price
 
-    x = asof_price(t.calls.drop("effective"), t.price_periods, t.base)
+    x = asof_price(t.calls.drop("effective"), t.price_dim)
     fresh = F.col("cache_read").cast("decimal(15,0)") * F.coalesce("ri", F.lit(0).cast("decimal(14,10)"))
     return x.agg(
         F.sum("tokens").alias("processed"), ratio(F.sum("cache_read"), F.sum(F.col("input_tokens") + F.col("cache_create") + F.col("cache_read"))).alias("cached_share"),
-        F.sum("input_tokens").alias("uncached"), ratio(F.sum("output_tokens"), F.count_distinct("day")).alias("output_per_day"), usd(F.sum(fresh)).alias("reads_at_input_price"),
+        F.sum(F.col("input_tokens") + F.col("cache_create")).alias("uncached"), ratio(F.sum("output_tokens"), F.count_distinct("day")).alias("output_per_day"), usd(F.sum(fresh)).alias("reads_at_input_price"),
+        ratio(F.sum(fresh), F.sum("cost")).alias("read_multiple"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import dedup_identity
 from ..operators import quota
-from ..operators.maintenance import shared_path
+from ..operators.stored import shared_path
 from ..registry import query
 from ..streaming import state
 
@@ -51,9 +51,9 @@ def batch_change_gate(t):
     return state.change_gate_batch(t.samples.where(~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute()))
 
 
-@query("SELECT sid, CAST(sum(CAST(floor(cost * 1000000) AS BIGINT)) AS BIGINT) AS micros, count(*) AS n FROM (SELECT * FROM calls WHERE dk IS NOT NULL) GROUP BY sid")
+@query("SELECT sid, CAST(sum(CAST(floor(cost * 1000000) AS BIGINT)) AS BIGINT) AS micros, count(*) AS n FROM (SELECT * FROM calls WHERE dk <> '') GROUP BY sid")
 def stream_session_cost(t):
-    keyed = t.calls.where("dk IS NOT NULL").select("sid", "ts_us", (F.floor(F.col("cost") * 1_000_000)).cast("long").alias("micros"), dedup_identity().alias("ident"))
+    keyed = t.calls.where("dk <> ''").select("sid", "ts_us", (F.floor(F.col("cost") * 1_000_000)).cast("long").alias("micros"), dedup_identity().alias("ident"))
     twice = keyed.unionByName(keyed.where(F.col("ts_us") % 3 == 0))  # sent again
     return run_to_end(t, state.session_cost_stream(stream_of(t, twice, "calls")), "update", ["sid"])
 

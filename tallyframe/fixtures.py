@@ -18,11 +18,11 @@ HOUR = 3_600_000_000
 
 _DUCK = {
     "TS": "epoch_us(ts)", "K": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "DIV": "//",
-    "day": lambda us: f"strftime(make_timestamp({us}), '%Y-%m-%d')",
+    "day": lambda us: f"strftime(make_timestamp({us}), '%Y-%m-%d')", "copies": "unnest(CASE WHEN k % 5 = 0 OR k % 10 = 7 THEN [0, 1] ELSE [0] END)",
 }
 _SPARK = {
     "TS": "unix_micros(CAST(ts AS TIMESTAMP))", "K": "CAST(get_json_object(props, '$.k') AS BIGINT)", "DIV": "div",
-    "day": lambda us: f"date_format(timestamp_micros({us}), 'yyyy-MM-dd')",
+    "day": lambda us: f"date_format(timestamp_micros({us}), 'yyyy-MM-dd')", "copies": "explode(CASE WHEN k % 5 = 0 OR k % 10 = 7 THEN array(0, 1) ELSE array(0) END)",
 }
 
 
@@ -44,15 +44,14 @@ def _tables(d: dict, events: str = "events") -> dict[str, str]:
             CASE event_type WHEN 'click' THEN 'sonnet-x-20240101' WHEN 'view' THEN 'haiku-x'
               WHEN 'signup' THEN 'opus-x-20240101' WHEN 'purchase' THEN 'local:7b' ELSE '<synthetic>' END AS model,
             ts_us, concat('s-', CAST(user_id AS STRING), '-', CAST(day_utc AS STRING)) AS sid,
-            CASE WHEN user_id % 7 = 0 THEN NULL ELSE concat('proj', CAST(user_id % 11 AS STRING)) END AS project,
-            CASE WHEN k % 10 = 7 THEN NULL ELSE concat('msg_', CAST(event_id AS STRING), ':req_', CAST(k AS STRING)) END AS dk,
+            CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 11 = 10 THEN 'team' ELSE concat('proj', CAST(user_id % 11 AS STRING)) END AS project,
+            CASE WHEN k % 10 = 7 THEN NULL WHEN k % 50 = 3 THEN '' ELSE concat('msg_', CAST(event_id AS STRING), ':req_', CAST(k AS STRING)) END AS dk,
             CASE WHEN k % 8 = 0 THEN CAST(cents AS DECIMAL(18,0)) * CAST(0.001 AS DECIMAL(4,3)) END AS log_cost,
             cents * 10 AS input_tokens, k * 100 AS output_tokens, (event_id % 50) * 1000 AS cache_create,
             user_id * 3000 AS cache_read, user_id, k FROM e""",
-        "copies": """SELECT * FROM base UNION ALL
-            SELECT event_id, rid + 1, concat('m', CAST((event_id + 1) % 3 AS STRING)), file_path, account_uuid, mid, model,
+        "copies": f"""SELECT event_id, rid + c AS rid, concat('m', CAST((event_id + c) % 3 AS STRING)) AS machine_id, file_path, account_uuid, mid, model,
               ts_us, sid, project, dk, log_cost, input_tokens, output_tokens, cache_create, cache_read, user_id, k
-            FROM base WHERE k % 5 = 0 OR k % 10 = 7""",
+            FROM (SELECT *, {d['copies']} AS c FROM base) AS b""",
         "rec": f"""SELECT event_id, rid, machine_id, file_path, account_uuid, concat('label-', account_uuid) AS account_label,
             mid, model, ts_us, {day(f'ts_us + {offset} * 1000000')} AS day, {day('ts_us + 3600000000')} AS oslo_date,
             sid, project, CASE WHEN project IS NOT NULL AND k % 9 <> 0 THEN '/w/' || project || '/src' END AS cwd,
@@ -89,7 +88,7 @@ def _tables(d: dict, events: str = "events") -> dict[str, str]:
         "project_rules": _values("r", "id, match_kind, match_value, target", """
             (1, 'name', 'proj1', 'merged'), (2, 'name', 'proj2', 'merged'), (3, 'cwd_prefix', '/w/proj3', 'merged'),
             (4, 'remote', 'host.example/team/proj5', 'remote-five'), (5, 'name', 'proj3', 'never-reached')"""),
-        "project_aliases": _values("r", "machine_id, project, alias", "('m0', 'proj4', 'team'), ('m1', 'proj5', 'team')"),
+        "project_aliases": _values("r", "machine_id, project, alias", "('m0', 'proj4', 'team'), ('m1', 'proj5', 'team'), ('m0', 'team', 'team')"),
         "account_aliases": _values("r", "account_uuid, alias", "('acct-1', 'work'), ('acct-3', 'work')"),
         "machines": _values("r", "machine_id, label", "('m0', 'desk'), ('m1', NULL), ('m2', 'laptop')"),
         "budgets": _values("r", "account_uuid, ceiling_usd, renewal_day", "('acct-0', CAST(500 AS DECIMAL(10,2)), 31), ('acct-1', NULL, 15)"),
@@ -103,7 +102,7 @@ def _tables(d: dict, events: str = "events") -> dict[str, str]:
               CASE k % 4 WHEN 0 THEN 'session' WHEN 1 THEN 'week' WHEN 2 THEN 'sonnet' ELSE 'scoped' END AS win,
               CASE WHEN k % 4 = 0 THEN 18000 ELSE 604800 END AS span_s FROM base) AS s""",
         "extra": f"""SELECT concat('m', CAST(event_id % 3 AS STRING)) AS machine_id, concat('acct-', CAST(user_id % 4 AS STRING)) AS account_uuid, ts_us, event_id,
-            CAST(sum(cents) OVER (PARTITION BY user_id % 4, ts_us {div} 864000000000 ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_cents
+            CAST(coalesce(sum(cents) OVER (PARTITION BY user_id % 4, ts_us {div} 864000000000 ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_cents
             FROM e WHERE event_type = 'purchase'""",
         "inventory": """SELECT file_path, count(*) * 1000 + max(event_id) AS mtime_ns, CAST(sum(input_tokens) AS BIGINT) AS size,
             CASE WHEN file_path LIKE '%7.jsonl' THEN 1 ELSE 0 END AS archived FROM base GROUP BY file_path""",
@@ -150,7 +149,33 @@ class Tables:
         from .operators.dedup import dedup_merged
         from .operators.pricing import price_calls
 
-        return price_calls(dedup_merged(self.rec), self.price_periods, self.base)
+        return price_calls(dedup_merged(self.rec), self.price_dim)
+
+    def _stored(self, name: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        from .operators.stored import stored
+
+        return stored(self.spark, name, f"{self.sf_dir}/events.parquet", build, partition_by)
+
+    @cached_property
+    def price_dim(self) -> DataFrame:
+        """The price in force by model and time, worked out once a session."""
+        from .operators.pricing import price_intervals
+
+        return self._stored("price_dim", lambda: price_intervals(self.base.select("model").distinct(), self.price_periods))
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """All records, priced, with the stored verdict on which are duplicates; by day."""
+        from .operators.dedup import dedup_flag
+        from .operators.pricing import price_calls
+
+        return self._stored("flagged", lambda: price_calls(dedup_flag(self.rec), self.price_dim).hint("rebalance", "day"), ("day",))
+
+    def rolled(self, cutoff: str) -> DataFrame:
+        """The stored rollup of the days before ``cutoff``."""
+        from .operators.maintenance import rollup
+
+        return self._stored(f"rollup-{cutoff}", lambda: rollup(self.flagged.where(f"day < '{cutoff}' AND NOT is_dup")))
 
 
 _COST = " + ".join(
@@ -159,7 +184,7 @@ _COST = " + ".join(
 )
 
 _DERIVED = {
-    "kept": "SELECT * FROM rec WHERE dk IS NULL UNION ALL SELECT * FROM rec WHERE dk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1",
+    "kept": "SELECT * FROM rec WHERE coalesce(dk, '') = '' UNION ALL SELECT * FROM rec WHERE dk <> '' QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1",
     "price_hits": """SELECT model, p.*, row_number() OVER (PARTITION BY model, from_us ORDER BY (pm = model) DESC, ord) AS rn
         FROM (SELECT DISTINCT model FROM rec) m, price_periods p WHERE pm = model OR contains(model, pm) OR contains(pm, model)""",
     "price_dim": "SELECT *, coalesce(lead(from_us) OVER (PARTITION BY model ORDER BY from_us), 9223372036854775807) AS to_us FROM price_hits WHERE rn = 1",

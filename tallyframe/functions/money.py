@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: tokens of one kind in a call from which on its higher rate holds.
 TIER_TOKENS = 200_000
 KINDS = ("input_tokens", "output_tokens", "cache_create", "cache_read")
 RATES = ("ri", "ro", "rc", "rr")

@@ -11,9 +11,8 @@ BROADCAST_ROWS = 20_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A dimension of at most ``rows`` rows, worked out once and broadcast; any larger one stays as it is, for a shuffled join."""
-    got = df.limit(rows + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= rows else df
+    """A broadcast hint for a dimension that, counted so far, has at most ``rows`` rows; a larger one is joined with a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def intervals(log: DataFrame, keys: list[str], at: str = "from_us", end: str = "to_us") -> DataFrame:
@@ -22,13 +21,28 @@ def intervals(log: DataFrame, keys: list[str], at: str = "from_us", end: str = "
     return log.withColumn(end, F.coalesce(later, F.lit(FOREVER)))
 
 
-def asof_join(facts: DataFrame, spans: DataFrame, keys: list[str], ts: str = "ts_us", at: str = "from_us", end: str = "to_us") -> DataFrame:
-    """Left join to the interval that holds ``ts``: an equi-join on the keys with a range left over."""
-    s = small(spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns]))
-    cond = (facts[ts] >= s[at]) & (facts[ts] < s[end])
+def asof_join(facts: DataFrame, spans: DataFrame, keys: list[str], ts: str = "ts_us", at: str = "from_us", end: str = "to_us", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join to the interval of the key that holds ``ts``; a key's intervals don't overlap.
+
+    Few intervals are broadcast. More are laid over bins of time, about as many as a key has
+    intervals, and joined on (keys, bin): a busy key spreads over its bins, and a fact meets only
+    the intervals of its own bin.
+    """
+    s = spans.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in spans.columns])
+    n, low, high = s.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    if n <= broadcast_rows:
+        s, x, cond = F.broadcast(s), facts, F.lit(True)
+    else:
+        bins = max(1, n // s.select(*[f"__{k}" for k in keys]).distinct().count())
+        width = (high - low) // bins + 1
+        place = lambda c: F.floor((c - F.lit(low)) / F.lit(width)).cast("long")
+        s = s.withColumn("__bin", F.explode(F.sequence(place(F.col(at)), place(F.least(F.col(end), F.lit(high))))))
+        x = facts.withColumn("__own_bin", place(F.least(F.col(ts), F.lit(high))))
+        cond = F.col("__own_bin") == F.col("__bin")
+    cond = cond & (F.col(ts) >= s[at]) & (F.col(ts) < s[end])
     for k in keys:
-        cond = cond & (facts[k] == s[f"__{k}"])
-    return facts.join(s, cond, "left").drop(*[f"__{k}" for k in keys])
+        cond = cond & (F.col(k) == F.col(f"__{k}"))
+    return x.join(s, cond, "left").drop("__bin", "__own_bin", *[f"__{k}" for k in keys])
 
 
 def carried_forward(log: DataFrame, keys: list[str], columns: list[str], at: str) -> DataFrame:

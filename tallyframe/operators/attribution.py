@@ -45,15 +45,18 @@ def implied_name(project: Column, repo: Column, cwd: Column) -> Column:
 def apply_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
     """``target``: what the first matching rule says, else the project.
 
-    Rules are tried on the distinct identities, which are few, and the result is joined back.
+    Rules are tried on the distinct identities and the result is joined back. An identity states
+    what a rule could match, its name, its remote and each folder above it, and meets the rules by equality.
     """
     ids = records.select("project", "repo", "cwd").distinct()
-    hit = (
-        ((F.col("match_kind") == "name") & (F.col("project") == F.col("match_value")))
-        | ((F.col("match_kind") == "remote") & (normalize_remote(F.col("repo")) == F.col("match_value")))
-        | ((F.col("match_kind") == "cwd_prefix") & ((F.col("cwd") == F.col("match_value")) | F.col("cwd").startswith(F.concat("match_value", F.lit("/")))))
+    steps = F.split("cwd", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(F.lit("cwd_prefix").alias("match_kind"), F.array_join(F.slice(steps, 1, k), "/").alias("match_value")))
+    named = F.array(
+        F.struct(F.lit("name").alias("match_kind"), F.col("project").alias("match_value")),
+        F.struct(F.lit("remote").alias("match_kind"), normalize_remote(F.col("repo")).alias("match_value")),
     )
-    first = ids.join(F.broadcast(rules), hit).groupBy("project", "repo", "cwd").agg(F.min_by("target", "id").alias("rule_target"))
+    stated = ids.select("project", "repo", "cwd", F.inline(F.when(F.col("cwd").isNull(), named).otherwise(F.concat(named, folders))))
+    first = stated.join(small(rules), ["match_kind", "match_value"]).groupBy("project", "repo", "cwd").agg(F.min_by("target", "id").alias("rule_target"))
     first = small(first.select(*[F.col(c).alias(f"__{c}") for c in ("project", "repo", "cwd")], "rule_target"))
     same = F.col("project").eqNullSafe(F.col("__project")) & F.col("repo").eqNullSafe(F.col("__repo")) & F.col("cwd").eqNullSafe(F.col("__cwd"))
     return records.join(first, same, "left").drop("__project", "__repo", "__cwd").withColumn("target", F.coalesce("rule_target", "project")).drop("rule_target")

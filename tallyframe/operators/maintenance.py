@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import KINDS
+from .asof import small
+from .dedup import dedup_merged
 
 ROLLUP_KEYS = ["day", "oslo_date", "sid", "project", "model", "account_uuid"]
 ARCHIVE_KEYS = ["day", "sid", "project", "cwd", "repo", "model", "account_uuid", "file_path"]
 SUMS = (*KINDS, "tokens", "cost", "n_calls")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rollup(calls: DataFrame, keys: list[str] = ROLLUP_KEYS) -> DataFrame:
     """Calls folded by key: sums, the number of calls, first and last time."""
     return calls.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in SUMS], F.min("ts_us").alias("min_ts"), F.max("ts_us").alias("max_ts"))
@@ -34,19 +27,18 @@ def served(rolled: DataFrame, calls: DataFrame, cutoff_day: str) -> DataFrame:
 
 def archive_plan(records: DataFrame, gone: DataFrame, cutoff_us: int) -> DataFrame:
     """Why a purged file is held back from the archive, or ``fold``."""
-    purged = records.join(F.broadcast(gone), "file_path", "left_semi")
-    live = records.join(F.broadcast(gone), "file_path", "left_anti")
+    gone = small(gone)
+    purged = records.join(gone, "file_path", "left_semi")
+    live = records.join(gone, "file_path", "left_anti")
     per = purged.groupBy("file_path").agg(F.max("ts_us").alias("last_us"), F.count_distinct("account_uuid").alias("accounts"), F.count(F.lit(1)).alias("n"))
-    shared = purged.where("dk IS NOT NULL").select("file_path", "dk").join(live.where("dk IS NOT NULL").select("dk").distinct(), "dk", "left_semi").select("file_path").distinct()
-    x = per.join(F.broadcast(shared.withColumn("collides", F.lit(True))), "file_path", "left")
+    shared = purged.where("dk <> ''").select("file_path", "dk").join(live.where("dk <> ''").select("dk").distinct(), "dk", "left_semi").select("file_path").distinct()
+    x = per.join(shared.withColumn("collides", F.lit(True)), "file_path", "left")
     return x.withColumn("plan", F.when(F.col("last_us") >= cutoff_us, "newer").when(F.col("accounts") > 1, "account change").when(F.col("collides"), "live copy").otherwise("fold")).select("file_path", "n", "plan")
 
 
 def anti_remainder(records: DataFrame, machine: str) -> DataFrame:
-    """Other machines' calls that ``machine`` doesn't hold itself: a null-aware anti-join, then dedup."""
-    from .dedup import dedup_merged
-
-    own = records.where((F.col("machine_id") == machine) & F.col("dk").isNotNull()).select("account_uuid", "dk").distinct()
+    """Other machines' calls that ``machine`` doesn't hold itself, then dedup; calls without a key are nobody's copies."""
+    own = records.where((F.col("machine_id") == machine) & (F.col("dk") != "")).select("account_uuid", "dk").distinct()
     others = records.where(F.col("machine_id") != machine)
     return dedup_merged(others.join(own, ["account_uuid", "dk"], "left_anti"))
 

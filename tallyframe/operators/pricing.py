@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, call_cost, tokens
 from ..functions.names import is_free
-from .asof import asof_join, intervals
+from .asof import asof_join, intervals, small
 
 RATE_COLUMNS = ("effective", "ri", "ro", "rc", "rr", "ri2", "ro2", "rc2", "rr2")
 
@@ -19,19 +19,14 @@ def price_intervals(models: DataFrame, periods: DataFrame) -> DataFrame:
     periods the newest that names the model at all wins. Models times periods is a small table.
     """
     m, p = F.col("model"), F.col("pm")
-    named = models.join(F.broadcast(periods), (m == p) | m.contains(p) | p.contains(m))
+    named = models.join(small(periods), (m == p) | m.contains(p) | p.contains(m))
     best = Window.partitionBy("model", "from_us").orderBy((m == p).desc(), "ord")
     one = named.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
     return intervals(one, ["model"])
 
 
-def asof_price(records: DataFrame, periods: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """Records with the rates in force at their time, null where none names the model.
-
-    ``models``: a frame with at least the records' models, where a plainer one than the records is
-    at hand, such as the table they were deduplicated from.
-    """
-    dim = price_intervals((models or records).select("model").distinct(), periods)
+def asof_price(records: DataFrame, dim: DataFrame) -> DataFrame:
+    """Records with the rates in force at their time, null where none names the model; ``dim`` as of ``price_intervals``."""
     return asof_join(records, dim.select("model", "from_us", "to_us", *RATE_COLUMNS), ["model"]).drop("from_us", "to_us")
 
 
@@ -46,7 +41,7 @@ def effective_cost() -> Column:
     return F.coalesce(F.col("log_cost").cast(MONEY), F.col("computed"))
 
 
-def price_calls(records: DataFrame, periods: DataFrame, models: DataFrame | None = None) -> DataFrame:
+def price_calls(records: DataFrame, dim: DataFrame) -> DataFrame:
     """Records with ``computed``, ``cost`` and ``tokens``; rate columns dropped but for ``effective``."""
-    priced = asof_price(records, periods, models).withColumn("computed", computed_cost())
+    priced = asof_price(records, dim).withColumn("computed", computed_cost())
     return priced.withColumn("cost", effective_cost()).withColumn("tokens", tokens()).drop(*RATE_COLUMNS[1:])

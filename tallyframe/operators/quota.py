@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio
+from .asof import small
 
 FARTHEST_S = 8 * 86_400
 PARTIAL_PP = 5.0
@@ -54,7 +55,7 @@ def window_instances(samples: DataFrame, spans: DataFrame, now_us: int, keys: tu
         F.max_by("used_pct", F.struct("ts_us", "event_id")).alias("latest"),
         F.count(F.lit(1)).alias("n_samples"),
     )
-    own = by.join(F.broadcast(spans.select("win", "ord", "span_s", "family")), "win", "left")
+    own = by.join(small(spans.select("win", "ord", "span_s", "family")), "win", "left")
     rise = F.col("peak") - F.col("opening")
     fill = seconds("peak_us") - seconds("first_us")
     start = F.col("reset_min") - F.col("span_s")
@@ -109,6 +110,37 @@ def extra_increments(readings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return readings.withColumn("added", step.cast("long"))
 
 
+def extra_spans(instances: DataFrame, readings: DataFrame, now_us: int, key: str = "account_uuid", bin_us: int = 21_600_000_000) -> DataFrame:
+    """(key, win, model, reset_min, machine_id, added, n_inside) for each instance and machine that read inside it, and one row with nulls for an instance without.
+
+    An instance runs from its start, its first sample where that isn't known, to its reset or now.
+    ``added`` is what came on top of the last reading up to the start; without one the series must
+    begin inside at 0, else nothing bounds the span and it is null, as it is without a further reading.
+    """
+    start = F.coalesce((F.col("reset_min") - F.col("span_s")) * 1_000_000, F.col("first_us")).cast("long")
+    w = instances.select(key, "win", "model", "reset_min", start.alias("a_us"), F.least(F.col("reset_min") * 1_000_000, F.lit(now_us)).cast("long").alias("z_us"))
+    bins = F.when(F.col("z_us") >= F.col("a_us"), F.sequence(F.floor(F.col("a_us") / bin_us), F.floor(F.col("z_us") / bin_us)))
+    spans = w.withColumn("bin", F.explode_outer(bins))
+    e = extra_increments(readings, (key, "machine_id")).select(
+        F.col(key).alias("k"), F.floor(F.col("ts_us") / bin_us).alias("b"), F.col("ts_us").alias("at"), "machine_id", "added", "spent_cents"
+    )
+    met = spans.join(e, (spans[key] == e["k"]) & (spans["bin"] == e["b"]) & (e["at"] >= spans["a_us"]) & (e["at"] <= spans["z_us"]))
+    later = F.col("at") > F.col("a_us")
+    keys = [key, "win", "model", "reset_min"]
+    per = met.groupBy(*keys, "machine_id").agg(
+        F.sum(F.when(later, F.col("added"))).alias("sum"), F.max(F.when(later & F.col("added").isNull(), F.col("spent_cents"))).alias("opening"), F.count(F.lit(1)).alias("n_inside")
+    ).select(*[F.col(c).alias(f"__{c}") for c in keys], "machine_id", F.when(F.coalesce("opening", F.lit(0)) == 0, F.col("sum")).alias("added"), "n_inside")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return w.join(per, same, "left").select(*keys, "machine_id", "added", F.coalesce("n_inside", F.lit(0)).cast("long").alias("n_inside"))
+
+
+def closest_series(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each instance the machine that read it most, among those that can answer; the lower name on a tie; nulls where none can."""
+    answers = F.when(F.col("added").isNotNull(), F.struct(-F.col("n_inside"), "machine_id", "added"))
+    best = spans.groupBy(*keys).agg(F.min(answers).alias("best"))
+    return best.select(*keys, F.col("best.machine_id").alias("machine_id"), F.col("best.added").alias("added"))
+
+
 def group_summary(priced: DataFrame) -> DataFrame:
     """Per window type: hits, highest peak, spend over rise, reads over input."""
     rose = F.col("rise") > 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import KINDS, ratio, usd
 from ..functions.names import is_pseudo, short_model
+from .stored import written
 
 MEASURES = (*KINDS, "tokens", "cost", "n_calls")
 
@@ -39,7 +40,7 @@ def breakdown(calls: DataFrame, key: str) -> DataFrame:
 
 def ranked(calls: DataFrame, key: str, n: int) -> DataFrame:
     """The n costliest keys, with the shown and the overall totals beside each row and how many there are."""
-    rows = bucket(calls, key)
+    rows = written(bucket(calls, key), "ranked")  # read three times
     total = rows.agg(F.sum("cost").alias("all_cost"), F.count(F.lit(1)).alias("n_all"))
     top = rows.orderBy(F.desc("cost"), key).limit(n)
     part = top.agg(F.sum("cost").alias("shown_cost"))

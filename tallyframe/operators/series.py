@@ -12,8 +12,8 @@ def dense_days(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 
 def on_axis(axis: DataFrame, values: DataFrame, at: str, trace: str) -> DataFrame:
-    """Every (axis point, trace), null where there is no value. Axis and traces are both small."""
-    full = axis.join(F.broadcast(values.select(trace).distinct()), F.lit(True))
+    """Every (axis point, trace), null where there is no value. The axis has a bounded number of points."""
+    full = values.select(trace).distinct().join(F.broadcast(axis), F.lit(True))
     return full.join(values, [at, trace], "left")
 
 

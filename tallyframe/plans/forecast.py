@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.asof import FOREVER, interval_overlap
+from ..operators.asof import FOREVER, interval_overlap, small
 
 HALF_LIFE_DAYS = 7
 MIN_ACTIVE_DAYS = 3
@@ -16,17 +16,17 @@ def daily_costs(calls: DataFrame, upto_day: str | None = None) -> DataFrame:
     return x.groupBy("account_uuid", "day").agg(F.sum("cost").alias("cost"))
 
 
-def daily_rate(daily: DataFrame, today: str) -> DataFrame:
-    """Weighted mean over the days from the first on, idle ones as 0; a day's weight halves every week.
+def _rate(today: str) -> tuple[Column, Column]:
+    """``active`` days, those with any cost, and their weighted mean; null with fewer than three. A day's weight halves every week."""
+    active, age = F.col("cost") > 0, F.greatest(F.datediff(F.lit(today), F.to_date("day")), F.lit(0))
+    weight = F.when(active, F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS))
+    n = F.count_if(active)
+    return n.alias("active"), F.when(n >= MIN_ACTIVE_DAYS, F.sum(F.col("cost").cast("double") * weight) / F.sum(weight)).alias("rate")
 
-    Null with fewer than three active days.
-    """
-    past = daily.where(F.col("day") < today)
-    age = F.datediff(F.lit(today), F.to_date("day"))
-    span = past.groupBy("account_uuid").agg(F.max(age).alias("oldest"), F.count(F.lit(1)).alias("active"), F.sum(F.col("cost").cast("double") * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS)).alias("weighted"))
-    q = 2.0 ** (-1 / HALF_LIFE_DAYS)
-    weights = F.lit(q) * (1 - F.pow(F.lit(q), F.col("oldest"))) / (1 - q)  # q + q^2 + .. + q^oldest
-    return span.select("account_uuid", "active", F.when(F.col("active") >= MIN_ACTIVE_DAYS, F.col("weighted") / weights).alias("rate"))
+
+def daily_rate(daily: DataFrame, today: str) -> DataFrame:
+    """(account_uuid, active, rate): recent daily spend over the days that had any, today among them."""
+    return daily.groupBy("account_uuid").agg(*_rate(today))
 
 
 def billing_start(day: Column, renewal: Column) -> Column:
@@ -43,14 +43,35 @@ def billing_end(start: Column, renewal: Column) -> Column:
     return F.date_add(month, F.least(renewal, F.dayofmonth(F.last_day(month))) - 1)
 
 
-def period_forecast(daily: DataFrame, rates: DataFrame, start: Column, end: Column, today: str) -> DataFrame:
-    """Spent from ``start`` through today, and that plus the rate for the days that remain before ``end``.
+def period_forecast(daily: DataFrame, start: Column, end: Column, today: str) -> DataFrame:
+    """Spent in [start, end), and that plus the period's own rate for the days that remain after today.
 
-    ``daily`` carries whatever ``start`` and ``end`` refer to.
+    ``daily`` carries whatever ``start`` and ``end`` refer to. An account without a rate in the
+    period has no forecast and no row.
     """
-    day, now = F.to_date("day"), F.to_date(F.lit(today))
-    spent = daily.where((day >= start) & (day <= now)).groupBy("account_uuid").agg(F.sum("cost").cast("double").alias("spent"), F.max(F.datediff(end, F.lit(today)) - 1).alias("remaining"))
-    return spent.join(F.broadcast(rates), "account_uuid", "left").withColumn("forecast", F.col("spent") + F.col("rate") * F.col("remaining"))
+    x = daily.withColumns({"__start": start, "__end": end, "__day": F.to_date("day")})
+    inside = x.where((F.col("__day") >= F.col("__start")) & (F.col("__day") < F.col("__end")))
+    elapsed, total = F.datediff(F.lit(today), F.max("__start")) + 1, F.datediff(F.max("__end"), F.max("__start"))
+    each = inside.groupBy("account_uuid").agg(F.sum("cost").cast("double").alias("spent"), *_rate(today), elapsed.alias("elapsed"), total.alias("total"))
+    remaining = F.greatest(F.col("total") - F.col("elapsed"), F.lit(0))
+    return each.where(F.col("rate").isNotNull()).withColumn("forecast", F.col("spent") + F.col("rate") * remaining).drop("active", "rate")
+
+
+def month_projection(calls: DataFrame, today: str, trailing_days: int = 14) -> DataFrame:
+    """(spent, by_month, by_fortnight): the month to date over its days, and the whole days before today, both times the month's length.
+
+    No row unless the newest month with calls is today's; both null on its last day; the second null without cost.
+    """
+    now, day = F.to_date(F.lit(today)), F.to_date("day")
+    length, gone = F.dayofmonth(F.last_day(now)), F.dayofmonth(now)
+    lately = (day >= F.date_sub(now, trailing_days)) & (day < now)
+    s = calls.agg(
+        F.max(day).alias("newest"), F.sum(F.when(day >= F.trunc(now, "month"), F.col("cost"))).cast("double").alias("spent"), F.sum(F.when(lately, F.col("cost"))).cast("double").alias("f")
+    ).where(F.trunc("newest", "month") == F.trunc(now, "month"))
+    runs = gone < length
+    return s.select(
+        "spent", F.when(runs, F.col("spent") / gone * length).alias("by_month"), F.when(runs & (F.col("f") > 0), F.col("f") / trailing_days * length).alias("by_fortnight")
+    )
 
 
 def stretches(tiers: DataFrame, start_us: int, end_us: int) -> DataFrame:
@@ -81,7 +102,7 @@ def stretch_prices(pieces: DataFrame, prices: DataFrame) -> DataFrame:
     p = prices.withColumn("until", F.coalesce(later, F.lit(FOREVER)))
     out = pieces.withColumn("tier", F.coalesce("user_tier", "org_tier"))
     for kind, key, name in (("seats", "seat_tier", "seat_usd"), ("plans", "tier", "plan_usd")):
-        d = F.broadcast(p.where(F.col("kind") == kind).select(F.col("name").alias("__n"), F.col("from_us").alias("__f"), "until", F.col("usd").alias(name)))
+        d = small(p.where(F.col("kind") == kind).select(F.col("name").alias("__n"), F.col("from_us").alias("__f"), "until", F.col("usd").alias(name)))
         out = out.join(d, (F.col(key) == F.col("__n")) & (F.col("from_us") >= F.col("__f")) & (F.col("from_us") < F.col("until")), "left").drop("__n", "__f", "until")
     return out.withColumn("usd", F.coalesce("seat_usd", "plan_usd"))
 

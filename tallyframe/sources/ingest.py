@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_free, is_pseudo
+from ..operators.asof import small
 
 FINGERPRINT = ["file_path", "mtime_ns", "size"]
 
@@ -18,15 +19,15 @@ def file_verdicts(records: DataFrame, incoming: DataFrame, stored: DataFrame) ->
     unpriced = F.col("effective").isNull() & ~is_free(F.col("model")) & ~is_pseudo(F.col("model"))
     files = records.groupBy("machine_id", "file_path").agg(F.bool_or(unpriced).alias("unpriced"))
     same = incoming.join(stored, FINGERPRINT, "left_semi").select("file_path", F.lit(True).alias("same"))
-    x = files.join(F.broadcast(same), "file_path", "left")
+    x = files.join(same, "file_path", "left")
     return x.select("machine_id", "file_path", F.when(F.col("same"), "skipped").when(F.col("unpriced"), "rejected").otherwise("accepted").alias("verdict"))
 
 
 def replace_files(stored: DataFrame, batch: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Accepted files' rows are replaced whole, whatever their age."""
-    accepted = verdicts.where("verdict = 'accepted'").select("machine_id", "file_path")
+    accepted = small(verdicts.where("verdict = 'accepted'").select("machine_id", "file_path"))
     keys = ["machine_id", "file_path"]
-    return stored.join(F.broadcast(accepted), keys, "left_anti").unionByName(batch.join(F.broadcast(accepted), keys, "left_semi"))
+    return stored.join(accepted, keys, "left_anti").unionByName(batch.join(accepted, keys, "left_semi"))
 
 
 def upsert(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
