@@ -121,11 +121,15 @@ def sink_record_export(t):
     return t.spark.read.schema(rows.schema).json(out)
 
 
-@query(None)
+@query(f"""SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(cost) AS DOUBLE), 6) AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls,
+ CAST(count(DISTINCT model) FILTER (model <> '<synthetic>') AS INTEGER) AS n_models FROM calls GROUP BY day""")
 def sink_report_nested(t):
-    """Each day's report as one nested object."""
+    """Each day's report as one nested object, written as JSON lines; read back for comparison."""
     b = with_models(t.calls, "day")
-    return b.select("day", F.to_json(F.struct("day", "tokens", usd(F.col("cost")).alias("cost"), "n_calls", "models")).alias("object"))
+    out = shared_path(t.spark, "nested")
+    b.select(F.to_json(F.struct("day", "tokens", usd(F.col("cost")).alias("cost"), "n_calls", "models")).alias("value")).write.text(out)
+    back = t.spark.read.schema("day string, tokens long, cost double, n_calls long, models map<string, double>").json(out)
+    return back.select("day", "tokens", "cost", "n_calls", F.size("models").alias("n_models"))
 
 
 def _log_files(t) -> str:
@@ -137,15 +141,18 @@ def _log_files(t) -> str:
         F.col("log_cost").cast("string").alias("costUSD"), F.struct(F.col("mid").alias("id"), "model", usage.alias("usage")).alias("message")))
     other = F.when(F.col("rid") % 50 == 0, F.lit("{broken")).when(F.col("rid") % 50 == 2, F.lit('{"type":"user","cwd":"/w/user"}'))
     root = shared_path(t.spark, "logs")
-    lines = t.rec.select(F.regexp_extract("file_path", "([0-9]+)", 1).alias("log"), F.explode(F.array_compact(F.array(line, other))).alias("value"))
-    lines.write.partitionBy("log").text(root)
+    lines = t.rec.select(F.regexp_extract("file_path", "([0-9]+)", 1).alias("log"), "rid", F.posexplode(F.array_compact(F.array(line, other))).alias("k", "value"))
+    lines.repartition("log").sortWithinPartitions("log", "rid", "k").select("log", "value").write.partitionBy("log").text(root)
     return root
 
 
-@query(f"SELECT ts_us, sid, mid, model, nullif(dk, '') AS dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read FROM rec")
+@query("""WITH named AS (SELECT file_path, rid, 0 AS k, cwd FROM rec WHERE cwd IS NOT NULL UNION ALL SELECT file_path, rid, 1, '/w/user' FROM rec WHERE rid % 50 = 2),
+ first AS (SELECT file_path, arg_min(cwd, (rid, k)) AS cwd FROM named GROUP BY 1)
+SELECT ts_us, sid, mid, model, nullif(dk, '') AS dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read, f.cwd,
+ coalesce(nullif(regexp_extract(f.cwd, '^/w/([^/]+)', 1), ''), 'log=' || regexp_extract(r.file_path, '[0-9]+')) AS project FROM rec r LEFT JOIN first f USING (file_path)""")
 def src_parse_session_logs(t):
-    calls = logs.parse_lines(logs.read_lines(t.spark, _log_files(t), "*.txt"))
-    return calls.select("ts_us", "sid", "mid", "model", "dk", usd(F.col("log_cost")).alias("log_cost"), "input_tokens", "output_tokens", "cache_create", "cache_read")
+    calls = logs.parse_lines(logs.read_lines(t.spark, _log_files(t), "*.txt"), ("/w",))
+    return calls.select("ts_us", "sid", "mid", "model", "dk", usd(F.col("log_cost")).alias("log_cost"), "input_tokens", "output_tokens", "cache_create", "cache_read", "cwd", "project")
 
 
 @query(None)
@@ -155,13 +162,26 @@ def src_log_inventory(t):
     return files.groupBy(F.regexp_extract("file_path", "log=([0-9]+)", 1).alias("log")).agg(F.sum("size").alias("size"))
 
 
-@query("""SELECT ts_us, CAST(floor(used_pct) AS INTEGER) AS session_pct, CASE WHEN model IS NOT NULL THEN model END AS scoped_model, CASE WHEN model IS NOT NULL THEN CAST(floor(used_pct) AS INTEGER) END AS scoped_pct FROM samples""")
+@query("""SELECT event_id, CAST(floor(used_pct + 0.5) AS INTEGER) AS session_percent, 's' || event_id AS session_reset, CASE WHEN event_id % 3 > 0 THEN CAST(floor(used_pct) AS INTEGER) END AS week_percent,
+ CASE WHEN event_id % 3 = 1 THEN 'w' || event_id END AS week_reset, CASE WHEN win = 'sonnet' THEN CAST(floor(used_pct + 0.25) AS INTEGER) END AS sonnet_percent, CASE WHEN win = 'sonnet' THEN 'n' || event_id END AS sonnet_reset,
+ CASE WHEN model IS NOT NULL THEN CAST(floor(used_pct + 0.9) AS INTEGER) END AS scoped_percent, model AS scoped_model, CASE WHEN model IS NOT NULL THEN 'm' || event_id END AS scoped_reset,
+ CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 100 AS INTEGER) END AS extra_percent, CASE WHEN event_id % 2 = 0 THEN event_id % 5000 / 100.0 END AS extra_spent, CASE WHEN event_id % 2 = 0 AND event_id % 5 > 0 THEN 50.0 END AS extra_limit FROM samples""")
 def src_quota_payload(t):
+    """Response bodies as the service writes them, some with other limits before the scoped one, and back to columns."""
+    n = F.col("event_id")
+    tag = lambda x: F.concat(F.lit(x), n.cast("string"))
+    quota = lambda used, reset: F.struct(used.alias("utilization"), reset.alias("resets_at"))
+    limit = lambda kind, percent, name: F.struct(
+        F.lit(kind).alias("kind"), percent.alias("percent"), tag("m").alias("resets_at"), F.struct(F.struct(name.alias("display_name")).alias("model")).alias("scope"))
+    used, none = F.col("used_pct"), F.lit(None)
     limits = F.when(F.col("model").isNotNull(), F.array(
-        F.struct(F.lit("weekly_all").alias("kind"), F.lit(None).cast("string").alias("model"), F.lit(1.0).alias("utilization")),
-        F.struct(F.lit("weekly_scoped").alias("kind"), F.col("model").alias("model"), (F.col("used_pct") + 0.9).alias("utilization"))))
-    body = F.to_json(F.struct(F.struct((F.col("used_pct") + 0.5).alias("utilization")).alias("five_hour"), limits.alias("limits")))
-    return logs.parse_quota(t.samples.select("ts_us", body.alias("body"))).select("ts_us", "session_pct", "scoped_model", "scoped_pct")
+        limit("weekly_all", F.lit(1.0), F.lit("all")), limit("weekly_scoped", none.cast("double"), F.lit("without a percent")), limit("weekly_scoped", F.lit(2.0), none.cast("string")),
+        limit("weekly_scoped", used + 0.9, F.col("model")), limit("weekly_scoped", F.lit(3.0), F.lit("second"))))
+    body = F.struct(
+        quota(used + 0.5, tag("s")).alias("five_hour"), quota(F.when(n % 3 > 0, used), F.when(n % 3 == 1, tag("w")).otherwise("")).alias("seven_day"),
+        F.when(F.col("win") == "sonnet", quota(used + 0.25, tag("n"))).alias("seven_day_sonnet"), limits.alias("limits"),
+        F.when(n % 2 == 0, F.struct((n % 100).alias("utilization"), (n % 5000).alias("used_credits"), F.when(n % 5 > 0, 5000).alias("monthly_limit"))).alias("extra_usage"))
+    return logs.parse_quota(t.samples.select("event_id", F.to_json(body).alias("body")))
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM (SELECT 'live' AS source, input_tokens FROM rec WHERE file_path NOT IN ('/p/3.jsonl', '/p/11.jsonl') UNION ALL SELECT 'orphan', input_tokens FROM rec WHERE file_path IN ('/p/3.jsonl', '/p/11.jsonl')) GROUP BY 1")

@@ -180,24 +180,22 @@ def quota_weekly_pace(t):
     return x.select("account_uuid", F.col("used_pct").alias("used"), F.when(live, F.round(gone, 6)).alias("expected"), F.when(live, F.round(F.col("used_pct") - gone, 6)).alias("ahead"))
 
 
-#: Seconds up to which a reading counts as fresh, by source; percents from which to warn and to stop.
-FRESH = {"stdin": 900 * 24, "api": 3600 * 24}
+#: Percents from which to warn and to stop.
 WARN, STOP = 80, 95
+GUARDED = "(SELECT account_uuid, max(ts_us) AS now_us FROM samples WHERE ts_us <= {now} AND account_uuid <> 'acct-3' GROUP BY 1 UNION ALL SELECT 'acct-9', CAST({now} AS BIGINT))"
 
 
-@query(f"""WITH f AS (SELECT account_uuid, win, source, arg_max(CASE WHEN resets_at <= {N} THEN 0 ELSE used_pct END, (ts_us, event_id)) AS pct, max(ts_us) AS seen FROM samples WHERE ts_us <= {NOW} GROUP BY 1, 2, 3),
-w AS (SELECT account_uuid, win, max(pct) FILTER (seen >= {NOW} - CASE source WHEN 'stdin' THEN {FRESH['stdin']} ELSE {FRESH['api']} END * CAST(1000000 AS BIGINT)) AS pct FROM f GROUP BY 1, 2)
-SELECT account_uuid, max(pct) AS pct, CASE WHEN max(pct) >= {STOP} THEN 'stop' WHEN bool_or(pct IS NULL) THEN 'unknown' WHEN max(pct) >= {WARN} THEN 'warn' ELSE 'ok' END AS verdict FROM w GROUP BY 1""")
+@query(f"""WITH g AS {GUARDED.format(now=NOW)}, f AS (SELECT s.account_uuid, s.win, s.source, any_value(now_us) AS now_us, arg_max((used_pct, resets_at, ts_us), (ts_us, event_id)) AS r FROM samples s JOIN g USING (account_uuid) WHERE ts_us <= now_us GROUP BY 1, 2, 3),
+seen AS (SELECT account_uuid, win, max(CASE WHEN r[2] <= now_us / 1000000.0 THEN 0 ELSE r[1] END) FILTER (now_us - r[3] <= CASE source WHEN 'stdin' THEN 900 ELSE 3600 END * CAST(1000000 AS BIGINT)) AS pct FROM f GROUP BY 1, 2),
+st AS (SELECT g.account_uuid, w.win, s.pct, s.win IS NOT NULL AS has, p.applicable AS app FROM g CROSS JOIN window_spans w LEFT JOIN seen s ON s.account_uuid = g.account_uuid AND s.win = w.win LEFT JOIN plan_windows p ON p.account_uuid = g.account_uuid AND p.win = w.win),
+shown AS (SELECT * FROM st WHERE pct IS NOT NULL OR app IS NOT FALSE AND (has OR app))
+SELECT g.account_uuid, max(pct) AS pct, CASE WHEN count(s.win) = 0 OR max(pct) >= {STOP} THEN 'stop' WHEN count(*) FILTER (s.win IS NOT NULL AND pct IS NULL) > 0 THEN 'unknown' WHEN max(pct) >= {WARN} THEN 'warn' ELSE 'ok' END AS verdict
+FROM g LEFT JOIN shown s ON s.account_uuid = g.account_uuid GROUP BY 1""")
 def quota_verdict(t):
-    """Stop before unknown before warn before ok, over each window's fresh readings. A day stands for an hour here."""
-    past = t.samples.where(F.col("ts_us") <= NOW)
-    pct = F.when(F.col("resets_at") <= NOW / 1e6, 0.0).otherwise(F.col("used_pct"))
-    each = past.groupBy("account_uuid", "win", "source").agg(F.max_by(pct, F.struct("ts_us", "event_id")).alias("pct"), F.max("ts_us").alias("at"))
-    limit = F.when(F.col("source") == "stdin", FRESH["stdin"]).otherwise(FRESH["api"]).cast("long") * 1_000_000
-    win = each.groupBy("account_uuid", "win").agg(F.max(F.when(F.col("at") >= F.lit(NOW) - limit, F.col("pct"))).alias("pct"))
-    top = F.max("pct")
-    word = F.when(top >= STOP, "stop").when(F.bool_or(F.col("pct").isNull()), "unknown").when(top >= WARN, "warn").otherwise("ok")
-    return win.groupBy("account_uuid").agg(top.alias("pct"), word.alias("verdict"))
+    """Of each account at its own newest reading; one account has none at all."""
+    read = t.samples.where((F.col("ts_us") <= NOW) & (F.col("account_uuid") != "acct-3")).groupBy("account_uuid").agg(F.max("ts_us").alias("now_us"))
+    accounts = read.unionByName(t.spark.createDataFrame([("acct-9", NOW)], "account_uuid string, now_us long"))
+    return quota.verdicts(t.samples, accounts, t.plan_windows, ["session", "week", "sonnet", "scoped"], WARN, STOP)
 
 
 @query(f"SELECT account_uuid, win, model, CAST(round_even(resets_at / 60, 0) * 60 AS BIGINT) AS reset_min, min(ts_us) AS first_warned_us FROM samples WHERE used_pct >= {WARN} AND NOT resets_at - ts_us / 1000000.0 > 8 * 86400 GROUP BY 1, 2, 3, 4")

@@ -9,6 +9,7 @@ from ..functions.money import KINDS, ratio, usd
 from ..functions.names import model_family, short_model
 from ..operators import reports
 from ..operators.asof import small
+from ..operators.attribution import apply_rules
 from ..registry import query
 
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*KINDS, "tokens")) + ", round(CAST(sum(cost) AS DOUBLE), 6) AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls"
@@ -194,24 +195,28 @@ def agg_tiles(t):
     )
 
 
-#: Rolling windows: name and hours; all time has none.
-ROLLING = (("6h", 6), ("12h", 12), ("24h", 24), ("7d", 168), ("30d", 720), ("all", None))
+#: Cost windows: name and first microsecond; all time has none. The session window runs to a reset in two hours, the week to one in three days.
+SESSION = "s-7-2024-01-25"
+STARTS = (("session_window", NOW + 2 * HOUR - 5 * HOUR), ("week", NOW - 4 * DAY), ("month", 1704067200000000), *((f"{h}h", NOW - h * HOUR) for h in (6, 12, 24, 168, 720)), ("all", None))
+ROLLING = ("6h", "12h", "24h", "168h", "720h", "all")
+_SCOPE = "(project IN ('proj1', 'proj2') OR cwd = '/w/proj3' OR starts_with(cwd, '/w/proj3/'))"
+_WC = "coalesce(nullif(log_cost, 0), computed)"
 
 
-@query(" UNION ALL ".join(
-    f"SELECT '{n}' AS win, {_u('coalesce(sum(cost), 0)')} AS cost, {_u('''coalesce(sum(cost) FILTER (project = 'proj4'), 0)''')} AS project_cost FROM calls WHERE ts_us <= {NOW}" + (f" AND ts_us >= {NOW - h * HOUR}" if h else "") for n, h in ROLLING
+@query(f"SELECT 'session' AS win, {_u(f'coalesce(sum({_WC}), 0)')} AS cost, CAST(NULL AS DOUBLE) AS project_cost FROM calls WHERE ts_us <= {NOW} AND sid = '{SESSION}' UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{n}', {_u(f'coalesce(sum({_WC}), 0)')}, " + (_u(f"coalesce(sum({_WC}) FILTER ({_SCOPE}), 0)") if n in ROLLING else "NULL") + f" FROM calls WHERE ts_us <= {NOW}" + (f" AND ts_us >= {at}" if at else "") for n, at in STARTS
 ))
 def windows_rolling_costs(t):
-    """All windows by conditional sums in one pass, then unpivoted."""
-    upto = t.calls.where(F.col("ts_us") <= NOW)
-    own = F.col("project") == "proj4"
-    zero = F.lit(0).cast("decimal(30,10)")
-    sums = []
-    for n, h in ROLLING:
-        inside = F.col("ts_us") >= NOW - h * HOUR if h else F.lit(True)
-        sums += [F.coalesce(F.sum(F.when(inside, F.col("cost"))), zero).alias(f"a_{n}"), F.coalesce(F.sum(F.when(inside & own, F.col("cost"))), zero).alias(f"p_{n}")]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("win"), usd(F.col(f"a_{n}")).alias("cost"), usd(F.col(f"p_{n}")).alias("project_cost")) for n, _ in ROLLING]))
-    return upto.agg(*sums).select(rows.alias("r")).select("r.*")
+    """Cost windows up to now; a logged cost of 0 gives way to the computed one. The scope is what the rules merge."""
+    calls = apply_rules(t.calls, t.project_rules).withColumn("scoped", F.col("target") == "merged")
+    return reports.cost_windows(calls, dict(STARTS), NOW, SESSION, ROLLING).withColumns({c: usd(F.col(c)) for c in ("cost", "project_cost")})
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS win, {_u(f'coalesce(sum({_WC}), 0)')} AS cost FROM calls WHERE ts_us <= {NOW}" + (f" AND ts_us >= {at}" if at else "") for n, at in STARTS if n != "session_window"))
+def windows_without_a_reset(t):
+    """Where no session reset is known there is no session window, rather than one of cost 0."""
+    x = reports.cost_windows(t.calls.withColumn("scoped", F.lit(False)), {**dict(STARTS), "session_window": 0}, NOW, None, ())
+    return x.select("win", usd(F.col("cost")).alias("cost"))
 
 
 @query(f"SELECT {FAMILY} AS family, {_u('sum(cost)')} AS cost FROM calls WHERE ts_us >= {NOW - 7 * DAY} AND ts_us <= {NOW} GROUP BY 1")
@@ -262,9 +267,8 @@ def topk_traces_other(t):
     return x.withColumn("cost", usd(F.col("cost")))
 
 
-@query(f"SELECT count(DISTINCT sid) AS sessions, count(DISTINCT project) AS projects FROM calls WHERE ts_us > {NOW - 15 * 60_000_000 * 40} AND ts_us <= {NOW} AND project IS NOT NULL AND project <> 'proj4'")
+@query(f"SELECT count(DISTINCT sid) AS sessions, count(DISTINCT project) AS projects FROM calls WHERE ts_us > {NOW - 15 * 60_000_000} AND ts_us <= {NOW} AND project IS NOT NULL AND project <> 'proj4'")
 def active_projects_15m(t):
-    """Other projects with a call lately; ten hours here, as the fixture has few calls a minute."""
-    since = NOW - 15 * 60_000_000 * 40
-    x = t.calls.where((F.col("ts_us") > since) & (F.col("ts_us") <= NOW) & F.col("project").isNotNull() & (F.col("project") != "proj4"))
+    """Other projects with a call in the last fifteen minutes."""
+    x = t.calls.where((F.col("ts_us") > NOW - 15 * 60_000_000) & (F.col("ts_us") <= NOW) & F.col("project").isNotNull() & (F.col("project") != "proj4"))
     return x.agg(F.count_distinct("sid").alias("sessions"), F.count_distinct("project").alias("projects"))

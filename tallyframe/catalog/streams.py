@@ -10,16 +10,23 @@ from pyspark.sql import types as T
 
 from ..functions.names import dedup_identity
 from ..operators import quota
-from ..operators.stored import shared_path
+from ..operators.stored import shared_path, written
 from ..registry import query
 from ..streaming import state
 
 
+BATCHES = 3
+
+
 def stream_of(t, df: DataFrame, name: str) -> DataFrame:
-    """The frame written as files and read as a stream."""
-    path = shared_path(t.spark, name)
-    df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    """The frame written as files, one for each stretch of time, and read as a stream of as many batches."""
+    path, whole = shared_path(t.spark, name), written(df, f"{name}-whole")
+    low, high = whole.agg(F.min("ts_us"), F.max("ts_us")).first()
+    width = ((high or 0) - (low or 0)) // BATCHES + 1
+    for k in range(BATCHES):
+        own = (F.col("ts_us") >= (low or 0) + k * width) & (F.col("ts_us") < (low or 0) + (k + 1) * width)
+        whole.where(own).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def run_to_end(t, out: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -39,16 +46,26 @@ def run_to_end(t, out: DataFrame, mode: str, keys: list[str] | None = None) -> D
 
 
 
-@query(None)
+_GATE = """WITH RECURSIVE s AS (SELECT machine_id, account_uuid, win, ts_us, used_pct, CAST(round_even(resets_at / 60, 0) * 60 AS BIGINT) AS reset_min FROM samples WHERE NOT resets_at - ts_us / 1000000.0 > 8 * 86400),
+passed AS (SELECT machine_id, account_uuid, win, min((ts_us, used_pct, reset_min)) AS r FROM s GROUP BY 1, 2, 3 UNION ALL
+ SELECT s.machine_id, s.account_uuid, s.win, min((s.ts_us, s.used_pct, s.reset_min)) FROM passed k JOIN s ON s.machine_id = k.machine_id AND s.account_uuid = k.account_uuid AND s.win = k.win
+ AND (s.ts_us, s.used_pct) > (k.r[1], k.r[2]) AND (s.reset_min <> k.r[3] OR round_even(s.used_pct, 0) <> round_even(k.r[2], 0) AND s.ts_us - k.r[1] >= 300000000) GROUP BY 1, 2, 3)
+SELECT machine_id, account_uuid, win, r[1] AS ts_us, r[2] AS used_pct, r[3] AS reset_min FROM passed"""
+
+
+def _gated(t):
+    return t.samples.where(~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute()).select("machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min")
+
+
+@query(_GATE)
 def stream_change_gate(t):
-    samples = t.samples.where(~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute()).select("machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min")
-    return run_to_end(t, state.change_gate_stream(stream_of(t, samples, "samples")), "append")
+    return run_to_end(t, state.change_gate_stream(stream_of(t, _gated(t), "samples")), "append")
 
 
-@query(None)
+@query(_GATE)
 def batch_change_gate(t):
-    """The gate's batch twin."""
-    return state.change_gate_batch(t.samples.where(~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute()))
+    """The gate over the stored table; both are compared with the rule as a recursive query."""
+    return state.change_gate_batch(_gated(t))
 
 
 @query("SELECT sid, CAST(sum(CAST(floor(cost * 1000000) AS BIGINT)) AS BIGINT) AS micros, count(*) AS n FROM (SELECT * FROM calls WHERE dk <> '') GROUP BY sid")
@@ -64,13 +81,33 @@ def stream_minute_costs(t):
     return run_to_end(t, state.minute_costs_stream(stream_of(t, rows, "minutes")), "update", ["minute_us"])
 
 
-@query("SELECT machine_id, ts_us, rid, account_uuid FROM (SELECT *, lag(account_uuid) OVER w AS b, lag(model) OVER w AS bm FROM rec WINDOW w AS (PARTITION BY machine_id ORDER BY ts_us, rid)) WHERE b IS DISTINCT FROM account_uuid OR bm IS DISTINCT FROM model")
+_LOGIN = ", ".join(state.LOGIN)
+_CHANGES = f"""SELECT machine_id, ts_us, {_LOGIN} FROM (SELECT *, row({_LOGIN}) AS own, lag(row({_LOGIN})) OVER w AS b, row_number() OVER w AS i FROM account_events WHERE account_uuid IS NOT NULL
+ WINDOW w AS (PARTITION BY machine_id ORDER BY ts_us)) WHERE i = 1 OR own IS DISTINCT FROM b"""
+
+
+@query(_CHANGES)
 def scd_account_changes(t):
-    """Logins as seen in the calls: a row where account or model differ from the call before."""
-    return state.account_changes(t.rec.select("machine_id", "ts_us", "rid", "account_uuid", "model"), ["account_uuid", "model"]).select("machine_id", "ts_us", "rid", "account_uuid")
+    """The login log: a row where any of seven fields differs from the login before."""
+    return state.account_changes(t.account_events)
+
 
+@query(_CHANGES)
+def stream_account_changes(t):
+    return run_to_end(t, state.account_changes_stream(stream_of(t, t.account_events, "logins")), "append")
 
-@query("""WITH x AS (SELECT *, lag(input_tokens) OVER (PARTITION BY sid ORDER BY ts_us, rid) AS b FROM rec)
-SELECT sid, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_create) AS BIGINT) AS cache_create, count(*) AS n FROM x WHERE b IS DISTINCT FROM input_tokens GROUP BY 1""")
+
+@query("""WITH x AS (SELECT *, input_tokens + cache_create AS total_in, lag(input_tokens + cache_create) OVER w AS b, row_number() OVER w AS i FROM rec WINDOW w AS (PARTITION BY sid ORDER BY ts_us, rid))
+SELECT sid, arg_max(total_in, i) AS total_in, CAST(sum(input_tokens) AS BIGINT) AS cum_fresh, CAST(sum(cache_create) AS BIGINT) AS cum_create, CAST(sum(cache_read) AS BIGINT) AS cum_read, count(*) AS n
+FROM x WHERE i = 1 OR b <> total_in GROUP BY 1""")
 def stream_cache_accumulator(t):
-    return state.cache_accumulator(t.rec.select("sid", "ts_us", "rid", F.col("input_tokens").alias("total_in"), "cache_read", "cache_create"))
+    rows = t.rec.select("sid", "ts_us", "rid", (F.col("input_tokens") + F.col("cache_create")).alias("total_in"), F.col("input_tokens").alias("fresh"), "cache_create", "cache_read")
+    return run_to_end(t, state.cache_accumulator_stream(stream_of(t, rows, "readings")), "update", ["sid"])
+
+
+@query("""WITH x AS (SELECT sid, project, unnest(generate_series(ts_us // 300000000 + 1, ts_us // 300000000 + 3)) * 300000000 AS until_us FROM rec WHERE project IS NOT NULL AND project <> 'proj4')
+SELECT until_us, CAST(count(DISTINCT sid) AS INTEGER) AS sessions, CAST(count(DISTINCT project) AS INTEGER) AS projects FROM x GROUP BY 1""")
+def stream_active_projects(t):
+    """Other projects with a call in the last fifteen minutes, every five."""
+    rows = t.rec.where("project IS NOT NULL AND project <> 'proj4'").select("sid", "project", "ts_us")
+    return run_to_end(t, state.active_projects_stream(stream_of(t, rows, "active")), "update", ["until_us"])

@@ -92,6 +92,8 @@ def _tables(d: dict, events: str = "events") -> dict[str, str]:
         "account_aliases": _values("r", "account_uuid, alias", "('acct-1', 'work'), ('acct-3', 'work')"),
         "machines": _values("r", "machine_id, label", "('m0', 'desk'), ('m1', NULL), ('m2', 'laptop')"),
         "budgets": _values("r", "account_uuid, ceiling_usd, renewal_day", "('acct-0', CAST(500 AS DECIMAL(10,2)), 31), ('acct-1', NULL, 15)"),
+        "plan_windows": _values("r", "account_uuid, win, applicable", """('acct-0', 'session', FALSE), ('acct-0', 'week', FALSE), ('acct-0', 'sonnet', FALSE), ('acct-0', 'scoped', FALSE),
+            ('acct-1', 'sonnet', FALSE), ('acct-2', 'scoped', TRUE), ('acct-9', 'week', FALSE)"""),
         "window_spans": _values("r", "win, ord, span_s, family", "('session', 1, 18000, NULL), ('week', 2, 604800, NULL), ('sonnet', 3, 604800, 'sonnet'), ('scoped', 4, 604800, NULL)"),
         "samples": f"""SELECT machine_id, account_uuid, label AS account_label, win, CASE WHEN win = 'scoped' THEN CASE WHEN event_id % 2 = 0 THEN 'Opus' ELSE 'Sonnet' END END AS model,
             ts_us, CAST((sec % span_s) * 120 {div} span_s + event_id % 4 AS DOUBLE) AS used_pct,

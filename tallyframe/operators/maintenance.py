@@ -44,8 +44,8 @@ def anti_remainder(records: DataFrame, machine: str) -> DataFrame:
 
 
 def content_stamp(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Row count and an order-free hash of the rows."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("stamp"))
+    """Row count and an order-free hash of the rows: a sum, in which repeated rows don't cancel out."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string").alias("stamp"))
 
 
 def drop_check(before: DataFrame, now: DataFrame, share: float = 0.1, least: int = 100) -> DataFrame:

@@ -110,6 +110,34 @@ def extra_increments(readings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return readings.withColumn("added", step.cast("long"))
 
 
+# Seconds up to which a reading counts as fresh, by where it came from.
+FRESH = {"stdin": 900, "api": 3600}
+
+
+def verdicts(samples: DataFrame, accounts: DataFrame, plans: DataFrame, windows: list[str], warn: float | None, stop: float) -> DataFrame:
+    """(account_uuid, pct, verdict) for every row (account_uuid, now_us) of ``accounts``.
+
+    A window's percent is the highest of its sources' newest readings that are fresh, 0 once the
+    reset has passed. Without a fresh one it is left out where ``plans`` (account_uuid, win,
+    applicable) says that the plan lacks it, and unknown where there are readings or the plan has it.
+    No window at all stops; then stop, unknown, warn, ok, in this order.
+    """
+    newest = F.max_by(F.struct("used_pct", "resets_at", "ts_us"), F.struct("ts_us", "event_id")).alias("r")
+    read = samples.join(accounts, "account_uuid").where(F.col("ts_us") <= F.col("now_us"))
+    each = read.groupBy("account_uuid", "win", "source").agg(newest, F.first("now_us").alias("now_us"))
+    budget = F.when(F.col("source") == "stdin", FRESH["stdin"]).otherwise(FRESH["api"]).cast("long") * 1_000_000
+    pct = F.when(F.col("r.resets_at") <= F.col("now_us") / 1e6, 0.0).otherwise(F.col("r.used_pct"))
+    seen = each.groupBy("account_uuid", "win").agg(F.max(F.when(F.col("now_us") - F.col("r.ts_us") <= budget, pct)).alias("pct"), F.lit(True).alias("read"))
+    every = accounts.select("account_uuid", F.explode(F.array(*map(F.lit, windows))).alias("win"))
+    x = every.join(seen, ["account_uuid", "win"], "left").join(plans, ["account_uuid", "win"], "left")
+    absent = F.col("pct").isNull() & (F.coalesce(~F.col("applicable"), F.lit(False)) | F.col("read").isNull() & ~F.coalesce("applicable", F.lit(False)))
+    top, known = F.max("pct"), F.count_if(~absent)
+    word = F.when((known == 0) | (top >= stop), "stop").when(F.count_if(~absent & F.col("pct").isNull()) > 0, "unknown")
+    if warn is not None:
+        word = word.when(top >= warn, "warn")
+    return x.groupBy("account_uuid").agg(top.alias("pct"), word.otherwise("ok").alias("verdict"))
+
+
 def extra_spans(instances: DataFrame, readings: DataFrame, now_us: int, key: str = "account_uuid", bin_us: int = 21_600_000_000) -> DataFrame:
     """(key, win, model, reset_min, machine_id, added, n_inside) for each instance and machine that read inside it, and one row with nulls for an instance without.
 

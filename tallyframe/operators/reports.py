@@ -86,3 +86,19 @@ def top_with_other(calls: DataFrame, axis: str, trace: str, n: int = 6) -> DataF
 
 def visible_models(calls: DataFrame) -> DataFrame:
     return calls.where(~is_pseudo(F.col("model")))
+
+
+def cost_windows(calls: DataFrame, starts: dict[str, int | None], now_us: int, session: str | None, scoped: tuple[str, ...]) -> DataFrame:
+    """(win, cost, project_cost): all windows by conditional sums in one pass, then one row each.
+
+    ``starts`` has each window's first microsecond, None for all time, 0 where it isn't known: such
+    a window has no row. Those named in ``scoped`` also sum the calls of column ``scoped``.
+    """
+    cost, zero = F.coalesce(F.nullif(F.col("log_cost"), F.lit(0)), "computed"), F.lit(0).cast("decimal(38,10)")
+    insides = {n: F.lit(True) if at is None else F.col("ts_us") >= at for n, at in starts.items() if at != 0}
+    if session is not None:
+        insides = {"session": F.col("sid") == session} | insides
+    total = lambda inside: F.coalesce(F.sum(F.when(inside, cost)), zero)
+    sums = [total(x).alias(f"a_{n}") for n, x in insides.items()] + [total(x & F.coalesce("scoped", F.lit(False))).alias(f"p_{n}") for n, x in insides.items() if n in scoped]
+    row = lambda n: F.struct(F.lit(n).alias("win"), F.col(f"a_{n}").alias("cost"), (F.col(f"p_{n}") if n in scoped else F.lit(None).cast("decimal(38,10)")).alias("project_cost"))
+    return calls.where(F.col("ts_us") <= now_us).agg(*sums).select(F.inline(F.array(*map(row, insides))))

@@ -22,7 +22,11 @@ def query(sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
-            ORACLES[key] = PRELUDE.rstrip() + (",\n" + text[5:] if text.upper().startswith("WITH ") else "\n" + text)
+            head, own = PRELUDE.rstrip(), text.upper()
+            if own.startswith("WITH RECURSIVE "):
+                ORACLES[key] = "WITH RECURSIVE " + head.removeprefix("WITH ") + ",\n" + text[15:]
+            else:
+                ORACLES[key] = head + (",\n" + text[5:] if own.startswith("WITH ") else "\n" + text)
         return f
 
     return add

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import project_name
+
 LINE = """type string, timestamp string, sessionId string, cwd string, requestId string, costUSD string,
  message struct<id:string, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"""
 QUOTA = """five_hour struct<utilization:double, resets_at:string>, seven_day struct<utilization:double, resets_at:string>, seven_day_sonnet struct<utilization:double, resets_at:string>,
- limits array<struct<kind:string, model:string, utilization:double, resets_at:string>>, extra_usage struct<used_cents:bigint, limit_cents:bigint>"""
+ limits array<struct<kind:string, percent:double, resets_at:string, scope:struct<model:struct<display_name:string>>>>,
+ extra_usage struct<utilization:double, used_credits:double, monthly_limit:double>"""
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -18,45 +21,57 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataF
 
 
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(value, file_path) of every line below the root."""
+    """(value, file_path, place) of every line below the root; ``place`` rises with the lines of a file."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return lines.select("value", F.col("_metadata.file_path").alias("file_path"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", F.col("_metadata.file_path").alias("file_path"), place.alias("place"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, roots: tuple[str, ...] = (), remotes: DataFrame | None = None) -> DataFrame:
     """Calls of a log: bad and other lines are passed over, absent counts are 0, a time without zone is UTC.
 
-    The file's folder is the first that any of its lines names; lines are ordered by their time.
+    The file's folder is the first that any of its lines names, and gives the project: the remote's
+    name where ``remotes`` (cwd, repo) knows the folder, the name below the deepest of ``roots``,
+    else the folder's own; without a folder, that of the file.
     """
     stem = F.regexp_replace(F.regexp_extract("file_path", "([^/]+)$", 1), "\\.jsonl$", "")
+    filled = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), other)
     x = lines.withColumn("j", F.from_json("value", LINE)).where(F.col("j").isNotNull())
-    x = x.withColumn("ts", F.coalesce(F.try_to_timestamp("j.timestamp"), F.lit(None).cast("timestamp")))
-    place = x.where(F.coalesce(F.col("j.cwd"), F.lit("")) != "").groupBy("file_path").agg(F.min_by("j.cwd", F.struct("ts", "value")).alias("file_cwd"))
+    first = x.where(F.coalesce(F.col("j.cwd"), F.lit("")) != "").groupBy("file_path").agg(F.min_by("j.cwd", "place").alias("cwd"))
     u = "j.message.usage."
+    x = x.withColumn("ts", F.coalesce(F.try_to_timestamp("j.timestamp"), F.lit(None).cast("timestamp")))
     calls = x.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull() & F.col("ts").isNotNull())
     count = lambda c: F.coalesce(F.col(u + c), F.lit(0))
     out = calls.select(
-        "file_path", F.unix_micros("ts").alias("ts_us"), F.coalesce("j.sessionId", stem).alias("sid"), F.col("j.message.id").alias("mid"),
-        F.coalesce("j.message.model", F.lit("unknown")).alias("model"),
+        "file_path", F.unix_micros("ts").alias("ts_us"), filled("j.sessionId", stem).alias("sid"), F.col("j.message.id").alias("mid"),
+        filled("j.message.model", F.lit("unknown")).alias("model"),
         F.when((F.col("j.message.id") != "") & (F.col("j.requestId") != ""), F.concat("j.message.id", F.lit(":"), "j.requestId")).alias("dk"),
         F.expr("try_cast(j.costUSD AS decimal(30,10))").alias("log_cost"), count("input_tokens").alias("input_tokens"), count("output_tokens").alias("output_tokens"),
         count("cache_creation_input_tokens").alias("cache_create"), count("cache_read_input_tokens").alias("cache_read"),
     )
-    return out.join(place, "file_path", "left").withColumnRenamed("file_cwd", "cwd")
+    if remotes is None:
+        first = first.withColumn("repo", F.lit(None).cast("string"))
+    else:
+        first = first.join(remotes.select("cwd", "repo"), "cwd", "left")
+    folder = F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1)
+    return out.join(first, "file_path", "left").withColumn("project", project_name(F.col("repo"), F.col("cwd"), roots, folder))
 
 
 def parse_quota(bodies: DataFrame) -> DataFrame:
-    """Quota columns of a response body: whole percents, the first scoped limit that names a model, dollars; absent quotas are null."""
+    """The twelve quota columns of a response body: whole percents, resets, the first scoped limit that has a percent and names a model, dollars; an absent quota is null."""
     x = bodies.withColumn("j", F.from_json("body", QUOTA))
-    scoped = F.get(F.filter("j.limits", lambda v: (v["kind"] == "weekly_scoped") & v["model"].isNotNull()), 0)
+    named = lambda v: v["scope"]["model"]["display_name"]
+    scoped = F.get(F.filter("j.limits", lambda v: (v["kind"] == "weekly_scoped") & v["percent"].isNotNull() & (F.coalesce(named(v), F.lit("")) != "")), 0)
     pct = lambda c: c.cast("int")
-    at = lambda c: F.try_to_timestamp(c)
+    at = lambda c: F.when(c != "", c)
+    whole = [
+        c for name, field in (("session", "five_hour"), ("week", "seven_day"), ("sonnet", "seven_day_sonnet"))
+        for c in (pct(F.col(f"j.{field}.utilization")).alias(f"{name}_percent"), at(F.col(f"j.{field}.resets_at")).alias(f"{name}_reset"))
+    ]
+    e = "j.extra_usage."
     return x.select(
-        "ts_us", pct(F.col("j.five_hour.utilization")).alias("session_pct"), at(F.col("j.five_hour.resets_at")).alias("session_resets"),
-        pct(F.col("j.seven_day.utilization")).alias("week_pct"), at(F.col("j.seven_day.resets_at")).alias("week_resets"),
-        pct(F.col("j.seven_day_sonnet.utilization")).alias("sonnet_pct"), at(F.col("j.seven_day_sonnet.resets_at")).alias("sonnet_resets"),
-        scoped["model"].alias("scoped_model"), pct(scoped["utilization"]).alias("scoped_pct"), at(scoped["resets_at"]).alias("scoped_resets"),
-        (F.col("j.extra_usage.used_cents") / 100).alias("extra_spent"), (F.col("j.extra_usage.limit_cents") / 100).alias("extra_limit"),
+        *[c for c in bodies.columns if c != "body"], *whole, pct(scoped["percent"]).alias("scoped_percent"), named(scoped).alias("scoped_model"), at(scoped["resets_at"]).alias("scoped_reset"),
+        pct(F.col(e + "utilization")).alias("extra_percent"), (F.col(e + "used_credits") / 100).alias("extra_spent"), (F.col(e + "monthly_limit") / 100).alias("extra_limit"),
     )
 
 

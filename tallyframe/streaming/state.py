@@ -10,58 +10,107 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GATE_S = 300
+_GATED = ["machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min"]
 GATE_OUT = "machine_id string, account_uuid string, win string, ts_us long, used_pct double, reset_min long"
+LOGIN = ["account_uuid", "email", "organization_uuid", "organization_name", "seat_tier", "user_tier", "org_tier"]
 
 
-def gate_rows(rows: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-    """Rows of one key in time order that pass the gate, and the last one kept.
+def _passes(row, last: tuple | None) -> bool:
+    """None stored, another reset, or the whole percent (halves to even) moved and five minutes gone by since the last row *kept*."""
+    return last is None or row.reset_min != last[2] or (round(row.used_pct) != round(last[1]) and row.ts_us - last[0] >= GATE_S * 1_000_000)
 
-    A row passes if none is stored, the reset differs, or the whole percent (halves to even)
-    moved and five minutes have gone by since the last row *kept*.
+
+def change_gate_batch(samples: DataFrame) -> DataFrame:
+    """The gate over a stored table: each key's rows pass in time order, and only the last one kept is held."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for part in parts:
+            kept = []
+            for k, r in enumerate(part.itertuples(index=False)):
+                if (own := (r.machine_id, r.account_uuid, r.win)) != key:
+                    key, last = own, None
+                if _passes(r, last):
+                    kept.append(k)
+                    last = (r.ts_us, r.used_pct, r.reset_min)
+            yield part.iloc[kept]
+
+    keys = _GATED[:3]
+    return samples.select(*_GATED).repartition(*keys).sortWithinPartitions(*keys, "ts_us", "used_pct").mapInPandas(run, GATE_OUT)
+
+
+def _stateful(rows: DataFrame, keys: list[str], order: list[str], out: str, state: str, step, mode: str) -> DataFrame:
+    """``step(row, state)`` gives the new state, or None where the row changes nothing, for a key's rows in order of time.
+
+    In append mode the rows that changed the state come out, in update mode the key's state. A row
+    before one that a former batch took is late and is passed over: what was given out stays true.
     """
-    kept = []
-    for r in rows.sort_values(["ts_us", "used_pct"]).itertuples(index=False):
-        if last is None or r.reset_min != last[2] or (round(r.used_pct) != round(last[1]) and r.ts_us - last[0] >= GATE_S * 1_000_000):
-            kept.append(r)
-            last = (r.ts_us, r.used_pct, r.reset_min)
-    return pd.DataFrame(kept, columns=list(rows.columns)), last
 
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, seen = (tuple(held.get)[1:], held.get[0]) if held.exists else (None, None)
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(order)  # one key's rows of one batch
+        kept = []
+        for k, r in enumerate(batch.itertuples(index=False)):
+            if seen is not None and getattr(r, order[0]) < seen:
+                continue
+            new = step(r, now)
+            if new is not None:
+                now = new
+                kept.append(k)
+        if now is not None:
+            held.update((int(max(seen or 0, batch[order[0]].max())), *now))
+        yield batch.iloc[kept] if mode == "append" else pd.DataFrame([(*key, *now)] if kept else [], columns=[f.split()[0] for f in out.split(", ")])
 
-def change_gate_batch(samples: DataFrame) -> DataFrame:
-    """The gate over a stored table. A key is one machine's one window, so its group stays small."""
-    columns = ["machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min"]
-    return samples.select(*columns).groupBy("machine_id", "account_uuid", "win").applyInPandas(lambda pdf: gate_rows(pdf, None)[0], GATE_OUT)
+    return rows.groupBy(*keys).applyInPandasWithState(run, out, f"seen long, {state}", mode, GroupStateTimeout.NoTimeout)
 
 
 def change_gate_stream(samples: DataFrame) -> DataFrame:
     """The gate as a stream: its state is the last kept row of a key."""
+    step = lambda r, last: (int(r.ts_us), float(r.used_pct), int(r.reset_min)) if _passes(r, last) else None
+    return _stateful(samples.select(*_GATED), _GATED[:3], ["ts_us", "used_pct"], GATE_OUT, "ts_us long, used_pct double, reset_min long", step, "append")
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True)
-        kept, last = gate_rows(rows, tuple(state.get) if state.exists else None)
-        if last is not None:
-            state.update((int(last[0]), float(last[1]), int(last[2])))
-        yield kept
+def account_changes(events: DataFrame) -> DataFrame:
+    """Logins of a machine that differ from the one before in any of seven fields; those without a uuid are refused."""
+    before = F.lag(F.struct(*LOGIN)).over(Window.partitionBy("machine_id").orderBy("ts_us"))
+    known = events.where(F.col("account_uuid").isNotNull()).withColumn("before", before)
+    return known.where(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.struct(*LOGIN))).select("machine_id", "ts_us", *LOGIN)
 
-    columns = ["machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min"]
-    return samples.select(*columns).groupBy("machine_id", "account_uuid", "win").applyInPandasWithState(
-        step, GATE_OUT, "ts_us long, used_pct double, reset_min long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def account_changes_stream(events: DataFrame) -> DataFrame:
+    """The same as a stream, whose state is the machine's last login."""
+    text = ", ".join(f"{c} string" for c in LOGIN)
 
-def account_changes(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Append on change over the whole tuple; rows without a uuid are refused."""
-    row = F.struct(*columns)
-    before = F.lag(row).over(Window.partitionBy("machine_id").orderBy("ts_us", "rid"))
-    return events.where(F.col("account_uuid").isNotNull()).withColumn("before", before).where(~F.col("before").eqNullSafe(row)).drop("before")
+    def step(row, last):
+        own = tuple(None if pd.isna(x) else x for x in (getattr(row, c) for c in LOGIN))
+        return None if own == last else own
 
+    known = events.where(F.col("account_uuid").isNotNull()).select("machine_id", "ts_us", *LOGIN)
+    return _stateful(known, ["machine_id"], ["ts_us"], f"machine_id string, ts_us long, {text}", text, step, "append")
 
-def cache_accumulator(readings: DataFrame) -> DataFrame:
-    """Running cache sums of a session that count a reading only when its input total changed."""
-    w = Window.partitionBy("sid").orderBy("ts_us", "rid")
-    moved = ~F.lag("total_in").over(w).eqNullSafe(F.col("total_in"))
-    changed = readings.withColumn("moved", moved).where("moved")
-    return changed.groupBy("sid").agg(F.sum("cache_read").alias("cache_read"), F.sum("cache_create").alias("cache_create"), F.count(F.lit(1)).alias("n"))
+
+CACHE = "total_in long, cum_fresh long, cum_create long, cum_read long, n long"
+
+
+def cache_accumulator_stream(readings: DataFrame) -> DataFrame:
+    """A session's running sums; a reading counts only when its input total differs from the one before."""
+
+    def step(r, held):
+        total, *sums, n = held or (None, 0, 0, 0, 0)
+        if total == r.total_in:
+            return None
+        return (int(r.total_in), *(int(a + b) for a, b in zip(sums, (r.fresh, r.cache_create, r.cache_read))), n + 1)
+
+    rows = readings.select("sid", "ts_us", "rid", "total_in", "fresh", "cache_create", "cache_read")
+    return _stateful(rows, ["sid"], ["ts_us", "rid"], f"sid string, {CACHE}", CACHE, step, "update")
+
+
+def active_projects_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
+    """Sessions and projects with a call in each fifteen minutes, a window every five."""
+    timed = records.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
+    return timed.groupBy(F.window("ts", "15 minutes", "5 minutes")).agg(
+        F.size(F.collect_set("sid")).alias("sessions"), F.size(F.collect_set("project")).alias("projects")
+    ).select(F.unix_micros("window.end").alias("until_us"), "sessions", "projects")
 
 
 def session_cost_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
