@@ -2,7 +2,10 @@
 
 Texts are cut into lines and into blocks (runs of lines between blank ones, where a block has
 several). Of 2 to ``RUN`` blocks in a row each run is a segment too, and so is the whole text
-where it has more blocks: a licence of many paragraphs is met as a whole. A segment's bigrams, as a set, are compared with a template's only if their numbers
+where it has more blocks: a licence of many paragraphs is met as a whole. A notice inside a longer
+line or paragraph is met by spans: windows of as many words as the template has, anywhere in the text,
+laid so that a bigram with a cover word falls where the template has it (from the text's first word on,
+at the least). A span's number is its first word's. A segment's bigrams, as a set, are compared with a template's only if their numbers
 allow the threshold at all: Dice >= t needs |A| between t / (2 - t) and (2 - t) / t times |B|.
 Before that, a text must hold one of a few cover words. They are chosen so that the
 bigrams of a template without any of them are too few for the threshold, so a text without
@@ -144,23 +147,69 @@ def cover_words(templates: list[tuple[str, str]], threshold: float) -> list[str]
 
 
 def prepared(templates: list[tuple[str, str]]) -> list[dict]:
-    return [{"template": k, "licence": name, "grams": g} for k, (name, text) in enumerate(templates) if (g := bigrams(text))]
+    return [
+        {"template": k, "licence": name, "words": len(normal_words(text)), "grams": g} for k, (name, text) in enumerate(templates) if (g := bigrams(text))
+    ]
 
 
-def _grams(segment: Column) -> Column:
-    w = F.filter(F.split(F.lower(segment), "[^0-9a-z]+"), lambda x: x != "")
-    return bind(w, lambda x: F.array_distinct(F.zip_with(
+def anchors(templates: list[tuple[str, str]], cover: list[str]) -> list[tuple[int, int, str]]:
+    """(template, position, bigram) of the bigrams with a cover word."""
+    out, known = [], set(cover)
+    for k, (_, text) in enumerate(templates):
+        w = normal_words(text)
+        out += [(k, i, f"{a} {b}") for i, (a, b) in enumerate(zip(w, w[1:])) if a in known or b in known]
+    return out
+
+
+def _words(segment: Column) -> Column:
+    return F.filter(F.split(F.lower(segment), "[^0-9a-z]+"), lambda x: x != "")
+
+
+def _grams(words: Column) -> Column:
+    return bind(words, lambda x: F.array_distinct(F.zip_with(
         F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)
     )))
 
 
+def _spans(text: Column, templates: list[tuple[str, str]], cover: list[str], threshold: float) -> Column:
+    """The text's windows that match; each is scored in its place, so that a text's windows never lie side by side."""
+    rows = prepared(templates)
+    at = {r["template"]: k for k, r in enumerate(rows)}
+    places: dict[str, list[dict]] = {}
+    for template, i, gram in anchors(templates, cover):
+        places.setdefault(gram, []).append({"at": at[template], "pos": i})
+    anchored = F.from_json(F.lit(json.dumps(places)), "map<string,array<struct<at:int,pos:int>>>")
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,licence:string,words:int,grams:array<string>>>")
+    none = F.array().cast("array<struct<at:int,pos:int>>")
+
+    def of_words(ws: Column) -> Column:
+        spots = F.filter(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.get(ws, i).isin(cover) | F.get(ws, i + 1).isin(cover))
+
+        def starts(i: Column) -> Column:
+            own = F.try_element_at(anchored, F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1)))
+            # template and first word in one number, so that equal ones are told by hash
+            return F.transform(F.coalesce(own, none), lambda a: F.shiftleft(a["at"].cast("long"), 32) + F.greatest(i - a["pos"], F.lit(0)))
+
+        def scored(p: Column) -> Column:
+            t, start = F.get(known, F.shiftright(p, 32).cast("int")), p.bitwiseAND(F.lit(0xFFFFFFFF))
+            return bind(_grams(F.slice(ws, start.cast("int") + 1, t["words"])), lambda g: F.struct(
+                start.alias("segment"), t["template"].alias("template"), t["licence"].alias("licence"),
+                F.size(F.array_intersect(g, t["grams"])).alias("shared"), (F.size(g) + F.size(t["grams"])).alias("total"),
+            ))
+
+        windows = F.transform(F.array_distinct(F.flatten(F.transform(spots, starts))), scored)
+        return F.when(F.size(ws) > 1, F.filter(windows, lambda s: 2.0 * s["shared"] / s["total"] >= threshold))
+
+    return bind(_words(text), of_words)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kind, segment, template, licence, shared, dice) of every segment that matches a template."""
     templates = TEMPLATES if templates is None else templates
     if not prepared(templates):
         docs = docs.where(F.lit(False))
-    cover = cover_words(templates, threshold)
-    cover = [w for w in cover if not any(u != w and u in w for u in cover)]  # a text with the longer word holds the shorter one
+    words = cover_words(templates, threshold)
+    cover = [w for w in words if not any(u != w and u in w for u in words)]  # a text with the longer word holds the shorter one
     rows = prepared(templates)
     known = F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,licence:string,grams:array<string>>>")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -184,7 +233,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     lines = F.transform(F.split(text, "\n"), lambda x, k: segment("line", k, x))
     segments = F.concat(lines, bind(F.split(text, "\n[\\x20\\x09-\\x0D]*\n"), of_blocks))
     suspects = docs.where(held(text)).select("doc_id", F.explode(segments).alias("s")).where(held(F.col("s.body")))
-    grams = suspects.select("doc_id", "s.kind", "s.segment", _grams(F.col("s.body")).alias("grams"))
+    grams = suspects.select("doc_id", "s.kind", "s.segment", _grams(_words(F.col("s.body"))).alias("grams"))
     size = F.size("grams")
     fitting = F.filter(known, lambda t: (size >= F.size(t["grams"]) * low - 1e-9) & (size <= F.size(t["grams"]) * high + 1e-9))
     pairs = grams.withColumn("t", F.explode(fitting))
@@ -193,7 +242,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         "doc_id", "kind", "segment", F.col("t.template").alias("template"), F.col("t.licence").alias("licence"), shared.cast("long").alias("shared"),
         (2.0 * shared / (size + F.size("t.grams"))).alias("dice"),
     )
-    return scored.where(F.col("dice") >= threshold)
+    inside = docs.where(held(text)).select("doc_id", F.explode(_spans(text, templates, words, threshold)).alias("s")).select(
+        "doc_id", F.lit("span").alias("kind"), "s.segment", "s.template", "s.licence", F.col("s.shared").cast("long").alias("shared"),
+        (2.0 * F.col("s.shared") / F.col("s.total")).alias("dice"),
+    )
+    return scored.where(F.col("dice") >= threshold).unionByName(inside)
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -205,9 +258,16 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def oracle(threshold: float = THRESHOLD) -> str:
     """The same in DuckDB SQL, over all templates without pruning."""
-    quoted = ", ".join(f"({r['template']}, '{r['licence']}', [{', '.join(repr(g) for g in r['grams'])}])" for r in prepared(TEMPLATES))
+    quoted = ", ".join(f"({r['template']}, '{r['licence']}', {r['words']}, [{', '.join(repr(g) for g in r['grams'])}])" for r in prepared(TEMPLATES))
+    placed = ", ".join(f"({k}, {i}, '{g}')" for k, i, g in anchors(TEMPLATES, cover_words(TEMPLATES, threshold)))
     return f"""
-WITH t(template, licence, tg) AS (VALUES {quoted}),
+WITH t(template, licence, words, tg) AS (VALUES {quoted}),
+anchor(template, pos, gram) AS (VALUES {placed}),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda v: v <> '') AS ws FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT rid, i, ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT rid, ws, unnest(range(len(ws) - 1)) AS i FROM texts)),
+spots AS (SELECT DISTINCT rid, template, greatest(i - pos, 0) AS start FROM pairs JOIN anchor USING (gram)),
+windows AS (SELECT doc_id, template, licence, start, tg, list_slice(ws, start + 1, start + words) AS x FROM spots JOIN texts USING (rid) JOIN t USING (template)),
+spans AS (SELECT doc_id, template, licence, start, tg, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS gs FROM windows),
 blocks AS (SELECT doc_id, regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n') AS x FROM documents WHERE text IS NOT NULL),
 parts AS (
   SELECT doc_id, 'line' AS kind, unnest(range(len(x))) AS segment, unnest(x) AS body
@@ -223,7 +283,8 @@ parts AS (
 ),
 w AS (SELECT doc_id, kind, segment, list_filter(regexp_split_to_array(lower(body), '[^0-9a-z]+'), lambda v: v <> '') AS ws FROM parts),
 g AS (SELECT doc_id, kind, segment, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gs FROM w WHERE len(ws) > 1),
-s AS (SELECT doc_id, kind, segment, template, licence, len(list_intersect(gs, tg)) AS shared, len(gs) + len(tg) AS total FROM g, t)
+s AS (SELECT doc_id, kind, segment, template, licence, len(list_intersect(gs, tg)) AS shared, len(gs) + len(tg) AS total FROM g, t
+  UNION ALL SELECT doc_id, 'span', start, template, licence, len(list_intersect(gs, tg)), len(gs) + len(tg) FROM spans)
 SELECT doc_id, kind, CAST(segment AS BIGINT) AS segment, CAST(template AS INTEGER) AS template, licence, CAST(shared AS BIGINT) AS shared,
        2.0 * shared / total AS dice
 FROM s WHERE 2.0 * shared / total >= {threshold}

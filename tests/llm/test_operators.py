@@ -441,12 +441,34 @@ def test_licences_of_many_paragraphs(spark):
     text = {1: whole[0][1], 2: "intro words\n\n" + "\n\n".join(licences._UNLICENSE) + "\n\nnext", 3: "\n \n".join(licences._ZLIB), 4: "\n\n".join(licences._APACHE) + "\n\nimport os"}
     docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
     found = {(r["doc_id"], r["kind"], r["licence"]) for r in licences.scan(docs, whole).collect()}
-    assert found == {(1, "text", "many")}
+    assert found == {(1, "text", "many"), (1, "span", "many")}
     found = {(r["doc_id"], r["licence"]) for r in licences.scan(docs).where("kind = 'run' and dice = 1").collect()}
     assert {(2, "Unlicense"), (3, "Zlib"), (4, "Apache-2.0")} <= found
     assert licences.scan(docs, []).count() == 0
 
 
+def test_licence_spans_inside_longer_lines(spark):
+    notice = "this file is Licensed under the BSD 3-Clause License and was written on a long afternoon in the north"
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 900)
+    edited = mit.replace("free of charge", "free of any charge").replace("to deal in", "to work in")
+    rows = [(1, f"{'word ' * 40}{notice} {'more ' * 400}"), (2, f"{'a b ' * 200}{edited}{' c d' * 200}"), (3, "license " * 3000), (4, None), (5, ""), (6, "license"), (7, "rain on the hill"), (1, "the license")]
+    got = {tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'span'").select("doc_id", "segment", "template", "shared").collect()}
+    places = licences.anchors(licences.TEMPLATES, licences.cover_words(licences.TEMPLATES, licences.THRESHOLD))
+    want = set()
+    for doc_id, text in rows:
+        w = licences.normal_words(text or "")
+        for k, at, gram in places:
+            for i in range(len(w) - 1):
+                if f"{w[i]} {w[i + 1]}" == gram:
+                    start = max(i - at, 0)
+                    g = set(licences.bigrams(" ".join(w[start : start + len(licences.normal_words(licences.TEMPLATES[k][1]))])))
+                    own = licences.bigrams(licences.TEMPLATES[k][1])
+                    if 2 * len(g & set(own)) >= licences.THRESHOLD * (len(g) + len(own)):
+                        want.add((doc_id, start, k, len(g & set(own))))
+    assert got == want
+    assert {(d, licences.TEMPLATES[k][0]) for d, _, k, _ in got} >= {(1, "BSD-3-Clause"), (2, "MIT")} and {d for d, *_ in got} == {1, 2}
+
+
 def test_cover_words_lose_nothing():
     cover = licences.cover_words(licences.TEMPLATES, licences.THRESHOLD)
     for _, text in licences.TEMPLATES:
