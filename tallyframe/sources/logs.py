@@ -9,6 +9,7 @@ from ..functions.names import project_name
 
 LINE = """type string, timestamp string, sessionId string, cwd string, requestId string, costUSD string,
  message struct<id:string, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"""
+COUNTS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 QUOTA = """five_hour struct<utilization:double, resets_at:string>, seven_day struct<utilization:double, resets_at:string>, seven_day_sonnet struct<utilization:double, resets_at:string>,
  limits array<struct<kind:string, percent:double, resets_at:string, scope:struct<model:struct<display_name:string>>>>,
  extra_usage struct<utilization:double, used_credits:double, monthly_limit:double>"""
@@ -28,7 +29,7 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
 
 
 def parse_lines(lines: DataFrame, roots: tuple[str, ...] = (), remotes: DataFrame | None = None) -> DataFrame:
-    """Calls of a log: bad and other lines are passed over, absent counts are 0, a time without zone is UTC.
+    """Calls of a log: bad and other lines and empty usages are passed over, absent counts are 0, a time without zone is UTC.
 
     The file's folder is the first that any of its lines names, and gives the project: the remote's
     name where ``remotes`` (cwd, repo) knows the folder, the name below the deepest of ``roots``,
@@ -39,8 +40,12 @@ def parse_lines(lines: DataFrame, roots: tuple[str, ...] = (), remotes: DataFram
     x = lines.withColumn("j", F.from_json("value", LINE)).where(F.col("j").isNotNull())
     first = x.where(F.coalesce(F.col("j.cwd"), F.lit("")) != "").groupBy("file_path").agg(F.min_by("j.cwd", "place").alias("cwd"))
     u = "j.message.usage."
-    x = x.withColumn("ts", F.coalesce(F.try_to_timestamp("j.timestamp"), F.lit(None).cast("timestamp")))
-    calls = x.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull() & F.col("ts").isNotNull())
+    time, day = F.trim("j.timestamp"), "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    zone = F.when(time.rlike(day + "$"), "T00:00:00Z").when(time.rlike("(?i)(z|[+-][0-9]{2}:?[0-9]{2})$"), "").otherwise("Z")
+    x = x.withColumn("ts", F.when(time.rlike(day), F.try_to_timestamp(F.concat(time, zone))))
+    # a usage without any of the four counts may still hold something else
+    used = F.coalesce(*(F.col(f"j.message.usage.{c}") for c in COUNTS)).isNotNull() | (F.get_json_object("value", "$.message.usage") != "{}")
+    calls = x.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull() & used & F.col("ts").isNotNull())
     count = lambda c: F.coalesce(F.col(u + c), F.lit(0))
     out = calls.select(
         "file_path", F.unix_micros("ts").alias("ts_us"), filled("j.sessionId", stem).alias("sid"), F.col("j.message.id").alias("mid"),

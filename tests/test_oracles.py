@@ -32,6 +32,19 @@ def test_query_equals_sql(spark, duck, name):
     assert rows
 
 
+ZONED = ["report_daily", "fn_fx_date", "filter_local_range", "ingest_stamp_records", "plan_value_by_month", "remainder_as_records", "series_range_bounds", "sink_record_export", "stream_minute_costs"]
+
+
+@pytest.mark.parametrize("name", ZONED)
+def test_the_session_zone_changes_nothing(spark, duck, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_equals_sql(spark, duck, name)
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_rows_only_queries_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.ORACLES)):
         assert registry.QUERIES[name](spark, SMALL).count() > 0, name
