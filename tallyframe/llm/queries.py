@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, licences, line_crf, packing, pii, quality_rules, sharding, simhash, token_counts
+from . import ctw, decontaminate, licences, line_crf, packing, pii, quality_rules, sharding, simhash, token_counts, warc
 from .common import table
 
 
@@ -72,16 +72,25 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_sharding, op4_packing, op5_token_counts,
-        op6_context_tree, op7_simhash, op8_pii, op9_line_crf, op10_licences,
+        op6_context_tree, op7_simhash, op8_pii, op9_line_crf, op10_licences, op11_warc,
     )
 }
 #: DuckDB twins where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op10_licences": licences.oracle(),
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), x AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS d FROM p),
+y AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM x)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM y
+""",
     "op2_decontamination": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
