@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, licences, line_crf, packing, pii, quality_rules, sharding, simhash, token_counts, warc
+from . import ctw, decontaminate, hard_negatives, licences, line_crf, packing, pii, quality_rules, sharding, simhash, token_counts, warc, whiten
 from .common import table
 
 
@@ -76,16 +76,34 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_sharding, op4_packing, op5_token_counts,
-        op6_context_tree, op7_simhash, op8_pii, op9_line_crf, op10_licences, op11_warc,
+        op6_context_tree, op7_simhash, op8_pii, op9_line_crf, op10_licences, op11_warc, op12_whitening, op13_hard_negatives,
     )
 }
 #: DuckDB twins where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op10_licences": licences.oracle(),
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS q
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.id) QUALIFY rank <= 5
+""",
     "op11_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), x AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS d FROM p),
 y AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM x)
