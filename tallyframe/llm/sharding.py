@@ -1,114 +1,174 @@
 """Sharding by balanced label propagation.
 
-Documents start in shards by rank, so that counts are at most one apart. In each round every
-linked document looks at the shards of its neighbours and asks for the one that holds most
-of them. A move is granted only in exchange: for each pair of shards as many documents cross
-one way as the other, asking documents against each other first and then against documents
-without links, so no round changes a shard's size. Links are given as (document, hub)
-memberships, which keeps a group of m copies at m rows instead of m^2 edges.
-
-Null texts have size 1 and are alike; repeated rows are copies like any other. Hubs larger
-than a shard are split by hash before they count as one neighbourhood; others stay whole. For the
-work, hubs with more than a 4,096th of all rows are spread over several join keys, so no key holds
-more than that. Rounds go on until no round brings more rows to their hub's shard, or ``rounds``
-are over; the rows outside are logged. An empty table gives an empty result; ties go to the shard
-that the hub's hash names first.
+Documents start in shards by rank, so that counts are at most one apart. Links are given as
+(document, hub) memberships, which keeps a group of m copies at m rows instead of m^2 edges. In each
+round the hubs that aren't settled look where their members are and ask for a shard; quotas, the
+rows that a shard has left, decide who is granted; then the members of granted hubs move there:
+
+* The first round is that of the large hubs, those with more than a ``SALTED``-th of a shard, of which
+  there are at most ``SALTED`` times the shards. Each in turn of size takes the shard that holds most
+  of its members among those with room. If that leaves one without room, all are dealt again, each to
+  the shard that it fills best; a hub larger than any room left is cut there, and as seldom as possible.
+* In the next round every other hub asks for the shard with most of its members, and a running total
+  of sizes grants what the quota holds.
+* In the rounds behind it those that were refused are laid end to end over the room that is left, the
+  largest first, until all are settled or a round settles none.
+
+Documents without links, and those of hubs that nothing could settle, fill the rest, so counts
+stay at most one apart. A group is cut only if it is larger than a shard, if no packing was found
+for the large ones, or if it is one of the few small ones that the last gaps can't hold. The rows
+outside their hub's shard are logged.
+
+Null texts have size 1 and are alike; repeated rows are copies like any other. For the work, the
+rows of large hubs meet their shard by broadcast, so no key of a join holds more than a part of a
+shard. An empty table gives an empty result; ties go to the shard that the hub's hash names first.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, materialize
 
 N_SHARDS = 16
-#: Rows of a hub over this part of a shard are spread over several join keys; at most N_SHARDS x SALTED hubs are so large.
+#: Hubs over this part of a shard are placed one by one; there are at most N_SHARDS x SALTED.
 SALTED = 256
 log = logging.getLogger(__name__)
 
 
-def _split_hubs(nodes: DataFrame, n_shards: int) -> DataFrame:
-    """Hubs of at least two members, with a salt and how many its hub has; a hub over a shard becomes several."""
-    counts = nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    total = nodes.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(n_shards)), F.lit(1)).alias("most"))
-    sized = materialize(counts.crossJoin(F.broadcast(total)).withColumn("large", F.col("members") * SALTED > F.col("most")), "hubs")
-    # at most n_shards x SALTED hubs are large; without their rows no key of the other join is hot
-    large = sized.where("large").select("hub", F.ceil(F.col("members") / F.col("most")).cast("long").alias("parts"), F.ceil(SALTED * F.col("members") / F.col("most")).cast("long").alias("salts"))
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
-    spread = nodes.join(F.broadcast(large), "hub").withColumn("hub", F.xxhash64("hub", part)).drop("parts")
-    spread = spread.withColumn("salt", F.pmod(F.xxhash64("node", "copy", F.lit("salt")), F.col("salts")))
-    others = nodes.join(F.broadcast(large.select("hub")), "hub", "left_anti").join(sized.where("not large").select("hub", F.lit(0).alias("part")), "hub", "left")
-    others = others.withColumn("hub", F.when(F.col("part").isNotNull(), F.xxhash64("hub", F.lit(0).cast("long")))).drop("part")
-    return spread.unionByName(others.withColumns({"salts": F.lit(1).cast("long"), "salt": F.lit(0).cast("long")}))
-
-
-def _targets(state: DataFrame, n_shards: int) -> DataFrame:
-    """(hub, salt, target): the shard with most of a hub's members; ties by the hub's own order of shards."""
-    held = state.where(F.col("hub").isNotNull()).groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
+def claims(sizes: dict[int, int], held: dict[int, dict[int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """(hub, first, last, shard): where each large hub's members go, by their ranks; ``room`` is left as it is."""
+    order = sorted(sizes, key=lambda h: (-sizes[h], h))
+    most = max(room)
+
+    def deal(choose) -> tuple[list[tuple[int, int, int, int]], int]:
+        left, out, cuts = list(room), [], 0
+        for hub in order:
+            at = 0
+            while at < sizes[hub]:
+                n = sizes[hub] - at
+                fits = [s for s, r in enumerate(left) if r >= n]
+                # without room for all, as many as a whole shard or the largest gap takes
+                s = choose(hub, n, fits, left) if fits else max(range(len(left)), key=lambda s: (left[s], -s))
+                n = min(n, left[s])
+                cuts += not fits and sizes[hub] <= most
+                out.append((hub, at, at + n, s))
+                left[s] -= n
+                at += n
+        return out, cuts
+
+    tie = lambda hub, s: (hub * 2654435761 + s * 40503) % 65_521
+    near, cuts = deal(lambda hub, n, fits, left: max(fits, key=lambda s: (held.get(hub, {}).get(s, 0), tie(hub, s))))
+    if not cuts:
+        return near
+    tight, fewer = deal(lambda hub, n, fits, left: min(fits, key=lambda s: (left[s] - n, s)))
+    return tight if fewer < cuts else near
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, size: str, out: str, per_bucket: int = 20_000) -> DataFrame:
+    """The sum of ``size`` up to and with each row in order of ``order``'s hash, within each group, no group in one task. ``df`` is read three times."""
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(per_bucket)), F.lit(1)).cast("long").alias("__n")
+    dealt = df.crossJoin(F.broadcast(df.agg(n))).withColumn("__bucket", F.pmod(F.xxhash64(order), F.col("__n"))).drop("__n")
+    sums = dealt.groupBy(*keys, "__bucket").agg(F.sum(size).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = F.sum(size).over(Window.partitionBy(*keys, "__bucket").orderBy(order))
+    return dealt.withColumn("__upto", inside).join(starts, [*keys, "__bucket"]).withColumn(out, F.col("__start") + F.col("__upto")).drop("__start", "__upto", "__bucket")
+
+
+def _small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A bounded table as one literal."""
+    fields = [f.split() for f in schema.split(", ")]
+    text = json.dumps([{name: v for (name, _), v in zip(fields, r)} for r in rows])
+    kind = ",".join(f"{name}:{kind}" for name, kind in fields)
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("r")).select("r.*")
+
+
+def _asked(members: DataFrame) -> DataFrame:
+    """(hub, members, wish): the shard with most of a hub's members; ties by the hub's own order of shards."""
+    held = members.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
     order = F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 30))
-    best = held.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("n"), order)).alias("target"), F.max("salts").alias("salts"))
-    return best.select("hub", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-
-
-def _asked(state: DataFrame, n_shards: int) -> DataFrame:
-    """The state with a ``wish``: the shard a document would cross to, null where it has none or is there."""
-    columns = state.columns
-    # documents without a hub (null would be one hot key) can stand in for any partner
-    linked = state.where(F.col("hub").isNotNull()).join(_targets(state, n_shards), ["hub", "salt"]).select(*columns, F.when(F.col("target") != F.col("shard"), F.col("target")).alias("wish"))
-    return materialize(linked.unionByName(state.where(F.col("hub").isNull()).withColumn("wish", F.lit(None).cast("int"))), "asked")
-
-
-def _exchange(asked: DataFrame) -> DataFrame:
-    """One exchange of the rows asked: node, hub, shard and payload columns."""
-    columns = [c for c in asked.columns if c != "wish"]
-    flows = asked.where(F.col("wish").isNotNull()).groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n"))
-    free = asked.where(F.col("hub").isNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
-    back = flows.select(F.col("shard").alias("wish"), F.col("wish").alias("shard"), F.col("n").alias("back"))
-    pairs = flows.join(back, ["shard", "wish"], "full").fillna(0, ["n", "back"])  # at most n_shards^2 rows
-    # free documents of a shard go out in the order of the shards that lack a partner
-    lack = pairs.select(F.col("wish").alias("shard"), F.col("shard").alias("to"), F.greatest(F.col("n") - F.col("back"), F.lit(0)).alias("lack"))
-    upto = Window.partitionBy("shard").orderBy("to").rowsBetween(Window.unboundedPreceding, 0)
-    lack = lack.join(F.broadcast(free), "shard", "left").withColumn("upto", F.sum("lack").over(upto))
-    given = lack.select(
-        "shard", "to", F.greatest(F.col("upto") - F.col("lack"), F.lit(0)).alias("first"),
-        F.least("upto", F.coalesce("free", F.lit(0))).alias("last"),
-    ).where(F.col("last") > F.col("first"))
-    given = materialize(given, "given")
-    quota = pairs.join(
-        F.broadcast(given.select(F.col("to").alias("shard"), F.col("shard").alias("wish"), (F.col("last") - F.col("first")).alias("extra"))),
-        ["shard", "wish"], "left",
-    ).select("shard", "wish", (F.least("n", "back") + F.coalesce("extra", F.lit(0))).alias("quota"))
-    # documents without links are numbered for the way back, asking ones for the way out
-    mover = asked.where(F.col("wish").isNotNull() | F.col("hub").isNull())
-    ranked = gapless_rank(mover, ["shard", "wish"], ["node", "copy"], "rank")
-    out = ranked.where(F.col("wish").isNotNull()).join(F.broadcast(quota), ["shard", "wish"]).where(F.col("rank") < F.col("quota")).select("node", "copy", F.col("wish").alias("moved"))
-    swap = ranked.where(F.col("wish").isNull()).join(
-        F.broadcast(given.select("shard", "to", "first", "last")), "shard"
-    ).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("node", "copy", F.col("to").alias("moved"))
-    moved = asked.join(out.unionByName(swap), ["node", "copy"], "left")
-    return moved.withColumn("shard", F.coalesce("moved", "shard")).select(*columns)
+    return held.groupBy("hub").agg(F.sum("n").alias("members"), F.max_by("shard", F.struct("n", order)).alias("wish"))
+
+
+def _gap(first: Column, last: Column, room: list[int]) -> Column:
+    """The shard whose stretch of the rooms, laid end to end and the largest first, holds [first, last); null where none does."""
+    gaps, at = [], 0
+    for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+        gaps.append({"s": s, "a": at, "z": at + room[s]})
+        at += room[s]
+    line = F.from_json(F.lit(json.dumps(gaps)), "array<struct<s:int,a:long,z:long>>")
+    return F.try_element_at(F.filter(line, lambda g: (first >= g["a"]) & (last <= g["z"])), F.lit(1))["s"]
+
+
+def _settled(hubs: DataFrame, room: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
+    """(hub, target) of the smaller hubs that quotas grant, and the room left; ``hubs`` has (hub, members, wish)."""
+    spark = hubs.sparkSession
+    quota = F.broadcast(_small_table(spark, list(enumerate(room)), "wish int, quota long"))
+    asked = materialize(running_total(hubs, ["wish"], "hub", "members", "upto").join(quota, "wish"), "asked")
+    fits = F.col("upto") <= F.col("quota")
+    granted = asked.where(fits).select("hub", "members", F.col("wish").alias("target"))
+    refused = materialize(asked.where(~fits).select("hub", "members"), "refused")
+    left = list(room)
+    every = granted
+    for turn in range(rounds):
+        for r in granted.groupBy("target").agg(F.sum("members").alias("n")).collect():  # one row a shard
+            left[r["target"]] -= r["n"]
+        waiting, rows = refused.agg(F.count(F.lit(1)), F.coalesce(F.sum("members"), F.lit(0))).first()
+        log.info("round %d: %d groups with %d rows are not settled", turn + 1, waiting, rows)
+        if not waiting:
+            break
+        laid = running_total(refused.withColumn("all", F.lit(0)), ["all"], "hub", "members", "upto").drop("all")
+        met = materialize(laid.select("hub", "members", _gap(F.col("upto") - F.col("members"), F.col("upto"), left).alias("target")), "laid")
+        granted, refused = met.where("target IS NOT NULL"), met.where("target IS NULL").select("hub", "members")
+        every = every.unionByName(granted)
+        if not granted.limit(1).count():
+            break
+    return every.select("hub", "target"), left
 
 
 def balanced_labels(nodes: DataFrame, n_shards: int = N_SHARDS, rounds: int = 8) -> DataFrame:
     """``nodes`` (node, copy, hub, ...) with a ``shard``: row counts at most one apart.
 
-    (node, copy) tells rows apart. Each round is written to the shared folder.
+    (node, copy) tells rows apart; a null hub is no link. Each round is written to the shared folder.
     """
-    split = materialize(_split_hubs(nodes.where(F.col("hub").isNotNull()), n_shards).unionByName(nodes.where(F.col("hub").isNull()), allowMissingColumns=True), "nodes")
-    start = gapless_rank(split.withColumn("__all", F.lit(0)), ["__all"], ["node", "copy"], "rank").drop("__all")
-    state = start.withColumn("shard", F.pmod("rank", F.lit(n_shards)).cast("int")).drop("rank")
-    state, outside = materialize(state, "state"), None
-    for turn in range(rounds):
-        asked = _asked(state, n_shards)
-        before, outside = outside, asked.where(F.col("wish").isNotNull()).count()
-        log.info("round %d: %d rows outside their hub's shard", turn, outside)
-        if not outside or before is not None and outside >= before:
-            break
-        state = materialize(_exchange(asked), "state")
-    return state.drop("salt", "salts")
+    spark, columns = nodes.sparkSession, nodes.columns
+    ranked = gapless_rank(nodes.withColumn("__all", F.lit(0)), ["__all"], ["node", "copy"], "rank").drop("__all")
+    start = materialize(ranked.withColumn("shard", F.pmod("rank", F.lit(n_shards)).cast("int")).drop("rank"), "state")
+    total = start.count()
+    room = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    hubs = materialize(_asked(start.where(F.col("hub").isNotNull())).where("members > 1"), "hubs")
+    is_large = F.col("members") * SALTED > room[-1]
+    large = hubs.where(is_large).select("hub")  # at most n_shards x SALTED
+    held: dict[int, dict[int, int]] = {}
+    for r in start.join(F.broadcast(large), "hub").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")).collect():
+        held.setdefault(r["hub"], {})[r["shard"]] = r["n"]
+    sizes = {h: sum(x.values()) for h, x in held.items()}
+    placed = claims(sizes, held, room) if sizes else []
+    for _, first, last, s in placed:
+        room[s] -= last - first
+    log.info("round 0: %d large groups, %d of them cut", len(sizes), len(placed) - len(sizes))
+    split = {h for h, _, last, _ in placed if last < sizes[h]}
+    whole = F.broadcast(_small_table(spark, [(h, s) for h, _, _, s in placed if h not in split], "hub long, target int"))
+    parts = F.broadcast(_small_table(spark, [x for x in placed if x[0] in split], "hub long, first long, last long, target int"))
+    moved = start.join(whole, "hub").drop("shard")
+    if split:
+        cut = materialize(start.join(F.broadcast(parts.select("hub").distinct()), "hub", "left_semi"), "cut")
+        of = gapless_rank(cut, ["hub"], ["node", "copy"], "rank")
+        moved = moved.unionByName(of.join(parts, "hub").where("rank >= first AND rank < last").drop("rank", "first", "last", "shard"))
+    settled, room = _settled(hubs.where(~is_large), room, rounds)
+    # no hub of these is hot; null hubs stay out of the join
+    others = start.where(F.col("hub").isNotNull()).join(F.broadcast(large), "hub", "left_anti").join(settled, "hub", "left").drop("shard")
+    rest = others.where("target IS NULL").unionByName(start.where(F.col("hub").isNull()).drop("shard"), allowMissingColumns=True).drop("target")
+    moved = moved.unionByName(others.where("target IS NOT NULL")).select(*columns, F.col("target").alias("shard"))
+    rest = materialize(rest.select(*columns), "rest")
+    filled = gapless_rank(rest.withColumn("__all", F.lit(0)), ["__all"], ["node", "copy"], "rank").drop("__all")
+    filled = filled.select(*columns, _gap(F.col("rank"), F.col("rank") + 1, room).alias("shard"))
+    return materialize(moved.unionByName(filled), "state")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = 8) -> DataFrame:

@@ -127,6 +127,39 @@ def test_sharding(spark, docs, empty, small):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def links_kept(spark, groups, alone, n_shards=16):
+    """Share of the links of copies (a group of m has m - 1) that stay in one shard, counts by shard, and shards by group."""
+    texts = [f"group {g} of {m}" for g, m in enumerate(m for m, times in groups for _ in range(times)) for _ in range(m)] + [f"alone {k}" for k in range(alone)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_shards).collect()
+    where, counts = {}, dict.fromkeys(range(n_shards), 0)
+    for r in got:
+        where.setdefault(texts[r["doc_id"]], []).append(r["shard"])
+        counts[r["shard"]] += 1
+    assert len(got) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+    links = sum(len(v) - 1 for v in where.values())
+    return sum(max(map(v.count, set(v))) - 1 for v in where.values()) / links
+
+
+@pytest.mark.parametrize("groups, alone", [
+    ([(60, 10), (10, 60)], 400), ([(90, 5), (20, 20)], 750), ([(90, 3), (15, 62)], 400), ([(70, 6)], 1180), ([(30, 30)], 700), ([(90, 3)], 1330),
+    ([(100, 16)], 0), ([(50, 32)], 0), ([(99, 8), (51, 8), (49, 8)], 8), ([(2, 800)], 0), ([(3, 500)], 100),
+])
+def test_sharding_keeps_every_group_that_fits(spark, groups, alone):
+    assert links_kept(spark, groups, alone) == 1.0
+
+
+def test_sharding_of_many_small_groups(spark):
+    """Groups far below a shard's 256th are settled by quotas; the last gaps may cut a few."""
+    assert links_kept(spark, [(2, 6000), (3, 1000), (5, 100)], 40) > 0.999
+    assert links_kept(spark, [(2, 6000), (900, 3), (300, 9)], 500) == 1.0
+
+
+def test_sharding_cuts_what_is_larger_than_a_shard_seldom(spark):
+    assert links_kept(spark, [(800, 1), (30, 20)], 200) >= 1 - 8 / 1379 - 0.51  # the largest part alone counts
+    placed = sharding.claims({1: 800, 2: 30}, {}, [100] * 16)
+    assert len([p for p in placed if p[0] == 1]) == 8 and len([p for p in placed if p[0] == 2]) == 1
+
+
 def test_sharding_splits_a_hot_group(spark):
     rows = [(k, "same text") for k in range(400)] + [(k, f"text {k}") for k in range(400, 1200)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=8).groupBy("shard").count().collect()
