@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixtures import DAY, NOW
 from ..functions.names import dedup_identity
 from ..operators import quota
 from ..operators.stored import shared_path, written
 from ..registry import query
-from ..streaming import state
+from ..streaming import late_files, state
 
 
 BATCHES = 3
@@ -30,11 +31,14 @@ def stream_of(t, df: DataFrame, name: str) -> DataFrame:
 
 
 def run_to_end(t, out: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs until the source is used up; in update mode the last row of each key counts."""
+    """Runs until the source is used up; in update mode the last row of each key counts.
+
+    An epoch has a folder of its own, which a second attempt at it replaces.
+    """
     sink, marks = shared_path(t.spark, "sink"), shared_path(t.spark, "marks")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     q = out.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).queryName(f"q{uuid.uuid4().hex}").start()
     q.awaitTermination()
@@ -111,3 +115,40 @@ def stream_active_projects(t):
     """Other projects with a call in the last fifteen minutes, every five."""
     rows = t.rec.where("project IS NOT NULL AND project <> 'proj4'").select("sid", "project", "ts_us")
     return run_to_end(t, state.active_projects_stream(stream_of(t, rows, "active")), "update", ["until_us"])
+
+
+#: Which sending of its file is the last, and up to when each sending has calls.
+_LAST = "CASE WHEN file % 5 = 0 THEN 3 WHEN file % 3 = 1 THEN 2 WHEN file % 3 = 0 THEN 1 ELSE 0 END"
+_UPTO = (NOW - 15 * DAY, NOW - 10 * DAY, NOW - 5 * DAY, NOW)
+_SENT = ("file >= 0", "file % 3 = 0", "file % 3 = 1", "file % 5 = 0")
+
+
+def sendings(t) -> DataFrame:
+    """Whole files as they come: all of them early on, then some again, longer, in three late batches."""
+    rows = t.rec.select("rid", "machine_id", "file_path", "account_uuid", "dk", "ts_us", "input_tokens", F.regexp_extract("file_path", "([0-9]+)", 1).cast("int").alias("file"))
+    each = [rows.where(f"({own}) AND ts_us < {upto}").withColumn("sent", F.lit(k)) for k, (own, upto) in enumerate(zip(_SENT, _UPTO))]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out.withColumns({"mtime_ns": F.col("sent").cast("long"), "size": F.lit(_UPTO[0]).cast("long") + F.col("sent")}).drop("file")
+
+
+def stored_late(t) -> late_files.FileStore:
+    """The stream of sendings, one a batch, stored."""
+    rows = sendings(t)
+    path = shared_path(t.spark, "sendings")
+    for k in range(len(_SENT)):
+        rows.where(F.col("sent") == k).coalesce(1).write.mode("append").parquet(path)
+    kept = T.StructType([f for f in rows.schema.fields if f.name not in ("mtime_ns", "size", "sent")])
+    store = late_files.FileStore(t.spark, shared_path(t.spark, "late"), kept, buckets=8)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    late_files.follow(stream, store, shared_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+@query(f"""WITH f AS (SELECT *, CAST(regexp_extract(file_path, '[0-9]+') AS INTEGER) AS file FROM rec), l AS (SELECT *, {_LAST} AS last FROM f),
+k AS (SELECT * FROM l WHERE ts_us < CASE last {" ".join(f"WHEN {n} THEN {us}" for n, us in enumerate(_UPTO))} END)
+SELECT rid, machine_id, file_path, account_uuid, dk, ts_us, input_tokens, coalesce(dk, '') <> '' AND row_number() OVER (PARTITION BY account_uuid, dk ORDER BY last, rid) > 1 AS is_dup FROM k""")
+def stream_late_files(t):
+    """What the store holds after files came late in three batches: equal to a full recompute over the last sendings."""
+    return stored_late(t).current()
