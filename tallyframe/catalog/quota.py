@@ -185,12 +185,15 @@ WARN, STOP = 80, 95
 GUARDED = "(SELECT account_uuid, max(ts_us) AS now_us FROM samples WHERE ts_us <= {now} AND account_uuid <> 'acct-3' GROUP BY 1 UNION ALL SELECT 'acct-9', CAST({now} AS BIGINT))"
 
 
-@query(f"""WITH g AS {GUARDED.format(now=NOW)}, f AS (SELECT s.account_uuid, s.win, s.source, any_value(now_us) AS now_us, arg_max((used_pct, resets_at, ts_us), (ts_us, event_id)) AS r FROM samples s JOIN g USING (account_uuid) WHERE ts_us <= now_us GROUP BY 1, 2, 3),
+ORACLE_VERDICT = f"""WITH g AS {GUARDED.format(now=NOW)}, f AS (SELECT s.account_uuid, s.win, s.source, any_value(now_us) AS now_us, arg_max((used_pct, resets_at, ts_us), (ts_us, event_id)) AS r FROM samples s JOIN g USING (account_uuid) WHERE ts_us <= now_us GROUP BY 1, 2, 3),
 seen AS (SELECT account_uuid, win, max(CASE WHEN r[2] <= now_us / 1000000.0 THEN 0 ELSE r[1] END) FILTER (now_us - r[3] <= CASE source WHEN 'stdin' THEN 900 ELSE 3600 END * CAST(1000000 AS BIGINT)) AS pct FROM f GROUP BY 1, 2),
 st AS (SELECT g.account_uuid, w.win, s.pct, s.win IS NOT NULL AS has, p.applicable AS app FROM g CROSS JOIN window_spans w LEFT JOIN seen s ON s.account_uuid = g.account_uuid AND s.win = w.win LEFT JOIN plan_windows p ON p.account_uuid = g.account_uuid AND p.win = w.win),
 shown AS (SELECT * FROM st WHERE pct IS NOT NULL OR app IS NOT FALSE AND (has OR app))
 SELECT g.account_uuid, max(pct) AS pct, CASE WHEN count(s.win) = 0 OR max(pct) >= {STOP} THEN 'stop' WHEN count(*) FILTER (s.win IS NOT NULL AND pct IS NULL) > 0 THEN 'unknown' WHEN max(pct) >= {WARN} THEN 'warn' ELSE 'ok' END AS verdict
-FROM g LEFT JOIN shown s ON s.account_uuid = g.account_uuid GROUP BY 1""")
+FROM g LEFT JOIN shown s ON s.account_uuid = g.account_uuid GROUP BY 1"""
+
+
+@query(ORACLE_VERDICT)
 def quota_verdict(t):
     """Of each account at its own newest reading; one account has none at all."""
     read = t.samples.where((F.col("ts_us") <= NOW) & (F.col("account_uuid") != "acct-3")).groupBy("account_uuid").agg(F.max("ts_us").alias("now_us"))
@@ -198,7 +201,10 @@ def quota_verdict(t):
     return quota.verdicts(t.samples, accounts, t.plan_windows, ["session", "week", "sonnet", "scoped"], WARN, STOP)
 
 
-@query(f"SELECT account_uuid, win, model, CAST(round_even(resets_at / 60, 0) * 60 AS BIGINT) AS reset_min, min(ts_us) AS first_warned_us FROM samples WHERE used_pct >= {WARN} AND NOT resets_at - ts_us / 1000000.0 > 8 * 86400 GROUP BY 1, 2, 3, 4")
+ORACLE_WARN = f"SELECT account_uuid, win, model, CAST(round_even(resets_at / 60, 0) * 60 AS BIGINT) AS reset_min, min(ts_us) AS first_warned_us FROM samples WHERE used_pct >= {WARN} AND NOT resets_at - ts_us / 1000000.0 > 8 * 86400 GROUP BY 1, 2, 3, 4"
+
+
+@query(ORACLE_WARN)
 def quota_warn_once(t):
     warned = t.samples.where((F.col("used_pct") >= WARN) & ~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute())
     return warned.groupBy("account_uuid", "win", "model", "reset_min").agg(F.min("ts_us").alias("first_warned_us"))

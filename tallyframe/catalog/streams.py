@@ -13,7 +13,8 @@ from ..functions.names import dedup_identity
 from ..operators import quota
 from ..operators.stored import shared_path, written
 from ..registry import query
-from ..streaming import late_files, state
+from ..streaming import guard, late_files, state
+from .quota import GUARDED, ORACLE_VERDICT, ORACLE_WARN, STOP, WARN
 
 
 BATCHES = 3
@@ -72,9 +73,10 @@ def batch_change_gate(t):
     return state.change_gate_batch(_gated(t))
 
 
-@query("SELECT sid, CAST(sum(CAST(floor(cost * 1000000) AS BIGINT)) AS BIGINT) AS micros, count(*) AS n FROM (SELECT * FROM calls WHERE dk <> '') GROUP BY sid")
+@query("SELECT sid, CAST(sum(CAST(floor(cost * 1000000) AS BIGINT)) AS BIGINT) AS micros, count(*) AS n FROM calls GROUP BY sid")
 def stream_session_cost(t):
-    keyed = t.calls.where("dk <> ''").select("sid", "ts_us", (F.floor(F.col("cost") * 1_000_000)).cast("long").alias("micros"), dedup_identity().alias("ident"))
+    """Calls of which a third is sent again; those without a key cost, too, each line once."""
+    keyed = t.calls.select("sid", "ts_us", (F.floor(F.col("cost") * 1_000_000)).cast("long").alias("micros"), F.when(F.col("dk") != "", dedup_identity()).alias("ident"), F.concat_ws("#", "file_path", F.col("rid").cast("string")).alias("place"))
     twice = keyed.unionByName(keyed.where(F.col("ts_us") % 3 == 0))  # sent again
     return run_to_end(t, state.session_cost_stream(stream_of(t, twice, "calls")), "update", ["sid"])
 
@@ -102,11 +104,13 @@ def stream_account_changes(t):
 
 
 @query("""WITH x AS (SELECT *, input_tokens + cache_create AS total_in, lag(input_tokens + cache_create) OVER w AS b, row_number() OVER w AS i FROM rec WINDOW w AS (PARTITION BY sid ORDER BY ts_us, rid))
-SELECT sid, arg_max(total_in, i) AS total_in, CAST(sum(input_tokens) AS BIGINT) AS cum_fresh, CAST(sum(cache_create) AS BIGINT) AS cum_create, CAST(sum(cache_read) AS BIGINT) AS cum_read, count(*) AS n
+SELECT sid, arg_max(total_in, i) AS total_in, CAST(sum(input_tokens) AS BIGINT) AS cum_fresh, CAST(sum(cache_create) AS BIGINT) AS cum_create, CAST(sum(cache_read) AS BIGINT) AS cum_read, count(*) AS n, CAST(0 AS BIGINT) AS n_late
 FROM x WHERE i = 1 OR b <> total_in GROUP BY 1""")
 def stream_cache_accumulator(t):
     rows = t.rec.select("sid", "ts_us", "rid", (F.col("input_tokens") + F.col("cache_create")).alias("total_in"), F.col("input_tokens").alias("fresh"), "cache_create", "cache_read")
-    return run_to_end(t, state.cache_accumulator_stream(stream_of(t, rows, "readings")), "update", ["sid"])
+    lives = run_to_end(t, state.cache_accumulator_stream(stream_of(t, rows, "readings")), "update", ["sid", "life_us"])
+    sums = [F.sum(c).alias(c) for c in ("cum_fresh", "cum_create", "cum_read", "n", "n_late")]
+    return lives.groupBy("sid").agg(F.max_by("total_in", "life_us").alias("total_in"), *sums)
 
 
 @query("""WITH x AS (SELECT sid, project, unnest(generate_series(ts_us // 300000000 + 1, ts_us // 300000000 + 3)) * 300000000 AS until_us FROM rec WHERE project IS NOT NULL AND project <> 'proj4')
@@ -152,3 +156,26 @@ SELECT rid, machine_id, file_path, account_uuid, dk, ts_us, input_tokens, coales
 def stream_late_files(t):
     """What the store holds after files came late in three batches: equal to a full recompute over the last sendings."""
     return stored_late(t).current()
+
+
+def _guard_log(t):
+    """The log of verdicts and warnings over all samples as a stream."""
+    plans = {}
+    for r in t.plan_windows.collect():  # a few rows an account
+        plans.setdefault(r["account_uuid"], {})[r["win"]] = r["applicable"]
+    names = [r["win"] for r in t.window_spans.orderBy("ord").select("win").collect()]
+    return run_to_end(t, guard.verdict_stream(stream_of(t, t.samples, "samples"), plans, names, WARN, STOP), "append")
+
+
+@query(ORACLE_VERDICT.replace(GUARDED.format(now=NOW), f"(SELECT account_uuid, max(ts_us) AS now_us FROM samples WHERE ts_us <= {NOW} GROUP BY 1)"))
+def stream_quota_verdict(t):
+    """The verdict of each account at its newest reading, read off the log that the stream with timers gives."""
+    times = t.samples.where(F.col("ts_us") <= NOW).groupBy("account_uuid").agg(F.max("ts_us").alias("now_us"))
+    return guard.at_times(_guard_log(t), times).select("account_uuid", "pct", "verdict")
+
+
+@query(ORACLE_WARN)
+def stream_warn_once(t):
+    """One warning a window instance, however many readings are over the line."""
+    log = _guard_log(t).where("kind = 'warning'")
+    return log.select("account_uuid", "win", F.nullif("model", F.lit("")).alias("model"), "reset_min", F.col("at_us").alias("first_warned_us"))

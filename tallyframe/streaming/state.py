@@ -90,19 +90,42 @@ def account_changes_stream(events: DataFrame) -> DataFrame:
 
 
 CACHE = "total_in long, cum_fresh long, cum_create long, cum_read long, n long"
+#: Extra readings and sessions are kept this long at the source.
+KEEP = "31 days"
 
 
-def cache_accumulator_stream(readings: DataFrame) -> DataFrame:
-    """A session's running sums; a reading counts only when its input total differs from the one before."""
+def cache_accumulator_stream(readings: DataFrame, keep: str = KEEP, delay: str = "0 seconds") -> DataFrame:
+    """A session's running sums; a reading counts only when its input total differs from the one before.
 
-    def step(r, held):
-        total, *sums, n = held or (None, 0, 0, 0, 0)
-        if total == r.total_in:
-            return None
-        return (int(r.total_in), *(int(a + b) for a, b in zip(sums, (r.fresh, r.cache_create, r.cache_read))), n + 1)
+    A session that the watermark leaves ``keep`` behind loses its state. ``life_us`` tells its lives
+    apart, should it go on later: what was given out for one life stays, and a session's sums are
+    those of its lives together. A reading older than one that a former batch took is counted in
+    ``n_late`` and, as anything that came, added when its total differs from the last one held.
+    """
+    out = [f.split()[0] for f in f"sid string, life_us long, {CACHE}, n_late long".split(", ")]
 
-    rows = readings.select("sid", "ts_us", "rid", "total_in", "fresh", "cache_create", "cache_read")
-    return _stateful(rows, ["sid"], ["ts_us", "rid"], f"sid string, {CACHE}", CACHE, step, "update")
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        life, seen, total, *sums, n, late = held.get if held.exists else (None, -1, None, 0, 0, 0, 0, 0)
+        newest = seen
+        for part in parts:  # as Spark hands them over; a part is in order of time
+            for r in part.sort_values(["ts_us", "rid"]).itertuples(index=False):
+                life = int(r.ts_us) if life is None else life
+                late += int(r.ts_us) < seen
+                newest = max(newest, int(r.ts_us))
+                if total != r.total_in:
+                    total, n = int(r.total_in), n + 1
+                    sums = [int(a + b) for a, b in zip(sums, (r.fresh, r.cache_create, r.cache_read))]
+        held.update((life, newest, total, *sums, n, late))
+        held.setTimeoutTimestamp(max(newest // 1000, held.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame([(*key, life, total, *sums, n, late)], columns=out)
+
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = readings.select("sid", "ts_us", "rid", "total_in", "fresh", "cache_create", "cache_read", F.timestamp_micros("ts_us").alias("ts")).withWatermark("ts", delay)
+    state = f"life_us long, seen long, {CACHE}, n_late long"
+    return rows.groupBy("sid").applyInPandasWithState(run, f"sid string, life_us long, {CACHE}, n_late long", state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def active_projects_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
@@ -114,9 +137,15 @@ def active_projects_stream(records: DataFrame, delay: str = "40 days") -> DataFr
 
 
 def session_cost_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Running cost of a session over appended calls, each call once; emits in update mode."""
+    """Running cost of a session over appended calls, each call once; a call without an identity stands for itself. Emits in update mode.
+
+    Identities are held until the watermark passes them. Calls without one go by their own file and
+    place (``place``), so a line that is sent again is still the same line.
+    """
     timed = records.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
-    return timed.dropDuplicatesWithinWatermark(["ident"]).groupBy("sid").agg(F.sum("micros").alias("micros"), F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("ident").isNotNull(), F.concat(F.lit("i:"), "ident")).otherwise(F.concat(F.lit("p:"), "place"))
+    once = timed.withColumn("own", own).dropDuplicatesWithinWatermark(["own"])
+    return once.groupBy("sid").agg(F.sum("micros").alias("micros"), F.count(F.lit(1)).alias("n"))
 
 
 def minute_costs_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
