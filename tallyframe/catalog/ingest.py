@@ -53,17 +53,24 @@ def ingest_stamp_records(t):
     return t.calls.select("rid", F.date_format(at, "yyyy-MM-dd").alias("day"), F.date_format(oslo, "yyyy-MM-dd").alias("oslo_date"), usd(F.col("log_cost")).alias("log_cost"), usd(F.col("computed")).alias("priced"))
 
 
-@query("SELECT machine_id, win, ts_us // 60000000 AS minute, arg_max(used_pct, event_id) AS used_pct FROM samples GROUP BY 1, 2, 3")
+# a reading sent again has the same machine, window and instant; every fourth comes once more with a later account
+_AGAIN = "event_id % 4 = 0"
+
+
+@query(f"SELECT machine_id, win, ts_us, arg_max(used_pct, o) AS used_pct, arg_max(account_uuid, o) AS account_uuid FROM (SELECT machine_id, win, ts_us, used_pct, account_uuid, event_id AS o FROM samples UNION ALL SELECT machine_id, win, ts_us, used_pct + 1, 'acct-later', event_id + 1000000000 FROM samples WHERE {_AGAIN}) GROUP BY 1, 2, 3")
 def ingest_upsert_samples(t):
-    """The last write of a (machine, window, minute)."""
-    x = t.samples.withColumn("minute", F.floor(F.col("ts_us") / 60_000_000).cast("long"))
-    return ingest.upsert(x, ["machine_id", "win", "minute"], "event_id").select("machine_id", "win", "minute", "used_pct")
+    """The last write of a (machine, window, instant): two readings of one minute both stay."""
+    x = t.samples.select("machine_id", "win", "ts_us", "used_pct", "account_uuid", F.col("event_id").cast("long").alias("o"))
+    again = t.samples.where(_AGAIN).select("machine_id", "win", "ts_us", F.col("used_pct") + 1, F.lit("acct-later"), F.col("event_id").cast("long") + 1_000_000_000)
+    return ingest.upsert(x.union(again), ["machine_id", "win", "ts_us"], "o").drop("o")
 
 
-@query("SELECT machine_id, ts_us // 600000000 AS slot, arg_max(spent_cents, event_id) AS spent_cents FROM extra GROUP BY 1, 2")
+@query(f"SELECT machine_id, ts_us, arg_max(spent_cents, o) AS spent_cents FROM (SELECT machine_id, ts_us, spent_cents, event_id AS o FROM extra UNION ALL SELECT machine_id, ts_us, spent_cents + 5, event_id + 1000000000 FROM extra WHERE {_AGAIN}) GROUP BY 1, 2")
 def ingest_upsert_extra(t):
-    x = t.extra.withColumn("slot", F.floor(F.col("ts_us") / 600_000_000).cast("long"))
-    return ingest.upsert(x, ["machine_id", "slot"], "event_id").select("machine_id", "slot", "spent_cents")
+    """The last write of a (machine, instant)."""
+    x = t.extra.select("machine_id", "ts_us", "spent_cents", F.col("event_id").cast("long").alias("o"))
+    again = t.extra.where(_AGAIN).select("machine_id", "ts_us", F.col("spent_cents") + 5, F.col("event_id").cast("long") + 1_000_000_000)
+    return ingest.upsert(x.union(again), ["machine_id", "ts_us"], "o").drop("o")
 
 
 @query("SELECT file_path, mtime_ns, size FROM inventory WHERE archived = 1 OR file_path IN ('/p/3.jsonl', '/p/8.jsonl')")

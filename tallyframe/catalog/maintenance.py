@@ -8,7 +8,9 @@ from ..fixtures import DAY, HOUR, NOW
 from ..functions.money import usd
 from ..operators import maintenance as m
 from ..operators.asof import small
-from ..operators.attribution import apply_rules, asof_account
+from ..operators.attribution import apply_rules, asof_account, longest_prefix
+from ..operators.dedup import dedup_merged
+from ..operators.pricing import price_calls
 from ..registry import query
 from .attribution import LABELS
 from .report_queries import SUMS, _u
@@ -74,9 +76,51 @@ def archive_read(t):
     return x.select("day", "sid", "model", "login_uuid", "target", usd(F.col("cost")).alias("cost"), "n_calls")
 
 
-@query(f"SELECT project, cwd, repo, {_u('sum(cost)')} AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM calls WHERE {GONE} GROUP BY ALL")
+#: Folders that are a project's own, some inside others; a file belongs to the deepest that holds it.
+_PREFIXES = ("/p/w", "/p/w/proj1", "/p/w/proj1/src", "/p/w/proj3", "/p/w/proj", "/p/w/proj10/src/deeper")
+_IN_PREFIX = "(SELECT arg_max(prefix, length(prefix)) FROM prefixes WHERE dir = prefix OR starts_with(dir, prefix || '/'))"
+_DIRS = f"prefixes AS (SELECT unnest({list(_PREFIXES)}) AS prefix)"
+_RULED = """coalesce((SELECT arg_min(target, id) FROM project_rules p WHERE match_kind = 'name' AND project = match_value OR match_kind = 'remote' AND 'host.example/team/' || project = match_value AND repo IS NOT NULL
+ OR match_kind = 'cwd_prefix' AND (cwd = match_value OR starts_with(cwd, match_value || '/'))), project)"""
+
+
+def _placed(t, rows):
+    """Rows with the folder that a file was logged in, and the project folder it belongs to."""
+    prefixes = t.spark.createDataFrame([(p,) for p in _PREFIXES], "dir_prefix string")
+    return longest_prefix(rows.withColumn("dir", F.concat(F.lit("/p"), F.coalesce("cwd", F.lit("")))), "dir", prefixes, "dir_prefix")
+
+
+def _orphan_sql() -> str:
+    from ..fixtures import _COST
+
+    return f"""{_FOLD}, {_DIRS}, left_ AS (SELECT * FROM rec WHERE {GONE} AND NOT (ts_us < {FOLD_US} AND file_path IN (SELECT file_path FROM plan WHERE plan = 'fold'))),
+own AS (SELECT * FROM left_ WHERE coalesce(dk, '') = '' UNION ALL SELECT * FROM left_ WHERE dk <> '' QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1),
+oc AS (SELECT k.*, coalesce(log_cost, CASE WHEN contains(k.model, ':') THEN CAST(0 AS DECIMAL(30,10)) ELSE coalesce(CAST({_COST} AS DECIMAL(30,10)), CAST(0 AS DECIMAL(30,10))) END) AS cost FROM own k LEFT JOIN price_dim d ON k.model = d.model AND k.ts_us >= d.from_us AND k.ts_us < d.to_us),
+every AS (SELECT project, cwd, repo, CAST(cost AS DOUBLE) AS cost, n_calls FROM oc WHERE cost <> 0 UNION ALL SELECT project, cwd, repo, CAST(cost AS DOUBLE), n_calls FROM folded WHERE cost <> 0),
+keyed AS (SELECT project, cwd, repo, sum(cost) AS cost, sum(n_calls) AS n_calls, '/p' || coalesce(cwd, '') AS dir FROM every GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_orphan_sql()} SELECT coalesce({_IN_PREFIX}, '') AS dir_prefix, {_RULED} AS target, cwd, repo, round(sum(cost), 4) AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM keyed GROUP BY ALL")
 def agg_orphan_alltime(t):
-    return t.calls.where(GONE).groupBy("project", "cwd", "repo").agg(usd(F.sum("cost")).alias("cost"), F.sum("n_calls").alias("n_calls"))
+    """All-time cost of what purged logs held, with the archive's rows on top: by project folder and identity, rules applied at read.
+
+    The orphaned calls are deduplicated among themselves alone.
+    """
+    plan = m.archive_plan(_purgeable(t), _gone(t), FOLD_US).where("plan = 'fold'").select("file_path")
+    lost = t.rec.where(GONE)
+    left = lost.where(F.col("ts_us") >= FOLD_US).unionByName(lost.where(F.col("ts_us") < FOLD_US).join(small(plan), "file_path", "left_anti").select(*lost.columns))
+    own = price_calls(dedup_merged(left), t.price_dim)
+    keys = ["project", "cwd", "repo"]
+    both = own.select(*keys, "cost", "n_calls").unionByName(_folded(t).select(*keys, "cost", "n_calls")).where("cost <> 0")
+    keyed = both.groupBy(*keys).agg(F.sum("cost").alias("cost"), F.sum("n_calls").alias("n_calls"))
+    x = _placed(t, apply_rules(keyed, t.project_rules)).withColumn("dir_prefix", F.coalesce("dir_prefix", F.lit("")))
+    return x.groupBy("dir_prefix", "target", "cwd", "repo").agg(F.round(F.sum(F.col("cost").cast("double")), 4).alias("cost"), F.sum("n_calls").alias("n_calls"))
+
+
+@query(f"WITH {_DIRS}, d AS (SELECT DISTINCT '/p' || coalesce(cwd, '') AS dir FROM rec) SELECT dir, {_IN_PREFIX} AS dir_prefix FROM d")
+def join_longest_prefix(t):
+    """The deepest project folder that holds each folder."""
+    return _placed(t, t.rec.select("cwd").distinct()).select("dir", "dir_prefix").distinct()
 
 
 REST = """oth AS (SELECT * FROM rec r WHERE machine_id <> 'm0' AND (coalesce(dk, '') = '' OR NOT EXISTS (SELECT 1 FROM rec o WHERE o.machine_id = 'm0' AND o.dk = r.dk AND o.account_uuid = r.account_uuid))),
@@ -113,29 +157,32 @@ def remainder_days(t):
     return _rest(t).groupBy("machine_id", "day", "project").agg(usd(F.sum("cost")).alias("cost"), F.sum("n_calls").alias("n_calls"))
 
 
-_WINDOWS = (("24h", 24), ("7d", 168), ("30d", 720))
+_HOURS = (6, 12, 24, 168, 720)
+_LOCAL = "m0"
+# by the rule: a machine's minute buckets from each window's start on, all time from its day rows; a window without cost is 0
+_PER = f"""{_rest_sql()}, per AS (SELECT machine_id, {", ".join(f"coalesce(sum(cost) FILTER (ts_us // 60000000 * 60000000 >= {NOW - h * HOUR} AND ts_us <= {NOW} AND ts_us > {NOW - 720 * HOUR}), 0) AS w{h}" for h in _HOURS)}, sum(cost) AS wall FROM rp GROUP BY 1),
+remote AS ({" UNION ALL ".join(f"SELECT machine_id, '{n}' AS win, {c} AS cost FROM per" for n, c in [*((f"{h}h", f"w{h}") for h in _HOURS), ("all", "wall")])})"""
+
+
+def _remote_windows(t):
+    return m.remainder_windows(_rest(t), NOW, _HOURS)
 
 
-@query(f"WITH {_rest_sql()} " + " UNION ALL ".join(f"SELECT '{n}' AS win, {_u(f'coalesce(sum(cost) FILTER (ts_us // 60000000 * 60000000 >= {NOW - h * HOUR} AND ts_us <= {NOW}), 0)')} AS cost FROM rp" for n, h in _WINDOWS) + f" UNION ALL SELECT 'all', {_u('sum(cost)')} FROM rp")
+@query(f"WITH {_PER} SELECT machine_id, win, {_u('cost')} AS cost FROM remote")
 def remainder_windows(t):
-    """Rolling totals from minute buckets, all time from day rows."""
-    minute = (F.floor(F.col("ts_us") / 60_000_000) * 60_000_000).cast("long")
-    b = _rest(t).withColumn("minute", minute)
-    zero = F.lit(0).cast("decimal(38,10)")
-    sums = [F.coalesce(F.sum(F.when((F.col("minute") >= NOW - h * HOUR) & (F.col("ts_us") <= NOW), F.col("cost"))), zero).alias(f"w_{n}") for n, h in _WINDOWS]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("win"), usd(F.col(f"w_{n}")).alias("cost")) for n in ("24h", "7d", "30d", "all")]))
-    return b.agg(*sums, F.sum("cost").alias("w_all")).select(rows.alias("r")).select("r.*")
+    """Each other machine's rolling totals, from its minute buckets; all time from its day rows."""
+    return _remote_windows(t).withColumn("cost", usd(F.col("cost")))
 
 
-@query(f"""WITH {_rest_sql()}, own AS (SELECT coalesce(sum(cost) FILTER (ts_us >= {NOW - 168 * HOUR}), 0) AS c FROM calls WHERE machine_id = 'm0' AND ts_us <= {NOW})
-SELECT {_u('(SELECT c FROM own) + coalesce(sum(cost), 0)')} AS cost, count(DISTINCT machine_id) AS machines, max(ts_us) < {NOW - HOUR} AS stale FROM rp WHERE ts_us >= {NOW - 168 * HOUR} AND ts_us <= {NOW}""")
+@query(f"""WITH {_PER}, pushed AS (SELECT machine_id, max(ts_us) AS seen FROM rec WHERE ts_us <= {NOW} GROUP BY 1),
+own AS ({" UNION ALL ".join(f"SELECT '{n}' AS win, coalesce(sum(cost) FILTER ({w}), 0) AS cost FROM calls WHERE machine_id = '{_LOCAL}' AND ts_us <= {NOW}" for n, w in [*((f"{h}h", f"ts_us >= {NOW - h * HOUR}") for h in _HOURS), ("all", "true")])}),
+o AS (SELECT win, sum(cost) AS cost, count(*) AS machines, min(seen) AS oldest FROM remote LEFT JOIN pushed USING (machine_id) GROUP BY 1)
+SELECT own.win, {_u('own.cost + coalesce(o.cost, 0)')} AS cost, coalesce(machines, 0) AS machines, oldest AS oldest_us, coalesce({NOW} - oldest > 3600000000, false) AS stale FROM own LEFT JOIN o USING (win)""")
 def windows_merged_remote(t):
-    """This machine's week and the others', stale when their newest call is over an hour old."""
-    week = (F.col("ts_us") >= NOW - 168 * HOUR) & (F.col("ts_us") <= NOW)
-    zero = F.lit(0).cast("decimal(38,10)")
-    own = t.calls.where((F.col("machine_id") == "m0") & week).agg(F.coalesce(F.sum("cost"), zero).alias("own"))
-    rest = _rest(t).where(week).agg(F.coalesce(F.sum("cost"), zero).alias("rest"), F.count_distinct("machine_id").alias("machines"), (F.max("ts_us") < NOW - HOUR).alias("stale"))
-    return own.crossJoin(rest).select(usd(F.col("own") + F.col("rest")).alias("cost"), "machines", "stale")
+    """Every window of this machine with the others' on top; stale when the machine that pushed longest ago did so over an hour ago."""
+    pushed = t.rec.where(F.col("ts_us") <= NOW).groupBy("machine_id").agg(F.max("ts_us").alias("pushed_us"))
+    own = m.own_windows(t.calls.where(F.col("machine_id") == _LOCAL), NOW, _HOURS)
+    return m.merged_windows(own, _remote_windows(t), pushed, NOW).withColumn("cost", usd(F.col("cost")))
 
 
 @query(f"""WITH {_rest_sql()} SELECT CAST(epoch_us(CAST(day AS TIMESTAMP)) + 43200000000 AS BIGINT) AS ts_us, day, coalesce(project, machine_id || '/aggregated') AS project, {_u('sum(cost)')} AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM rp GROUP BY machine_id, day, project""")
@@ -186,9 +233,13 @@ def quality_signal_less(t):
     return t.rec.agg(F.count_if(F.col("cwd").isNull() & F.col("repo").isNull()).alias("n"), F.count(F.lit(1)).alias("of_all"))
 
 
-@query("SELECT file_path, arg_min(coalesce(repo, ''), rid) AS repo, arg_min(coalesce(cwd, ''), rid) AS cwd, arg_min(coalesce(project, ''), rid) AS project FROM rec GROUP BY 1")
+@query(rf"""WITH {_FOLD}, {_DIRS} SELECT file_path, arg_min(coalesce(repo, ''), rid) AS repo, arg_min(coalesce(cwd, ''), rid) AS cwd, arg_min(coalesce(project, ''), rid) AS project FROM rec GROUP BY 1
+UNION ALL SELECT DISTINCT {_IN_PREFIX} || '/#archived', coalesce(repo, ''), coalesce(cwd, ''), coalesce(project, '') FROM (SELECT *, '/p' || coalesce(cwd, '') AS dir FROM folded) AS a WHERE {_IN_PREFIX} IS NOT NULL""")
 def agg_file_identities(t):
-    """One identity a file: that of its first record."""
-    return t.rec.groupBy("file_path").agg(*[F.min_by(F.coalesce(c, F.lit("")), "rid").alias(c) for c in ("repo", "cwd", "project")])
+    """One identity a file, that of its first record; and the archive's, under a name of its own in the folder they were logged in."""
+    names = ("repo", "cwd", "project")
+    files = t.rec.groupBy("file_path").agg(*[F.min_by(F.coalesce(c, F.lit("")), "rid").alias(c) for c in names])
+    archived = _placed(t, _folded(t)).where("dir_prefix IS NOT NULL").select(F.concat("dir_prefix", F.lit("/#archived")).alias("file_path"), *[F.coalesce(c, F.lit("")).alias(c) for c in names])
+    return files.unionByName(archived.distinct())
 
 

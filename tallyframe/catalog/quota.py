@@ -60,51 +60,25 @@ def quota_projection(t):
     return quota.projection(_inst(t, "account_uuid")).select("account_uuid", "win", "model", "reset_min", "projected")
 
 
+# by the rule: a window that never rose has no price; one that rose without calls cost 0
 _SPEND = f"""{inst()}, fam AS (SELECT *, {FAMILY} AS f FROM calls),
 iw AS (SELECT * REPLACE (CASE WHEN model IS NOT NULL THEN {FAMILY} ELSE family END AS family) FROM inst),
-sp AS (SELECT i.account_uuid, i.win, i.model, i.reset_min, sum(cost) AS spend, sum(cache_read) AS cache_read, sum(input_tokens + cache_create + cache_read) AS observed, count(*) AS n_calls
- FROM iw i JOIN fam c ON c.account_uuid = i.account_uuid AND c.ts_us BETWEEN i.first_us AND i.peak_us AND (i.family IS NULL OR i.family = c.f) GROUP BY 1, 2, 3, 4)"""
-
-
-def _spans(t):
-    i = _inst(t, "account_uuid")
-    return i.withColumn("family", quota.window_family(model_family(F.col("model"))))
+sp AS (SELECT i.account_uuid, i.win, i.model, i.reset_min, any_value(i.rise) AS rise, any_value(i.peak) AS peak, any_value(i.hit) AS hit, any_value(i.open) AS open, any_value(i.latest) AS latest,
+ CASE WHEN any_value(i.rise) > 0 THEN coalesce(sum(cost), 0) END AS spend, CASE WHEN any_value(i.rise) > 0 THEN coalesce(sum(cache_read), 0) END AS cache_read,
+ CASE WHEN any_value(i.rise) > 0 THEN coalesce(sum(input_tokens + cache_create + cache_read), 0) END AS observed, CASE WHEN any_value(i.rise) > 0 THEN count(c.rid) END AS n_calls
+ FROM iw i LEFT JOIN fam c ON i.rise > 0 AND c.account_uuid = i.account_uuid AND c.ts_us BETWEEN i.first_us AND i.peak_us AND (i.family IS NULL OR i.family = c.f) GROUP BY 1, 2, 3, 4)"""
+_KEYS = ("account_uuid", "win", "model", "reset_min")
 
 
-def _spend(t):
+def _priced(t):
+    i = _inst(t, "account_uuid").withColumn("family", quota.window_family(model_family(F.col("model"))))
     calls = t.calls.select("account_uuid", "ts_us", model_family(F.col("model")).alias("family"), "cost", "cache_read", (F.col("input_tokens") + F.col("cache_create") + F.col("cache_read")).alias("observed"))
-    return quota.span_spend(_spans(t), calls)
+    return quota.priced_instances(i, calls)
 
 
 @query(f"""WITH {_SPEND} SELECT account_uuid, win, model, reset_min, round(CAST(spend AS DOUBLE), 6) AS spend, CAST(cache_read AS BIGINT) AS cache_read, CAST(observed AS BIGINT) AS observed, n_calls FROM sp""")
 def span_window_spend(t):
-    return _spend(t).select("account_uuid", "win", "model", "reset_min", usd(F.col("spend")).alias("spend"), "cache_read", "observed", "n_calls")
-
-
-_KEYS = ("account_uuid", "win", "model", "reset_min")
-
-
-def _priced(t):
-    i, s = _spans(t), _spend(t)
-    cond = [i[k].eqNullSafe(s[k]) for k in _KEYS]
-    return i.join(s.select(*_KEYS, "spend", "cache_read", "observed"), cond, "left").select(i["*"], "spend", "cache_read", "observed")
-
-
-@query(f"""WITH {_SPEND}, j AS (SELECT i.*, spend, cache_read, observed FROM iw i LEFT JOIN sp ON i.account_uuid = sp.account_uuid AND i.win = sp.win AND i.model IS NOT DISTINCT FROM sp.model AND i.reset_min = sp.reset_min)
-SELECT win, count(*) AS n, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits, max(peak) AS max_peak,
- round(CAST(sum(spend) FILTER (rise > 0) AS DOUBLE) / nullif(sum(rise) FILTER (rise > 0 AND spend IS NOT NULL), 0), 6) AS usd_per_pp,
- round(CAST(sum(cache_read) AS DOUBLE) / nullif(CAST(sum(observed) AS DOUBLE), 0), 6) AS cache_hit FROM j GROUP BY win""")
-def quota_group_summary(t):
-    return quota.group_summary(_priced(t))
-
-
-@query(f"""WITH {_SPEND}, j AS (SELECT i.*, spend FROM iw i LEFT JOIN sp ON i.account_uuid = sp.account_uuid AND i.win = sp.win AND i.model IS NOT DISTINCT FROM sp.model AND i.reset_min = sp.reset_min)
-SELECT account_uuid, win, model, reset_min, peak, hit, open, round(CAST(spend AS DOUBLE), 6) AS spend, CASE WHEN rise > 0 THEN round(CAST(spend AS DOUBLE) / rise, 6) END AS usd_per_pp,
- CASE WHEN rise > 0 AND open THEN round(CAST(spend AS DOUBLE) / rise * (100 - latest), 6) END AS headroom FROM j""")
-def sink_limits_export(t):
-    """One row per instance with raw numbers; headroom only while the window is open."""
-    per = F.when(F.col("rise") > 0, F.col("spend").cast("double") / F.col("rise"))
-    return _priced(t).select(*_KEYS, "peak", "hit", "open", usd(F.col("spend")).alias("spend"), F.round(per, 6).alias("usd_per_pp"), F.round(F.when(F.col("open"), per * (100 - F.col("latest"))), 6).alias("headroom"))
+    return _priced(t).select(*_KEYS, usd(F.col("spend")).alias("spend"), "cache_read", "observed", "n_calls")
 
 
 @query(f"WITH {inst()} SELECT account_uuid, win, model, reset_min, CAST(row_number() OVER (ORDER BY ord, reset_min DESC, coalesce(model, ''), account_uuid) AS INTEGER) AS place FROM inst")
@@ -155,6 +129,34 @@ def span_extra_best_machine(t):
     return quota.closest_series(quota.extra_spans(_inst(t, "account_uuid"), t.extra, NOW), list(_KEYS))
 
 
+_BEST = """best AS (SELECT * FROM added WHERE added IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_uuid, win, model, reset_min ORDER BY n_inside DESC, machine_id) = 1),
+j AS (SELECT sp.*, added FROM sp LEFT JOIN best b ON sp.account_uuid = b.account_uuid AND sp.win = b.win AND sp.model IS NOT DISTINCT FROM b.model AND sp.reset_min = b.reset_min)"""
+
+
+def _with_extra(t):
+    """Priced instances and what each billed on top, which doesn't depend on a rise."""
+    x = _priced(t)
+    best = quota.closest_series(quota.extra_spans(_inst(t, "account_uuid"), t.extra, NOW), list(_KEYS))
+    return x.join(best.select(*[F.col(k).alias(f"__{k}") for k in _KEYS], "added"), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in _KEYS], "left").drop(*[f"__{k}" for k in _KEYS])
+
+
+@query(f"""WITH {_SPEND}, {_EXTRA.removeprefix(inst() + ", ")}, {_BEST}
+SELECT win, count(*) AS n, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits, max(peak) AS max_peak, round(CAST(sum(spend) AS DOUBLE), 6) AS spend,
+ round(CAST(sum(spend) FILTER (rise > 0) AS DOUBLE) / nullif(sum(rise) FILTER (rise > 0), 0), 6) AS usd_per_pp,
+ round(CAST(sum(cache_read) AS DOUBLE) / nullif(CAST(sum(observed) AS DOUBLE), 0), 6) AS cache_hit, CAST(sum(added) AS BIGINT) AS extra_cents FROM j GROUP BY win""")
+def quota_group_summary(t):
+    """A window type's footer: the money of those that rose, and the Extra of all."""
+    return quota.group_summary(_with_extra(t)).withColumn("spend", usd(F.col("spend")))
+
+
+@query(f"""WITH {_SPEND}, {_EXTRA.removeprefix(inst() + ", ")}, {_BEST}
+SELECT account_uuid, win, model, reset_min, peak, hit, open, round(CAST(spend AS DOUBLE), 6) AS spend, round(CAST(spend AS DOUBLE) / rise, 6) AS usd_per_pp,
+ CASE WHEN open THEN round(CAST(spend AS DOUBLE) / rise * greatest(100 - latest, 0), 6) END AS headroom, added AS extra_cents FROM j""")
+def sink_limits_export(t):
+    """One row per instance with raw numbers; headroom only while the window is open, and never below 0."""
+    return _with_extra(t).select(*_KEYS, "peak", "hit", "open", usd(F.col("spend")).alias("spend"), F.round("per_pp", 6).alias("usd_per_pp"), F.round("headroom", 6).alias("headroom"), F.col("added").alias("extra_cents"))
+
+
 _START = NOW - 7 * 86_400_000_000
 
 
@@ -210,6 +212,7 @@ def quota_warn_once(t):
     return warned.groupBy("account_uuid", "win", "model", "reset_min").agg(F.min("ts_us").alias("first_warned_us"))
 
 
-@query(f"""WITH {_SPEND} SELECT s.account_uuid, s.win, s.model, CAST(s.reset_min AS BIGINT) AS reset_min, round(CAST(cache_read AS DOUBLE) / nullif(CAST(observed AS DOUBLE), 0), 6) AS cache_hit FROM sp s""", name="quota_instance_cache_hit")
+@query(f"""WITH {_SPEND} SELECT account_uuid, win, model, CAST(reset_min AS BIGINT) AS reset_min, round(CAST(cache_read AS DOUBLE) / nullif(CAST(observed AS DOUBLE), 0), 6) AS cache_hit FROM sp""", name="quota_instance_cache_hit")
 def quota_instance_cache_hit(t):
-    return _spend(t).select(*_KEYS, ratio(F.col("cache_read"), F.col("observed")).alias("cache_hit"))
+    """Null without a rise and without input."""
+    return _priced(t).select(*_KEYS, ratio(F.col("cache_read"), F.col("observed")).alias("cache_hit"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import DAY, HOUR, NOW
-from ..functions.money import KINDS, ratio, usd
+from ..functions.money import KINDS, converted, ratio, usd
 from ..functions.names import model_family, short_model
 from ..operators import reports
 from ..operators.asof import small
@@ -196,7 +196,7 @@ def agg_tiles(t):
 
 
 #: Cost windows: name and first microsecond; all time has none. The session window runs to a reset in two hours, the week to one in three days.
-SESSION = "s-7-2024-01-25"
+SESSION = "s-4-2024-01-24"
 STARTS = (("session_window", NOW + 2 * HOUR - 5 * HOUR), ("week", NOW - 4 * DAY), ("month", 1704067200000000), *((f"{h}h", NOW - h * HOUR) for h in (6, 12, 24, 168, 720)), ("all", None))
 ROLLING = ("6h", "12h", "24h", "168h", "720h", "all")
 _SCOPE = "(project IN ('proj1', 'proj2') OR cwd = '/w/proj3' OR starts_with(cwd, '/w/proj3/'))"
@@ -219,10 +219,23 @@ def windows_without_a_reset(t):
     return x.select("win", usd(F.col("cost")).alias("cost"))
 
 
-@query(f"SELECT {FAMILY} AS family, {_u('sum(cost)')} AS cost FROM calls WHERE ts_us >= {NOW - 7 * DAY} AND ts_us <= {NOW} GROUP BY 1")
+_WEEK = dict(STARTS)["week"]
+_FAMILIES = f"SELECT {FAMILY} AS family, sum({_WC}) AS cost FROM calls WHERE ts_us >= {_WEEK} AND ts_us <= {NOW} GROUP BY 1"
+
+
+@query(f"SELECT family, {_u('cost')} AS cost FROM ({_FAMILIES}) AS x")
 def windows_week_by_family(t):
-    week = t.calls.where((F.col("ts_us") >= NOW - 7 * DAY) & (F.col("ts_us") <= NOW))
-    return week.groupBy(model_family(F.col("model")).alias("family")).agg(usd(F.sum("cost")).alias("cost"))
+    """The week window's cost by model family: the families add up to the window."""
+    return reports.family_costs(t.calls, _WEEK, NOW).withColumn("cost", usd(F.col("cost")))
+
+
+@query(f"SELECT account_uuid, s.model, {_u('x.cost')} AS week_cost FROM (SELECT DISTINCT account_uuid, model, {FAMILY} AS family FROM samples WHERE win = 'scoped' AND ts_us <= {NOW}) s LEFT JOIN ({_FAMILIES}) x USING (family)")
+def windows_scoped_week_cost(t):
+    """What a quota scoped to a model has cost: the week's cost of the model's family, null where the week has none."""
+    scoped = t.samples.where((F.col("win") == "scoped") & (F.col("ts_us") <= NOW)).select("account_uuid", "model").distinct()
+    families = reports.family_costs(t.calls, _WEEK, NOW)  # a row a family
+    x = scoped.withColumn("family", model_family(F.col("model"))).join(F.broadcast(families), "family", "left")
+    return x.select("account_uuid", "model", usd(F.col("cost")).alias("week_cost"))
 
 
 @query(f"WITH f AS (SELECT DISTINCT sid, {FAMILY} AS family FROM calls) SELECT sid, {_u('sum(cost)')} AS cost, (SELECT string_agg(family, ',' ORDER BY family) FROM f WHERE f.sid = c.sid) AS families FROM calls c GROUP BY sid")
@@ -233,12 +246,13 @@ def agg_session_usage(t):
 _FX = """, fxd AS (SELECT d.date, max((f.date, f.rate)) AS s FROM (SELECT DISTINCT oslo_date AS date FROM calls) d LEFT JOIN fx_rates f ON f.rate > 0 AND CAST(f.date AS DATE) <= CAST(d.date AS DATE) AND CAST(f.date AS DATE) >= CAST(d.date AS DATE) - 10 GROUP BY 1)"""
 
 
-@query("WITH" + _FX[1:] + f""" SELECT day, {_u('sum(cost)')} AS cost, round(CAST(sum(cost * fx.rate) AS DOUBLE), 4) AS cost_nok, coalesce(bool_or(fx.estimated), false) AS nok_estimated
+@query("WITH" + _FX[1:] + f""" SELECT day, {_u('sum(cost)')} AS cost, round(CAST(sum(cost * fx.rate) * 1.25 AS DOUBLE), 4) AS cost_nok, round(CAST(sum(cost * fx.rate) AS DOUBLE), 4) AS cost_nok_net, coalesce(bool_or(fx.estimated), false) AS nok_estimated
 FROM calls JOIN (SELECT date, s[2] AS rate, s[1] < date AND date >= (SELECT max(date) FROM fx_rates WHERE rate > 0) AS estimated FROM fxd) fx ON fx.date = oslo_date GROUP BY day""")
 def agg_cost_nok(t):
     fx = _fx(t)
     x = t.calls.join(F.broadcast(fx), F.col("oslo_date") == F.col("date"))
-    return x.groupBy("day").agg(usd(F.sum("cost")).alias("cost"), usd(F.sum(F.col("cost") * F.col("rate")), 4).alias("cost_nok"), F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("nok_estimated"))
+    nok = lambda vat: F.sum(converted(F.col("cost"), F.col("rate"), vat))
+    return x.groupBy("day").agg(usd(F.sum("cost")).alias("cost"), usd(nok(True), 4).alias("cost_nok"), usd(nok(False), 4).alias("cost_nok_net"), F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("nok_estimated"))
 
 
 def _fx(t):

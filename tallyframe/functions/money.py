@@ -37,3 +37,12 @@ def usd(c: Column, digits: int = 6) -> Column:
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     """a / b, null where b is 0."""
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
+
+
+#: Fixed value: the factor of Norwegian value-added tax.
+VAT = "1.25"
+
+
+def converted(cost: Column, rate: Column, vat: bool = True) -> Column:
+    """Kroner at a day's rate, with tax unless it is left out."""
+    return cost * rate * F.lit(VAT).cast("decimal(3,2)") if vat else cost * rate

@@ -62,6 +62,20 @@ def apply_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
     return records.join(first, same, "left").drop("__project", "__repo", "__cwd").withColumn("target", F.coalesce("rule_target", "project")).drop("rule_target")
 
 
+def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` with ``prefix``: the deepest folder of ``prefixes`` that is ``column`` or holds it, null where none does.
+
+    A folder is met by equality with each folder above it, on the distinct folders, so the work is
+    their depth and no pair is compared.
+    """
+    own = rows.select(F.col(column).alias("__own")).where(F.col(column).isNotNull()).distinct()
+    steps = F.split("__own", "/")
+    above = own.select("__own", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth")).withColumn("__up", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
+    known = prefixes.select(F.rtrim(F.col(prefix), F.lit("/")).alias("__up"), F.col(prefix).alias("__name")).distinct()
+    best = above.join(small(known), "__up").groupBy("__own").agg(F.max_by("__name", "depth").alias(prefix))
+    return rows.join(small(best), F.col(column) == F.col("__own"), "left").drop("__own")
+
+
 def display_names(records: DataFrame, account_aliases: DataFrame, project_aliases: DataFrame, machines: DataFrame) -> DataFrame:
     """``account``, ``shown_project`` and ``machine``; a hidden project is called after its account."""
     a = small(account_aliases.select("account_uuid", F.col("alias").alias("__a")))

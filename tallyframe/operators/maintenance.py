@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import KINDS
@@ -43,6 +43,35 @@ def anti_remainder(records: DataFrame, machine: str) -> DataFrame:
     return dedup_merged(others.join(own, ["account_uuid", "dk"], "left_anti"))
 
 
+def _window_rows(hours: tuple[int, ...]) -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(n).alias("win"), F.col(f"w_{n}").alias("cost")) for n in [*(f"{h}h" for h in hours), "all"]]))
+
+
+def remainder_windows(rest: DataFrame, now_us: int, hours: tuple[int, ...]) -> DataFrame:
+    """(machine_id, win, cost) for every window and machine, 0 where it spent nothing: minute buckets from each window's start on, all time from all days."""
+    minute = (F.floor(F.col("ts_us") / 60_000_000) * 60_000_000).cast("long")
+    zero = F.lit(0).cast("decimal(38,10)")
+    kept = (F.col("ts_us") <= now_us) & (F.col("ts_us") > now_us - max(hours) * 3_600_000_000)  # buckets reach back as far as the longest window
+    sums = [F.coalesce(F.sum(F.when(kept & (minute >= now_us - h * 3_600_000_000), F.col("cost"))), zero).alias(f"w_{h}h") for h in hours]
+    return rest.groupBy("machine_id").agg(*sums, F.coalesce(F.sum("cost"), zero).alias("w_all")).select("machine_id", _window_rows(hours))
+
+
+def own_windows(calls: DataFrame, now_us: int, hours: tuple[int, ...]) -> DataFrame:
+    """(win, cost) of one machine's calls."""
+    zero = F.lit(0).cast("decimal(38,10)")
+    sums = [F.coalesce(F.sum(F.when(F.col("ts_us") >= now_us - h * 3_600_000_000, F.col("cost"))), zero).alias(f"w_{h}h") for h in hours]
+    return calls.where(F.col("ts_us") <= now_us).agg(*sums, F.coalesce(F.sum("cost"), zero).alias("w_all")).select(_window_rows(hours))
+
+
+def merged_windows(own: DataFrame, remote: DataFrame, pushed: DataFrame, now_us: int, stale_us: int = 3_600_000_000) -> DataFrame:
+    """(win, cost, machines, oldest_us, stale): both halves together; as old as the contributor that pushed longest ago (``pushed``: machine_id, pushed_us)."""
+    x = remote.join(small(pushed), "machine_id", "left").groupBy("win").agg(F.sum("cost").alias("rest"), F.count(F.lit(1)).alias("machines"), F.min("pushed_us").alias("oldest_us"))
+    both = own.join(F.broadcast(x), "win", "left")  # a row a window
+    stale = F.coalesce(F.lit(now_us) - F.col("oldest_us") > stale_us, F.lit(False))
+    total = F.col("cost") + F.coalesce("rest", F.lit(0).cast("decimal(38,10)"))
+    return both.select("win", total.alias("cost"), F.coalesce("machines", F.lit(0).cast("long")).alias("machines"), "oldest_us", stale.alias("stale"))
+
+
 def content_stamp(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and an order-free hash of the rows: a sum, in which repeated rows don't cancel out."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string").alias("stamp"))

@@ -98,6 +98,21 @@ def span_spend(instances: DataFrame, calls: DataFrame, key: str = "account_uuid"
     )
 
 
+def priced_instances(instances: DataFrame, calls: DataFrame, key: str = "account_uuid") -> DataFrame:
+    """Instances with what their rise cost: spend, reads, input and calls, spend a percent, and what is left of an open one at that price.
+
+    All are null where the window never rose while it was watched, and 0 where it rose without a
+    call. Past 100 percent nothing is left.
+    """
+    keys = [key, "win", "model", "reset_min"]
+    rose = F.col("rise") > 0
+    s = span_spend(instances.where(rose), calls, key).select(*[F.col(k).alias(f"__{k}") for k in keys], "spend", "cache_read", "observed", "n_calls")
+    x = instances.join(s, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    x = x.withColumns({c: F.when(rose, F.coalesce(c, F.lit(0).cast(x.schema[c].dataType))) for c in ("spend", "cache_read", "observed", "n_calls")})
+    per = F.col("spend").cast("double") / F.nullif(F.col("rise"), F.lit(0.0))
+    return x.withColumn("per_pp", per).withColumn("headroom", F.when(F.col("open"), F.greatest(100 - F.col("latest"), F.lit(0.0)) * F.col("per_pp")))
+
+
 def window_family(model_family: Column) -> Column:
     """The sample's own model decides, else the window type's fixed family; null stands for all."""
     return F.when(F.col("model").isNotNull(), model_family).otherwise(F.col("family"))
@@ -170,10 +185,9 @@ def closest_series(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_summary(priced: DataFrame) -> DataFrame:
-    """Per window type: hits, highest peak, spend over rise, reads over input."""
-    rose = F.col("rise") > 0
+    """Per window type: hits, highest peak, spend, spend over rise, reads over input, Extra (``added``)."""
     return priced.groupBy("win").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"), F.max("peak").alias("max_peak"),
-        ratio(F.sum(F.when(rose, F.col("spend"))), F.sum(F.when(rose & F.col("spend").isNotNull(), F.col("rise")))).alias("usd_per_pp"),
-        ratio(F.sum("cache_read"), F.sum("observed")).alias("cache_hit"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"), F.max("peak").alias("max_peak"), F.sum("spend").alias("spend"),
+        ratio(F.sum("spend"), F.sum(F.when(F.col("spend").isNotNull(), F.col("rise")))).alias("usd_per_pp"),
+        ratio(F.sum("cache_read"), F.sum("observed")).alias("cache_hit"), F.sum("added").alias("extra_cents"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import KINDS, ratio, usd
-from ..functions.names import is_pseudo, short_model
+from ..functions.names import is_pseudo, model_family, short_model
 from .stored import written
 
 MEASURES = (*KINDS, "tokens", "cost", "n_calls")
@@ -88,6 +88,13 @@ def visible_models(calls: DataFrame) -> DataFrame:
     return calls.where(~is_pseudo(F.col("model")))
 
 
+def family_costs(calls: DataFrame, start_us: int, now_us: int) -> DataFrame:
+    """(family, cost) of a window, by the cost rule of ``cost_windows``."""
+    inside = calls.where((F.col("ts_us") >= start_us) & (F.col("ts_us") <= now_us))
+    cost = F.coalesce(F.nullif(F.col("log_cost"), F.lit(0)), "computed")
+    return inside.groupBy(model_family(F.col("model")).alias("family")).agg(F.sum(cost).alias("cost"))
+
+
 def cost_windows(calls: DataFrame, starts: dict[str, int | None], now_us: int, session: str | None, scoped: tuple[str, ...]) -> DataFrame:
     """(win, cost, project_cost): all windows by conditional sums in one pass, then one row each.
 
