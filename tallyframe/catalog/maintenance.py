@@ -9,8 +9,10 @@ from ..functions.money import usd
 from ..operators import maintenance as m
 from ..operators.asof import small
 from ..operators.attribution import apply_rules, asof_account, longest_prefix
-from ..operators.dedup import dedup_merged
+from ..operators.dedup import dedup_flag, dedup_merged
 from ..operators.pricing import price_calls
+from ..operators.rollups import StampedRollup
+from ..operators.stored import shared_path
 from ..registry import query
 from .attribution import LABELS
 from .report_queries import SUMS, _u
@@ -33,6 +35,28 @@ def rollup_served_report(t):
     return out.withColumn("cost", usd(F.col("cost")))
 
 
+_LATE = "file_path IN ('/p/4.jsonl', '/p/13.jsonl') AND day >= '2024-01-18'"
+
+
+def refreshed_rollup(t) -> tuple[StampedRollup, list[list[str]]]:
+    """A rollup of all calls but those of two files, then once more when these came late, and once when nothing moved."""
+    inputs = {"prices": t.price_periods, "logins": t.account_events, "rules": t.project_rules}
+    fold = lambda calls: m.rollup(apply_rules(calls.where("NOT is_dup"), t.project_rules).withColumn("project", F.col("target")))
+    columns = [*m.ROLLUP_KEYS, "cwd", "repo", "ts_us", "is_dup", *m.SUMS]
+    kept = StampedRollup(t.spark, shared_path(t.spark, "stamped"))
+    early = price_calls(dedup_flag(t.rec.where(f"NOT ({_LATE})")), t.price_dim).select(*columns)
+    made = [kept.refresh(x, inputs, fold) for x in (early, t.flagged.select(*columns), t.flagged.select(*columns))]
+    return kept, made
+
+
+@query(f"""SELECT day, coalesce((SELECT arg_min(target, id) FROM project_rules p WHERE match_kind = 'name' AND project = match_value OR match_kind = 'remote' AND 'host.example/team/' || project = match_value AND repo IS NOT NULL
+ OR match_kind = 'cwd_prefix' AND (cwd = match_value OR starts_with(cwd, match_value || '/'))), project) AS project, {SUMS} FROM calls GROUP BY ALL""")
+def rollup_refreshed_report(t):
+    """Cost by day and merged project from a rollup in which only the days of late files were made anew: equal to the full path."""
+    kept, _ = refreshed_rollup(t)
+    return kept.read().groupBy("day", "project").agg(*[F.sum(c).alias(c) for c in m.SUMS]).withColumn("cost", usd(F.col("cost")))
+
+
 PLAN = f"""purged AS (SELECT * FROM rec WHERE {GONE}), live AS (SELECT dk FROM rec WHERE NOT {GONE} AND dk <> ''),
 plan AS (SELECT file_path, count(*) AS n, CASE WHEN max(ts_us) >= {FOLD_US} THEN 'newer' WHEN count(DISTINCT account_uuid) > 1 THEN 'account change'
  WHEN count(*) FILTER (dk <> '' AND dk IN (SELECT dk FROM live)) > 0 THEN 'live copy' ELSE 'fold' END AS plan FROM purged WHERE ts_us < {FOLD_US} OR file_path = '/p/16.jsonl' GROUP BY 1)"""
