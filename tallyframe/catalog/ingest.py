@@ -12,6 +12,7 @@ from ..operators.reports import bucket, shown, with_models
 from ..operators.stored import shared_path
 from ..registry import query
 from ..sources import ingest, logs
+from ..streaming import tables
 from .attribution import LABELS, TARGET
 from .calls import SLIM, SLIM_SQL
 from .report_queries import SUMS
@@ -139,7 +140,7 @@ def sink_report_nested(t):
     return back.select("day", "tokens", "cost", "n_calls", F.size("models").alias("n_models"))
 
 
-def _log_files(t) -> str:
+def _log_files(t, pieces: int = 1) -> str:
     """Log files as the tool writes them, from the records, with bad and other lines among them; returns their root."""
     iso = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_create").alias("cache_creation_input_tokens"), F.when(F.col("cache_read") > 0, F.col("cache_read")).alias("cache_read_input_tokens"))
@@ -149,17 +150,33 @@ def _log_files(t) -> str:
     other = F.when(F.col("rid") % 50 == 0, F.lit("{broken")).when(F.col("rid") % 50 == 2, F.lit('{"type":"user","cwd":"/w/user"}'))
     root = shared_path(t.spark, "logs")
     lines = t.rec.select(F.regexp_extract("file_path", "([0-9]+)", 1).alias("log"), "rid", F.posexplode(F.array_compact(F.array(line, other))).alias("k", "value"))
-    lines.repartition("log").sortWithinPartitions("log", "rid", "k").select("log", "value").write.partitionBy("log").text(root)
+    top = t.rec.agg(F.max("rid")).first()[0] or 0
+    for piece in range(pieces):
+        own = lines.where((F.col("rid") * pieces >= piece * (top + 1)) & (F.col("rid") * pieces < (piece + 1) * (top + 1))) if pieces > 1 else lines
+        own.repartition("log").sortWithinPartitions("log", "rid", "k").select("log", "value").write.partitionBy("log").text(f"{root}/piece={piece}" if pieces > 1 else root)
     return root
 
 
-@query("""WITH named AS (SELECT file_path, rid, 0 AS k, cwd FROM rec WHERE cwd IS NOT NULL UNION ALL SELECT file_path, rid, 1, '/w/user' FROM rec WHERE rid % 50 = 2),
+_PARSED = """WITH named AS (SELECT file_path, rid, 0 AS k, cwd FROM rec WHERE cwd IS NOT NULL UNION ALL SELECT file_path, rid, 1, '/w/user' FROM rec WHERE rid % 50 = 2),
  first AS (SELECT file_path, arg_min(cwd, (rid, k)) AS cwd FROM named GROUP BY 1)
 SELECT ts_us, sid, mid, model, nullif(dk, '') AS dk, round(CAST(log_cost AS DOUBLE), 6) AS log_cost, input_tokens, output_tokens, cache_create, cache_read, f.cwd,
- coalesce(nullif(regexp_extract(f.cwd, '^/w/([^/]+)', 1), ''), 'log=' || regexp_extract(r.file_path, '[0-9]+')) AS project FROM rec r LEFT JOIN first f USING (file_path)""")
+ coalesce(nullif(regexp_extract(f.cwd, '^/w/([^/]+)', 1), ''), 'log=' || regexp_extract(r.file_path, '[0-9]+')) AS project FROM rec r LEFT JOIN first f USING (file_path)"""
+_SHOWN = ("ts_us", "sid", "mid", "model", "dk", "log_cost", "input_tokens", "output_tokens", "cache_create", "cache_read", "cwd", "project")
+
+
+@query(_PARSED)
+def stream_session_logs(t):
+    """Logs that arrive in four pieces as a stream: what the batch gives over whole logs."""
+    root, table = _log_files(t, 4), tables.LogTable(t.spark, shared_path(t.spark, "log-table"), ("/w",))
+    name = lambda piece: F.regexp_replace(piece, "^.*/(log=[0-9]+)/[^/]*$", "/$1/log")
+    tables.follow_logs(t.spark, root, table, shared_path(t.spark, "marks"), name, "*.txt", 20).trigger(availableNow=True).start().awaitTermination()
+    return table.read().withColumn("log_cost", usd(F.col("log_cost"))).select(*_SHOWN)
+
+
+@query(_PARSED)
 def src_parse_session_logs(t):
     calls = logs.parse_lines(logs.read_lines(t.spark, _log_files(t), "*.txt"), ("/w",))
-    return calls.select("ts_us", "sid", "mid", "model", "dk", usd(F.col("log_cost")).alias("log_cost"), "input_tokens", "output_tokens", "cache_create", "cache_read", "cwd", "project")
+    return calls.withColumn("log_cost", usd(F.col("log_cost"))).select(*_SHOWN)
 
 
 @query(None)

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixtures import DAY, NOW
+from ..fixtures import DAY, HOUR, NOW
+from ..functions.money import usd
 from ..functions.names import dedup_identity
 from ..operators import quota
 from ..operators.stored import shared_path, written
 from ..registry import query
-from ..streaming import guard, late_files, state
+from ..streaming import guard, late_files, state, tables
+from ..operators.attribution import apply_rules
 from .quota import GUARDED, ORACLE_VERDICT, ORACLE_WARN, STOP, WARN
+from .report_queries import _SCOPE, _WC, _u
 
 
 BATCHES = 3
@@ -179,3 +182,35 @@ def stream_warn_once(t):
     """One warning a window instance, however many readings are over the line."""
     log = _guard_log(t).where("kind = 'warning'")
     return log.select("account_uuid", "win", F.nullif("model", F.lit("")).alias("model"), "reset_min", F.col("at_us").alias("first_warned_us"))
+
+
+_NOWS = (NOW, NOW - 3 * DAY, NOW - 11 * DAY - 7 * 60_000_000)
+_ROLL = (6, 12, 24, 168, 720)
+
+
+@query(" UNION ALL ".join(
+    f"SELECT CAST({now} AS BIGINT) AS now_us, '{n}' AS win, {_u(f'coalesce(sum({_WC}), 0)')} AS cost, {_u(f'coalesce(sum({_WC}) FILTER ({_SCOPE}), 0)')} AS project_cost FROM calls WHERE ts_us < {now}" + (f" AND ts_us >= {now - h * HOUR}" if h else "")
+    for now in _NOWS for n, h in [*((f"{h}h", h) for h in _ROLL), ("all", None)]))
+def stream_rolling_windows(t):
+    """Rolling totals at three times, read off minute partials that a stream keeps: no call is read again."""
+    calls = apply_rules(t.calls, t.project_rules).select("ts_us", "machine_id", "target", "log_cost", "computed")
+    kept = tables.Epochs(t.spark, shared_path(t.spark, "partials"), tables.PARTIAL)
+    tables.follow_minutes(stream_of(t, calls, "costs"), kept, shared_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return tables.rolling_windows(kept.read(), list(_NOWS), _ROLL, "merged").withColumns({c: usd(F.col(c)) for c in ("cost", "project_cost")})
+
+
+_KEPT = ("true", "machine_id <> 'm2'", "rid % 50 <> 0", "true")
+_COUNTS = ", ".join(f"count(*) FILTER ({c}) AS r{k}, count(log_cost) FILTER ({c}) AS c{k}" for k, c in enumerate(_KEPT))
+
+
+@query(f"""WITH cnt AS (SELECT {_COUNTS} FROM rec), snap AS (SELECT 0 AS epoch, r0 AS n_rows, c0 AS n_costs, CAST(NULL AS BIGINT) AS old_rows, CAST(NULL AS BIGINT) AS old_costs FROM cnt UNION ALL SELECT 1, r1, c1, r0, c0 FROM cnt UNION ALL SELECT 2, r2, c2, r0, c0 FROM cnt UNION ALL SELECT 3, r3, c3, r2, c2 FROM cnt)
+SELECT CAST(epoch AS BIGINT) AS epoch, n_rows, n_costs, old_rows, old_costs, coalesce(old_rows >= 100 AND n_rows <= old_rows * 0.9 OR old_costs >= 100 AND n_costs <= old_costs * 0.9, false) AS refused FROM snap""")
+def stream_drop_guard(t):
+    """Four snapshots as a stream: one without a machine is refused and held back, the next is compared with the last good one."""
+    path, rows = shared_path(t.spark, "snapshots"), t.rec.select("rid", "machine_id", "log_cost")
+    for own in _KEPT:
+        rows.where(own).coalesce(1).write.mode("append").parquet(path)
+    kept = tables.Snapshots(t.spark, shared_path(t.spark, "guarded"), rows.schema)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    tables.follow_snapshots(stream, kept, shared_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return kept.report.read()

@@ -77,6 +77,11 @@ def content_stamp(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string").alias("stamp"))
 
 
+def fell(old: int | None, new: int, share: float = 0.1, least: int = 100) -> bool:
+    """Whether a count of at least ``least`` lost ``share`` or more."""
+    return old is not None and old >= least and new <= old * (1 - share)
+
+
 def drop_check(before: DataFrame, now: DataFrame, share: float = 0.1, least: int = 100) -> DataFrame:
     """Whether rows or priced rows fell by ``share`` or more against a snapshot of at least ``least``."""
     count = lambda d, p: d.agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.count("log_cost").alias(f"{p}_costs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import project_name
 
@@ -28,38 +29,60 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     return lines.select("value", F.col("_metadata.file_path").alias("file_path"), place.alias("place"))
 
 
-def parse_lines(lines: DataFrame, roots: tuple[str, ...] = (), remotes: DataFrame | None = None) -> DataFrame:
-    """Calls of a log: bad and other lines and empty usages are passed over, absent counts are 0, a time without zone is UTC.
+def _read(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("j", F.from_json("value", LINE)).where(F.col("j").isNotNull())
 
-    The file's folder is the first that any of its lines names, and gives the project: the remote's
-    name where ``remotes`` (cwd, repo) knows the folder, the name below the deepest of ``roots``,
-    else the folder's own; without a folder, that of the file.
-    """
+
+def first_folders(lines: DataFrame) -> DataFrame:
+    """(file_path, cwd): the first folder that any line of a log names."""
+    named = _read(lines).where(F.coalesce(F.col("j.cwd"), F.lit("")) != "")
+    return named.groupBy("file_path").agg(F.min_by("j.cwd", "place").alias("cwd"))
+
+
+def log_calls(lines: DataFrame) -> DataFrame:
+    """Calls of logs, without their project: bad and other lines and empty usages are passed over, absent counts are 0, a time without zone is UTC."""
     stem = F.regexp_replace(F.regexp_extract("file_path", "([^/]+)$", 1), "\\.jsonl$", "")
     filled = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), other)
-    x = lines.withColumn("j", F.from_json("value", LINE)).where(F.col("j").isNotNull())
-    first = x.where(F.coalesce(F.col("j.cwd"), F.lit("")) != "").groupBy("file_path").agg(F.min_by("j.cwd", "place").alias("cwd"))
     u = "j.message.usage."
     time, day = F.trim("j.timestamp"), "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     zone = F.when(time.rlike(day + "$"), "T00:00:00Z").when(time.rlike("(?i)(z|[+-][0-9]{2}:?[0-9]{2})$"), "").otherwise("Z")
-    x = x.withColumn("ts", F.when(time.rlike(day), F.try_to_timestamp(F.concat(time, zone))))
+    x = _read(lines).withColumn("ts", F.when(time.rlike(day), F.try_to_timestamp(F.concat(time, zone))))
     # a usage without any of the four counts may still hold something else
     used = F.coalesce(*(F.col(f"j.message.usage.{c}") for c in COUNTS)).isNotNull() | (F.get_json_object("value", "$.message.usage") != "{}")
     calls = x.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull() & used & F.col("ts").isNotNull())
     count = lambda c: F.coalesce(F.col(u + c), F.lit(0))
-    out = calls.select(
+    return calls.select(
         "file_path", F.unix_micros("ts").alias("ts_us"), filled("j.sessionId", stem).alias("sid"), F.col("j.message.id").alias("mid"),
         filled("j.message.model", F.lit("unknown")).alias("model"),
         F.when((F.col("j.message.id") != "") & (F.col("j.requestId") != ""), F.concat("j.message.id", F.lit(":"), "j.requestId")).alias("dk"),
         F.expr("try_cast(j.costUSD AS decimal(30,10))").alias("log_cost"), count("input_tokens").alias("input_tokens"), count("output_tokens").alias("output_tokens"),
         count("cache_creation_input_tokens").alias("cache_create"), count("cache_read_input_tokens").alias("cache_read"),
     )
+
+
+CALLS = T.StructType(
+    [T.StructField(c, k) for c, k in (("file_path", T.StringType()), ("ts_us", T.LongType()), *((c, T.StringType()) for c in ("sid", "mid", "model", "dk")), ("log_cost", T.DecimalType(30, 10)))]
+    + [T.StructField(c, T.LongType()) for c in ("input_tokens", "output_tokens", "cache_create", "cache_read")]
+)
+
+
+def with_projects(calls: DataFrame, folders: DataFrame, roots: tuple[str, ...] = (), remotes: DataFrame | None = None) -> DataFrame:
+    """Calls with ``cwd``, ``repo`` and ``project`` of their log.
+
+    The folder gives the project: the remote's name where ``remotes`` (cwd, repo) knows the folder, the
+    name below the deepest of ``roots``, else the folder's own; without a folder, that of the file.
+    """
     if remotes is None:
-        first = first.withColumn("repo", F.lit(None).cast("string"))
+        folders = folders.withColumn("repo", F.lit(None).cast("string"))
     else:
-        first = first.join(remotes.select("cwd", "repo"), "cwd", "left")
-    folder = F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1)
-    return out.join(first, "file_path", "left").withColumn("project", project_name(F.col("repo"), F.col("cwd"), roots, folder))
+        folders = folders.join(remotes.select("cwd", "repo"), "cwd", "left")
+    own = F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1)
+    return calls.join(folders, "file_path", "left").withColumn("project", project_name(F.col("repo"), F.col("cwd"), roots, own))
+
+
+def parse_lines(lines: DataFrame, roots: tuple[str, ...] = (), remotes: DataFrame | None = None) -> DataFrame:
+    """The calls of whole logs with their projects."""
+    return with_projects(log_calls(lines), first_folders(lines), roots, remotes)
 
 
 def parse_quota(bodies: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from types import SimpleNamespace
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators import asof, quota
 from tallyframe.operators.dedup import dedup_flag
 from tallyframe.operators.stored import shared_path
-from tallyframe.streaming import guard, late_files
+from tallyframe.sources import logs
+from tallyframe.streaming import guard, late_files, tables
 from tallyframe.streaming import state as state_of
 
 
@@ -242,3 +244,58 @@ def test_keyless_calls_cost_once_each(spark):
     out = state_of.session_cost_stream(spark.readStream.schema("sid string, ts_us long, micros long, ident string, place string").parquet(path))
     out.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "marks")).trigger(availableNow=True).foreachBatch(lambda df, e: df.write.mode("overwrite").parquet(f"{sink}/e={e}")).start().awaitTermination()
     assert [(r["micros"], r["n"]) for r in spark.read.parquet(sink).collect()] == [(20, 3)]
+
+
+# -- tables that streams keep
+
+
+def lines_of(spark, pieces):
+    rows = [(v, log, p, k) for p, piece in enumerate(pieces) for k, (log, v) in enumerate(piece)]
+    df = spark.createDataFrame(rows, "value string, file_path string, piece int, k int")
+    return df.withColumn("place", F.struct("piece", "k"))
+
+
+def call(mid, cwd=None):
+    return json.dumps({"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "sessionId": "s", "cwd": cwd, "requestId": "r", "message": {"id": mid, "model": "m", "usage": {"input_tokens": 1}}})
+
+
+def test_a_folder_that_comes_late_gives_all_calls_their_project(spark):
+    """A log in four pieces names its folder in the third; another names two; a third never does."""
+    a, b, c = "/logs/one/a.jsonl", "/logs/two/b.jsonl", "/logs/six/c.jsonl"
+    pieces = [
+        [(a, call("a1")), (b, call("b1", "/w/first/x")), (c, call("c1"))], [(a, "{broken"), (a, call("a2"))],
+        [(b, call("b2", "/w/second")), (a, json.dumps({"type": "user", "cwd": "/w/late"})), (a, call("a3", "/w/other"))], [(a, call("a4")), (c, call("c2"))],
+    ]
+    table = tables.LogTable(spark, shared_path(spark, "logs"), ("/w",))
+    seen = []
+    for k in range(4):
+        for _ in range(2):  # every batch twice
+            table.put(lines_of(spark, pieces[: k + 1]).where(F.col("piece") == k), k)
+        got = sorted((r["mid"], r["cwd"], r["project"]) for r in table.read().collect())
+        whole = logs.parse_lines(lines_of(spark, pieces[: k + 1]), ("/w",))
+        assert got == sorted((r["mid"], r["cwd"], r["project"]) for r in whole.collect()), k
+        seen.append(dict((m, p) for m, _, p in got)["a1"])
+    assert seen == ["one", "one", "late", "late"]
+
+
+def test_a_snapshot_with_a_tenth_less_is_refused(spark):
+    rows = lambda n, priced: spark.range(n).select("id", F.when(F.col("id") < priced, 1.0).alias("log_cost"))
+    table = tables.Snapshots(spark, shared_path(spark, "snapshots"), rows(1, 1).schema)
+    taken = [table.put(rows(n, priced), k) for k, (n, priced) in enumerate([(1000, 900), (900, 850), (901, 850), (901, 765), (901, 766), (5, 5)])]
+    assert taken == [True, False, True, False, True, False] and table.read().count() == 901
+    assert not table.put(rows(5, 5), 5) and table.put(rows(2000, 1000), 6)  # a replay says the same
+    said = [(r["epoch"], r["old_rows"], r["old_costs"], r["refused"]) for r in table.report.read().orderBy("epoch").collect()]
+    assert said == [(0, None, None, False), (1, 1000, 900, True), (2, 1000, 900, False), (3, 901, 850, True), (4, 901, 850, False), (5, 901, 766, True), (6, 901, 766, False)]
+
+
+def test_rolling_windows_read_partials_alone(spark):
+    from tallyframe import registry
+    from .conftest import SMALL
+
+    df = registry.QUERIES["stream_rolling_windows"](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partials" in plan and "events" not in plan and plan.count("FileScan") == 1
+    rolling = {r["win"]: r["cost"] for r in registry.QUERIES["windows_rolling_costs"](spark, SMALL).collect()}
+    now = max(r["now_us"] for r in df.collect())
+    got = {r["win"]: r["cost"] for r in df.collect() if r["now_us"] == now}
+    assert got == {k: pytest.approx(rolling[k]) for k in got}
