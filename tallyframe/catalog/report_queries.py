@@ -26,6 +26,12 @@ def report_daily(t):
     return reports.shown(reports.bucket(t.calls, "day"), "day")
 
 
+@query(f"SELECT day, {SUMS} FROM calls GROUP BY day")
+def report_daily_recomputed(t):
+    """The same without stored verdicts: dedup and pricing at read."""
+    return reports.shown(reports.bucket(t.recomputed_calls, "day"), "day")
+
+
 @query(f"""WITH m AS (SELECT project, model, sum(cost) AS c, sum(tokens) AS tk, sum(n_calls) AS n FROM calls WHERE project IS NOT NULL GROUP BY ALL)
 SELECT project, CAST(sum(tk) AS BIGINT) AS tokens, {_u('sum(c)')} AS cost, CAST(sum(n) AS BIGINT) AS n_calls,
   string_agg(CASE WHEN model <> '<synthetic>' THEN model || '=' || CAST(CAST(round(CAST(c AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR) END, ';' ORDER BY model) AS models FROM m GROUP BY project""")

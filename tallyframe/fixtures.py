@@ -147,7 +147,12 @@ class Tables:
 
     @cached_property
     def calls(self) -> DataFrame:
-        """Merged records after dedup, priced: the frame that most reports start from."""
+        """Merged records after dedup, priced: the frame that most reports start from. Read from ``flagged``, without a shuffle."""
+        return self.flagged.where("NOT is_dup").drop("is_dup")
+
+    @cached_property
+    def recomputed_calls(self) -> DataFrame:
+        """The same from the records themselves: dedup and pricing at read."""
         from .operators.dedup import dedup_merged
         from .operators.pricing import price_calls
 
