@@ -332,8 +332,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, field: Lin
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _in_turn(field: LineField, texts: pa.Array, at_once: int = 4 << 20) -> np.ndarray:
-    """Scores, a few MB of text at a time."""
+def _in_turn(field: LineField, texts: pa.Array, at_once: int = 1 << 20) -> np.ndarray:
+    """Scores, a MB of text at a time."""
     out, held, size = [np.zeros(0)], [], 0
     for x in texts:
         held.append(x.as_py())
