@@ -42,12 +42,38 @@ def implied_name(project: Column, repo: Column, cwd: Column) -> Column:
     return F.when(repo.isNull() & cwd.isNull(), project)
 
 
-def apply_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
+#: Rules up to which they are tried one after the other in one expression.
+FEW_RULES = 64
+
+
+def _first_target(rules: list) -> Column:
+    """What the first rule that fits says; null where none does."""
+    out, begun = F, False
+    for r in rules:
+        v = r["match_value"]
+        if r["match_kind"] == "name":
+            fits = F.col("project") == v
+        elif r["match_kind"] == "remote":
+            fits = normalize_remote(F.col("repo")) == v
+        elif r["match_kind"] == "cwd_prefix":
+            fits = (F.col("cwd") == v) | F.col("cwd").startswith(f"{v}/")
+        else:
+            continue
+        out, begun = out.when(fits, F.lit(r["target"])), True
+    return out if begun else F.lit(None).cast("string")
+
+
+def apply_rules(records: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
     """``target``: what the first matching rule says, else the project.
 
-    Rules are tried on the distinct identities and the result is joined back. An identity states
-    what a rule could match, its name, its remote and each folder above it, and meets the rules by equality.
+    Up to ``few`` rules are one conditional expression. More are tried on the distinct identities and
+    the result is joined back: an identity states what a rule could match, its name, its remote and
+    each folder above it, and meets the rules by equality.
     """
+    listed = rules.select("id", "match_kind", "match_value", "target").limit(few + 1).collect()
+    if len(listed) <= few:
+        usable = sorted((r for r in listed if r["match_value"] is not None), key=lambda r: r["id"])
+        return records.withColumn("target", F.coalesce(_first_target(usable), "project"))
     ids = records.select("project", "repo", "cwd").distinct()
     steps = F.split("cwd", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(F.lit("cwd_prefix").alias("match_kind"), F.array_join(F.slice(steps, 1, k), "/").alias("match_value")))

@@ -77,3 +77,16 @@ def test_longest_prefix_equals_brute_force(spark):
     got = {r["id"]: r["prefix"] for r in attribution.longest_prefix(df, "folder", spark.createDataFrame([(p,) for p in prefixes if not p.endswith("/")], "prefix string"), "prefix").collect()}
     for k, f in enumerate(folders):
         assert got[k] == max((p for p in prefixes if not p.endswith("/") and held(f, p)), key=len, default=None), f
+
+
+def test_few_and_many_rules_say_the_same(spark):
+    g = np.random.default_rng(6)
+    pick = lambda *xs: xs[int(g.integers(len(xs)))]
+    ids = [(k, pick("a", "b", "c", None), pick(None, "git@h.example:t/a.git", "https://h.example/t/b", "x"), pick(None, "/w", "/w/a", "/w/ab/c", "/v/a", "w/a", "/")) for k in range(300)]
+    records = spark.createDataFrame(ids, "n int, project string, repo string, cwd string")
+    for seed in range(3):
+        rows = [(k, kind, pick({"name": ["a", "b", "zz"], "remote": ["h.example/t/a", "h.example/t/b"], "cwd_prefix": ["/w", "/w/a", "/v", "w"]}[kind][k % 2], None), f"t{k}") for k, kind in enumerate(pick("name", "remote", "cwd_prefix") for _ in range(6))]
+        rules = spark.createDataFrame(rows, "id int, match_kind string, match_value string, target string")
+        one, other = (attribution.apply_rules(records, rules, few).select("n", "target") for few in (64, 0))
+        assert one.exceptAll(other).count() == 0 == other.exceptAll(one).count() and one.where("target LIKE 't%'").count() > 20
+    assert attribution.apply_rules(records, rules.where("false")).where("target <=> project").count() == 300
