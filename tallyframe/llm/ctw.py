@@ -367,8 +367,8 @@ def _look_up(grams: np.ndarray, keys: np.ndarray, values: np.ndarray, depth: int
     return out
 
 
-def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, doc_id, text) bucketed by block: repeated rows spread too, and nothing deals them again."""
+def _dealt(docs: DataFrame, blocks: int) -> tuple[DataFrame, str]:
+    """(block, doc_id, text) bucketed by block, and the table's name: repeated rows spread too, and nothing deals them again."""
     spark = docs.sparkSession
     rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "doc_id", F.encode("text", "UTF-8").alias("text"))
     # as many buckets as a shuffle has partitions at least, so that no reader shuffles for more of them
@@ -376,7 +376,7 @@ def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     spread = rows.repartition(buckets, "block").write.bucketBy(buckets, "block").option("compression", "zstd")
     spread.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -388,7 +388,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     # about as many keys in a part as a block has rows of parts: both grow as the root of the input
     parts = max(8, math.ceil(math.sqrt(size) / 2000))
     cut = max(depth - 2, 1)
-    texts = _dealt(docs, blocks)
+    texts, held_table = _dealt(docs, blocks)
     counts = materialize(texts.groupBy("block").applyInArrow(lambda t: _counts(t, depth, cut, parts), PACKED), "counts")
     whole, left = counts, None
     while left != 1:
@@ -458,4 +458,6 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
             "base_score": pa.array(bases, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score * math.log2(10) / np.array(lengths)),
         })
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
+    out = materialize(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "scores")
+    docs.sparkSession.sql(f"DROP TABLE {held_table}")  # nothing reads it any more
+    return out

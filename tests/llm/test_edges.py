@@ -70,3 +70,9 @@ def test_a_contradicted_label_counts_as_bad(spark):
     twice = spark.createDataFrame([(k, q) for k in range(6) for q in ((0, 1) if k < 3 else (1,))], "doc_id long, quality int")
     got = quality_rules.labelled_statistics(docs, twice).groupBy("bad").count().collect()
     assert {r["bad"]: r["count"] for r in got} == {True: 3, False: 3}
+
+
+def test_scoring_leaves_no_table_behind(spark, both):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert ctw.score(both[0]).count() == both[0].count()
+    assert {t.name for t in spark.catalog.listTables()} == before
