@@ -9,8 +9,8 @@ The store is a log of epochs below one folder; nothing that is committed is writ
 * ``flips/epoch=E``: calls of former epochs whose verdict E changed;
 * ``commits/epoch=E``: written last. Without it the epoch doesn't count, and another attempt overwrites it.
 
-A batch costs what it brings: its keys are met with the key columns of their buckets alone, and only
-those keys are decided again. Of the calls with one key the first to be stored counts (``stored``, the
+A batch reads the key columns of what is stored and writes what it brings, and the verdicts that it
+changes: only the keys that it touches are decided again. Of the calls with one key the first to be stored counts (``stored``, the
 epoch that brought it), the lowest id within an epoch. ``compact`` folds all epochs into one. The store
 and the stream's checkpoint belong together: epochs are the numbers of its batches.
 """
