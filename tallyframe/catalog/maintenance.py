@@ -120,11 +120,12 @@ def _orphan_sql() -> str:
     return f"""{_FOLD}, {_DIRS}, left_ AS (SELECT * FROM rec WHERE {GONE} AND NOT (ts_us < {FOLD_US} AND file_path IN (SELECT file_path FROM plan WHERE plan = 'fold'))),
 own AS (SELECT * FROM left_ WHERE coalesce(dk, '') = '' UNION ALL SELECT * FROM left_ WHERE dk <> '' QUALIFY row_number() OVER (PARTITION BY account_uuid, dk ORDER BY rid) = 1),
 oc AS (SELECT k.*, coalesce(log_cost, CASE WHEN contains(k.model, ':') THEN CAST(0 AS DECIMAL(30,10)) ELSE coalesce(CAST({_COST} AS DECIMAL(30,10)), CAST(0 AS DECIMAL(30,10))) END) AS cost FROM own k LEFT JOIN price_dim d ON k.model = d.model AND k.ts_us >= d.from_us AND k.ts_us < d.to_us),
-every AS (SELECT project, cwd, repo, CAST(cost AS DOUBLE) AS cost, n_calls FROM oc WHERE cost <> 0 UNION ALL SELECT project, cwd, repo, CAST(cost AS DOUBLE), n_calls FROM folded WHERE cost <> 0),
+fx AS (SELECT day, sid, project, cwd, repo, model, account_uuid, c.file_path, sum(cost) AS cost, sum(n_calls) AS n_calls FROM calls c WHERE ts_us < {FOLD_US} AND c.file_path IN (SELECT file_path FROM plan WHERE plan = 'fold') GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+every AS (SELECT project, cwd, repo, cost, n_calls FROM oc WHERE cost <> 0 UNION ALL SELECT project, cwd, repo, cost, n_calls FROM fx WHERE cost <> 0),
 keyed AS (SELECT project, cwd, repo, sum(cost) AS cost, sum(n_calls) AS n_calls, '/p' || coalesce(cwd, '') AS dir FROM every GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_orphan_sql()} SELECT coalesce({_IN_PREFIX}, '') AS dir_prefix, {_RULED} AS target, cwd, repo, round(sum(cost), 4) AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM keyed GROUP BY ALL")
+@query(f"WITH {_orphan_sql()} SELECT coalesce({_IN_PREFIX}, '') AS dir_prefix, {_RULED} AS target, cwd, repo, {_u('sum(cost)')} AS cost, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM keyed GROUP BY ALL")
 def agg_orphan_alltime(t):
     """All-time cost of what purged logs held, with the archive's rows on top: by project folder and identity, rules applied at read.
 
@@ -138,7 +139,7 @@ def agg_orphan_alltime(t):
     both = own.select(*keys, "cost", "n_calls").unionByName(_folded(t).select(*keys, "cost", "n_calls")).where("cost <> 0")
     keyed = both.groupBy(*keys).agg(F.sum("cost").alias("cost"), F.sum("n_calls").alias("n_calls"))
     x = _placed(t, apply_rules(keyed, t.project_rules)).withColumn("dir_prefix", F.coalesce("dir_prefix", F.lit("")))
-    return x.groupBy("dir_prefix", "target", "cwd", "repo").agg(F.round(F.sum(F.col("cost").cast("double")), 4).alias("cost"), F.sum("n_calls").alias("n_calls"))
+    return x.groupBy("dir_prefix", "target", "cwd", "repo").agg(usd(F.sum("cost")).alias("cost"), F.sum("n_calls").alias("n_calls"))
 
 
 @query(f"WITH {_DIRS}, d AS (SELECT DISTINCT '/p' || coalesce(cwd, '') AS dir FROM rec) SELECT dir, {_IN_PREFIX} AS dir_prefix FROM d")
