@@ -45,10 +45,13 @@ class ChunkEncoder:
     No token of this kind of vocabulary crosses a space, so a chunk has the same ids wherever it
     stands. The vocabulary lower-cases, so A-Z are lowered first; a full stop or comma after a
     letter at a chunk's end is a chunk of its own, as it is a token of its own. Texts with a
-    special string are left as they are: special strings are told apart by case.
+    special string are left as they are: special strings are told apart by case. So are texts in
+    which a combining mark may follow one of A-Z: the vocabulary composes before it lowers, and
+    t and a diaeresis have a composed form where T and a diaeresis have none.
     """
 
     _END = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
+    _MARKED = re.compile(rb"[A-Z][\xcc-\xff]")  # U+0300 and beyond
     _MARK = "\x01"  # stands between chunks that are encoded in one go
 
     def __init__(self, path: str):
@@ -68,7 +71,7 @@ class ChunkEncoder:
 
     def chunks(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode()
-        if any(s in raw for s in self.specials) or any(s in raw.lower() for s in self.specials):
+        if any(s in raw for s in self.specials) or any(s in raw.lower() for s in self.specials) or (not raw.isascii() and self._MARKED.search(raw)):
             return raw.split()
         return self._END.sub(rb" \g<0>", raw.lower()).split()
 

@@ -228,6 +228,16 @@ def test_packing_plan_is_whole_and_tight():
     assert packing.best_plan({}) == []
 
 
+def test_packing_composes_marks_before_it_lowers():
+    """t and a diaeresis have a composed form, T and a diaeresis none."""
+    import struct
+
+    encode, chunked = tokenizer("word_bpe_49k.json"), packing.ChunkEncoder(queries.tokenizer("word_bpe_49k.json"))
+    for text in ("T\u0308.", "the T\u0308 and t\u0308, J\u030cx", "H\u0331 W\u030a Y\u030a", "T\u1dca\u0308 e\u0301 E\u0301"):
+        ids = encode(text)
+        assert list(chunked.encode([text])) == [struct.pack(f"<{len(ids)}I", *ids)]
+
+
 def test_token_counts(spark, docs, empty, small):
     path, encode = queries.tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run(spark, "op5_token_counts")}
