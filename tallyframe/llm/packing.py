@@ -18,11 +18,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +34,24 @@ CAPACITY = 4096
 END_ID = 1
 #: Tried out: (lengths up to this part of the capacity are small, groups).
 SCHEMES = ((1 / 8, 64), (1 / 4, 128), (1 / 3, 200), (1 / 2, 300))
-#: Chunks of text whose ids a worker keeps; the table starts afresh beyond it.
+#: Chunks of text whose ids a worker keeps.
 KEPT_CHUNKS = 1_000_000
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
+class KnownChunks(dict):
+    """Ids of chunks; a chunk that isn't there is encoded and kept. The table starts afresh beyond ``KEPT_CHUNKS``."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= KEPT_CHUNKS:
+            self.clear()
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts, 4 little-endian bytes each, by way of the distinct chunks between spaces.
 
@@ -48,11 +61,18 @@ class ChunkEncoder:
     special string are left as they are: special strings are told apart by case. So are texts in
     which a combining mark may follow one of A-Z: the vocabulary composes before it lowers, and
     t and a diaeresis have a composed form where T and a diaeresis have none.
+
+    Chunks of printable ASCII, letters of Latin-1 and Latin Extended-A and Cyrillic are normal already
+    once they are lowered, and are parted here as the vocabulary parts them; the merges alone
+    are asked of the tokenizer's model. Other chunks go through the whole tokenizer.
     """
 
-    _END = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
-    _MARKED = re.compile(rb"[A-Z][\xcc-\xff]")  # U+0300 and beyond
-    _MARK = "\x01"  # stands between chunks that are encoded in one go
+    _END = re.compile(rb"[.,](?<=[a-z].)(?=[\x20\x09-\x0D]|\Z)")
+    _MARKED = re.compile(rb"[A-Z](?!\xe2\x80|[\xe4-\xe9])[\xcc-\xff]")  # U+0300 and beyond, but for quotes, dashes and U+4000 to U+9FFF
+    _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u045f"
+    _PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+    _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,44 +84,49 @@ class ChunkEncoder:
         if '"Lowercase"' not in steps or '"Removed"' not in split or "[^\\\\s\\\\p{L}\\\\p{N}]+" not in split:
             raise ValueError("a lower-casing vocabulary that drops white space and parts letters from signs is needed")
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [x["content"].encode() for x in spec["added_tokens"]]
-        self.known: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.special = re.compile(b"|".join(re.escape(x["content"].encode()) for x in spec["added_tokens"]) or rb"(?!)")
+        self.known = KnownChunks(self._ids)
+        self.model = self.tokenizer.model if self._parts_alike(spec) else None
+        self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
+
+    def _parts_alike(self, spec: dict) -> bool:
+        """Whether normalizer and splitting are those that ``_PLAIN`` and ``_PARTS`` stand for."""
+        steps = spec["normalizer"].get("normalizers", [])
+        split, *letters = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        return (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+            and split == {"type": "Split", "pattern": {"Regex": self._SPLIT}, "behavior": "Removed", "invert": True}
+            and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in letters] == [("ByteLevel", False, False)]
+            and spec["model"]["type"] == "BPE" and spec["model"]["dropout"] is None
+        )
 
     def chunks(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode()
-        if any(s in raw for s in self.specials) or any(s in raw.lower() for s in self.specials) or (not raw.isascii() and self._MARKED.search(raw)):
+        lower = raw.lower()
+        if self.special.search(raw) or self.special.search(lower) or (not raw.isascii() and self._MARKED.search(raw)):
             return raw.split()
-        return self._END.sub(rb" \g<0>", raw.lower()).split()
+        return self._END.sub(rb" \g<0>", lower).split()
 
     def _ids(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, missing: list[bytes], at_once: int = 2000) -> None:
-        plain = [c for c in missing if self.mark is not None and b"\x01" not in c and not any(s in c for s in self.specials)]
-        for c in set(missing).difference(plain):
-            self.known[c] = self._ids(c)
-        for k in range(0, len(plain), at_once):
-            part = plain[k : k + at_once]
-            joined = f" {self._MARK} ".join(c.decode() for c in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, first = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
-            for c, a, z in zip(part, first, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known[c] = raw[a:z]
+        text = chunk.decode()
+        low = text.lower()
+        if self.model is None or not self._PLAIN.fullmatch(low) or self.special.search(chunk):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            spelled = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in self._PARTS.findall(low)]
+            ids = [t.id for x in spelled for t in self.model.tokenize(x)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
         for text in texts:
-            chunks = self.chunks(text)
-            missing = [c for c in dict.fromkeys(chunks) if c not in known]
-            if missing:
-                if len(known) + len(missing) > KEPT_CHUNKS:
-                    known.clear()
-                    missing = list(dict.fromkeys(chunks))
-                self.learn(missing)
-            yield b"".join(map(known.__getitem__, chunks))
+            yield b"".join(map(self.known.__getitem__, self.chunks(text)))
+
+
+def _byte_letters() -> list[str]:
+    """The letter for each byte in a byte-level vocabulary: visible ones stand for themselves, others follow from U+0100."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in seen else next(rest)) for b in range(256)]
 
 
 def encoder(path: str) -> ChunkEncoder:
