@@ -177,20 +177,11 @@ def stream_quota_verdict(t):
     return guard.at_times(log, times).select("account_uuid", "pct", "verdict")
 
 
-def _guard_log(t):
-    """The log of verdicts and warnings over all samples as a stream."""
-    plans = {}
-    for r in t.plan_windows.collect():  # a few rows an account
-        plans.setdefault(r["account_uuid"], {})[r["win"]] = r["applicable"]
-    names = [r["win"] for r in t.window_spans.orderBy("ord").select("win").collect()]
-    return run_to_end(t, guard.verdict_stream(stream_of(t, t.samples, "samples"), plans, names, WARN, STOP), "append")
-
-
 @query(ORACLE_WARN)
 def stream_warn_once(t):
     """One warning a window instance, however many readings are over the line."""
-    log = _guard_log(t).where("kind = 'warning'")
-    return log.select("account_uuid", "win", F.nullif("model", F.lit("")).alias("model"), "reset_min", F.col("at_us").alias("first_warned_us"))
+    log = _followed(t, guard.WarningLog(t.spark, shared_path(t.spark, "warnings"), WARN))
+    return log.select("account_uuid", "win", "model", "reset_min", F.col("at_us").alias("first_warned_us"))
 
 
 _NOWS = (NOW, NOW - 3 * DAY, NOW - 11 * DAY - 7 * 60_000_000)

@@ -10,7 +10,8 @@ and are counted in ``n_late`` of the account's next row.
 
 ``verdict_stream`` keeps an account's state in Spark and walks its readings one by one, so it serves few
 readings at a time. ``VerdictLog`` gives the same log by batch with built-in functions: the newest readings lie
-beside it, a batch is dealt by hours of each account, and a busy account fills many tasks.
+beside it, a batch is dealt by hours of each account, and a busy account fills many tasks. ``WarningLog``
+gives the warnings in the same way.
 """
 
 from __future__ import annotations
@@ -254,7 +255,30 @@ class VerdictLog:
         return log.join(small(again), replaced, "left_anti").drop("since_us", "epoch")
 
 
-def follow(samples: DataFrame, log: VerdictLog, checkpoint: str):
+class WarningLog:
+    """The warnings in the folder ``path``: of each window instance the first reading at or over ``warn``, told once.
+
+    The warnings of former epochs are what it remembers, so an instance is never told of twice.
+    """
+
+    KEYS = ("account_uuid", "win", "model", "reset_min")
+
+    def __init__(self, spark: SparkSession, path: str, warn: float):
+        self.warn = warn
+        self.log = Epochs(spark, path, T.StructType.fromDDL("account_uuid string, win string, model string, reset_min long, at_us long, pct double"))
+
+    def put(self, batch: DataFrame, epoch: int) -> None:
+        over = batch.where((F.col("used_pct") >= self.warn) & ~quota.is_placeholder()).withColumn("reset_min", quota.reset_minute())
+        first = over.groupBy(*self.KEYS).agg(F.min(F.struct("ts_us", "event_id", "used_pct")).alias("r")).select(*self.KEYS, F.col("r.ts_us").alias("at_us"), F.col("r.used_pct").alias("pct"))
+        told = self.log.read().where(F.col("epoch") < epoch).select(*[F.col(k).alias(f"__{k}") for k in self.KEYS])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.KEYS]
+        self.log.put(first.join(told, same, "left_anti"), epoch)
+
+    def read(self) -> DataFrame:
+        return self.log.read().drop("epoch")
+
+
+def follow(samples: DataFrame, log: VerdictLog | WarningLog, checkpoint: str):
     """A query that hands each batch of the stream ``samples`` to ``log`` under its number."""
     return samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(log.put)
 

@@ -81,10 +81,20 @@ def test_a_busy_account_is_dealt_by_hours(spark):
     assert sorted((r["at_us"] // S, r["pct"]) for r in got) == [(k, float(k * 7 % 100)) for k in range(20_000)]
 
 
-@pytest.mark.parametrize("name", ["stream_quota_verdict"])
+@pytest.mark.parametrize("name", ["stream_quota_verdict", "stream_warn_once"])
 def test_no_account_is_one_group_of_state(spark, monkeypatch, name):
     """A state by account leaves a task an account, however many readings it has."""
     from tallyframe.streaming import guard as module
 
     monkeypatch.setattr(module, "verdict_stream", None)
     assert registry.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_an_instance_is_warned_of_once(spark):
+    log = guard.WarningLog(spark, shared_path(spark, "warnings"), 80)
+    batches = [[("a", "session", "s", 5, 2, 85.0, 60.0, None), ("a", "session", "s", 5, 1, 95.0, 61.0, None), ("a", "session", "s", 4, 3, 79.0, 60.0, None)], [("a", "session", "s", 9_000 * S, 4, 99.0, 60.0, None), ("a", "session", "s", 9, 5, 81.0, 60.0, "")]]
+    for k, rows in enumerate(batches):
+        for _ in range(2):
+            log.put(spark.createDataFrame(rows, SAMPLE), k)
+    got = sorted((r["model"] is None, r["reset_min"], r["at_us"], r["pct"]) for r in log.read().collect())
+    assert got == [(False, 60, 9, 81.0), (True, 60, 5, 95.0)]
