@@ -110,14 +110,14 @@ def cache_accumulator_stream(readings: DataFrame, keep: str = KEEP, delay: str =
             return
         life, seen, total, *sums, n, late = held.get if held.exists else (None, -1, None, 0, 0, 0, 0, 0)
         newest = seen
-        for part in parts:  # as Spark hands them over; a part is in order of time
-            for r in part.sort_values(["ts_us", "rid"]).itertuples(index=False):
-                life = int(r.ts_us) if life is None else life
-                late += int(r.ts_us) < seen
-                newest = max(newest, int(r.ts_us))
-                if total != r.total_in:
-                    total, n = int(r.total_in), n + 1
-                    sums = [int(a + b) for a, b in zip(sums, (r.fresh, r.cache_create, r.cache_read))]
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(["ts_us", "rid"])  # one session's readings of one batch: parts are in no order
+        for r in batch.itertuples(index=False):
+            life = int(r.ts_us) if life is None else life
+            late += int(r.ts_us) < seen
+            newest = max(newest, int(r.ts_us))
+            if total != r.total_in:
+                total, n = int(r.total_in), n + 1
+                sums = [int(a + b) for a, b in zip(sums, (r.fresh, r.cache_create, r.cache_read))]
         held.update((life, newest, total, *sums, n, late))
         held.setTimeoutTimestamp(max(newest // 1000, held.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame([(*key, life, total, *sums, n, late)], columns=out)

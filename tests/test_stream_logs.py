@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyframe import registry
 from tallyframe.operators import quota
 from tallyframe.operators.stored import shared_path
-from tallyframe.streaming import guard
+from tallyframe.streaming import guard, state
 
 from .conftest import SMALL
 
@@ -98,3 +98,38 @@ def test_an_instance_is_warned_of_once(spark):
             log.put(spark.createDataFrame(rows, SAMPLE), k)
     got = sorted((r["model"] is None, r["reset_min"], r["at_us"], r["pct"]) for r in log.read().collect())
     assert got == [(False, 60, 9, 81.0), (True, 60, 5, 95.0)]
+
+
+# -- sums of sessions
+
+READ = "sid string, ts_us long, rid long, total_in long, fresh long, cache_create long, cache_read long"
+DAY = 86_400_000_000
+
+
+def by_rule(rows):
+    """sid -> (last total that counted, sums, n): a reading counts when its total differs from the one before."""
+    want, last = {}, {}
+    for sid, ts, rid, total, *values in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if sid not in last or last[sid] != total:
+            _, sums, n = want.get(sid, (None, (0, 0, 0), 0))
+            want[sid] = (total, tuple(a + b for a, b in zip(sums, values)), n + 1)
+        last[sid] = total
+    return want
+
+
+def of_lives(df):
+    got = df.groupBy("sid").agg(F.max_by("total_in", "life_us").alias("t"), *[F.sum(c).alias(c) for c in ("cum_fresh", "cum_create", "cum_read", "n", "n_late")])
+    return {r["sid"]: (r["t"], (r["cum_fresh"], r["cum_create"], r["cum_read"]), r["n"]) for r in got.collect()}
+
+
+def test_a_session_in_several_parts_is_taken_in_order_of_time(spark):
+    """More readings than Spark hands over at once (10,000), in no order."""
+    g = np.random.default_rng(7)
+    rows = [("s", k * 10, k, int(k // 3 % 2), 1, 2, 3) for k in range(25_000)] + [("t", k, k, 1, 1, 1, 1) for k in range(5)]
+    rows = [rows[k] for k in g.permutation(len(rows))]
+    path, sink = shared_path(spark, "readings"), shared_path(spark, "sums")
+    spark.createDataFrame(rows, READ).coalesce(1).write.parquet(path)
+    out = state.cache_accumulator_stream(spark.readStream.schema(READ).parquet(path))
+    put = lambda df, e: df.write.mode("overwrite").parquet(f"{sink}/epoch={e}")
+    out.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "marks")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    assert of_lives(spark.read.parquet(sink)) == by_rule(rows)
