@@ -111,9 +111,10 @@ SELECT sid, arg_max(total_in, i) AS total_in, CAST(sum(input_tokens) AS BIGINT)
 FROM x WHERE i = 1 OR b <> total_in GROUP BY 1""")
 def stream_cache_accumulator(t):
     rows = t.rec.select("sid", "ts_us", "rid", (F.col("input_tokens") + F.col("cache_create")).alias("total_in"), F.col("input_tokens").alias("fresh"), "cache_create", "cache_read")
-    lives = run_to_end(t, state.cache_accumulator_stream(stream_of(t, rows, "readings")), "update", ["sid", "life_us"])
+    kept = state.CacheSums(t.spark, shared_path(t.spark, "sums"))
+    state.follow_readings(stream_of(t, rows, "readings"), kept, shared_path(t.spark, "marks")).trigger(availableNow=True).start().awaitTermination()
     sums = [F.sum(c).alias(c) for c in ("cum_fresh", "cum_create", "cum_read", "n", "n_late")]
-    return lives.groupBy("sid").agg(F.max_by("total_in", "life_us").alias("total_in"), *sums)
+    return kept.lives().groupBy("sid").agg(F.max_by("total_in", "life_us").alias("total_in"), *sums)
 
 
 @query("""WITH x AS (SELECT sid, project, unnest(generate_series(ts_us // 300000000 + 1, ts_us // 300000000 + 3)) * 300000000 AS until_us FROM rec WHERE project IS NOT NULL AND project <> 'proj4')

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .tables import Epochs
+
 GATE_S = 300
 _GATED = ["machine_id", "account_uuid", "win", "ts_us", "used_pct", "reset_min"]
 GATE_OUT = "machine_id string, account_uuid string, win string, ts_us long, used_pct double, reset_min long"
@@ -128,6 +131,61 @@ def cache_accumulator_stream(readings: DataFrame, keep: str = KEEP, delay: str =
     return rows.groupBy("sid").applyInPandasWithState(run, f"sid string, life_us long, {CACHE}, n_late long", state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+SUMS = "cum_fresh long, cum_create long, cum_read long, n long, n_late long"
+
+
+class CacheSums:
+    """The same sums by batch with built-in functions: ``epoch=E`` in the folder ``path`` holds the sessions alive after batch E, and those whose life it ended.
+
+    A batch and the sessions alive before it are dealt by session once and passed in order of time, so no
+    reading is handed to Python and no state lies in memory. ``last_in`` is the total of a session's last
+    reading. The two newest epochs keep their living sessions, as an epoch that is run again starts from the one before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: str = KEEP):
+        self.spark, self.keep_us = spark, int(pd.Timedelta(keep).total_seconds()) * 1_000_000
+        self.kept = Epochs(spark, path, T.StructType.fromDDL(f"sid string, life_us long, seen_us long, last_in long, total_in long, {SUMS}, closed boolean"))
+
+    def _alive(self, epoch: int) -> DataFrame:
+        return self.kept.read().where((F.col("epoch") == epoch) & ~F.col("closed")).drop("epoch", "closed")
+
+    def put(self, batch: DataFrame, epoch: int) -> None:
+        """Adds the readings (sid, ts_us, rid, total_in, fresh, cache_create, cache_read) of a batch."""
+        before = self._alive(epoch - 1)
+        newest = before.agg(F.max("seen_us")).first()[0]
+        over = F.col("seen_us") < F.lit((newest or 0) - self.keep_us)
+        read = batch.where("ts_us IS NOT NULL").select(
+            "sid", F.lit(1).alias("kind"), "ts_us", "rid", F.lit(None).cast("long").alias("life_us"), F.col("total_in").alias("last_in"), "total_in",
+            F.col("fresh").alias("cum_fresh"), F.col("cache_create").alias("cum_create"), F.col("cache_read").alias("cum_read"), F.lit(1).cast("long").alias("n"),
+        )
+        held = before.where(~over).select("sid", F.lit(0).alias("kind"), F.col("seen_us").alias("ts_us"), F.lit(None).cast("long").alias("rid"), "life_us", "last_in", "total_in", "cum_fresh", "cum_create", "cum_read", "n", "n_late")
+        order = Window.partitionBy("sid").orderBy("kind", "ts_us", "rid")
+        held_at = F.max(F.when(F.col("kind") == 0, F.col("ts_us"))).over(order)
+        x = read.withColumn("n_late", F.lit(0).cast("long")).unionByName(held).withColumns({"i": F.row_number().over(order), "b": F.lag("last_in").over(order), "held_at": held_at})
+        new, counts = F.col("kind") == 1, F.coalesce((F.col("kind") == 0) | (F.col("i") == 1) | (F.col("b") != F.col("last_in")), F.lit(False))
+        late = F.when(new & (F.col("ts_us") < F.col("held_at")), 1).otherwise(F.col("n_late"))
+        sums = [F.sum(F.when(counts, F.col(c))).alias(c) for c in ("cum_fresh", "cum_create", "cum_read")]
+        after = x.groupBy("sid").agg(
+            F.coalesce(F.max("life_us"), F.min("ts_us")).alias("life_us"), F.max("ts_us").alias("seen_us"), F.max_by("last_in", "i").alias("last_in"),
+            F.max_by("total_in", F.when(counts & F.col("total_in").isNotNull(), F.col("i"))).alias("total_in"), *sums,
+            F.sum(F.when(counts, F.col("n")).otherwise(0)).alias("n"), F.sum(late).alias("n_late"),
+        )
+        self.kept.put(after.withColumn("closed", F.lit(False)).unionByName(before.where(over).withColumn("closed", F.lit(True))), epoch, "closed")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.kept.path}/epoch={epoch - 2}/closed=false")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def lives(self) -> DataFrame:
+        """A row for each life of a session: those that ended and those that go on."""
+        rows = self.kept.read()
+        newest = rows.where("NOT closed").agg(F.max("epoch")).first()[0]
+        return rows.where(F.col("closed") | (F.col("epoch") == newest)).drop("seen_us", "last_in", "closed", "epoch")
+
+
+def follow_readings(readings: DataFrame, sums: CacheSums, checkpoint: str):
+    """A query that adds each batch of the stream ``readings`` to ``sums`` under its number."""
+    return readings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sums.put)
+
+
 def active_projects_stream(records: DataFrame, delay: str = "40 days") -> DataFrame:
     """Sessions and projects with a call in each fifteen minutes, a window every five."""
     timed = records.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)

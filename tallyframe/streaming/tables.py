@@ -21,8 +21,8 @@ class Epochs:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
 
-    def put(self, df: DataFrame, epoch: int) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields[:-1]]).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+    def put(self, df: DataFrame, epoch: int, *by: str) -> None:
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields[:-1]]).write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/epoch={epoch}")
 
     def read(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

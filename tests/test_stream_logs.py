@@ -133,3 +133,36 @@ def test_a_session_in_several_parts_is_taken_in_order_of_time(spark):
     put = lambda df, e: df.write.mode("overwrite").parquet(f"{sink}/epoch={e}")
     out.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "marks")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     assert of_lives(spark.read.parquet(sink)) == by_rule(rows)
+
+
+def test_sums_by_batch_expire_and_equal_the_rule(spark):
+    """Sessions of six days in six batches, each run twice; one comes back after its life ended."""
+    g, rows = np.random.default_rng(9), []
+    for d in range(6):
+        rows += [(f"s{k % 30}-{d // 2}", (d + 1) * DAY + int(g.integers(0, DAY)), d * 1000 + k, int(g.integers(0, 3)), k, 1, 2) for k in range(200)]
+        if d in (0, 5):
+            rows += [("back", (d + 1) * DAY + j, 90_000 + d * 10 + j, 7 + d + j, 1, 1, 1) for j in range(3)]
+    sums = state.CacheSums(spark, shared_path(spark, "sums"), keep="2 days")
+    alive = []
+    for d in range(6):
+        for _ in range(2):
+            sums.put(spark.createDataFrame([r for r in rows if r[1] // DAY == d + 1][::-1], READ).repartition(3), d)
+        alive.append(sums._alive(d).count())
+    assert of_lives(sums.lives()) == by_rule(rows)
+    assert sums.lives().where("sid = 'back'").count() == 2 and sums.lives().where("sid <> 'back'").groupBy("sid").count().where("count > 1").count() == 0
+    assert max(alive) <= 61 < sums.lives().count()  # sessions of a few days, not of all
+
+
+def test_late_readings_and_absent_totals(spark):
+    """A late reading is counted and added; as in SQL a total is compared with that of the reading before, and null differs from nothing."""
+    sums = state.CacheSums(spark, shared_path(spark, "sums"))
+    one = [("s", 10, 1, 5, 1, 1, 1), ("s", 20, 2, None, 1, 1, 1), ("s", 30, 3, 6, 1, 1, 1), ("s", 40, 4, 7, 1, 1, 1)]
+    for k, rows in enumerate([one, [("s", 35, 5, 7, 1, 1, 1), ("s", 36, 6, 8, 1, 1, 1), ("s", 50, 7, 8, 1, 1, 1)]]):
+        sums.put(spark.createDataFrame(rows, READ), k)
+    assert [tuple(r) for r in sums.lives().collect()] == [("s", 10, 8, 3, 3, 3, 3, 2)]
+
+
+def test_sessions_are_no_groups_of_state(spark, monkeypatch):
+    """A state by session hands each of them to Python."""
+    monkeypatch.setattr(state, "cache_accumulator_stream", None)
+    assert registry.QUERIES["stream_cache_accumulator"](spark, SMALL).count() > 0
